@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lines import dedup_lines, quality_rules
 from .ngram_join import near_duplicates
 
 
@@ -13,8 +14,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_ngram_join,)}
+    return {f.__name__: f for f in (op6_line_dedup, op9_ngram_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
