@@ -24,6 +24,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import small_batches
+
 #: Chunks and words that a worker keeps at most (about 300 bytes each).
 KEPT = 300_000
 NONE = 1 << 30
@@ -181,6 +183,7 @@ def loaded(spec: str) -> BytePairs:
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs (doc_id, text). path: the tokenizer file, read by the driver (2 MB) and sent to the workers."""
+    small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 

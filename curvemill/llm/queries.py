@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_decode
 from .lines import dedup_lines, quality_rules
 from .ngram_join import near_duplicates
+from .toxicity import learn, toxicity
+from .warc import archived
+from .wavelet import token_files
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(TOKENIZER))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(TOKENIZER))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -23,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_line_dedup, op9_ngram_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_warc, op3_toxicity, op4_token_files, op5_bpe, op6_line_dedup, op9_ngram_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

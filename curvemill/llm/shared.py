@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Rows up to which a key table is broadcast (16 bytes a row, so tens of MB at most); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -30,6 +32,13 @@ def _clean() -> None:
             return
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_ROWS or BATCH_BYTES at most, so that long texts don't add up in a worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if int(spark.conf.get(key).rstrip("b")) not in range(1, most + 1):
+            spark.conf.set(key, str(most))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -21,7 +21,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import sized, table, work_dir
+from .shared import sized, small_batches, table, work_dir
 from .wavelet import save
 
 #: Compressed bytes after which an archive ends with the record at hand.
@@ -174,5 +174,6 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages written as archives in a new shared folder and read back."""
+    small_batches(pages.sparkSession)
     folder = f"{work_dir(pages.sparkSession)}/warc"
     return read_archives(write_archives(pages, folder, least), folder)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import KEPT, chunks
-from .shared import sized, table, work_dir
+from .shared import sized, small_batches, table, work_dir
 
 MAGIC = b"WAVM1\n"
 BLOCK = 512
@@ -245,5 +245,6 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
 def token_files(docs: DataFrame, path: str) -> DataFrame:
     """docs written as shards in a new shared folder and read back."""
+    small_batches(docs.sparkSession)
     folder = f"{work_dir(docs.sparkSession)}/shards"
     return read_shards(write_shards(docs, path, folder), folder)
