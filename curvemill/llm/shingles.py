@@ -17,6 +17,9 @@ _BYTE[[*range(65, 91)]] = _BYTE[[*range(97, 123)]]
 _BYTE[[*SPACE]] = 0
 _BLANK = np.zeros(256, bool)
 _BLANK[[*SPACE]] = True
+#: Blanks of the second kind of word: also ASCII punctuation.
+_MARKS = _BLANK.copy()
+_MARKS[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 _BASE = int(_odd(1)[0])
 _PLACE = _odd(WORDS)
 _powers: dict[str, np.ndarray] = {}
@@ -41,18 +44,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (A-Z as a-z) of all texts in order, and where each text's words begin (one entry more than texts)."""
+def word_hashes(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z as a-z) of all texts in order, and where each text's words begin (one entry more than texts). marks: punctuation separates words as blanks do."""
     buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    blank = _BLANK[buf]
+    blank = (_MARKS if marks else _BLANK)[buf]
     begin = ~blank
     begin[1:] &= blank[:-1]
     starts = np.flatnonzero(begin)
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(len(at), np.int64)
     up, down = _power(len(buf))
-    hashes = np.add.reduceat(_BYTE[buf] * up[: len(buf)], starts) * down[starts]
+    value = _BYTE[buf] * up[: len(buf)]
+    if marks:
+        value[blank] = 0
+    hashes = np.add.reduceat(value, starts) * down[starts]
     return mix(hashes), np.searchsorted(starts, at)
 
 
