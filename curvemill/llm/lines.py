@@ -17,6 +17,7 @@ from .shared import table
 
 #: White space that separates words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+BLANK = "[\\x20\\x09-\\x0D]"
 #: A line in more than this share of its host's documents, and at least this many of them, is boilerplate.
 RATIO, LEAST = 0.1, 5
 #: A document is depleted if less than this share of its words is left.
@@ -26,11 +27,11 @@ BROADCAST_LINES = 1_000_000
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.translate(line, BLANKS, " " * len(BLANKS))), " {2,}", " "))
+    return F.trim(F.regexp_replace(F.lower(line), f"{BLANK}+", " "))
 
 
 def has_word(line: Column) -> Column:
-    return F.translate(line, BLANKS, "") != ""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
 
 
 def _lines(text: str) -> Column:
@@ -71,7 +72,7 @@ def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " +", -1), lambda w: w != "")
+    return F.filter(F.split(text, f"{BLANK}+", -1), lambda w: w != "")
 
 
 def count_words(text: Column) -> Column:
@@ -80,7 +81,7 @@ def count_words(text: Column) -> Column:
 
 
 #: The symbols that count as such.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 
 
@@ -112,14 +113,16 @@ def measures(text: Column) -> Column:
     """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a text; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), has_word)
-    counts = _let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
-    return F.struct(
-        counts["n_words"].alias("n_words"),
-        F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+    # one struct of what the words give, and _let so that no lambda computes it again
+    counts = _let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated(w).alias("n_repeat_words")))
+    fields = lambda c: F.struct(
+        c["n_words"].alias("n_words"),
+        c["word_chars"].alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        counts["n_repeat_words"].alias("n_repeat_words"),
+        c["n_repeat_words"].alias("n_repeat_words"),
     )
+    return _let(counts, fields)
 
 
 def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, left: float = LEFT) -> DataFrame:
