@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cotrain, decontaminate
 from .bpe import encode_decode
+from .html_text import extract
 from .lines import dedup_lines, quality_rules
 from .ngram_join import near_duplicates
 from .toxicity import learn, toxicity
@@ -17,10 +19,23 @@ from .wavelet import token_files
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return cotrain.quality(docs, cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
 
@@ -47,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_toxicity, op4_token_files, op5_bpe, op6_line_dedup, op9_ngram_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_text, op2_warc, op3_toxicity, op4_token_files, op5_bpe, op6_line_dedup, op7_quality, op8_leaks, op9_ngram_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
