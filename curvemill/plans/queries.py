@@ -1,15 +1,574 @@
-"""The registered queries of the curve operators and the SQL that gives the same rows."""
+"""The registered queries of the curve operators and the SQL that gives the same rows.
+
+The supplied tables stand in for samples and observations: nations or suppliers are samples, order lines are observations,
+return flags are views, embeddings are encoder features. Every query reads whole tables; numbers are rounded to
+six digits on both sides, arrays are given as points."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions import curves as C, images, models, text
+from ..operators import aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N
+from ..streaming.curves import windowed_curves
+
+#: Price thresholds of the stand-in curves; the last one is above every price.
+PRICES = (1000.0, 2000.0, 5000.0, 10000.0, 15000.0, 20000.0, 30000.0, 45000.0, 60000.0, 90000.0, 200000.0)
+FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+DIMS = 8
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c.cast("double"), 6)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their supplier's nation: the two dimensions are small at every scale relative to the lines, so Spark broadcasts them below its threshold."""
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("sample_id"))
+    line = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", *FEATURES, "l_returnflag")
+    return line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+
+
+def nation_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.build_curves(lines(spark, sf_dir), "l_extendedprice", ["sample_id"], PRICES)
+
+
+def view_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.build_curves(lines(spark, sf_dir), "l_extendedprice", ["sample_id", "l_returnflag"], PRICES)
+
+
+def at_points(df: DataFrame, keys: list[str], name: str = "cdf") -> DataFrame:
+    long = df.select(*keys, F.posexplode(name).alias("pos", "value"))
+    return long.select(*keys, F.col("pos").cast("int").alias("pos"), r6("value").alias("value"))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as observations with features 0 to 3."""
+    return lines(spark, sf_dir).select("sample_id", F.col("l_returnflag").alias("view"), *(F.col(c).alias(f"feature_{i}") for i, c in enumerate(FEATURES)))
+
+
+# SQL pieces: the order lines, and the curves of nations in long form.
+LINES = "lines AS (SELECT n_name AS sample_id, l.* FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
+_T = "(VALUES " + ", ".join(f"({i}, {t}::DOUBLE)" for i, t in enumerate(PRICES)) + ") t(pos, threshold)"
+_W = "(VALUES " + ", ".join(f"({i}, {w!r}::DOUBLE)" for i, w in enumerate(C.WIDTHS)) + ") w(pos, width)"
+CURVES = f"{LINES}, curves AS (SELECT sample_id, pos, 100.0::DOUBLE * count(*) FILTER (l_extendedprice <= threshold) / count(*) AS value FROM lines, {_T} GROUP BY 1, 2)"
+VIEWS = f"{LINES}, views AS (SELECT sample_id, l_returnflag, pos, 100.0::DOUBLE * count(*) FILTER (l_extendedprice <= threshold) / count(*) AS value FROM lines, {_T} GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {CURVES} SELECT sample_id, pos::INT AS pos, round(value, 6) AS value FROM curves")
+def curve_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_points(nation_curves(spark, sf_dir), ["sample_id"])
+
+
+@query(f"""WITH {CURVES}, loo AS (SELECT sample_id, pos, value, (sum(value) OVER (PARTITION BY pos) - value) / (count(*) OVER (PARTITION BY pos) - 1) AS p FROM curves)
+SELECT sample_id, round(sum(abs(value - p) * width), 6) AS emd FROM loo JOIN {_W} USING (pos) GROUP BY 1""")
+def curve_loo_emd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: each nation's curve against the mean curve of the others."""
+    return A.loo_mean(nation_curves(spark, sf_dir)).select("sample_id", r6(C.emd(F.col("cdf"), F.col("predicted"))).alias("emd"))
+
+
+@query(f"""WITH {CURVES}, p AS (SELECT a.sample_id, a.pos, any_value(a.value) AS value, median(b.value) AS p FROM curves a JOIN curves b ON a.pos = b.pos AND a.sample_id <> b.sample_id GROUP BY 1, 2)
+SELECT sample_id, round(sum(abs(value - p) * width), 6) AS emd FROM p JOIN {_W} USING (pos) GROUP BY 1""")
+def emd_loo_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.loo_median(nation_curves(spark, sf_dir), "sample_id").select("sample_id", r6(C.emd(F.col("cdf"), F.col("predicted"))).alias("emd"))
+
+
+@query(f"WITH {CURVES} SELECT sample_id, round(sum(abs(value - 100.0 / 11 * (pos + 1)) * width), 6) AS emd FROM curves JOIN {_W} USING (pos) GROUP BY 1")
+def emd_equal_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nation_curves(spark, sf_dir).select("sample_id", r6(C.emd(F.col("cdf"), C.equal_bins())).alias("emd"))
+
+
+@query(f"""WITH {CURVES}, m AS (SELECT pos, avg(value) AS p FROM curves GROUP BY 1), c AS (SELECT sample_id, pos, abs(value - p) * width AS part FROM curves JOIN m USING (pos) JOIN {_W} USING (pos))
+SELECT sample_id, round(sum(part), 6) AS emd, round(sum(part) FILTER (pos < 4), 6) AS fine4, round(sum(part) FILTER (pos < 5), 6) AS fine5, round(sum(part) FILTER (pos = 2), 6) AS third FROM c GROUP BY 1""")
+def emd_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves = nation_curves(spark, sf_dir)
+    df = curves.crossJoin(F.broadcast(A.mean_curve(curves).withColumnRenamed("cdf", "p")))  # one row
+    a, b = F.col("cdf"), F.col("p")
+    return df.select("sample_id", r6(C.emd(a, b)).alias("emd"), r6(C.partial_emd(a, b, 4)).alias("fine4"), r6(C.partial_emd(a, b, 5)).alias("fine5"), r6(F.get(C.emd_contributions(a, b), 2)).alias("third"))
+
+
+@query(f"WITH {CURVES} SELECT pos::INT AS pos, round(CASE WHEN pos = 10 THEN 100.0 ELSE avg(value) END, 6) AS mean, round(CASE WHEN pos = 10 THEN 100.0 ELSE median(value) END, 6) AS median FROM curves GROUP BY pos")
+def curve_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves = nation_curves(spark, sf_dir)
+    mean = at_points(A.mean_curve(curves), []).withColumnRenamed("value", "mean")
+    return mean.join(at_points(A.median_curve(curves), []).withColumnRenamed("value", "median"), "pos")
+
+
+@query(f"""WITH {CURVES} SELECT a.sample_id AS a, b.sample_id AS b, round(sum(abs(a.value - b.value) * width), 6) AS emd
+FROM curves a JOIN curves b ON a.pos = b.pos AND a.sample_id < b.sample_id JOIN {_W} ON w.pos = a.pos GROUP BY 1, 2""")
+def emd_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of samples, as the label audit wants them: samples are few (nations), never observations."""
+    pairs = K.pairs_within(nation_curves(spark, sf_dir).withColumn("all", F.lit(1)), ["all"], "sample_id")
+    return pairs.select(F.col("member_a").alias("a"), F.col("member_b").alias("b"), r6(C.emd(F.col("cdf_a"), F.col("cdf_b"))).alias("emd"))
+
+
+@query(f"""WITH {VIEWS}, p AS (SELECT a.sample_id, sum(abs(a.value - b.value) * width) AS e FROM views a JOIN views b ON a.sample_id = b.sample_id AND a.pos = b.pos AND a.l_returnflag < b.l_returnflag JOIN {_W} ON w.pos = a.pos GROUP BY a.sample_id, a.l_returnflag, b.l_returnflag)
+SELECT round(avg(e), 6) AS disagreement, count(*) AS pairs FROM p""")
+def view_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.view_disagreement(view_curves(spark, sf_dir), "sample_id", "l_returnflag").select(r6("disagreement").alias("disagreement"), "pairs")
+
+
+@query(f"WITH {CURVES} SELECT sample_id, pos::INT AS pos, round(value - coalesce(lag(value) OVER (PARTITION BY sample_id ORDER BY pos), 0), 6) AS value FROM curves")
+def curve_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_points(nation_curves(spark, sf_dir).select("sample_id", C.masses(F.col("cdf")).alias("cdf")), ["sample_id"])
+
+
+@query(f"""WITH {CURVES}, m AS (SELECT sample_id, pos, sqrt(value - coalesce(lag(value) OVER (PARTITION BY sample_id ORDER BY pos), 0)) AS m FROM curves)
+SELECT sample_id, pos::INT AS pos, round(sum(m) OVER (PARTITION BY sample_id ORDER BY pos), 6) AS value FROM m""")
+def curve_from_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = F.transform(C.masses(F.col("cdf")), lambda m: F.sqrt(m))
+    return at_points(nation_curves(spark, sf_dir).select("sample_id", C.from_masses(roots).alias("cdf")), ["sample_id"])
+
+
+@query(f"""WITH {CURVES}, q AS (SELECT i, (i + 0.5) / 10.0 AS p FROM range(1000) r(i)), hit AS (SELECT sample_id, i, min(pos) AS pos FROM curves JOIN q ON value >= p GROUP BY 1, 2),
+n AS (SELECT sample_id, pos, count(*) AS n FROM hit GROUP BY 1, 2) SELECT sample_id, pos::INT AS pos, n FROM n""")
+def curve_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of 1000 quantiles fall on each diameter."""
+    q = nation_curves(spark, sf_dir).select("sample_id", F.explode(C.log_quantiles(F.col("cdf"))).alias("q"))
+    where = F.array_position(C.numbers(C.LOG_SUPPORT), F.col("q")) - 1
+    return q.groupBy("sample_id", where.cast("int").alias("pos")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CURVES}, q AS (SELECT i, (i + 0.5) / 10.0 AS p FROM range(1000) r(i)), hit AS (SELECT sample_id, i, min(pos) AS pos FROM curves JOIN q ON value >= p GROUP BY 1, 2)
+SELECT c.sample_id, c.pos::INT AS pos, round(CASE WHEN c.pos = 10 THEN 100.0 ELSE (count(h.pos) * 0.1)::DOUBLE END, 6) AS value FROM curves c LEFT JOIN hit h ON c.sample_id = h.sample_id AND h.pos <= c.pos GROUP BY c.sample_id, c.pos""")
+def curve_from_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_points(nation_curves(spark, sf_dir).select("sample_id", C.from_log_quantiles(C.log_quantiles(F.col("cdf"))).alias("cdf")), ["sample_id"])
+
+
+@query(f"""WITH {CURVES}, noisy AS (SELECT sample_id, pos, greatest(0, least(100, value * 1.1 - 5 + CASE WHEN pos % 2 = 0 THEN 8 ELSE -8 END)) AS v FROM curves)
+SELECT sample_id, pos::INT AS pos, round(CASE WHEN pos = 10 THEN 100.0 ELSE max(v) OVER (PARTITION BY sample_id ORDER BY pos) END, 6) AS value FROM noisy""")
+def curve_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.transform("cdf", lambda v, i: v * 1.1 - 5 + F.when(i % 2 == 0, 8).otherwise(-8))
+    return at_points(nation_curves(spark, sf_dir).select("sample_id", C.repair(noisy).alias("cdf")), ["sample_id"])
+
+
+@query(f"""WITH {CURVES}, bad AS (SELECT sample_id, pos, value + CASE WHEN pos % 2 = 0 THEN 0.5 ELSE -0.5 END AS v FROM curves), s AS (SELECT *, v - lag(v) OVER (PARTITION BY sample_id ORDER BY pos) AS d FROM bad),
+x AS (SELECT sample_id, bool_or(v < 0 OR v > 100) AS out_of_range, coalesce(bool_or(d < -1e-9), false) AS decreasing, bool_or(pos = 10 AND abs(v - 100) > 1e-9 + 1e-3) AS open_end FROM s GROUP BY 1)
+SELECT count(*) FILTER (out_of_range) AS out_of_range, count(*) FILTER (decreasing) AS decreasing, count(*) FILTER (open_end) AS open_end, count(*) AS curves FROM x""")
+def curve_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.transform("cdf", lambda v, i: v + F.when(i % 2 == 0, 0.5).otherwise(-0.5))
+    v = nation_curves(spark, sf_dir).select(C.violations(bad).alias("v"))
+    return v.agg(*(F.count_if(F.col(f"v.{c}")).alias(c) for c in ("out_of_range", "decreasing", "open_end")), F.count("*").alias("curves"))
+
+
+_AVGS = ", ".join(f"round(avg({c}), 6) AS f{i}" for i, c in enumerate(FEATURES))
+
+
+@query(f"WITH {LINES} SELECT sample_id, {_AVGS} FROM lines GROUP BY 1")
+def agg_photo_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = A.mean_by(observations(spark, sf_dir), ["sample_id"])
+    return m.select("sample_id", *(r6(f"feature_{i}").alias(f"f{i}") for i in range(4)))
+
+
+@query(f"WITH {LINES} SELECT sample_id, l_returnflag AS view, {_AVGS} FROM lines GROUP BY 1, 2")
+def agg_view_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = A.mean_by(observations(spark, sf_dir), ["sample_id", "view"])
+    return m.select("sample_id", "view", *(r6(f"feature_{i}").alias(f"f{i}") for i in range(4)))
+
+
+@query(f"WITH {LINES}, v AS (SELECT sample_id, l_returnflag, {', '.join(f'avg({c}) AS {c}' for c in FEATURES)} FROM lines GROUP BY 1, 2) SELECT sample_id, {_AVGS} FROM v GROUP BY 1")
+def agg_macro_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = A.macro_mean(observations(spark, sf_dir), ["sample_id"], "view")
+    return m.select("sample_id", *(r6(f"feature_{i}").alias(f"f{i}") for i in range(4)))
+
+
+@query(f"WITH {LINES}, n AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY sample_id) AS w FROM lines) SELECT l_returnflag AS view, round(sum(l_extendedprice * w) / sum(w), 6) AS feature_1 FROM n GROUP BY 1")
+def agg_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = A.sample_weights(observations(spark, sf_dir), ["sample_id"])
+    return A.weighted_mean(weighted, "weight", ["feature_1"], ["view"]).select("view", r6("feature_1").alias("feature_1"))
+
+
+@query(f"WITH {LINES} SELECT sample_id, round(quantile_cont(l_extendedprice, 0.1), 6) AS q10, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lines GROUP BY 1")
+def agg_exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = A.quantiles(observations(spark, sf_dir), "feature_1", [0.1, 0.5, 0.9], ["sample_id"])
+    return q.select("sample_id", *(r6(c).alias(c) for c in ("q10", "q50", "q90")))
+
+
+@query(f"WITH {LINES} SELECT sample_id, round(stddev_pop(l_extendedprice), 4) AS deviation, round(var_pop(l_discount), 6) AS variance, count(*) AS n FROM lines GROUP BY 1")
+def agg_std_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).groupBy("sample_id").agg(F.round(F.stddev_pop("feature_1"), 4).alias("deviation"), r6(F.var_pop("feature_2")).alias("variance"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM orders GROUP BY 1")
+def agg_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.median("o_totalprice"), 4).alias("median"), F.countDistinct("o_custkey").alias("customers"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS d FROM lines) SELECT sample_id, round(sum((l_quantity - m) / d), 4) AS z, round(max((l_quantity - m) / d), 6) AS top FROM lines, s GROUP BY 1""")
+def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = A.standardize(observations(spark, sf_dir).select("sample_id", "feature_0"), ["feature_0"])
+    return z.groupBy("sample_id").agg(F.round(F.sum("feature_0"), 4).alias("z"), r6(F.max("feature_0")).alias("top"))
+
+
+_ERRORS = f"""{CURVES}, mean AS (SELECT sample_id, pos, value, (sum(value) OVER (PARTITION BY pos) - value) / (count(*) OVER (PARTITION BY pos) - 1) AS p FROM curves),
+med AS (SELECT a.sample_id, a.pos, any_value(a.value) AS value, median(b.value) AS p FROM curves a JOIN curves b ON a.pos = b.pos AND a.sample_id <> b.sample_id GROUP BY 1, 2),
+em AS (SELECT sample_id, sum(abs(value - p) * width) AS e FROM mean JOIN {_W} USING (pos) GROUP BY 1), ed AS (SELECT sample_id, sum(abs(value - p) * width) AS e FROM med JOIN {_W} USING (pos) GROUP BY 1)"""
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    curves = nation_curves(spark, sf_dir)
+    score = lambda df: df.select("sample_id", C.emd(F.col("cdf"), F.col("predicted")).alias("emd"))
+    return score(A.loo_mean(curves)), score(A.loo_median(curves, "sample_id"))
+
+
+@query(f"""WITH {_ERRORS} SELECT round(avg(d), 6) AS mean_improvement, count(*) FILTER (d > 1e-9) AS improved, count(*) AS samples, round((sum(d) - max(d)) / (count(*) - 1), 6) AS improvement_without_largest FROM (SELECT em.e - ed.e AS d FROM em JOIN ed USING (sample_id))""")
+def screen_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean, median = _errors(spark, sf_dir)
+    both = K.one_to_one(mean, median, ["sample_id"]).select(F.col("emd_left").alias("reference"), F.col("emd_right").alias("error"))
+    return A.improvement(both).select(r6("mean_improvement").alias("mean_improvement"), "improved", "samples", r6("improvement_without_largest").alias("improvement_without_largest"))
+
+
+@query(f"WITH {_ERRORS} SELECT sample_id, round(em.e, 6) AS emd_left, round(ed.e, 6) AS emd_right, round(em.e - ed.e, 6) AS emd_change FROM em FULL JOIN ed USING (sample_id)")
+def align_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean, median = _errors(spark, sf_dir)
+    return K.differences(mean, median, ["sample_id"], "emd").select("sample_id", *(r6(c).alias(c) for c in ("emd_left", "emd_right", "emd_change")))
+
+
+@query("SELECT s_nationkey, arg_min(s_suppkey, (round(s_acctbal / 1000), -s_suppkey)) AS s_suppkey FROM supplier GROUP BY 1")
+def best_by_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier with the least rounded balance of each nation; the larger key on ties."""
+    df = read(spark, sf_dir, "supplier").withColumn("s", F.round(F.col("s_acctbal") / 1000))
+    return A.best_by(df, ["s_nationkey"], "s", [-F.col("s_suppkey")], ["s_suppkey"]).select("s_nationkey", "s_suppkey")
+
+
+@query("SELECT (SELECT count(*) FROM supplier) AS rows, 0::BIGINT AS null_keys, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys")
+def keys_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.keys_report(read(spark, sf_dir, "supplier"), ["s_nationkey"])
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS missing, (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS extra")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.coverage_report(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
+def align_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers that have both views."""
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    both = orders.where(F.col("o_orderstatus").isin("F", "O")).groupBy("o_custkey").agg(F.countDistinct("o_orderstatus").alias("v")).where("v = 2")
+    return orders.join(both, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def align_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
+
+
+def _flag_curves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    views = view_curves(spark, sf_dir)
+    return [views.where(F.col("l_returnflag") == f).select("sample_id", "cdf") for f in ("A", "N", "R")]
+
+
+@query(f"WITH {VIEWS} SELECT sample_id, pos::INT AS pos, round(avg(value), 6) AS value FROM views WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2 HAVING count(*) = 2")
+def blend_mean2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_points(K.blend_mean(_flag_curves(spark, sf_dir)[:2], ["sample_id"]), ["sample_id"])
+
+
+@query(f"WITH {VIEWS} SELECT sample_id, pos::INT AS pos, round(avg(value), 6) AS value FROM views GROUP BY 1, 2 HAVING count(*) = 3")
+def blend_mean3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_points(K.blend_mean(_flag_curves(spark, sf_dir), ["sample_id"]), ["sample_id"])
+
+
+@query(f"WITH {VIEWS} SELECT sample_id, pos::INT AS pos, round(median(value), 6) AS value FROM views GROUP BY 1, 2 HAVING count(*) = 3")
+def blend_median3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_points(K.blend_median(_flag_curves(spark, sf_dir), ["sample_id"]), ["sample_id"])
+
+
+@query(f"WITH {VIEWS} SELECT sample_id, pos::INT AS pos, round(avg(value), 6) AS value FROM views WHERE NOT (l_returnflag = 'R' AND sample_id < 'NATION_2') GROUP BY 1, 2 HAVING count(*) >= 2")
+def blend_min_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _flag_curves(spark, sf_dir)
+    parts[2] = parts[2].where("sample_id >= 'NATION_2'")
+    return at_points(K.blend_mean(parts, ["sample_id"], least=2), ["sample_id"])
+
+
+@query(f"WITH {VIEWS}, p AS (SELECT sample_id, pos, 0.25 * max(value) FILTER (l_returnflag = 'A') + 0.75 * max(value) FILTER (l_returnflag = 'R') AS value FROM views GROUP BY 1, 2) SELECT sample_id, pos::INT AS pos, round(value, 6) AS value FROM p WHERE value IS NOT NULL")
+def blend_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, _, r = _flag_curves(spark, sf_dir)
+    both = K.one_to_one(a, r, ["sample_id"]).where("cdf_left is not null and cdf_right is not null")
+    return at_points(both.select("sample_id", C.blend([F.col("cdf_left"), F.col("cdf_right")], [0.25, 0.75]).alias("cdf")), ["sample_id"])
+
+
+@query("""WITH v(value, pos) AS (VALUES ('src1', 0), ('src', 1), ('src12', 2), ('fr', 3), ('99', 4)), h AS (SELECT doc_id, value, pos FROM documents JOIN v ON contains(lower(source || '_' || lang || '_' || doc_id), value))
+SELECT d.doc_id, coalesce((SELECT arg_max(value, (length(value), -pos)) FROM h WHERE h.doc_id = d.doc_id), '') AS match FROM documents d""")
+def match_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of source, language and id, against a list of values."""
+    values = spark.createDataFrame([(v,) for v in ("src1", "src", "src12", "fr", "99")], "value string")
+    names = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string")).alias("name"))
+    return match.match_longest(names, "name", "doc_id", values.coalesce(1), "value").select("doc_id", "match")
+
+
+@query("""WITH v(value) AS (VALUES ('src1'), ('12'), ('fr'), ('77')), n AS (SELECT doc_id, replace(source || lang || doc_id, '_', '') AS name FROM documents)
+SELECT doc_id, count(value) AS n_matches, CASE WHEN count(value) = 1 THEN min(value) ELSE '' END AS match FROM n LEFT JOIN v ON contains(name, value) GROUP BY 1""")
+def match_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = spark.createDataFrame([("src1",), ("12",), ("fr",), ("77",)], "value string")
+    names = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string")).alias("name"))
+    return match.match_all(names, "name", "doc_id", values, "value").select("doc_id", "n_matches", "match")
+
+
+@query(r"""SELECT page_id, regexp_replace(replace(replace(replace(replace(lower(url), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS token FROM pages""")
+def normalize_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", text.normalize_token(F.col("url")).alias("token"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1")
+def first_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    return K.first_per(orders, ["o_custkey"], ["o_orderpriority", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)::INT AS rank FROM lineitem) WHERE rank <= 3")
+def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return K.top_per(line, ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 3).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
+@query(f"WITH {_ERRORS} SELECT 'mean' AS experiment, sample_id, round(e, 6) AS emd FROM em UNION ALL SELECT 'median', sample_id, round(e, 6) FROM ed")
+def union_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean, median = _errors(spark, sf_dir)
+    return K.union_experiments({"mean": mean, "median": median}).select("experiment", "sample_id", r6("emd").alias("emd"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region)) = 0 AND (SELECT count(*) FROM (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation)) = 0 AS same")
+def set_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.same_multiset(read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")).distinct(), read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")).distinct())
+
+
+# embeddings as entities: the first dimensions are features, the curve is made of the label
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    cdf = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.when(i == 10, 100.0).otherwise(F.least(F.lit(100.0), F.col("label") * 4.0 + i * 6.0)))
+    return e.select(F.col("vec_id").alias("sample_id"), F.col("vec_id").alias("pos"), *(F.get("embedding", i).cast("double").alias(f"feature_{i}") for i in range(DIMS)), cdf.alias("cdf"))
+
+
+_E = "e AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(DIMS)) + " FROM embeddings)"
+_DIST = " + ".join(f"power((q.f{i} - t.f{i}) / s{i}, 2)" for i in range(DIMS))
+_SCALE = ", ".join(f"CASE WHEN stddev_pop(f{i}) < 1e-12 THEN 1 ELSE stddev_pop(f{i}) END AS s{i}" for i in range(DIMS))
+
+
+@query(f"""WITH {_E}, train AS (SELECT * FROM e WHERE vec_id % 5 <> 0), s AS (SELECT {_SCALE} FROM train),
+r AS (SELECT q.vec_id AS sample_id, t.vec_id AS neighbor, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, t.vec_id)::INT AS rank FROM e q, train t, s WHERE q.vec_id % 5 = 0) SELECT * FROM r WHERE rank <= 3""")
+def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test entities (one in five) against all training entities."""
+    e = encoded(spark, sf_dir)
+    cols = A.feature_columns(e)
+    return N.nearest(e.where("sample_id % 5 = 0"), e.where("sample_id % 5 <> 0"), cols, 3).select("sample_id", "neighbor", "rank")
+
+
+@query(f"""WITH {_E}, train AS (SELECT * FROM e WHERE vec_id % 5 <> 0), s AS (SELECT {_SCALE} FROM train),
+r AS (SELECT q.vec_id AS sample_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, t.vec_id) AS rank FROM e q, train t, s WHERE q.vec_id % 5 = 0)
+SELECT sample_id, pos::INT AS pos, round(avg(CASE WHEN pos = 10 THEN 100 ELSE least(100, 4.0 * label + 6.0 * pos) END), 6) AS value FROM r, range(11) p(pos) WHERE rank <= 3 GROUP BY 1, 2""")
+def knn_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = encoded(spark, sf_dir)
+    return at_points(N.knn_curves(e.where("sample_id % 5 = 0"), e.where("sample_id % 5 <> 0"), A.feature_columns(e)), ["sample_id"])
+
+
+@query(f"""WITH {_E}, tot AS (SELECT count(*) AS n, {', '.join(f'sum(f{i}) AS a{i}, sum(f{i} * f{i}) AS b{i}' for i in range(DIMS))} FROM e),
+q AS (SELECT e.*, {', '.join(f'sqrt((b{i} - f{i} * f{i}) / (n - 1) - power((a{i} - f{i}) / (n - 1), 2)) AS s{i}' for i in range(DIMS))} FROM e, tot),
+r AS (SELECT q.vec_id AS sample_id, q.label AS mine, t.label AS label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, t.vec_id) AS rank FROM q, e t WHERE q.vec_id <> t.vec_id),
+p AS (SELECT sample_id, k, pos, any_value(least(100, 4.0 * mine + 6.0 * pos)) AS v, avg(least(100, 4.0 * label + 6.0 * pos)) AS p FROM r, (VALUES (1), (3), (5), (7)) g(k), range(10) x(pos) WHERE rank <= k GROUP BY 1, 2, 3),
+d AS (SELECT sample_id, k, sum(abs(v - p) * width) AS e FROM p JOIN {_W} USING (pos) GROUP BY 1, 2) SELECT k::INT AS k, round(avg(e), 6) AS emd FROM d GROUP BY 1""")
+def knn_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = encoded(spark, sf_dir)
+    return N.loo_scores(e, A.feature_columns(e)).select(F.col("k").cast("int").alias("k"), r6("emd").alias("emd"))
+
+
+_SUP = "s AS (SELECT l_suppkey, avg(l_quantity) AS x, count(*) FILTER (l_extendedprice <= threshold) * 100.0::DOUBLE / count(*) AS y, pos FROM lineitem, " + _T + " GROUP BY 1, pos)"
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as entities: mean features and price curves."""
+    line = read(spark, sf_dir, "lineitem").select("l_suppkey", *FEATURES)
+    features = line.groupBy("l_suppkey").agg(*(F.avg(c).alias(f"feature_{i}") for i, c in enumerate(FEATURES)))
+    return features.join(A.build_curves(line, "l_extendedprice", ["l_suppkey"], PRICES), "l_suppkey")
+
+
+@query(f"""WITH {_SUP}, m AS (SELECT pos, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n, covar_pop(x, y) AS c FROM s GROUP BY 1),
+raw AS (SELECT l_suppkey, pos, greatest(0, least(100, my + (x - mx) / sx * (n * c / sx) / (n + 10))) AS v FROM s JOIN m USING (pos) WHERE pos < 10)
+SELECT l_suppkey, pos::INT AS pos, round(max(v) OVER (PARTITION BY l_suppkey ORDER BY pos), 4) AS value FROM raw UNION ALL SELECT l_suppkey, 10, 100.0 FROM s WHERE pos = 10""")
+def ridge_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suppliers(spark, sf_dir)
+    out = gram.ridge(df, df.select("l_suppkey", "feature_0"), ["feature_0"])
+    return out.select("l_suppkey", F.posexplode("cdf").alias("pos", "v")).select("l_suppkey", F.col("pos").cast("int").alias("pos"), F.round("v", 4).alias("value"))
+
+
+@query()
+def ridge_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suppliers(spark, sf_dir)
+    return at_points(gram.ridge(df, df.drop("cdf"), A.feature_columns(df)).select("l_suppkey", "cdf"), ["l_suppkey"])
+
+
+@query()
+def ridge_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suppliers(spark, sf_dir)
+    return gram.loo_ridge(df, "l_suppkey", A.feature_columns(df)).select("l_suppkey", r6("emd").alias("emd"))
+
+
+def _fold_query(name: str, predictor=None, selector: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = folds.leave_one_out(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view", predictor, selector)
+        return out.select("sample_id", F.coalesce("view", F.lit("")).alias("view"), "setting", r6("emd").alias("emd"))
+
+    run.__name__ = name
+    _queries[name] = run
+
+
+for _name, _p in {
+    "folds_mean": models.mean, "folds_median": models.median, "folds_knn": models.knn, "folds_ridge": models.ridge,
+    "folds_ridge_pca": lambda x, y, q: models.ridge(x, y, q, components=2), "folds_two_group": lambda x, y, q: models.two_group_ridge(x, y, q, 2),
+    "folds_kernel_ridge": models.kernel_ridge, "folds_svr": models.svr, "folds_pls": lambda x, y, q: models.pls(x, y, q, 2),
+    "folds_transport_ridge": models.transport_ridge, "folds_sqrt_mass_ridge": models.sqrt_mass_ridge, "folds_median_regression": models.median_regression,
+    "folds_weibull_ridge": models.weibull_ridge, "folds_crop_ensemble": models.ensemble_knn(3, (2, 2)),
+}.items():
+    _fold_query(_name, _p)
+for _name in ("ridge", "neighbors", "pls"):
+    _fold_query(f"nested_{_name}", selector=_name)
+
+
+@query()
+def camera_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = folds.view_transfer(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view", ("A", "R"), models.knn)
+    return folds.transfer_pairs(out, "sample_id").select("sample_id", "direction", *(r6(c).alias(c) for c in ("transfer_emd", "control_emd", "transfer_minus_control_emd", "transfer_minus_control_fine_emd")))
+
+
+@query(f"""WITH {LINES}, c AS (SELECT sample_id, l_returnflag, count(*) AS n FROM lines WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2), p AS (SELECT sample_id FROM c GROUP BY 1 HAVING count(*) = 2)
+SELECT a.sample_id, a.l_returnflag AS train_view, b.l_returnflag AS query_view, b.n AS query_rows FROM c a JOIN c b USING (sample_id) WHERE sample_id IN (SELECT sample_id FROM p)""")
+def camera_transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = folds.view_transfer(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view", ("A", "R"), models.mean)
+    return out.select("sample_id", "train_view", "query_view", "query_rows")
+
+
+@query("""WITH p AS (SELECT (l_orderkey % 97)::INT AS y, (l_partkey % 89)::INT AS x, min(l_suppkey % 13)::INT AS label FROM lineitem GROUP BY 1, 2), f AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM p)
+SELECT label AS region_id, count(*) AS area_pixels, round(count(*) / 4.0, 6) AS area_mm2, round(2 * sqrt(count(*) / 4.0 / pi()), 6) AS diameter_mm, bool_or(y = y0 OR y = y1 OR x = x0 OR x = x1) AS touches_border FROM p, f WHERE label > 0 GROUP BY 1""")
+def region_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem")
+    pixels = line.groupBy((F.col("l_orderkey") % 97).cast("int").alias("y"), (F.col("l_partkey") % 89).cast("int").alias("x")).agg(F.min(F.col("l_suppkey") % 13).cast("int").alias("label"))
+    return A.regions(pixels, 2.0).select("region_id", "area_pixels", r6("area_mm2").alias("area_mm2"), r6("diameter_mm").alias("diameter_mm"), "touches_border")
+
+
+@query("SELECT b.bin, count(e.event_id) AS n FROM range(40) b(bin) LEFT JOIN events e ON floor(e.value / 10)::BIGINT = b.bin GROUP BY 1")
+def histogram_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = read(spark, sf_dir, "events").select(F.floor(F.col("value") / 10).alias("bin"))
+    return A.histogram(bins, "bin", 40)
+
+
+@query("""WITH w AS (SELECT conv_id, turn, length(text) AS tokens, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM conversations)
+SELECT conv_id, turn, spent_before, spent_before < 400 AS allowed FROM w""")
+def ledger_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("tokens"))
+    return ledger.budgeted(turns, ["conv_id"], ["turn"], "tokens", 400).select("conv_id", "turn", "spent_before", "allowed")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM conversations)
+SELECT conv_id, min(turn) AS turn, arg_min(s, turn) AS spent_before FROM w WHERE s >= 400 GROUP BY 1""")
+def ledger_first_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("tokens"))
+    return ledger.first_breach(turns, ["conv_id"], ["turn"], "tokens", 400)
+
+
+@query("SELECT event_type, count(*) AS events, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS input_tokens, count(*) FILTER (event_type NOT IN ('click', 'view')) AS foreign_items FROM events GROUP BY 1")
+def events_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_type", F.struct(F.get_json_object("props", "$.k").try_cast("long").alias("input_tokens"), F.lit(0).alias("output_tokens")).alias("usage"), F.struct(F.col("event_type").alias("type")).alias("item"))
+    return ledger.events_usage(e, ["event_type"], ("click", "view")).select("event_type", "events", "input_tokens", "foreign_items")
+
+
+@query(f"WITH {CURVES}, k AS (SELECT sample_id, bool_and(value >= 0 AND value <= 100) AS ok FROM curves GROUP BY 1) SELECT sample_id, ok AS accepted, false AS accepted_text, false AS accepted_extra FROM k")
+def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves as payloads: accepted as they are; refused with a number as text, or with another key."""
+    c = nation_curves(spark, sf_dir)
+    good = F.to_json(F.struct("cdf"))
+    as_text = F.to_json(F.struct(F.col("cdf").cast("array<string>").alias("cdf")))
+    extra = F.to_json(F.struct("cdf", F.lit(1).alias("note")))
+    return c.select("sample_id", *(text.parse_curve(p).isNotNull().alias(n) for p, n in ((good, "accepted"), (as_text, "accepted_text"), (extra, "accepted_extra"))))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CASE WHEN doc_id % 7 = 0 THEN 'changed' WHEN doc_id % 11 = 0 THEN 'missing' ELSE 'ok' END AS state FROM documents")
+def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded hashes against actual ones, with some texts changed and some gone."""
+    from ..sources.files import verify
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    recorded = docs.select("path", F.sha2("text", 256).alias("sha256"))
+    actual = docs.where("doc_id % 11 <> 0 or doc_id % 7 = 0").select("path", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return verify(recorded, actual).select(F.col("path").cast("long").alias("doc_id"), "sha256", "state")
+
+
+@query("SELECT count(*) FILTER (l_quantity IS NULL) AS null_quantity, count(*) FILTER (NOT isfinite(l_extendedprice)) AS infinite_price, count(*) FILTER (l_discount < 0 OR l_discount > 1) AS bad_discount, count(*) AS rows FROM lineitem")
+def quality_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem")
+    return line.agg(F.count_if(F.col("l_quantity").isNull()).alias("null_quantity"), F.count_if(F.isnan("l_extendedprice") | (F.abs("l_extendedprice") == float("inf"))).alias("infinite_price"), F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 1)).alias("bad_discount"), F.count("*").alias("rows"))
+
+
+@query()
+def dedupe_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate curves by nation ranked by error; later ones within 1e-9 of a survivor are marked."""
+    curves = nation_curves(spark, sf_dir)
+    scored = curves.select(F.col("sample_id").alias("experiment"), C.emd(F.col("cdf"), C.equal_bins()).alias("score"), F.lit(0.0).alias("disagreement"), F.col("cdf").alias("values"))
+    copies = scored.select(F.concat("experiment", F.lit("_copy")).alias("experiment"), "score", "disagreement", F.transform("values", lambda v: v + 5e-10).alias("values"))
+    prior = scored.limit(0).select("experiment", "values")
+    return ledger.queue(scored.unionByName(copies), prior)
+
+
+@query("""SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (value <= 50) / count(*), 6) AS half FROM events GROUP BY 1, 2""")
+def windowed_event_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming extension over the events table in batch form."""
+    out = windowed_curves(read(spark, sf_dir, "events"), "ts", "value", "event_type", (10.0, 50.0, 100.0), "1 day")
+    return out.select("window_start", "event_type", "n", r6(F.get("cdf", 1)).alias("half"))
+
+
+def _image_query(name: str, extract, size: int, n: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Order lines dealt to square images by supplier nation: pixel means of scaled prices."""
+        pix = lines(spark, sf_dir).select("sample_id", (F.col("l_orderkey") % size).alias("y"), (F.col("l_partkey") % size).alias("x"), (F.col("l_extendedprice") / 200000).alias("v"))
+        cells = pix.groupBy("sample_id", "y", "x").agg(F.avg("v").alias("v"))
+        image = cells.groupBy("sample_id").agg(F.collect_list(F.struct("y", "x", "v")).alias("pixels"))  # size * size numbers at most
+
+        def decode(cells):
+            out = [[0.0] * size for _ in range(size)]
+            for c in cells:
+                out[int(c["y"])][int(c["x"])] = float(c["v"])
+            import numpy as np
+
+            return np.array(out)
+
+        f = images.feature_table(image, extract, ["sample_id"], decode=decode)
+        return images.wide(f, ["sample_id"], n).select("sample_id", *(r6(f"feature_{i}").alias(f"feature_{i}") for i in range(n)))
+
+    run.__name__ = name
+    _queries[name] = run
+
+
+_image_query("features_gray", lambda a: images.color_texture(a, "gray"), 64, 7)
+_image_query("features_texture", lambda a: images.texture(a), 64, 4)
+_image_query("features_spectrum", lambda a: images.spectrum(a), 64, 6)
+_image_query("features_granulometry", lambda a: images.granulometry(a, (3, 5, 11)), 64, 6)
+_image_query("features_local_patterns", lambda a: images.local_patterns(a, (2.0, 4.0)), 64, 20)
