@@ -1,8 +1,8 @@
 """BPE encoding and decoding from a public tokenizer file (byte-level BPE with an end-of-word suffix).
 
 The encoder walks a word with an Aho-Corasick automaton over all tokens' bytes: at each place it takes the longest
-token that may follow the previous one, and steps back where none may. Two tokens may be neighbours if merging
-their joined bytes by rank gives just these two again; such answers are kept in the pair-compatibility table. A
+token that may follow the previous one, and steps back where none may. Two tokens may be neighbours if no merge across
+their border comes before the merges that make them; such answers are kept in the pair-compatibility table. A
 token sequence whose neighbours are all compatible is the one that the merges give, so the ids are exact; each place is
 left once at most. Decoding reads a table of offsets into the joined token strings.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import small_batches
 
 #: Chunks and words that a worker keeps at most (about 300 bytes each).
-KEPT = 300_000
+KEPT = 200_000
 NONE = 1 << 30
 
 
@@ -38,6 +38,34 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Kept(dict):
+    """What make(key) gives, kept for the latest keys: at the limit the table becomes the older generation, from which keys that are still used move back."""
+
+    def __init__(self, make, limit: int = KEPT) -> None:
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def plain(chunk: str) -> tuple[str, str] | None:
+    """(letters in lower case, one full stop or comma or nothing) of an ASCII chunk of that form: two pre-tokens that no rule joins."""
+    if not chunk.isascii():
+        return None
+    if chunk.isalpha():
+        return chunk.lower(), ""
+    if chunk[-1] in ".," and chunk[:-1].isalpha():
+        return chunk[:-1].lower(), chunk[-1]
+    return None
+
+
 class BytePairs:
     """Vocabulary, merges and automaton of one tokenizer file, made once a worker."""
 
@@ -66,48 +94,66 @@ class BytePairs:
             # the last letter with the suffix counts as one symbol; it is written after the word as an end mark
             self.tree.add_word(t.removesuffix(self.suffix) + "\x00" if t.endswith(self.suffix) and t != self.suffix else t, i)
         self.tree.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.parts: dict[int, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def symbols(self, token: int) -> list[int]:
-        """Ids of a token's single symbols."""
-        t = self.text[token]
-        end = t.endswith(self.suffix) and t != self.suffix
-        t = t.removesuffix(self.suffix) if end else t
-        return [self.vocab[c] for c in (t[:-1] if end else t)] + ([self.vocab[t[-1] + self.suffix]] if end else [])
-
-    def merged(self, ids: list[int]) -> list[int]:
-        """ids with the merges applied by rank, leftmost first: only for the two tokens of a pair."""
-        while len(ids) > 1:
-            best = min(((self.rank.get(p, (NONE, 0))[0], k) for k, p in enumerate(zip(ids, ids[1:], strict=False))), default=(NONE, 0))
-            if best[0] == NONE:
-                break
-            k = best[1]
-            a, b, new = ids[k], ids[k + 1], self.rank[ids[k], ids[k + 1]][1]
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        # how each token is made: (rank, left, right); its length in the automaton's letters
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for (a, b), (i, c) in self.rank.items():
+            if c not in self.made:
+                self.made[c] = (i, a, b)
+        self.length = [len(t) - len(self.suffix) + 1 if t.endswith(self.suffix) and t != self.suffix else len(t) for t in text]
+        self.pairs: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.words = Kept(self.split)
+
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The parts at a token's left (0) or right (1) end from single symbol to whole token, each with the rank of the merge that takes it up (NONE: none)."""
+        if (known := self.edges[side].get(token)) is None:
+            known, above = [], NONE
+            part = token
+            while True:
+                known.append((part, above))
+                if (made := self.made.get(part)) is None:
+                    break
+                above, part = made[0], made[1 + side]
+            known.reverse()
+            self.edges[side][token] = known
+        return known
 
     def compatible(self, a: int, b: int) -> bool:
-        if (known := self.pairs.get((a, b))) is None:
+        """Whether merging leaves a and b side by side: no merge across their border comes before those that take up its two sides.
+
+        Of equal ranks (one rule, overlapping) the left one is first."""
+        key = a * self.size + b
+        if (known := self.pairs.get(key)) is None:
             if len(self.pairs) > KEPT:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
+            left, right, i, j, known = self.edge(a, 1), self.edge(b, 0), 0, 0, True
+            while True:
+                (x, up_x), (y, up_y) = left[i], right[j]
+                rank = self.rank.get((x, y), (NONE, 0))[0]
+                if rank < up_x and rank <= up_y and rank != NONE:
+                    known = False
+                    break
+                if up_x == up_y == NONE:
+                    break
+                if up_x <= up_y:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[key] = known
         return known
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def split(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token, already in the letters of bytes."""
-        if (known := self.words.get(word)) is not None:
-            return known
         marked = word + "\x00"
+        # most words need no step back: the longest tokens one after the other are all compatible
+        fast, at, before = [], 0, -1
+        for end, token in self.tree.iter_long(marked):
+            if end + 1 - self.length[token] != at or before >= 0 and not self.compatible(before, token):
+                break
+            fast.append(token)
+            at, before = end + 1, token
+        if at == len(marked):
+            return tuple(fast)
         n = len(word)
         # ends[i]: tokens that begin at i, by length; the automaton gives all matches by their ends
         begins: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -139,14 +185,12 @@ class BytePairs:
                 continue
             path.append((at, which, token))
             at, which = end, 0
-        out = tuple(p[2] for p in path)
-        if len(self.words) > KEPT:
-            self.words.clear()
-        self.words[word] = out
-        return out
+        return tuple(p[2] for p in path)
 
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a text without spaces or line feeds, or of any text."""
+        if simple := plain(chunk):
+            return [*self.words[simple[0]], *(self.words[simple[1]] if simple[1] else ())]
         out: list[int] = []
         for k, part in enumerate(self.cut.split(chunk) if self.cut else [chunk]):
             if k % 2:
@@ -156,7 +200,7 @@ class BytePairs:
             part = regex.sub(r"\s+", " ", part)
             part = "".join(c.lower() for c in part) if not part.isascii() else part.lower()
             for w in self.pattern.findall(part):
-                out += self.word("".join([self.letters[b] for b in w.encode()]))
+                out += self.words["".join([self.letters[b] for b in w.encode()])]
         return out
 
     def decode(self, ids) -> str:
@@ -189,21 +233,19 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = loaded(spec.value)
-        known: dict[str, tuple[str, str, int]] = {}
-        count, sha = {}, hashlib.sha256
+        sha = hashlib.sha256
+
+        def strings(chunk: str) -> tuple[str, str, int]:
+            ids = pairs.chunk(chunk)
+            return " ".join(map(str, ids)), pairs.decode(ids), len(ids)
+
+        known = Kept(strings)
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                parts = chunks(text or "")
-                new = set(parts).difference(known)
-                if len(known) + len(new) > KEPT:
-                    known.clear()
-                    new = set(parts)
-                for c in new:
-                    ids = pairs.chunk(c)
-                    known[c] = (" ".join(map(str, ids)), pairs.decode(ids), len(ids))
-                found = [x for x in map(known.__getitem__, parts) if x[2]]
-                rows.append((sum([x[2] for x in found]), sha(" ".join([x[0] for x in found]).encode()).hexdigest(), sha(" ".join([x[1] for x in found]).encode()).hexdigest()))
+                found = [x for x in map(known.__getitem__, chunks(text or "")) if x[2]]
+                ids, decoded, n = zip(*found, strict=True) if found else ((), (), ())
+                rows.append((sum(n), sha(" ".join(ids).encode()).hexdigest(), sha(" ".join(decoded).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=frame["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
