@@ -23,13 +23,13 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import KEPT, chunks
+from .bpe import Kept, chunks, plain
 from .shared import sized, small_batches, table, work_dir
 
 MAGIC = b"WAVM1\n"
 BLOCK = 512
 #: Ids after which a shard ends with the document at hand.
-SHARD = 2_000_000
+SHARD = 1_000_000
 
 
 class Plane:
@@ -168,18 +168,18 @@ class _Library:
         self.model.no_padding()
         self.bits = max(1, (max(self.model.get_vocab_size(), 2) - 1).bit_length())
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = Kept(self.encoded)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(t) for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = set().union(*parts)
-        new = list(new)
-        for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+    def encoded(self, chunk: str) -> bytes:
+        """Ids of a chunk; plain words are pre-tokens already and go straight to the library's model."""
+        if simple := plain(chunk):
+            ids = [t.id for word in simple if word for t in self.model.model.tokenize(word)]
+        else:
+            ids = self.model.encode(chunk, add_special_tokens=False).ids
+        return np.array(ids, self.kind).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, chunks(text)))
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, shard: int = SHARD) -> DataFrame:
@@ -200,16 +200,15 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, shard
             return pd.DataFrame([(part, number, name, len(doc_ids), sum(lengths))], columns=["part", "number", "file", "n_docs", "n_tokens"])
 
         for frame in frames:
-            for begin in range(0, len(frame), 64):
-                some = frame.iloc[begin : begin + 64]
-                for doc_id, ids in zip(some["doc_id"], library.ids(["" if t is None else t for t in some["text"]]), strict=True):
-                    doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    held += [ids, end]
-                    lengths.append(len(ids) // library.kind.itemsize + 1)
-                    size += lengths[-1]
-                    if size >= shard:
-                        yield out()
-                        doc_ids, lengths, held, size, number = [], [], [], 0, number + 1
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                ids = library.ids(text or "")
+                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                held += [ids, end]
+                lengths.append(len(ids) // library.kind.itemsize + 1)
+                size += lengths[-1]
+                if size >= shard:
+                    yield out()
+                    doc_ids, lengths, held, size, number = [], [], [], 0, number + 1
         if doc_ids:
             yield out()
 
