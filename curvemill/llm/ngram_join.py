@@ -22,14 +22,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, sized, table
+from .shared import components, sized, small_batches, table
 from .shingles import batches, mix, shingle_sets
 
 #: Texts that hold a token of the rare class at most.
-FREQUENT = 200
+FREQUENT = 100
 #: Entries of the frequent class that are sent to all tasks (16 bytes each). With more, the limit above doubles until it fits: any split in classes gives the same links.
 CLASS_ROWS = 500_000
-_HIGH, _LOW = np.uint64(48), np.uint64(0xFFFFFFFFFFFF)
+#: Ranges of hashes whose token counts are kept for each class; what two classes have in common is at most the sum of their lesser counts.
+RANGES = 256
+_LOW = np.uint64(0xFFFFFFFFFFFF)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -55,7 +57,7 @@ def _counted(docs: DataFrame, pieces: int) -> DataFrame:
             for s in shingle_sets(texts):
                 held.append(s & _LOW)
                 size += len(s)
-            if size >= 4_000_000:
+            if size >= 1_500_000:
                 yield out()
                 held, size = [], 0
         if size:
@@ -72,7 +74,7 @@ def _counted(docs: DataFrame, pieces: int) -> DataFrame:
 
 
 def _indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, class, entries) for each row. class is null for an empty set."""
+    """(doc_id, n, class, entries, counts) for each row. class is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,9 +102,9 @@ def _indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
             sets = list(shingle_sets(texts))
             with np.errstate(over="ignore"):
                 names = [None if not len(s) else int(mix(np.array([s.sum() * _A + np.bitwise_xor.reduce(s) * _B + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) for s in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "class": pd.array(names, "Int64"), "entries": [entries(s) for s in sets]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "class": pd.array(names, "Int64"), "entries": [entries(s) for s in sets], "counts": [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes() for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(index, "doc_id long, n long, class long, entries array<long>")
+    return docs.select("doc_id", "text").mapInPandas(index, "doc_id long, n long, class long, entries array<long>, counts binary")
 
 
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -133,6 +135,7 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); other columns are not looked at."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     often, limit = table(_counted(docs, pieces)), FREQUENT
@@ -141,17 +144,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = often.where(F.col("n") > limit).orderBy("token").toPandas()
     rows = table(_indexed(docs, (rows["token"].to_numpy(np.uint64), rows["n"].to_numpy())))
 
-    first = table(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies")))
+    first = table(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("counts").alias("counts")))
     entries = rows.select("class", F.explode("entries").alias("entry"))
     met = table(entries.groupBy("entry").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("entry", "low"))
     entries = table(entries.join(sized(met), "entry").select("entry", "class", "low").distinct())
-    size = first.select("class", "n")
+    size, counts = first.select("class", "n"), first.select("class", "counts")
+
+    def possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x, y = (np.frombuffer(b"".join(f[c]), "<u4").reshape(len(f), RANGES) for c in "xy")
+            both = np.minimum(x, y).sum(1, dtype=np.int64)
+            yield f.loc[100 * both >= 80 * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64) - both), ["a", "b"]]
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Without the pairs whose sizes alone rule a link out."""
+        """Without the pairs (a, b) whose sizes, or counts of tokens by range, rule a link out."""
         n = sized(size)
         pairs = pairs.join(n.withColumnsRenamed({"class": "a", "n": "n_a"}), "a").join(n.withColumnsRenamed({"class": "b", "n": "n_b"}), "b")
-        return table(pairs.where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)").select("a", "b").distinct())
+        pairs = table(pairs.where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)").select("a", "b").distinct())
+        pairs = pairs.join(counts.withColumnsRenamed({"class": "a", "counts": "x"}), "a").join(counts.withColumnsRenamed({"class": "b", "counts": "y"}), "b")
+        return table(pairs.mapInPandas(possible, "a long, b long"))
 
     star = _verified(docs, first, alike(entries.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()))
     root = table(components(star))
@@ -163,7 +174,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     x, y = (at.select("entry", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "root", "n"))) for k in "ab")
     more = x.join(y, "entry").where("class_a < class_b and root_a <> root_b and 100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
     more = more.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-    more = table(more.join(star, ["a", "b"], "left_anti"))
+    more = alike(more.join(star, ["a", "b"], "left_anti"))
     link = star.union(_verified(docs, first, more)) if not more.isEmpty() else star
 
     root = components(link).withColumnsRenamed({"node": "class"})

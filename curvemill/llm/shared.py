@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows up to which a key table is broadcast (16 bytes a row, so tens of MB at most); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a key table is broadcast (16 bytes a row, so a few MB); beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
 
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 

@@ -81,7 +81,7 @@ def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def batches(frames: Iterator, column: str = "text", size: int = 2_000_000) -> Iterator[tuple]:
+def batches(frames: Iterator, column: str = "text", size: int = 1_000_000) -> Iterator[tuple]:
     """Pieces of pandas frames with at most about size characters of column each (or one row), and its values as UTF-8."""
     for frame in frames:
         texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in frame[column]]
