@@ -224,13 +224,18 @@ def _interior(a: np.ndarray, b: np.ndarray, c: np.ndarray, steps: int = 200) ->
     """min c.z, a z = b, z >= 0 by a primal-dual interior point method."""
     m, n = a.shape
     z, s, v = np.ones(n), np.ones(n), np.zeros(m)
+    best, least = z, np.inf
     for _ in range(steps):
         rp, rd, mu = b - a @ z, c - a.T @ v - s, z @ s / n
-        if max(np.abs(rp).max(), np.abs(rd).max(), mu) < 1e-10:
-            return z
+        off = max(np.abs(rp).max(), np.abs(rd).max(), mu)
+        if off < least:
+            best, least = z, off
+        if least < 1e-9 or off > 1e3 * least:  # rounding takes over near a vertex
+            break
         d = z / s
         normal = (a * d) @ a.T
-        solve = np.linalg.pinv(normal + 1e-12 * normal.trace() / m * np.eye(m), hermitian=True)
+        scale = 1 / np.sqrt(np.diag(normal))
+        solve = scale[:, None] * np.linalg.inv(normal * np.outer(scale, scale) + 1e-13 * np.eye(m)) * scale
 
         def step(rc):
             dv = solve @ (rp + (a * d) @ rd - a @ (rc / s))
@@ -243,24 +248,25 @@ def _interior(a: np.ndarray, b: np.ndarray, c: np.ndarray, steps: int = 200) ->
         dv, ds, dz = step(-z * s + aim * mu - dz * ds)
         tz, ts = 0.995 * most(z, dz), 0.995 * most(s, ds)
         z, v, s = z + tz * dz, v + ts * dv, s + ts * ds
-    return z
+    if least > 1e-5:
+        raise RuntimeError("no convergence")
+    return best
 
 
 def median_regression(x, y, q, alpha: float = 0.01) -> np.ndarray:
     """Conditional median of each point as a share, with an absolute-value penalty on the weights, as a linear program."""
     f = Fold(x, y, q)
     n, p = f.x.shape
-    one = np.ones((n, 1))
-    a = np.hstack([one, -one, f.x, -f.x, np.eye(n), -np.eye(n)])
-    cost = np.concatenate([[0, 0], np.full(2 * p, alpha), np.full(2 * n, 0.5 / n)])
-    cost[:2] = 1e-9
+    shift = 10.0  # the offset, between -10 and beyond 1, as a non-negative unknown
+    a = np.hstack([np.ones((n, 1)), f.x, -f.x, np.eye(n), -np.eye(n)])
+    cost = np.concatenate([[0.0], np.full(2 * p, max(alpha, 1e-7)), np.full(2 * n, 0.5 / n)])
     out = []
     for t in f.target.T / 100:
         if (t == t[0]).all():
             out.append(np.full(len(f.q), t[0]))
             continue
-        z = _interior(a, t, cost)
-        out.append(z[0] - z[1] + f.q @ (z[2 : 2 + p] - z[2 + p : 2 + 2 * p]))
+        z = _interior(a, t + shift, cost)
+        out.append(z[0] - shift + f.q @ (z[1 : 1 + p] - z[1 + p : 1 + 2 * p]))
     return closed(np.stack(out, 1) * 100)
 
 
