@@ -31,13 +31,6 @@ KEPT = 200_000
 NONE = 1 << 30
 
 
-def _byte_letters() -> list[str]:
-    """The letter that byte-level BPE writes for each byte: itself where visible, else from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 class Kept(dict):
     """What make(key) gives, kept for the latest keys: at the limit the table becomes the older generation, from which keys that are still used move back."""
 
@@ -55,15 +48,35 @@ class Kept(dict):
         return value
 
 
+#: ASCII marks that may follow a word in a chunk without joining it: all but the apostrophe and the sign that begins special tokens.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: itself where visible, else from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+LETTERS = _byte_letters()
+_LATIN = {i: "".join(LETTERS[b] for b in chr(i).encode()) for i in range(128, 0x300)}
+
+
 def plain(chunk: str) -> tuple[str, str] | None:
-    """(letters in lower case, one full stop or comma or nothing) of an ASCII chunk of that form: two pre-tokens that no rule joins."""
-    if not chunk.isascii():
+    """(letters in lower case and in the letters of bytes, marks) of a chunk of that form, else None.
+
+    Below U+0300 there are no combining marks, so normalization keeps the text, and letters and marks are one pre-token each."""
+    head = chunk.rstrip(MARKS)
+    if not head:
+        return "", chunk
+    if not head.isalpha():
+        return None
+    if head.isascii():
+        return head.lower(), chunk[len(head) :]
+    if max(head) >= "\u0300" or "\u0130" in head:
         return None
-    if chunk.isalpha():
-        return chunk.lower(), ""
-    if chunk[-1] in ".," and chunk[:-1].isalpha():
-        return chunk[:-1].lower(), chunk[-1]
-    return None
+    return head.lower().translate(_LATIN), chunk[len(head) :]
 
 
 class BytePairs:
@@ -76,7 +89,6 @@ class BytePairs:
             raise ValueError("a word-level BPE file with NFC, white space and lower case normalizers is needed")
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.letters = _byte_letters()
         self.pattern = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -103,6 +115,7 @@ class BytePairs:
         self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.words = Kept(self.split)
+        self.chunks: Kept | None = None
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts at a token's left (0) or right (1) end from single symbol to whole token, each with the rank of the merge that takes it up (NONE: none)."""
@@ -190,7 +203,7 @@ class BytePairs:
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a text without spaces or line feeds, or of any text."""
         if simple := plain(chunk):
-            return [*self.words[simple[0]], *(self.words[simple[1]] if simple[1] else ())]
+            return [i for word in simple if word for i in self.words[word]]
         out: list[int] = []
         for k, part in enumerate(self.cut.split(chunk) if self.cut else [chunk]):
             if k % 2:
@@ -200,7 +213,7 @@ class BytePairs:
             part = regex.sub(r"\s+", " ", part)
             part = "".join(c.lower() for c in part) if not part.isascii() else part.lower()
             for w in self.pattern.findall(part):
-                out += self.words["".join([self.letters[b] for b in w.encode()])]
+                out += self.words["".join([LETTERS[b] for b in w.encode()])]
         return out
 
     def decode(self, ids) -> str:
@@ -239,7 +252,9 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             ids = pairs.chunk(chunk)
             return " ".join(map(str, ids)), pairs.decode(ids), len(ids)
 
-        known = Kept(strings)
+        if pairs.chunks is None:
+            pairs.chunks = Kept(strings)
+        known = pairs.chunks
         for frame in frames:
             rows = []
             for text in frame["text"]:

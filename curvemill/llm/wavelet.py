@@ -16,6 +16,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import Kept, chunks, plain
+from .bpe import KEPT, Kept, chunks, plain
 from .shared import sized, small_batches, table, work_dir
 
 MAGIC = b"WAVM1\n"
@@ -72,9 +73,9 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             one = (x >> x.dtype.type(b)) & x.dtype.type(1) != 0
             planes.append(Plane(np.packbits(one), len(x)))
-            low = x[~one]
-            zeros.append(len(low))
-            x = np.concatenate([low, x[one]])
+            down = np.flatnonzero(~one)
+            zeros.append(len(down))
+            x = x.take(np.concatenate([down, np.flatnonzero(one)]))
         return cls(planes, zeros, len(ids))
 
     def all(self) -> np.ndarray:
@@ -82,9 +83,9 @@ class WaveletMatrix:
         x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             one = plane.bits().view(bool)
+            x[zeros:] |= x.dtype.type(1 << k)
             up = np.empty_like(x)
-            up[~one] = x[:zeros]
-            up[one] = x[zeros:] | x.dtype.type(1 << k)
+            up[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])] = x
             x = up
         return x
 
@@ -168,7 +169,7 @@ class _Library:
         self.model.no_padding()
         self.bits = max(1, (max(self.model.get_vocab_size(), 2) - 1).bit_length())
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
-        self.known = Kept(self.encoded)
+        self.known = Kept(self.encoded, 2 * KEPT)
 
     def encoded(self, chunk: str) -> bytes:
         """Ids of a chunk; plain words are pre-tokens already and go straight to the library's model."""
@@ -176,12 +177,23 @@ class _Library:
             ids = [t.id for word in simple if word for t in self.model.model.tokenize(word)]
         else:
             ids = self.model.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, chunks(text)))
 
 
+_libraries: dict[int, _Library] = {}
+
+
+def library_of(spec: str) -> _Library:
+    """The library's model and known chunks, kept for later tasks of this process."""
+    if (key := hash(spec)) not in _libraries:
+        _libraries.clear()
+        _libraries[key] = _Library(spec)
+    return _libraries[key]
+
+
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, shard: int = SHARD) -> DataFrame:
     """Writes docs (doc_id, text) as shards below folder; the manifest (part, number, file, n_docs, n_tokens), itself written, orders them by (part, number)."""
     with open(path, encoding="utf-8") as f:
@@ -190,7 +202,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, shard
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        library, part, number = _Library(spec.value), TaskContext.get().partitionId(), 0
+        library, part, number = library_of(spec.value), TaskContext.get().partitionId(), 0
         end = np.array([end_id], library.kind).tobytes()
         doc_ids, lengths, held, size = [], [], [], 0
 
