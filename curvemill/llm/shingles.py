@@ -68,7 +68,7 @@ def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
     n = len(words)
     full = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(WORDS):
+        for k in range(min(WORDS, n)):
             full[: n - k] += words[k:] * _PLACE[k]
     full = mix(full)
     for a, b in zip(at[:-1], at[1:], strict=True):
