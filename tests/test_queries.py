@@ -41,3 +41,13 @@ def test_lookups_prune_columns(spark):
     plan = Q.queries()["curve_build"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     line = next(x for x in plan.split("\n") if "FileScan" in x and "l_extendedprice" in x)
     assert "l_shipdate" not in line and "l_comment" not in line
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from curvemill.__main__ import main
+
+    assert main(["list"]) == 0 and "curve_loo_emd *" in capsys.readouterr().out
+    assert main(["run", "curve_build", "--data", DATA, "--out", str(tmp_path)]) == 0
+    assert spark.read.parquet(f"{tmp_path}/curve_build").count() == Q.queries()["curve_build"](spark, DATA).count()
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", "--data", DATA])
