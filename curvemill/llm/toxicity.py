@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import small_batches, table
+from .shingles import batches, shingle_sets
 
 #: Labelled documents of each label that are learned from at most.
 SAMPLE = 6_000
@@ -37,6 +38,8 @@ BEGINNINGS = range(3, 9)
 #: Least log-odds of an entry.
 ODDS, SIGMAS = 1.0, 2.0
 THRESHOLD = 0.7
+#: Strength of the prior of bias and slope, in rows.
+PRIOR = 2.0
 
 # Fixed word lists of the grammar.
 TARGET = frozenset("you your yours he him his she her they them their this these those people everyone tu vous toi il elle ils elles du dich dir sie ihr er tú usted ustedes él ella ellos".split())
@@ -129,6 +132,12 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
+def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """With the least shingle hash, which copies of a text share: a group of copies counts about once, so its own words are no marks of a label."""
+    for frame, texts in batches(frames):
+        yield frame.assign(key=[int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingle_sets(texts)])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     """A grammar from the labelled rows that are not held out."""
     small_batches(docs.sparkSession)
@@ -136,7 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     order = F.xxhash64("doc_id")
     some = known.where("toxic = 1").orderBy(order).limit(SAMPLE).union(known.where("toxic = 0").orderBy(order).limit(SAMPLE))
     # at most 2 * SAMPLE rows of two numbers
-    rows = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").where("text is not null").dropDuplicates(["doc_id"]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
+    rows = table(rows.select("toxic", "text").mapInPandas(_keyed, "toxic int, text string, key long").dropDuplicates(["toxic", "key"]))
     total = dict(rows.groupBy("toxic").count().collect())
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic:
@@ -168,15 +178,15 @@ def lexicon(n: dict[tuple[str, bool], tuple[int, int]], toxic: int, clean: int)
     """Entries with weights from (toxic, clean) document counts of atoms.
 
     A weight is the log-odds at the cautious ends of both counts (SIGMAS standard deviations), so rare chance words weigh little. Of
-    nested beginnings with about the same toxic documents the longest stands; a longer entry that weighs no
-    more than a chosen beginning of it adds nothing."""
+    nested beginnings with about the same toxic documents the longest stands, and one that owes much of them to a
+    far surer longer entry goes; a longer entry that weighs no more than a chosen beginning of it adds nothing."""
     odds = {}
     for a, (t, c) in n.items():
         low, high = t - SIGMAS * math.sqrt(t), c + SIGMAS * math.sqrt(c + 0.25) + 0.5
         if low > 0 and (w := math.log(low / (toxic + 1)) - math.log(high / (clean + 1))) >= ODDS:
             odds[a] = min(4.0, w)
     parents = lambda a: ((a[0][:k], False) for k in BEGINNINGS if k < len(a[0]) + a[1])
-    general = {p for a in odds for p in parents(a) if p in odds and n[a][0] >= 0.9 * n[p][0]}
+    general = {p for a in odds for p in parents(a) if p in odds and (n[a][0] >= 0.9 * n[p][0] or n[a][0] >= 0.4 * n[p][0] and odds[a] >= odds[p] + 1)}
     out: dict[tuple[str, bool], float] = {}
     for a in sorted(odds.keys() - general, key=lambda a: (len(a[0]) + a[1], a)):
         if not any(out.get(p, 0) >= odds[a] - 0.3 for p in parents(a)):
@@ -199,16 +209,22 @@ def _calibrated(grammar: Grammar, rows: DataFrame) -> Grammar:
     """bias and slope by logistic regression with a little shrinkage over the learning rows (at most 2 * SAMPLE numbers)."""
     found = _evidences(rows.select("toxic", "text"), grammar, "toxic int").toPandas()
     x, y = np.minimum(found["evidence"].to_numpy(), 8.0), found["toxic"].to_numpy(float)
-    b, m = -4.0, 2.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(b + m * x)))
+    start = at = np.array([-4.0, 2.0])
+
+    def cost(v: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (v[0] + v[1] * x)).sum() + PRIOR / 2 * ((v - start) ** 2).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] + at[1] * x, -30, 30)))
         w = p * (1 - p)
-        grad = np.array([(y - p).sum() - 0.5 * (b + 4), ((y - p) * x).sum() - 0.5 * (m - 2)])
-        hess = np.array([[w.sum() + 0.5, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.5]])
-        step = np.linalg.solve(hess, grad)
-        b, m = b + step[0], m + step[1]
+        grad = np.array([(p - y).sum(), ((p - y) * x).sum()]) + PRIOR * (at - start)
+        step = np.linalg.solve(np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum()]]) + PRIOR * np.eye(2), grad)
+        while cost(at - step) > cost(at) and np.abs(step).max() > 1e-9:  # separable rows make whole steps overshoot
+            step = step / 2
+        at = at - step
         if np.abs(step).max() < 1e-8:
             break
+    b, m = at
     return Grammar(grammar.words, grammar.beginnings, float(b), float(max(m, 0.1)))
 
 
