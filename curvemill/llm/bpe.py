@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import small_batches
 
 #: Chunks and words that a worker keeps at most (about 300 bytes each).
-KEPT = 200_000
+KEPT = 150_000
 NONE = 1 << 30
 
 
@@ -38,6 +38,10 @@ class Kept(dict):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
+    def empty(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, key):
         if (value := self.older.get(key)) is None:
             value = self.make(key)
@@ -67,6 +71,8 @@ def plain(chunk: str) -> tuple[str, str] | None:
     """(letters in lower case and in the letters of bytes, marks) of a chunk of that form, else None.
 
     Below U+0300 there are no combining marks, so normalization keeps the text, and letters and marks are one pre-token each."""
+    if chunk.isascii() and chunk.isalpha():
+        return chunk.lower(), ""
     head = chunk.rstrip(MARKS)
     if not head:
         return "", chunk
@@ -222,8 +228,10 @@ class BytePairs:
 
 
 def chunks(text: str) -> list[str]:
-    """The pieces between spaces and line feeds; joining their ids gives the ids of the text."""
-    return [c for c in text.replace("\n", " ").split(" ") if c]
+    """The pieces between white space; joining their ids gives the ids of the text. Python also splits at four controls that are no white space to the library."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [c for c in text.replace("\n", " ").split(" ") if c]
+    return text.split()
 
 
 _loaded: dict[int, BytePairs] = {}
@@ -254,7 +262,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
         if pairs.chunks is None:
             pairs.chunks = Kept(strings)
-        known = pairs.chunks
+        known = pairs.chunks  # kept for the next batch, given back at the task's end: idle workers stay small
         for frame in frames:
             rows = []
             for text in frame["text"]:
@@ -262,5 +270,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids, decoded, n = zip(*found, strict=True) if found else ((), (), ())
                 rows.append((sum(n), sha(" ".join(ids).encode()).hexdigest(), sha(" ".join(decoded).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=frame["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+        for kept in (known, pairs.words):
+            kept.empty()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
