@@ -24,7 +24,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import KEPT, Kept, chunks, plain
+from .bpe import Kept, chunks, plain
 from .shared import sized, small_batches, table, work_dir
 
 MAGIC = b"WAVM1\n"
@@ -169,12 +169,15 @@ class _Library:
         self.model.no_padding()
         self.bits = max(1, (max(self.model.get_vocab_size(), 2) - 1).bit_length())
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
-        self.known = Kept(self.encoded, 2 * KEPT)
+        self.tokenize = self.model.model.tokenize
+        self.known = Kept(self.encoded)
 
     def encoded(self, chunk: str) -> bytes:
         """Ids of a chunk; plain words are pre-tokens already and go straight to the library's model."""
-        if simple := plain(chunk):
-            ids = [t.id for word in simple if word for t in self.model.model.tokenize(word)]
+        if chunk.isascii() and chunk.isalpha():
+            ids = [t.id for t in self.tokenize(chunk.lower())]
+        elif simple := plain(chunk):
+            ids = [t.id for word in simple if word for t in self.tokenize(word)]
         else:
             ids = self.model.encode(chunk, add_special_tokens=False).ids
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
@@ -187,7 +190,7 @@ _libraries: dict[int, _Library] = {}
 
 
 def library_of(spec: str) -> _Library:
-    """The library's model and known chunks, kept for later tasks of this process."""
+    """The library's model, kept for later tasks of this process."""
     if (key := hash(spec)) not in _libraries:
         _libraries.clear()
         _libraries[key] = _Library(spec)
@@ -223,6 +226,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, shard
                     doc_ids, lengths, held, size, number = [], [], [], 0, number + 1
         if doc_ids:
             yield out()
+        library.known.empty()  # idle workers stay small
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return table(rows.mapInPandas(write, "part int, number int, file string, n_docs long, n_tokens long"))
