@@ -7,8 +7,9 @@ tokens indexes those singly, extends its prefix by one token, and indexes each p
 two texts that link share a token in the prefixes and two in the extended ones, so either a rare token or a
 pair of frequent ones meets. Texts with equal sets are one class from the start. Within an index entry each class
 is first verified against the entry's smallest class, which links large groups of copies without all their pairs;
-then only pairs whose classes are still in different components are verified. All links between components are
-found, so the components are exact (64-bit hashes stand for words).
+then, in entries whose classes are still apart, against one told by chance, and last all pairs in different components.
+Bounds that every link fulfils (sizes, odd sketches inside the join, counts by hash range) come before a pair's sets are
+read. All links between components are found, so the components are exact (64-bit hashes stand for words).
 
 Null, empty and blank texts have an empty set and link with nothing; equal texts link; a null doc_id never names a
 component; repeated rows are returned as often as they come.
@@ -29,8 +30,13 @@ from .shingles import batches, mix, shingle_sets
 FREQUENT = 100
 #: Entries of the frequent class that are sent to all tasks (16 bytes each). With more, the limit above doubles until it fits: any split in classes gives the same links.
 CLASS_ROWS = 500_000
-#: Ranges of hashes whose token counts are kept for each class; what two classes have in common is at most the sum of their lesser counts.
-RANGES = 256
+#: Further rounds of verification against one class of each entry before pairs are taken.
+TURNS = 1
+#: Longs of an odd sketch: each token flips one bit, so bits that differ between two sets are at most the tokens that do.
+SKETCH, SHORT_SKETCH = 8, 4
+#: Entries that more than one class holds which are sent to all tasks (16 bytes each); more are joined by shuffle.
+MET_ROWS = 4_000_000
+ODD = [f"o{i}" for i in range(SKETCH)]
 _LOW = np.uint64(0xFFFFFFFFFFFF)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -40,6 +46,33 @@ def need(n: int) -> int:
     return -(-4 * n // 5)
 
 
+def odd(s: np.ndarray) -> np.ndarray:
+    """The odd sketch of a set."""
+    flips = np.bincount(((s >> np.uint64(20)) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
+def range_counts(s: np.ndarray) -> bytes:
+    """Counts of a set's tokens by equal ranges of hashes, about eight tokens a range."""
+    bits = max(5, (len(s) // 8).bit_length() - 1)
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
+def within(x: bytes, y: bytes) -> bool:
+    """Whether two sets may link: they have no more in common than the lesser counts of each range; finer ranges are added up to the other's."""
+    a, b = (np.frombuffer(c, "<u2").astype(np.int64) for c in (x, y))
+    n = min(len(a), len(b))
+    a, b = a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)
+    both = int(np.minimum(a, b).sum())
+    return 100 * both >= 80 * (int(a.sum()) + int(b.sum()) - both)
+
+
+def may_link(longs: int) -> str:
+    """Condition on n and sketches of sides a and b that every link fulfils: sizes alike, and at most a ninth of their sum different."""
+    differ = " + ".join(f"bit_count({o}_a ^ {o}_b)" for o in ODD[:longs])
+    return f"100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b) and 9 * ({differ}) <= n_a + n_b"
+
+
 def _counted(docs: DataFrame, pieces: int) -> DataFrame:
     """(token, n): 48-bit tokens of more than FREQUENT texts. Tasks send sorted packed keys; each reducer counts one range of them."""
 
@@ -74,7 +107,7 @@ def _counted(docs: DataFrame, pieces: int) -> DataFrame:
 
 
 def _indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, class, entries, counts) for each row. class is null for an empty set."""
+    """(doc_id, n, class, entries, counts, odd sketch) for each row. class is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,9 +135,33 @@ def _indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
             sets = list(shingle_sets(texts))
             with np.errstate(over="ignore"):
                 names = [None if not len(s) else int(mix(np.array([s.sum() * _A + np.bitwise_xor.reduce(s) * _B + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) for s in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "class": pd.array(names, "Int64"), "entries": [entries(s) for s in sets], "counts": [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes() for s in sets]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "class": pd.array(names, "Int64"), "entries": [entries(s) for s in sets], "counts": [range_counts(s) for s in sets], **dict(zip(ODD, np.array([odd(s) for s in sets]).reshape(-1, SKETCH).T, strict=True))})
 
-    return docs.select("doc_id", "text").mapInPandas(index, "doc_id long, n long, class long, entries array<long>, counts binary")
+    return docs.select("doc_id", "text").mapInPandas(index, "doc_id long, n long, class long, entries array<long>, counts binary, " + ", ".join(f"{o} long" for o in ODD))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(entry, class, n, low) of the entries that two classes or more hold, each class once; low is the entry's smallest class."""
+    entries = rows.select("class", F.explode("entries").alias("entry"))
+    met = table(entries.groupBy("entry").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("entry", "low"))
+    if met.count() > MET_ROWS:
+        return table(rows.select("class", "n", F.explode("entries").alias("entry")).join(met, "entry").select("entry", "class", "n", "low").distinct())
+    few = met.toArrow().sort_by("entry")
+    known = rows.sparkSession.sparkContext.broadcast((few["entry"].to_numpy(), few["low"].to_numpy()))
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entry, low = known.value
+        for frame in frames:
+            if not len(frame) or not len(entry):
+                continue
+            found = np.concatenate(frame["entries"].to_list() or [np.empty(0, np.int64)]).astype(np.int64)
+            of = np.repeat(np.arange(len(frame)), frame["entries"].str.len())
+            at = np.minimum(np.searchsorted(entry, found), len(entry) - 1)
+            hit = np.flatnonzero(entry[at] == found)
+            yield pd.DataFrame({"entry": found[hit], "class": frame["class"].to_numpy(np.int64)[of[hit]], "n": frame["n"].to_numpy(np.int64)[of[hit]], "low": low[at[hit]]})
+
+    rows = rows.where("class is not null").select("class", "n", "entries")
+    return table(rows.mapInPandas(keep, "entry long, class long, n long, low long").distinct())
 
 
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -141,41 +198,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often, limit = table(_counted(docs, pieces)), FREQUENT
     while often.where(F.col("n") > limit).count() > CLASS_ROWS:
         limit *= 2
-    rows = often.where(F.col("n") > limit).orderBy("token").toPandas()
-    rows = table(_indexed(docs, (rows["token"].to_numpy(np.uint64), rows["n"].to_numpy())))
+    classes = often.where(F.col("n") > limit).toArrow().sort_by("token")
+    rows = table(_indexed(docs, (classes["token"].to_numpy().astype(np.uint64), classes["n"].to_numpy())))
 
-    first = table(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("counts").alias("counts")))
-    entries = rows.select("class", F.explode("entries").alias("entry"))
-    met = table(entries.groupBy("entry").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("entry", "low"))
-    entries = table(entries.join(sized(met), "entry").select("entry", "class", "low").distinct())
-    size, counts = first.select("class", "n"), first.select("class", "counts")
+    first = table(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("counts").alias("counts"), *(F.min(o).alias(o) for o in ODD)))
+    entries = _shared(rows)
+    sides = {k: first.select(*(F.col(c).alias(f"{c}_{k}") for c in ("class", "n", *ODD))) for k in "ab"}
 
     def possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x, y = (np.frombuffer(b"".join(f[c]), "<u4").reshape(len(f), RANGES) for c in "xy")
-            both = np.minimum(x, y).sum(1, dtype=np.int64)
-            yield f.loc[100 * both >= 80 * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64) - both), ["a", "b"]]
+            yield f.loc[[within(x, y) for x, y in zip(f["x"], f["y"], strict=True)], ["a", "b"]]
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Without the pairs (a, b) whose sizes, or counts of tokens by range, rule a link out."""
-        n = sized(size)
-        pairs = pairs.join(n.withColumnsRenamed({"class": "a", "n": "n_a"}), "a").join(n.withColumnsRenamed({"class": "b", "n": "n_b"}), "b")
-        pairs = table(pairs.where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)").select("a", "b").distinct())
-        pairs = pairs.join(counts.withColumnsRenamed({"class": "a", "counts": "x"}), "a").join(counts.withColumnsRenamed({"class": "b", "counts": "y"}), "b")
+        """Without the pairs (a, b) whose sizes, sketches or counts by range rule a link out."""
+        pairs = pairs.join(sized(sides["a"]), F.col("a") == F.col("class_a")).join(sized(sides["b"]), F.col("b") == F.col("class_b"))
+        pairs = table(pairs.where(may_link(SKETCH)).select("a", "b"))
+        pairs = pairs.join(first.select(F.col("class").alias("a"), F.col("counts").alias("x")), "a").join(first.select(F.col("class").alias("b"), F.col("counts").alias("y")), "b")
         return table(pairs.mapInPandas(possible, "a long, b long"))
 
-    star = _verified(docs, first, alike(entries.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()))
-    root = table(components(star))
-    # entries whose classes are still apart
-    at = entries.select("entry", "class").join(root.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    at = table(at.join(size, "class"))
-    apart = table(at.groupBy("entry").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("entry"))
-    at = table(at.join(sized(apart), "entry"))
-    x, y = (at.select("entry", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "root", "n"))) for k in "ab")
-    more = x.join(y, "entry").where("class_a < class_b and root_a <> root_b and 100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
-    more = more.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-    more = alike(more.join(star, ["a", "b"], "left_anti"))
-    link = star.union(_verified(docs, first, more)) if not more.isEmpty() else star
+    def joined(root: DataFrame) -> DataFrame:
+        """(entry, class, n, root) of the entries whose classes are still apart; of entries with the same classes one is enough."""
+        at = table(entries.select("entry", "class", "n").join(sized(root.withColumnsRenamed({"node": "class"})), "class", "left").withColumn("root", F.coalesce("root", "class")))
+        apart = at.groupBy("entry").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("c"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
+        apart = table(apart.where("p < q").groupBy("c", "x", "y").agg(F.min("entry").alias("entry")).select("entry"))
+        return table(at.join(sized(apart), "entry"))
+
+    link = _verified(docs, first, alike(entries.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()))
+    short = ["class", *ODD[:SHORT_SKETCH]]
+    for turn in range(TURNS + 1):
+        at = joined(table(components(link)))
+        if turn < TURNS:  # another class of each entry, told by chance, is what the others are held against
+            y = at.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("class", "n", "root")))
+            x = at.groupBy("entry").agg(F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", "entry", F.lit(turn))).alias("a")).select("entry", *(F.col(f"a.{c}").alias(f"{c}_a") for c in ("class", "n", "root")))
+            pairs = table(x).join(y, "entry").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b) and root_a <> root_b")
+        else:
+            at = table(at.join(sized(first.select(*short)), "class"))
+            x, y = (at.select("entry", *(F.col(c).alias(f"{c}_{k}") for c in (*short, "n", "root"))) for k in "ab")
+            pairs = x.join(y, "entry").where(f"class_a < class_b and root_a <> root_b and {may_link(SHORT_SKETCH)}")
+        pairs = pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+        pairs = alike(pairs)
+        if not pairs.isEmpty():
+            link = table(link.union(_verified(docs, first, pairs)))
 
     root = components(link).withColumnsRenamed({"node": "class"})
     name = first.join(root, "class", "left").select("class", "doc_id", "copies", F.coalesce("root", "class").alias("root"))
