@@ -34,6 +34,8 @@ CLASS_ROWS = 500_000
 TURNS = 1
 #: Longs of an odd sketch: each token flips one bit, so bits that differ between two sets are at most the tokens that do.
 SKETCH, SHORT_SKETCH = 8, 4
+#: Classes of one index entry that are compared with each other, or with as many others, at once.
+BLOCK = 256
 #: Entries that more than one class holds which are sent to all tasks (16 bytes each); more are joined by shuffle.
 MET_ROWS = 4_000_000
 ODD = [f"o{i}" for i in range(SKETCH)]
@@ -140,6 +142,55 @@ def _indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
     return docs.select("doc_id", "text").mapInPandas(index, "doc_id long, n long, class long, entries array<long>, counts binary, " + ", ".join(f"{o} long" for o in ODD))
 
 
+def _possible_pairs(at: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that share an entry and that no bound rules out.
+
+    at: (entry, class, n, root, c, counts, short sketch), c classes an entry. Large entries are cut into blocks of
+    classes, and each pair of blocks is one small group; tasks read their groups one after the other and name a pair once."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    at = at.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = at.select("*", F.inline(meets)).drop("c").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: set[tuple[int, int]] = set()
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            key = frame[["entry", "i", "j"]].to_numpy()
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            last = cut[-1] if len(cut) else 0
+            rest = frame.iloc[last:]
+            yield found(frame.iloc[:last], cut[:-1], known)
+        if rest is not None:
+            yield found(rest, [], known)
+
+    def found(frame: pd.DataFrame, cut, known: set[tuple[int, int]]) -> pd.DataFrame:
+        name, n, root, block, i, j = (frame[c].to_numpy() for c in ("class", "n", "root", "block", "i", "j"))
+        sketch = frame[ODD[:SHORT_SKETCH]].to_numpy(np.int64).view(np.uint64)
+        counts, out = frame["counts"].to_numpy(), []
+        for a, b in zip([0, *cut], [*cut, len(frame)], strict=True):
+            if b - a < 2:
+                continue
+            left, right = np.flatnonzero(block[a:b] == i[a]) + a, np.flatnonzero(block[a:b] == j[a]) + a
+            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+            both = n[x] + n[y]
+            fits = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y]))
+            if i[a] == j[a]:
+                fits &= name[x] < name[y]
+            x, y, both = x[fits], y[fits], both[fits]
+            fits = 9 * np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= both
+            for u, v in zip(x[fits].tolist(), y[fits].tolist(), strict=True):
+                pair = (int(name[u]), int(name[v])) if name[u] < name[v] else (int(name[v]), int(name[u]))
+                if pair not in known:
+                    known.add(pair)
+                    if within(counts[u], counts[v]):
+                        out.append(pair)
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return table(dealt.mapInPandas(pairs, "a long, b long").distinct())
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """(entry, class, n, low) of the entries that two classes or more hold, each class once; low is the entry's smallest class."""
     entries = rows.select("class", F.explode("entries").alias("entry"))
@@ -220,23 +271,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         """(entry, class, n, root) of the entries whose classes are still apart; of entries with the same classes one is enough."""
         at = table(entries.select("entry", "class", "n").join(sized(root.withColumnsRenamed({"node": "class"})), "class", "left").withColumn("root", F.coalesce("root", "class")))
         apart = at.groupBy("entry").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("c"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
-        apart = table(apart.where("p < q").groupBy("c", "x", "y").agg(F.min("entry").alias("entry")).select("entry"))
+        apart = table(apart.where("p < q").groupBy("c", "x", "y").agg(F.min("entry").alias("entry")).select("entry", "c"))
         return table(at.join(sized(apart), "entry"))
 
     link = _verified(docs, first, alike(entries.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()))
-    short = ["class", *ODD[:SHORT_SKETCH]]
+    short = ["class", "counts", *ODD[:SHORT_SKETCH]]
     for turn in range(TURNS + 1):
         at = joined(table(components(link)))
         if turn < TURNS:  # another class of each entry, told by chance, is what the others are held against
             y = at.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("class", "n", "root")))
             x = at.groupBy("entry").agg(F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", "entry", F.lit(turn))).alias("a")).select("entry", *(F.col(f"a.{c}").alias(f"{c}_a") for c in ("class", "n", "root")))
             pairs = table(x).join(y, "entry").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b) and root_a <> root_b")
+            pairs = alike(pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct())
         else:
-            at = table(at.join(sized(first.select(*short)), "class"))
-            x, y = (at.select("entry", *(F.col(c).alias(f"{c}_{k}") for c in (*short, "n", "root"))) for k in "ab")
-            pairs = x.join(y, "entry").where(f"class_a < class_b and root_a <> root_b and {may_link(SHORT_SKETCH)}")
-        pairs = pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
-        pairs = alike(pairs)
+            pairs = _possible_pairs(at.join(first.select(*short), "class"))
         if not pairs.isEmpty():
             link = table(link.union(_verified(docs, first, pairs)))
 
