@@ -33,7 +33,9 @@ def test_lexicon_keeps_the_longest_that_carries_the_label():
 
 
 def test_toxicity_rows(spark):
-    docs = [(i, f"word{i % 7} and the scum of them, you scum, it was" if i % 4 == 0 else f"word{i % 7} and the others of it was fine", "x") for i in range(400)]
+    r = random.Random(0)  # texts of their own words: copies would count once
+    own = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(8))
+    docs = [(i, f"{own()} and the scum of them, you scum, it was" if i % 4 == 0 else f"{own()} and the others of it was fine", "x") for i in range(400)]
     docs += [(1000, None, "x"), (1001, "", "x"), (1002, "scum " * 20000 + "you scum.", "x"), (3, "repeated", "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(7, None)], "doc_id long, toxic int")
