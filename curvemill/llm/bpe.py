@@ -24,7 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import small_batches
+from .shared import small_batches, tidy
 
 #: Chunks and words that a worker keeps at most (about 300 bytes each).
 KEPT = 150_000
@@ -273,4 +273,4 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         for kept in (known, pairs.words):
             kept.empty()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import sized, small_batches, table
+from .shared import sized, small_batches, table, tidy
 from .shingles import batches, word_hashes
 
 #: Items indexed at once, and the least stride in words.
@@ -220,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(ids[i], *x) for i, *x in index.value.search([t or b"" for t in texts])]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question", "answer"]).astype({"doc_id": "Int64"})
 
-        return docs.mapInPandas(find, "doc_id long, item_id long, score double, question double, answer double")
+        return docs.mapInPandas(tidy(find), "doc_id long, item_id long, score double, question double, answer double")
 
     return reduce(DataFrame.unionByName, map(one, range(blocks)))
 

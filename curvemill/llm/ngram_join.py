@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, sized, small_batches, table
+from .shared import components, sized, small_batches, table, tidy
 from .shingles import batches, mix, shingle_sets
 
 #: Texts that hold a token of the rare class at most.
@@ -33,7 +33,7 @@ CLASS_ROWS = 500_000
 #: Further rounds of verification against one class of each entry before pairs are taken.
 TURNS = 1
 #: Longs of an odd sketch: each token flips one bit, so bits that differ between two sets are at most the tokens that do.
-SKETCH, SHORT_SKETCH = 8, 4
+SKETCH = 8
 #: Classes of one index entry that are compared with each other, or with as many others, at once.
 BLOCK = 256
 #: Entries that more than one class holds which are sent to all tasks (16 bytes each); more are joined by shuffle.
@@ -69,9 +69,9 @@ def within(x: bytes, y: bytes) -> bool:
     return 100 * both >= 80 * (int(a.sum()) + int(b.sum()) - both)
 
 
-def may_link(longs: int) -> str:
+def may_link() -> str:
     """Condition on n and sketches of sides a and b that every link fulfils: sizes alike, and at most a ninth of their sum different."""
-    differ = " + ".join(f"bit_count({o}_a ^ {o}_b)" for o in ODD[:longs])
+    differ = " + ".join(f"bit_count({o}_a ^ {o}_b)" for o in ODD)
     return f"100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b) and 9 * ({differ}) <= n_a + n_b"
 
 
@@ -104,7 +104,7 @@ def _counted(docs: DataFrame, pieces: int) -> DataFrame:
         often = n > FREQUENT
         return pd.DataFrame({"token": token[often].astype(np.int64), "n": n[often]})
 
-    sent = docs.select("text").mapInPandas(send, "piece int, high binary, low binary")
+    sent = docs.select("text").mapInPandas(tidy(send), "piece int, high binary, low binary")
     return sent.groupBy("piece").applyInPandas(count, "token long, n long")
 
 
@@ -139,13 +139,13 @@ def _indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                 names = [None if not len(s) else int(mix(np.array([s.sum() * _A + np.bitwise_xor.reduce(s) * _B + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) for s in sets]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "class": pd.array(names, "Int64"), "entries": [entries(s) for s in sets], "counts": [range_counts(s) for s in sets], **dict(zip(ODD, np.array([odd(s) for s in sets]).reshape(-1, SKETCH).T, strict=True))})
 
-    return docs.select("doc_id", "text").mapInPandas(index, "doc_id long, n long, class long, entries array<long>, counts binary, " + ", ".join(f"{o} long" for o in ODD))
+    return docs.select("doc_id", "text").mapInPandas(tidy(index), "doc_id long, n long, class long, entries array<long>, counts binary, " + ", ".join(f"{o} long" for o in ODD))
 
 
 def _possible_pairs(at: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that share an entry and that no bound rules out.
 
-    at: (entry, class, n, root, c, counts, short sketch), c classes an entry. Large entries are cut into blocks of
+    at: (entry, class, n, root, c, counts, sketch), c classes an entry. Large entries are cut into blocks of
     classes, and each pair of blocks is one small group; tasks read their groups one after the other and name a pair once."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     at = at.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
@@ -167,7 +167,7 @@ def _possible_pairs(at: DataFrame) -> DataFrame:
 
     def found(frame: pd.DataFrame, cut, known: set[tuple[int, int]]) -> pd.DataFrame:
         name, n, root, block, i, j = (frame[c].to_numpy() for c in ("class", "n", "root", "block", "i", "j"))
-        sketch = frame[ODD[:SHORT_SKETCH]].to_numpy(np.int64).view(np.uint64)
+        sketch = frame[ODD].to_numpy(np.int64).view(np.uint64)
         counts, out = frame["counts"].to_numpy(), []
         for a, b in zip([0, *cut], [*cut, len(frame)], strict=True):
             if b - a < 2:
@@ -188,7 +188,7 @@ def _possible_pairs(at: DataFrame) -> DataFrame:
                         out.append(pair)
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return table(dealt.mapInPandas(pairs, "a long, b long").distinct())
+    return table(dealt.mapInPandas(tidy(pairs), "a long, b long").distinct())
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"entry": found[hit], "class": frame["class"].to_numpy(np.int64)[of[hit]], "n": frame["n"].to_numpy(np.int64)[of[hit]], "low": low[at[hit]]})
 
     rows = rows.where("class is not null").select("class", "n", "entries")
-    return table(rows.mapInPandas(keep, "entry long, class long, n long, low long").distinct())
+    return table(rows.mapInPandas(tidy(keep), "entry long, class long, n long, low long").distinct())
 
 
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
         for frame, texts in batches(frames):
             yield pd.DataFrame({"class": frame["class"], "tokens": [s.tobytes() for s in shingle_sets(texts)]})
 
-    sets = table(docs.select("doc_id", "text").join(sized(ids), "doc_id").mapInPandas(again, "class long, tokens binary").dropDuplicates(["class"]))
+    sets = table(docs.select("doc_id", "text").join(sized(ids), "doc_id").mapInPandas(tidy(again), "class long, tokens binary").dropDuplicates(["class"]))
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -237,7 +237,7 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    return table(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(links, "a long, b long"))
+    return table(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(tidy(links), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -263,9 +263,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def alike(pairs: DataFrame) -> DataFrame:
         """Without the pairs (a, b) whose sizes, sketches or counts by range rule a link out."""
         pairs = pairs.join(sized(sides["a"]), F.col("a") == F.col("class_a")).join(sized(sides["b"]), F.col("b") == F.col("class_b"))
-        pairs = table(pairs.where(may_link(SKETCH)).select("a", "b"))
+        pairs = table(pairs.where(may_link()).select("a", "b"))
         pairs = pairs.join(first.select(F.col("class").alias("a"), F.col("counts").alias("x")), "a").join(first.select(F.col("class").alias("b"), F.col("counts").alias("y")), "b")
-        return table(pairs.mapInPandas(possible, "a long, b long"))
+        return table(pairs.mapInPandas(tidy(possible), "a long, b long"))
 
     def joined(root: DataFrame) -> DataFrame:
         """(entry, class, n, root) of the entries whose classes are still apart; of entries with the same classes one is enough."""
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return table(at.join(sized(apart), "entry"))
 
     link = _verified(docs, first, alike(entries.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()))
-    short = ["class", "counts", *ODD[:SHORT_SKETCH]]
+    marks = ["class", "counts", *ODD]
     for turn in range(TURNS + 1):
         at = joined(table(components(link)))
         if turn < TURNS:  # another class of each entry, told by chance, is what the others are held against
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = table(x).join(y, "entry").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b) and root_a <> root_b")
             pairs = alike(pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct())
         else:
-            pairs = _possible_pairs(at.join(first.select(*short), "class"))
+            pairs = _possible_pairs(at.join(first.select(*marks), "class"))
         if not pairs.isEmpty():
             link = table(link.union(_verified(docs, first, pairs)))
 

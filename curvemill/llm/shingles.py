@@ -91,3 +91,4 @@ def batches(frames: Iterator, column: str = "text", size: int = 1_000_000) -> It
             if total >= size or i == len(texts) - 1:
                 yield frame.iloc[begin : i + 1], texts[begin : i + 1]
                 begin, total = i + 1, 0
+    _powers.clear()

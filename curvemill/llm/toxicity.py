@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import small_batches, table
+from .shared import small_batches, table, tidy
 from .shingles import batches, shingle_sets
 
 #: Labelled documents of each label that are learned from at most.
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     some = known.where("toxic = 1").orderBy(order).limit(SAMPLE).union(known.where("toxic = 0").orderBy(order).limit(SAMPLE))
     # at most 2 * SAMPLE rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    rows = table(rows.select("toxic", "text").mapInPandas(_keyed, "toxic int, text string, key long").dropDuplicates(["toxic", "key"]))
+    rows = table(rows.select("toxic", "text").mapInPandas(tidy(_keyed), "toxic int, text string, key long").dropDuplicates(["toxic", "key"]))
     total = dict(rows.groupBy("toxic").count().collect())
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic:
@@ -202,7 +202,7 @@ def _evidences(docs: DataFrame, grammar: Grammar, columns: str) -> DataFrame:
         for frame in frames:
             yield frame.drop(columns="text").assign(evidence=[scanner.evidence(t) for t in frame["text"]])
 
-    return docs.mapInPandas(scan, f"{columns}, evidence double")
+    return docs.mapInPandas(tidy(scan), f"{columns}, evidence double")
 
 
 def _calibrated(grammar: Grammar, rows: DataFrame) -> Grammar:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import Kept, chunks, plain
-from .shared import sized, small_batches, table, work_dir
+from .shared import sized, small_batches, table, tidy, work_dir
 
 MAGIC = b"WAVM1\n"
 BLOCK = 512
@@ -229,7 +229,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, shard
         library.known.empty()  # idle workers stay small
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return table(rows.mapInPandas(write, "part int, number int, file string, n_docs long, n_tokens long"))
+    return table(rows.mapInPandas(tidy(write), "part int, number int, file string, n_docs long, n_tokens long"))
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -254,7 +254,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = files.mapInPandas(read, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = files.mapInPandas(tidy(read), "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(sized(begins), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
