@@ -11,12 +11,12 @@ have the end id alone; rows with equal doc_id stand next to each other; a null d
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,7 +85,7 @@ class WaveletMatrix:
             one = plane.bits().view(bool)
             x[zeros:] |= x.dtype.type(1 << k)
             up = np.empty_like(x)
-            up[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])] = x
+            up[~one], up[one] = x[:zeros], x[zeros:]
             x = up
         return x
 
@@ -170,17 +170,23 @@ class _Library:
         self.bits = max(1, (max(self.model.get_vocab_size(), 2) - 1).bit_length())
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
         self.tokenize = self.model.model.tokenize
-        self.known = Kept(self.encoded)
+        self.bytes_of = [i.to_bytes(self.kind.itemsize, "little") for i in range(1 << self.bits)]
+        self.known, self.marks = Kept(self.encoded), Kept(self.marked)
 
     def encoded(self, chunk: str) -> bytes:
         """Ids of a chunk; plain words are pre-tokens already and go straight to the library's model."""
+        of = self.bytes_of
         if chunk.isascii() and chunk.isalpha():
-            ids = [t.id for t in self.tokenize(chunk.lower())]
-        elif simple := plain(chunk):
-            ids = [t.id for word in simple if word for t in self.tokenize(word)]
-        else:
-            ids = self.model.encode(chunk, add_special_tokens=False).ids
-        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+            return b"".join([of[t.id] for t in self.tokenize(chunk.lower())])
+        if simple := plain(chunk):
+            word, marks = simple
+            ids = b"".join([of[t.id] for t in self.tokenize(word)]) if word else b""
+            return ids + self.marks[marks] if marks else ids
+        return b"".join([of[i] for i in self.model.encode(chunk, add_special_tokens=False).ids])
+
+    def marked(self, marks: str) -> bytes:
+        """Ids of a run of marks."""
+        return b"".join([self.bytes_of[t.id] for t in self.tokenize(marks)])
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, chunks(text)))
@@ -194,6 +200,7 @@ def library_of(spec: str) -> _Library:
     if (key := hash(spec)) not in _libraries:
         _libraries.clear()
         _libraries[key] = _Library(spec)
+        gc.freeze()  # what is loaded by now stays: collections need not look at it
     return _libraries[key]
 
 
@@ -227,6 +234,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, shard
         if doc_ids:
             yield out()
         library.known.empty()  # idle workers stay small
+        library.marks.empty()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return table(rows.mapInPandas(tidy(write), "part int, number int, file string, n_docs long, n_tokens long"))
