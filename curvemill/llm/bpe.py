@@ -70,7 +70,8 @@ _LATIN = {i: "".join(LETTERS[b] for b in chr(i).encode()) for i in range(128, 0x
 def plain(chunk: str) -> tuple[str, str] | None:
     """(letters in lower case and in the letters of bytes, marks) of a chunk of that form, else None.
 
-    Below U+0300 there are no combining marks, so normalization keeps the text, and letters and marks are one pre-token each."""
+    Below U+0300 there are no combining marks, so normalization keeps the text, and letters and marks are one pre-token each.
+    A few of these letters have a lower case beyond it (U+0130, U+023A, U+023E); they are left to the full path."""
     if chunk.isascii() and chunk.isalpha():
         return chunk.lower(), ""
     head = chunk.rstrip(MARKS)
@@ -80,9 +81,10 @@ def plain(chunk: str) -> tuple[str, str] | None:
         return None
     if head.isascii():
         return head.lower(), chunk[len(head) :]
-    if max(head) >= "\u0300" or "\u0130" in head:
+    lower = head.lower()
+    if max(head) >= "\u0300" or max(lower) >= "\u0300":
         return None
-    return head.lower().translate(_LATIN), chunk[len(head) :]
+    return lower.translate(_LATIN), chunk[len(head) :]
 
 
 class BytePairs:

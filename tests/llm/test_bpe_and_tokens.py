@@ -61,6 +61,25 @@ def test_token_files(spark, library, monkeypatch, shard):
     assert token_files(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
 
+#: Each letter below U+0300 alone, before letters, after letters and before a mark; three of them have a lower case beyond U+0300.
+LATIN = [t for c in map(chr, range(128, 0x300)) for t in (c, c + "bc", "Ab" + c, c + c + "!")]
+
+
+def test_letters_with_a_far_lower_case(spark, library):
+    pairs, own = BytePairs(open(PATH).read()), wavelet._Library(open(PATH).read())
+    for t in LATIN:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert [i for c in chunks(t) for i in pairs.chunk(c)] == want, t
+        assert np.frombuffer(own.ids(t), own.kind).tolist() == want, t
+    rows = list(enumerate(["\u023abc", "\u023e", "x \u0130stanbul, \u023e\u023a."]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows}
+    digests = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in encode_decode(docs, PATH).collect()}
+    assert digests == {i: (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for i, ids in want.items()}
+    files = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files(docs, PATH).collect()}
+    assert files == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())) for i, ids in want.items()}
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 4000])
 def test_wavelet_matrix(n):
     a = np.random.default_rng(n).zipf(1.3, n).clip(0, 49_000).astype("<u2")
