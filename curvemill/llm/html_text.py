@@ -5,6 +5,11 @@ adverts, forms, comments and the like are boilerplate), by link density, length
 blocks stay open; in the second pass they take the label of the nearest decided blocks of the same region (the page's
 article if it has one, else the page), the article itself counting as good where nothing in it is decided.
 
+Names are loose evidence: a form or a wrapper with a boilerplate word inside a longer name ("with-sidebar") is boilerplate unless it holds the
+page's main element, or the page's only articles; names that are boilerplate as a whole, too, give way where hardly any text
+would be left. Lists of comments and of related pages, and boilerplate elements and hidden ones, never give way to an article of theirs.
+Where a page shows few of the known stop words, its language is taken as unknown and length decides alone.
+
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one space
 in page order. Null, empty and tag-only pages give an empty text; unclosed and stray tags are tolerated as browsers do;
 text of any length is kept whole. Rows are mapped one to one.
@@ -43,8 +48,15 @@ _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^<>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
     re.S | re.I,
 )
-_NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Names that say what a wrapper holds, not where it stands: they count inside longer names as well.
+OWN_NAMES = frozenset("comment comments reply replies disqus related recommended".split())
+#: Tags that a layout wrapper may hold and a boilerplate block hardly ever does.
+LAYOUT_TAGS = frozenset("article main h1 header nav footer aside".split())
+#: Kinds of bad places: by part of a name, by a whole name, for certain.
+PART, WHOLE, SURE = 1, 2, 3
+
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[^a-z]+")
 
@@ -63,29 +75,53 @@ class Block:
         return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _bad_place(tag: str, rest: str, inside_main: bool) -> bool:
-    if tag in BAD_TAGS or tag == "header" and not inside_main:
-        return True
-    if not rest or tag in ("html", "body", "main"):
-        return False
-    names = " ".join(a or b or c for a, b, c in _NAME.findall(rest)).lower()
-    return any(p in BAD_NAMES for p in _PART.split(names) if p) or bool(_HIDDEN.search(rest))
+def _attributes(rest: str) -> list[tuple[str, str]]:
+    return [(name.lower(), a or b or c) for name, a, b, c in _ATTRIBUTE.findall(rest)]
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page with their link characters, whether they stand in a bad place, and their region (the article they are in, 0 if none)."""
+def _bad_place(tag: str, rest: str, inside_main: bool) -> int:
+    """How a tag's place is bad: 0 (not), PART, WHOLE or SURE."""
+    if tag != "form" and tag in BAD_TAGS or tag == "header" and not inside_main:
+        return SURE
+    found = PART if tag == "form" else 0
+    if not rest or tag in ("html", "body", "main"):
+        return found
+    for name, value in _attributes(rest):
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NONE.search(value):
+            return SURE
+        if name in ("class", "id", "role"):
+            for token in value.lower().split():
+                parts = BAD_NAMES.intersection(_PART.split(token))
+                if parts:
+                    found = max(found, WHOLE if token in BAD_NAMES or parts & OWN_NAMES else PART)
+    return found
+
+
+def blocks(page: str, layout: frozenset[int] = frozenset()) -> list[Block]:
+    """The blocks of a page with their link characters, whether they stand in a bad place, and their region (the article they are in, 0 if none).
+
+    layout: where the tags begin whose names do not count."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, int]] = []  # tag, bad, region
+    open_tags: list[tuple[str, int, int, int]] = []  # tag, bad, region, where it begins
     pieces: list[tuple[str, bool]] = []
-    bad, region, regions, link, heading, at = False, 0, 0, False, False, 0
+    bad, region, regions, link, heading, at = 0, 0, 0, False, False, 0
+    wrappers: dict[int, tuple[int, set[str]]] = {}  # bad places by name: kind, what they hold
 
     def flush() -> None:
         nonlocal pieces
         text = " ".join("".join(p for p, _ in pieces).split())
         if text:
-            out.append(Block(text, sum(len(" ".join(p.split())) for p, linked in pieces if linked), bad, region, heading))
+            out.append(Block(text, sum(len(" ".join(p.split())) for p, linked in pieces if linked), bad > 0, region, heading))
         pieces = []
 
+    def place(tag: str, rest: str, inside_main: bool, where: int) -> int:
+        kind = _bad_place(tag, rest, inside_main)
+        if kind in (PART, WHOLE):
+            if where in layout:
+                return 0
+            wrappers[where] = kind, {tag} if tag == "article" else set()
+        return kind
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -95,7 +131,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag == "a":
-            link = not m["close"]
+            link = not m["close"] and any(name == "href" for name, _ in _attributes(m["rest"]))
             continue
         if tag not in BLOCK_TAGS:
             if tag not in VOID_TAGS and tag in BAD_TAGS or tag == "span" and not m["close"] and _bad_place(tag, m["rest"], region > 0):
@@ -104,7 +140,7 @@ def blocks(page: str) -> list[Block]:
                 if tag == "span" and m["close"] and open_tags and open_tags[-1][0] == "span":
                     flush()
                     open_tags.pop()
-                    bad, region = open_tags[-1][1:] if open_tags else (False, 0)
+                    bad, region = open_tags[-1][1:3] if open_tags else (0, 0)
                 continue
         flush()
         if tag in VOID_TAGS:
@@ -114,31 +150,47 @@ def blocks(page: str) -> list[Block]:
                 if open_tags[i][0] == tag:
                     del open_tags[i:]
                     break
-            bad, region = open_tags[-1][1:] if open_tags else (False, 0)
+            bad, region = open_tags[-1][1:3] if open_tags else (0, 0)
             heading = False
         elif tag != "p" and not m["rest"].endswith("/"):
+            if bad in (PART, WHOLE) and tag in LAYOUT_TAGS:
+                for opened in open_tags:
+                    if opened[3] in wrappers:
+                        wrappers[opened[3]][1].add(tag)
             inner = region
             if tag in MAIN_TAGS and not region and not bad:
                 regions += 1
                 inner = regions
-            bad, region = bad or _bad_place(tag, m["rest"], inner > 0), inner
-            open_tags.append((tag, bad, region))
+            bad, region = max(bad, place(tag, m["rest"], inner > 0, m.start())), inner
+            open_tags.append((tag, bad, region, m.start()))
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif tag == "p" and not bad and _bad_place(tag, m["rest"], region > 0):
-            open_tags.append(("p", True, region))
-            bad = True
+        elif tag == "p" and not bad and (kind := place(tag, m["rest"], region > 0, m.start())):
+            open_tags.append(("p", kind, region, m.start()))
+            bad = kind
         elif tag == "p" and open_tags and open_tags[-1][0] == "p":
             open_tags.pop()
-            bad, region = open_tags[-1][1:] if open_tags else (False, 0)
+            bad, region = open_tags[-1][1:3] if open_tags else (0, 0)
     if at < len(page):
         piece = page[at:]
         pieces.append((html.unescape(piece) if "&" in piece else piece, link))
     flush()
-    return out
+    # wrappers that turn out to be layout: the page is read again without their names
+    freed = {where for where, (_, held) in wrappers.items() if "main" in held}
+    if not freed and not any(b.region and not b.bad for b in out):
+        freed = {where for where, (kind, held) in wrappers.items() if kind == PART and "article" in held}
+    if not freed and not any(len(b.text) >= SHORT and not b.bad for b in out):
+        freed = {where for where, (_, held) in wrappers.items() if held}
+    return blocks(page, layout | freed) if freed else out
+
 
+def _known_language(found: list[Block]) -> bool:
+    """Whether the texts outside bad places show the known stop words; pages without such texts count as known."""
+    words = [w for b in found if not b.bad and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text) for w in _WORD.findall(b.text.lower())]
+    return not words or sum(w in STOP_WORDS for w in words) >= FEW_STOPS / 2 * len(words)
 
-def first_pass(b: Block, has_article: bool) -> bool | None:
-    """True (main text), False (boilerplate) or None (open)."""
+
+def first_pass(b: Block, has_article: bool, known: bool = True) -> bool | None:
+    """True (main text), False (boilerplate) or None (open). known: whether stop words tell anything on this page."""
     n = len(b.text)
     if b.bad or has_article and not b.region:
         return False
@@ -148,6 +200,8 @@ def first_pass(b: Block, has_article: bool) -> bool | None:
         return None
     if b.region:
         return True if n >= LONG or b.stops >= FEW_STOPS else None
+    if not known:
+        return True if n >= LONG else None
     stops = b.stops
     if stops >= MANY_STOPS:
         return True if n >= LONG else None
@@ -159,7 +213,8 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     has_article = any(b.region and not b.bad for b in found)
-    labels = [first_pass(b, has_article) for b in found]
+    known = has_article or _known_language(found)
+    labels = [first_pass(b, has_article, known) for b in found]
     # second pass: nearest decided block before and after, within the region
     n = len(found)
     before: list[tuple[int, bool] | None] = [None] * n

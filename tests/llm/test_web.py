@@ -36,6 +36,31 @@ def test_small_pages(page, want):
     assert main_text(page) == want
 
 
+ARTICLE = f"<article><h2>T</h2><p>{LONG}</p></article>"
+POLISH = "Pogoda na północy kraju była wczoraj bardzo zmienna, wiatr wiał mocno od morza, deszcz padał przez całą noc, drogi były śliskie, pociągi spóźniały się nawet kilka godzin, ludzie czekali cierpliwie przy dworcach oraz przystankach."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="content-sidebar-wrap"><main>{LONG}</main></div>', LONG),
+        (f'<div class="layout with-sidebar">{ARTICLE}<div class="sidebar">{LONG}</div></div>', f"T {LONG}"),
+        (f'<div id="page-banner-container"><div class="ad">{LONG}</div><main>{LONG}</main></div>', LONG),
+        (f"<form id=f><nav>menu</nav>{ARTICLE}</form>", f"T {LONG}"),
+        (f"<form id=f><header>Site</header><h1>T</h1><p>{LONG}</p></form>", f"T {LONG}"),
+        (f'<div class="overlay"><article>{LONG}</article></div>', LONG),
+        (f'<div id="c"><p>{LONG}</p></div><div class="comment-list"><article>{LONG}!</article></div>', LONG),
+        (f'{ARTICLE}<div class="related-posts"><article>{LONG}</article></div><aside><article>no</article></aside>', f"T {LONG}"),
+        (f'<div title="the hidden life" data-id="nav"><p>{LONG}</p></div><div hidden>{LONG}</div><div style="display: none">{LONG}</div><p aria-hidden=true>{LONG}', LONG),
+        (f'<article><a name="s1"><p>{LONG}</p><p>{LONG}</p></article>', f"{LONG} {LONG}"),
+        (f"<article><p><a href=x>{LONG}</a></p><p>{LONG}</p></article>", LONG),
+        (f"<nav>menu</nav><div><p>{POLISH}</p><p>{POLISH[:119]}</p></div><footer>end</footer>", f"{POLISH} {POLISH[:119]}"),
+    ],
+)
+def test_names_hidden_links_and_languages(page, want):
+    assert main_text(page) == want
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article>é</article>", "t"), (1, "u", "<article>é</article>", "t"), (2, None, None, None)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
