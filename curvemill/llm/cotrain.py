@@ -6,25 +6,31 @@ start from the labelled rows; in each of ROUNDS rounds each view labels the unla
 of, and hands them to the other, which is fitted again. Last, each view is calibrated on held-back labelled rows, and the
 score of every document is the mean of the views' log-odds, weighted by how well each does there.
 
-Features are DataFrame expressions over whole texts and metadata; fitting takes at most LABELLED labelled and POOL unlabelled rows
-(chosen by a hash of doc_id) of some forty numbers each to the driver; scoring is an expression again, so no Python runs over
-the corpus. Null texts count as empty; null or unseen languages and hosts are classes of their own; a quality
+Features are DataFrame expressions over whole texts and metadata, written once as some forty numbers a row. Fitting takes at most
+LABELLED labelled rows (chosen by a hash of doc_id) to the driver; all other rows are the unlabelled ones, whichever their number: in each
+round all of them are scored, the surest are marked by thresholds over all rows, and Newton's sums over the marked rows
+are added up in Spark, so that only counts by margin and the sums come to the driver. Scoring is an expression. Repeated rows count
+once each as unlabelled ones. Null texts count as empty; null or unseen languages and hosts are classes of their own; a quality
 label of null is none; contradicting labels of a doc_id count as bad; without labels of both kinds all scores are 0.5.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import table
 
-#: Rows that are fitted on at most.
-LABELLED, POOL = 8_000, 16_000
-#: Rounds of exchange, and the share of the pool that a view hands over of each class and round (by the class's share).
+#: Labelled rows that are fitted on at most.
+LABELLED = 8_000
+#: Rounds of exchange, and the share of the unlabelled rows that a view hands over of each class and round (by the class's share).
 ROUNDS, HANDED = 4, 0.05
+#: Width of the steps in which margins are counted, and the margin that counts as the greatest.
+STEP, MOST = 0.01, 40.0
 #: Every how manieth labelled row is kept back for calibration.
 BACK = 4
 HOST_BUCKETS = 16
@@ -88,50 +94,184 @@ class Classifier:
     share: float  # of the text view in the joint log-odds
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and bias (last) of a ridge-penalised logistic regression, by Newton steps."""
+def _sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and negative Hessian of the rows' weighted log-likelihood at w (weights and bias)."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (y - p)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+
+def _newton(starts: list[np.ndarray], sums, ridge: float = 1.0) -> list[np.ndarray]:
+    """Weights and bias (last) of ridge-penalised logistic regressions, by Newton steps; sums(weights of all) gives (gradient, negative Hessian) of each."""
+    ws = [w.copy() for w in starts]
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - penalty * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hess, grad)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        most = 0.0
+        for w, (grad, hess) in zip(ws, sums(ws), strict=True):
+            penalty = np.full(len(w), ridge)
+            penalty[-1] = 1e-3
+            step = np.linalg.solve(hess + np.diag(penalty), grad - penalty * w)
+            w += step
+            most = max(most, np.abs(step).max())
+        if most < 1e-6:
             break
-    return w
+    return ws
+
+
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    return _newton([np.zeros(x.shape[1] + 1)], lambda ws: [_sums(x, y, weight, ws[0])], ridge)[0]
+
+
+@dataclass(frozen=True)
+class Round:
+    """What the views were in a round, and for each the last step of margins (low, high) that it hands over, with the share of that step's rows."""
+
+    weights: tuple[np.ndarray, np.ndarray]
+    low: tuple[tuple[int, float], ...]
+    high: tuple[tuple[int, float], ...]
+
+
+def _steps(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of rows and the steps they are in."""
+    m = x @ w[:-1] + w[-1]
+    return m, np.floor(np.clip(m, -MOST, MOST) / STEP).astype(np.int64)
+
+
+def _given(views: tuple[np.ndarray, np.ndarray], u: np.ndarray, history: list[Round]) -> list[np.ndarray]:
+    """The labels that each view got from the other in the rounds so far (-1: none). u: numbers in [0, 1) that order rows of one step."""
+    given = [np.full(len(u), -1.0) for _ in views]
+    for past in history:
+        for v in (0, 1):
+            m, at = _steps(views[v], past.weights[v])
+            to = given[1 - v]
+            free = to < 0
+            (low, low_share), (high, high_share) = past.low[v], past.high[v]
+            to[free & (m < -1) & ((at < low) | (at == low) & (u < low_share))] = 0.0
+            to[free & (m > 1) & ((at > high) | (at == high) & (u < high_share))] = 1.0
+    return given
+
+
+def _counted(views: tuple[np.ndarray, np.ndarray], u: np.ndarray, history: list[Round], weights: list[np.ndarray]) -> dict[tuple[int, int], int]:
+    """(view, step) -> rows that the view is sure of and the other has no label for."""
+    given, out = _given(views, u, history), {}
+    for v in (0, 1):
+        m, at = _steps(views[v], weights[v])
+        found, n = np.unique(at[(given[1 - v] < 0) & (np.abs(m) > 1)], return_counts=True)
+        out |= {(v, int(k)): int(c) for k, c in zip(found, n, strict=True)}
+    return out
+
+
+def _cut(counts: dict[int, int], wanted: int, sign: int) -> tuple[int, float]:
+    """The last step, from the surest on, that belongs to the wanted rows, and the share of its rows; sign: 1 for low margins, -1 for high ones."""
+    for k in sorted(counts, key=lambda k: sign * k):
+        if counts[k] > wanted:
+            return k, wanted / counts[k]
+        wanted -= counts[k]
+    return 0, 0.0  # all that are sure
+
+
+class Rows:
+    """Unlabelled rows in arrays."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray]) -> None:
+        self.views, self.n = views, len(views[0])
+        self.u = np.arange(self.n) / max(self.n, 1)
+
+    def counted(self, history: list[Round], weights: list[np.ndarray]) -> dict[tuple[int, int], int]:
+        return _counted(self.views, self.u, history, weights)
+
+    def mark(self, history: list[Round]) -> None:
+        self.given = _given(self.views, self.u, history)
+
+    def sums(self, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [_handed_sums(self.views[v], self.given[v], weights[v]) for v in (0, 1)]
+
+
+def _handed_sums(x: np.ndarray, given: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    got = given >= 0
+    return _sums(x[got], given[got], np.full(got.sum(), 0.5), w)
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("a", "b"))
+
+
+class Table:
+    """Unlabelled rows of a written table (a, b: features of the views, u), of any number."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows, self.n = rows.select("a", "b", "u"), rows.count()
+
+    def counted(self, history: list[Round], weights: list[np.ndarray]) -> dict[tuple[int, int], int]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int], int] = {}
+            for batch in batches:
+                if batch.num_rows:
+                    for key, n in _counted(_arrays(batch), batch.column("u").to_numpy(), history, weights).items():
+                        total[key] = total.get(key, 0) + n
+            yield pa.RecordBatch.from_pydict({"v": pa.array([v for v, _ in total], pa.int32()), "at": pa.array([k for _, k in total], pa.int64()), "n": pa.array(total.values(), pa.int64())})
+
+        found = self.rows.mapInArrow(count, "v int, at long, n long").groupBy("v", "at").agg(F.sum("n").alias("n"))
+        return {(r["v"], r["at"]): r["n"] for r in found.collect()}  # at most 2 * 2 * MOST / STEP rows
+
+    def mark(self, history: list[Round]) -> None:
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    given = _given(_arrays(batch), batch.column("u").to_numpy(), history)
+                    some = pa.array((given[0] >= 0) | (given[1] >= 0))
+                    out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(given[0]), pa.array(given[1])], ["a", "b", "g0", "g1"])
+                    yield out.filter(some)
+
+        self.marked = table(self.rows.mapInArrow(marked, "a array<double>, b array<double>, g0 double, g1 double"))
+
+    def sums(self, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    parts = [_handed_sums(x, batch.column(f"g{v}").to_numpy(), weights[v]) for v, x in enumerate(_arrays(batch))]
+                    flat = np.concatenate([part.ravel() for pair in parts for part in pair])
+                    total = flat if total is None else total + flat
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(total))), "x": pa.array(total)})
+
+        size = [len(w) for w in weights]
+        flat = np.zeros(sum(d + d * d for d in size))
+        for r in self.marked.mapInArrow(add, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            flat[r["at"]] = r["x"]
+        out, at = [], 0
+        for d in size:
+            out.append((flat[at : at + d], flat[at + d : at + d + d * d].reshape(d, d)))
+            at += d + d * d
+        return out
 
 
 def _loss(margin: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, np.where(y > 0, -margin, margin))))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], back: np.ndarray, names: tuple[tuple[str, ...], tuple[str, ...]], rounds: int = ROUNDS) -> Classifier:
-    """views: features of the labelled rows; y: their labels; pool: features of unlabelled rows; back: which labelled rows are kept for calibration."""
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | Rows | Table, back: np.ndarray, names: tuple[tuple[str, ...], tuple[str, ...]], rounds: int = ROUNDS) -> Classifier:
+    """views: features of the labelled rows; y: their labels; pool: the unlabelled rows, or their features; back: which labelled rows are kept for calibration."""
     fit = ~back
     good = y[fit].mean()
-    given = [np.full(len(pool[0]), -1.0) for _ in views]  # labels that each view got from the other
-
-    def model(v: int) -> np.ndarray:
-        got = given[v] >= 0
-        x = np.vstack([views[v][fit], pool[v][got]])
-        return _fit(x, np.concatenate([y[fit], given[v][got]]), np.concatenate([np.ones(fit.sum()), np.full(got.sum(), 0.5)]))
-
-    weights = [model(0), model(1)]
-    for _ in range(rounds if len(pool[0]) else 0):
-        margins = [pool[v] @ weights[v][:-1] + weights[v][-1] for v in (0, 1)]
-        for v in (0, 1):
-            other = 1 - v
-            free = np.flatnonzero(given[other] < 0)
-            order = free[np.argsort(margins[v][free], kind="stable")]
-            bad_n, good_n = int(HANDED * len(pool[0]) * (1 - good)), int(HANDED * len(pool[0]) * good)
-            low, high = order[:bad_n], order[len(order) - good_n :]
-            given[other][low[margins[v][low] < -1]] = 0.0
-            given[other][high[margins[v][high] > 1]] = 1.0
-        weights = [model(0), model(1)]
+    if isinstance(pool, tuple):
+        pool = Rows(pool)
+
+    def own(ws: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [_sums(views[v][fit], y[fit], np.ones(fit.sum()), ws[v]) for v in (0, 1)]
+
+    def both(ws: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(g + h, m + n) for (g, m), (h, n) in zip(own(ws), pool.sums(ws), strict=True)]
+
+    weights = _newton([np.zeros(x.shape[1] + 1) for x in views], own)
+    history: list[Round] = []
+    wanted = int(HANDED * pool.n * (1 - good)), int(HANDED * pool.n * good)
+    for _ in range(rounds if pool.n else 0):
+        counts = pool.counted(history, weights)
+        side = lambda v, sign: {k: n for (w, k), n in counts.items() if w == v and (k < 0) == (sign > 0)}
+        history.append(Round((weights[0], weights[1]), tuple(_cut(side(v, 1), wanted[0], 1) for v in (0, 1)), tuple(_cut(side(v, -1), wanted[1], -1) for v in (0, 1))))
+        pool.mark(history)
+        weights = _newton(weights, both)
     made, losses = [], []
     base = _loss(np.full(back.sum(), np.log((y[back].sum() + 1) / ((1 - y[back]).sum() + 1))), y[back]) if back.any() else 1.0
     for v in (0, 1):
@@ -148,39 +288,49 @@ def _viewed(docs: DataFrame) -> tuple[dict[str, Column], dict[str, Column]]:
     return content(F.col("text")), metadata(F.col("lang"), F.col("source"), F.col("n_chars"), F.col("text"))
 
 
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, u, a, b) for each row of docs: the features of both views, and a number in [0, 1) by hash."""
+    a, b = (F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in view.values())) for view in _viewed(docs))
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # inline() keeps the optimizer from writing the features out once more for each use
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), u.alias("u"), F.inline(F.array(F.struct(a.alias("a"), b.alias("b")))))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
+    return train_on(table(featured(docs)), labels)
+
+
+def train_on(rows: DataFrame, labels: DataFrame) -> Classifier | None:
+    """The classifier of written features."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
-    order = F.xxhash64("doc_id")
-    some = table(known.orderBy(order).limit(LABELLED))
-    a, b = _viewed(docs)
-    # rows for the pool are drawn by hash alone; those that are labelled are told apart by the left join
-    drawn = table(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(1))).limit(POOL).select("doc_id"))
-    ids = table(drawn.join(F.broadcast(some), "doc_id", "full_outer").select("doc_id", "y"))
-    taken = docs.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), docs["doc_id"].cast("long") == F.col("_id")).select("_id", "y", *(c.cast("double").alias(k) for k, c in {**a, **b}.items()))
-    rows = table(taken.dropDuplicates(["_id"])).orderBy("_id").toPandas()
-    labelled = rows[rows["y"].notna()]
-    y = labelled["y"].to_numpy(float)
+    some = table(known.orderBy(F.xxhash64("doc_id")).limit(LABELLED))
+    found = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct("a", "b")).alias("x"))
+    labelled = found.orderBy("doc_id").collect()
+    y = np.array([r["y"] for r in labelled], float)
     if not 0 < y.sum() < len(y):
         return None
-    pool = rows[rows["y"].isna()]
-    pick = lambda f, names: f[list(names)].to_numpy(float)
+    pool = Table(table(rows.join(F.broadcast(some), "doc_id", "left_anti").select("a", "b", "u")))
     back = np.arange(len(y)) % BACK == 0
-    return co_train((pick(labelled, a), pick(labelled, b)), y, (pick(pool, a), pick(pool, b)), back, (tuple(a), tuple(b)))
+    a, b = (tuple(view) for view in _viewed(rows))
+    return co_train(tuple(np.array([r["x"][c] for r in labelled], float) for c in ("a", "b")), y, pool, back, (a, b))
 
 
 def quality(docs: DataFrame, model: Classifier | None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, text_score, page_score, score, kept) for each row of docs (doc_id, text, lang, source, n_chars)."""
+    return scored(featured(docs) if model else docs, model, threshold)
+
+
+def scored(rows: DataFrame, model: Classifier | None, threshold: float = 0.5) -> DataFrame:
+    """quality() of rows (doc_id, a, b)."""
     if model is None:
         half = F.lit(0.5)
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), half.alias("text_score"), half.alias("page_score"), half.alias("score"), F.lit(True).alias("kept"))
+        return rows.select(F.col("doc_id").cast("long").alias("doc_id"), half.alias("text_score"), half.alias("page_score"), half.alias("score"), F.lit(True).alias("kept"))
 
-    def margin(view: View, columns: dict[str, Column]) -> Column:
-        parts = [F.lit(w) * columns[n] for n, w in zip(view.names, view.weights, strict=True)]
+    def margin(view: View, features: str) -> Column:
+        parts = [F.lit(w) * F.get(features, i) for i, w in enumerate(view.weights)]
         return F.lit(view.shift) + F.lit(view.slope) * sum(parts, F.lit(view.bias))
 
     logistic = lambda m: 1 / (1 + F.exp(-m))
-    a, b = _viewed(docs)
-    # inline() keeps the optimizer from writing the features out once more for each use of a margin
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(F.struct(margin(model.text, a).alias("t"), margin(model.page, b).alias("p")))))
+    out = rows.select("doc_id", F.inline(F.array(F.struct(margin(model.text, "a").alias("t"), margin(model.page, "b").alias("p")))))
     out = out.withColumn("score", logistic(F.lit(model.share) * F.col("t") + F.lit(1 - model.share) * F.col("p")))
     return out.select("doc_id", logistic(F.col("t")).alias("text_score"), logistic(F.col("p")).alias("page_score"), "score", (F.col("score") >= threshold).alias("kept"))

@@ -12,6 +12,7 @@ from .bpe import encode_decode
 from .html_text import extract
 from .lines import dedup_lines, quality_rules
 from .ngram_join import near_duplicates
+from .shared import table
 from .toxicity import learn, toxicity
 from .warc import archived
 from .wavelet import token_files
@@ -20,8 +21,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return cotrain.quality(docs, cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = table(cotrain.featured(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return cotrain.scored(rows, cotrain.train_on(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from curvemill.llm import cotrain
 from curvemill.llm.decontaminate import THRESHOLD, Index, decontaminated, leaks
@@ -108,6 +109,35 @@ def test_co_training_beats_the_labels_alone():
     assert together > alone and together > 0.95
 
 
+def test_every_unlabelled_row_takes_part(spark, monkeypatch):
+    """More rows than any sample once held: all are in the pool, and the table's rounds and sums are those of the arrays."""
+    r = np.random.default_rng(1)
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("x y. "), (F.col("id") % 37).cast("int"))).alias("text"), F.lit("en").alias("lang"), (F.col("id") % 50).cast("string").alias("source"), F.col("id").alias("n_chars"))
+    labels = docs.where("doc_id < 200").select("doc_id", (F.col("doc_id") % 37 > 12).cast("int").alias("quality"))
+    seen, whole = [], cotrain.co_train
+    monkeypatch.setattr(cotrain, "co_train", lambda *a, **k: seen.append(a) or whole(*a, **k))
+    model = cotrain.train(docs, labels)
+    pool = seen[0][2]
+    assert pool.n == n - 200
+    rows = pool.rows.toPandas()
+    arrays = cotrain.Rows((np.stack(rows["a"]), np.stack(rows["b"])))
+    arrays.u = rows["u"].to_numpy()
+    same = whole(*seen[0][:2], arrays, *seen[0][3:])
+    for a, b in ((model.text, same.text), (model.page, same.page)):
+        assert np.allclose([*a.weights, a.bias, a.slope, a.shift], [*b.weights, b.bias, b.slope, b.shift], atol=1e-4)
+    # each view hands on at most its share of all rows a round, and none that it is unsure of
+    handed = [(g >= 0).sum() for g in arrays.given]
+    assert 0 < max(handed) <= cotrain.ROUNDS * cotrain.HANDED * pool.n * 1.05
+    x = [r.normal(0, 3, (1000, 1)) for _ in "ab"]
+    w = [np.array([1.0, 0.0])] * 2
+    u = r.random(1000)
+    counts = {k: c for (v, k), c in cotrain._counted(x, u, [], w).items() if v == 0 and k < 0}
+    past = cotrain.Round(tuple(w), (cotrain._cut(counts, 100, 1),) * 2, ((10**6, 0.0),) * 2)
+    to = cotrain._given(x, u, [past])[1]
+    assert abs((to == 0).sum() - 100) <= max(counts.values()) and x[0][to == 0].max() <= np.sort(x[0][:, 0])[100] + cotrain.STEP
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = cotrain.train(docs, labels)
