@@ -39,17 +39,22 @@ def nearest(queries: DataFrame, train: DataFrame, columns: list[str], k: int, ke
     q = queries.select(F.col(key).alias("_q"), *(F.col(c).alias(f"_q_{c}") for c in columns))
     t = train.select(F.col(key).alias("neighbor"), F.col(pos).alias("_pos"), *(F.col(c).alias(f"_t_{c}") for c in columns))
     d = reduce(lambda x, y: x + y, (F.pow((F.col(f"_q_{c}") - F.col(f"_t_{c}")) / F.lit(float(s[c])), 2) for c in columns))
+    on = (F.col("_q") != F.col("neighbor")) if exclude_self else F.lit(True)
+    return _best(q, t, d, k, blocks, on).select(F.col("_q").alias(key), "neighbor", "distance", "rank")
+
+
+def _best(q: DataFrame, t: DataFrame, d: Column, k: int, blocks: int, on: Column) -> DataFrame:
+    """(_q, neighbor, _pos, distance, rank): the k nearest rows of t for each row of q, block by block of t."""
     w = Window.partitionBy("_q").orderBy("distance", "_pos")
     best = []
     for b in range(blocks):
         part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("neighbor"), F.lit(blocks)) == b)
-        on = (F.col("_q") != F.col("neighbor")) if exclude_self else F.lit(True)
         pairs = q.join(F.broadcast(part), on).select("_q", "neighbor", "_pos", d.alias("distance"))
         best.append(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     found = reduce(DataFrame.unionByName, best)
     if blocks > 1:
         found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return found.select(F.col("_q").alias(key), "neighbor", "distance", "rank")
+    return found
 
 
 def mean_of_neighbors(found: DataFrame, curves: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -75,13 +80,9 @@ def loo_ranks(df: DataFrame, columns: list[str], k: int, key: str = "sample_id",
         return F.when(F.sqrt(var) < 1e-12, 1.0).otherwise(F.sqrt(var))
 
     q = q.select("_q", *(F.col(f"_q_{c}") for c in columns), *(scale(c).alias(f"_sc_{c}") for c in columns))
-    if df.count() > TRAIN:
-        raise ValueError(f"leave-one-out over more than {TRAIN} entities needs blocks: use nearest()")
     t = df.select(F.col(key).alias("neighbor"), F.col(pos).alias("_pos"), *(F.col(c).alias(f"_t_{c}") for c in columns))
     d = reduce(lambda x, y: x + y, (F.pow((F.col(f"_q_{c}") - F.col(f"_t_{c}")) / F.col(f"_sc_{c}"), 2) for c in columns))
-    w = Window.partitionBy("_q").orderBy("distance", "_pos")
-    pairs = q.join(F.broadcast(t), F.col("_q") != F.col("neighbor")).select("_q", "neighbor", "_pos", d.alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("_q").alias(key), "neighbor", "distance", "rank")
+    return _best(q, t, d, k, max(1, -(-df.count() // TRAIN)), F.col("_q") != F.col("neighbor")).select(F.col("_q").alias(key), "neighbor", "distance", "rank")
 
 
 def loo_scores(df: DataFrame, columns: list[str], counts: tuple[int, ...] = COUNTS, key: str = "sample_id", pos: str = "pos") -> DataFrame:

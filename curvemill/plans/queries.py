@@ -364,10 +364,10 @@ def set_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # embeddings as entities: the first dimensions are features, the curve is made of the label
-def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     cdf = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.when(i == 10, 100.0).otherwise(F.least(F.lit(100.0), F.col("label") * 4.0 + i * 6.0)))
-    return e.select(F.col("vec_id").alias("sample_id"), F.col("vec_id").alias("pos"), *(F.get("embedding", i).cast("double").alias(f"feature_{i}") for i in range(DIMS)), cdf.alias("cdf"))
+    return e.select(F.col("vec_id").alias("sample_id"), F.col("vec_id").alias("pos"), *(F.get("embedding", i).cast("double").alias(f"feature_{i}") for i in range(dims)), cdf.alias("cdf"))
 
 
 _E = "e AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(DIMS)) + " FROM embeddings)"
@@ -402,6 +402,30 @@ def knn_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.loo_scores(e, A.feature_columns(e)).select(F.col("k").cast("int").alias("k"), r6("emd").alias("emd"))
 
 
+# the same over whole embeddings, with each row as a query against all others; too slow as SQL, so tests hold them against brute force
+def encoded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = read(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    return encoded(spark, sf_dir, size)
+
+
+@query()
+def knn_neighbors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = encoded_whole(spark, sf_dir)
+    return N.nearest(e, e, A.feature_columns(e), 3, exclude_self=True).select("sample_id", "neighbor", "rank")
+
+
+@query()
+def knn_curves_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = encoded_whole(spark, sf_dir)
+    return at_points(N.mean_of_neighbors(N.nearest(e, e, A.feature_columns(e), 3, exclude_self=True), e), ["sample_id"])
+
+
+@query()
+def knn_loo_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = encoded_whole(spark, sf_dir)
+    return N.loo_scores(e, A.feature_columns(e)).select(F.col("k").cast("int").alias("k"), r6("emd").alias("emd"))
+
+
 _SUP = "s AS (SELECT l_suppkey, avg(l_quantity) AS x, count(*) FILTER (l_extendedprice <= threshold) * 100.0::DOUBLE / count(*) AS y, pos FROM lineitem, " + _T + " GROUP BY 1, pos)"
 
 

@@ -133,6 +133,17 @@ def test_neighbors(spark, monkeypatch):
         assert e == pytest.approx(M.loo_error(x, y, lambda a, b, q, k=k: M.knn(a, b, q, k)))
 
 
+def test_leave_one_out_in_blocks(spark, monkeypatch):
+    x, y = entities()
+    x[3] = x[2]
+    df = table(spark, x, y)
+    cols = A.feature_columns(df)
+    ranks = lambda: sorted(tuple(r)[:2] + tuple(r)[3:] for r in N.loo_ranks(df, cols, 3).collect())
+    whole = ranks()
+    monkeypatch.setattr(N, "TRAIN", -(-len(x) // 3))
+    assert ranks() == whole and len(whole) == 3 * len(x)
+
+
 def test_gram_ridge(spark):
     x, y = entities(15, 3)
     x[:, 2] = 4.0

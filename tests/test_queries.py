@@ -1,6 +1,7 @@
 """Every registered query of the curve operators against its SQL in DuckDB; queries without SQL must give rows."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from curvemill.plans import queries as Q
@@ -30,6 +31,19 @@ def test_query(spark, db, name):
         assert len(got)
 
 
+def test_neighbors_of_whole_embeddings(spark, db):
+    e = db.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").df()
+    x = np.stack(e["embedding"]).astype(float)
+    dev = x.std(0)
+    x = x / np.where(dev < 1e-12, 1.0, dev)
+    far = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(far, np.inf)
+    ids = e["vec_id"].to_numpy()
+    want = sorted((int(q), int(ids[j]), i + 1) for q, row in zip(ids, far, strict=True) for i, j in enumerate(np.argsort(row, kind="stable")[:3]))
+    got = sorted(tuple(r) for r in Q.queries()["knn_neighbors_whole"](spark, DATA).collect())
+    assert x.shape[1] > Q.DIMS and got == want
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 
