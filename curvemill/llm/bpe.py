@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import small_batches, tidy
 
-#: Chunks and words that a worker keeps at most (about 300 bytes each).
+#: Chunks and words that a task keeps at most (about 150 bytes each).
 KEPT = 150_000
 NONE = 1 << 30
+#: Ids that are turned into text at once.
+STEP = 100_000
 
 
 class Kept(dict):
@@ -106,9 +108,11 @@ class BytePairs:
         for t, i in [*self.vocab.items(), *self.special.items()]:
             text[i] = t
         self.text = text
-        # the offset table for decoding: where each token's string begins and ends in the joined one
-        raw = [t.encode() for t in text]
-        self.joined, self.offset = b"".join(raw), np.cumsum([0, *map(len, raw)])
+        # the offset tables: where each token's string, and its id in decimals, begins and ends in the joined ones, with a space after each
+        self.strings = _offsets([t.encode() for t in text])
+        self.decimals = _offsets([b"%d" % i for i in range(self.size)])
+        self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.bytes_of = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.size)]
         self.tree = ahocorasick.Automaton()
         for t, i in self.vocab.items():
             # the last letter with the suffix counts as one symbol; it is written after the word as an end mark
@@ -122,8 +126,7 @@ class BytePairs:
         self.length = [len(t) - len(self.suffix) + 1 if t.endswith(self.suffix) and t != self.suffix else len(t) for t in text]
         self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.words = Kept(self.split)
-        self.chunks: Kept | None = None
+        self.words, self.chunks = Kept(self.split), Kept(self.chunk)
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts at a token's left (0) or right (1) end from single symbol to whole token, each with the rank of the merge that takes it up (NONE: none)."""
@@ -163,8 +166,8 @@ class BytePairs:
             self.pairs[key] = known
         return known
 
-    def split(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-token, already in the letters of bytes."""
+    def split(self, word: str) -> bytes:
+        """Ids (as kind) of one pre-token, already in the letters of bytes."""
         marked = word + "\x00"
         # most words need no step back: the longest tokens one after the other are all compatible
         fast, at, before = [], 0, -1
@@ -174,7 +177,7 @@ class BytePairs:
             fast.append(token)
             at, before = end + 1, token
         if at == len(marked):
-            return tuple(fast)
+            return b"".join([self.bytes_of[t] for t in fast])
         n = len(word)
         # ends[i]: tokens that begin at i, by length; the automaton gives all matches by their ends
         begins: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -206,27 +209,49 @@ class BytePairs:
                 continue
             path.append((at, which, token))
             at, which = end, 0
-        return tuple(p[2] for p in path)
+        return b"".join([self.bytes_of[p[2]] for p in path])
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without spaces or line feeds, or of any text."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids (as kind) of a text without spaces or line feeds, or of any text."""
         if simple := plain(chunk):
-            return [i for word in simple if word for i in self.words[word]]
-        out: list[int] = []
+            word, marks = simple
+            return self.words[word] + self.words[marks] if word and marks else self.words[word or marks] if word or marks else b""
+        out: list[bytes] = []
         for k, part in enumerate(self.cut.split(chunk) if self.cut else [chunk]):
             if k % 2:
-                out.append(self.special[part])
+                out.append(self.bytes_of[self.special[part]])
                 continue
             part = unicodedata.normalize("NFC", part)
             part = regex.sub(r"\s+", " ", part)
             part = "".join(c.lower() for c in part) if not part.isascii() else part.lower()
             for w in self.pattern.findall(part):
-                out += self.words["".join([LETTERS[b] for b in w.encode()])]
-        return out
+                out.append(self.words["".join([LETTERS[b] for b in w.encode()])])
+        return b"".join(out)
 
-    def decode(self, ids) -> str:
-        """The tokens' strings joined by one space, as a file without a decoder gives them; special tokens stay."""
-        return b" ".join(self.joined[self.offset[i] : self.offset[i + 1]] for i in ids).decode()
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text; those of its chunks are kept for as long as the table of chunks has room."""
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks(text))), self.kind)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The tokens' strings joined by one space, in UTF-8, as a file without a decoder gives them; special tokens stay."""
+        return _joined(self.strings, ids)
+
+
+def _offsets(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts joined, a space after each, and where each begins (one entry more than parts)."""
+    return np.frombuffer(b"".join([p + b" " for p in parts]), np.uint8), np.cumsum([0, *(len(p) + 1 for p in parts)])
+
+
+def _joined(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> bytes:
+    """The table's parts at ids, joined by one space; long texts in steps."""
+    (text, offset), out = table, []
+    for i in range(0, len(ids), STEP):
+        some = ids[i : i + STEP].astype(np.int64)
+        begin = offset[some]
+        length = offset[some + 1] - begin
+        ends = np.cumsum(length)
+        out.append(text[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)].tobytes())
+    return b"".join(out)[:-1]
 
 
 def chunks(text: str) -> list[str]:
@@ -236,18 +261,6 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
-_loaded: dict[int, BytePairs] = {}
-
-
-def loaded(spec: str) -> BytePairs:
-    """spec's tables, made once in this process."""
-    key = hash(spec)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = BytePairs(spec)
-    return _loaded[key]
-
-
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs (doc_id, text). path: the tokenizer file, read by the driver (2 MB) and sent to the workers."""
     small_batches(docs.sparkSession)
@@ -255,24 +268,13 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = loaded(spec.value)
+        pairs = BytePairs(spec.value)  # made anew in a third of a second, so that idle workers hold nothing
         sha = hashlib.sha256
-
-        def strings(chunk: str) -> tuple[str, str, int]:
-            ids = pairs.chunk(chunk)
-            return " ".join(map(str, ids)), pairs.decode(ids), len(ids)
-
-        if pairs.chunks is None:
-            pairs.chunks = Kept(strings)
-        known = pairs.chunks  # kept for the next batch, given back at the task's end: idle workers stay small
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                found = [x for x in map(known.__getitem__, chunks(text or "")) if x[2]]
-                ids, decoded, n = zip(*found, strict=True) if found else ((), (), ())
-                rows.append((sum(n), sha(" ".join(ids).encode()).hexdigest(), sha(" ".join(decoded).encode()).hexdigest()))
+                ids = pairs.encode(text or "")
+                rows.append((len(ids), sha(_joined(pairs.decimals, ids)).hexdigest(), sha(pairs.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=frame["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
-        for kept in (known, pairs.words):
-            kept.empty()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,14 +5,17 @@ texts hold form the frequent class and come last in the global order; the others
 whose prefix (n - ceil(0.8 n) + 1 tokens) is all rare indexes its tokens singly. A text with fewer rare
 tokens indexes those singly, extends its prefix by one token, and indexes each pair of frequent tokens in it:
 two texts that link share a token in the prefixes and two in the extended ones, so either a rare token or a
-pair of frequent ones meets. Texts with equal sets are one class from the start. Within an index entry each class
-is first verified against the entry's smallest class, which links large groups of copies without all their pairs;
+pair of frequent ones meets. Pairs grow with the square of a prefix, so sets of more than LONG tokens index the frequent tokens of their
+prefix singly; sets near that size, which may link with both kinds, index both ways. Texts with equal sets are one class from the start.
+Within an index entry each class is first verified against the entry's smallest class, which links large groups of copies without all their pairs;
 then, in entries whose classes are still apart, against one told by chance, and last all pairs in different components.
 Bounds that every link fulfils (sizes, odd sketches inside the join, counts by hash range) come before a pair's sets are
-read. All links between components are found, so the components are exact (64-bit hashes stand for words).
+read. All links between components are found, so the components are exact (64-bit hashes stand for words). Entries meet by equi-joins
+in the executors; the driver sees the frequent tokens alone, at most CLASS_ROWS of them.
 
-Null, empty and blank texts have an empty set and link with nothing; equal texts link; a null doc_id never names a
-component; repeated rows are returned as often as they come.
+Null, empty and blank texts have an empty set and link with nothing; equal texts link; texts of any length are taken whole. A null doc_id
+links like any other but never names a component with a numbered document in it; rows of one doc_id with different texts are different
+documents that share a name; repeated rows are returned as often as they come. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, sized, small_batches, table, tidy
+from .shared import components, fresh, sized, small_batches, table, tidy
 from .shingles import batches, mix, shingle_sets
 
 #: Texts that hold a token of the rare class at most.
@@ -36,8 +39,10 @@ TURNS = 1
 SKETCH = 8
 #: Classes of one index entry that are compared with each other, or with as many others, at once.
 BLOCK = 256
-#: Entries that more than one class holds which are sent to all tasks (16 bytes each); more are joined by shuffle.
-MET_ROWS = 4_000_000
+#: Tokens of a set from which on frequent tokens are indexed singly.
+LONG = 256
+#: Bytes of text, on the whole, whose tokens one group counts.
+PIECE = 8_000_000
 ODD = [f"o{i}" for i in range(SKETCH)]
 _LOW = np.uint64(0xFFFFFFFFFFFF)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -75,71 +80,87 @@ def may_link() -> str:
     return f"100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b) and 9 * ({differ}) <= n_a + n_b"
 
 
-def _counted(docs: DataFrame, pieces: int) -> DataFrame:
-    """(token, n): 48-bit tokens of more than FREQUENT texts. Tasks send sorted packed keys; each reducer counts one range of them."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """(token, n): 48-bit tokens of more than FREQUENT texts. Tasks count what they hold and send sorted packed keys with their counts; each group adds up one range of them.
+
+    There are so many ranges that one holds the tokens of about PIECE bytes of text, however much there is; a token comes once from each part of a task, so none makes its range large."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE))
+    cuts = np.array([(i << 48) // pieces for i in range(1, pieces)], np.uint64)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def out() -> pd.DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            keys = np.repeat(keys, np.minimum(n, FREQUENT + 1))
-            cut = np.searchsorted(keys, [(i << 48) // pieces for i in range(1, pieces)])
-            parts = np.split(keys, cut)
-            return pd.DataFrame({"piece": range(pieces), "high": [(p >> np.uint64(32)).astype("<u2").tobytes() for p in parts], "low": [p.astype("<u4").tobytes() for p in parts]}).query("low.str.len() > 0")
+            n = np.minimum(n, FREQUENT + 1).astype("<u2")
+            ends = [0, *np.searchsorted(keys, cuts), len(keys)]
+            rows = [(i, (keys[a:b] >> np.uint64(32)).astype("<u2").tobytes(), keys[a:b].astype("<u4").tobytes(), n[a:b].tobytes()) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+            return pd.DataFrame(rows, columns=["piece", "high", "low", "n"])
 
         for _, texts in batches(frames):
             for s in shingle_sets(texts):
                 held.append(s & _LOW)
                 size += len(s)
-            if size >= 1_500_000:
+            if size >= 1_000_000:
                 yield out()
                 held, size = [], 0
         if size:
             yield out()
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(h, "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(x, "<u4") for h, x in zip(frame["high"], frame["low"], strict=True)]
-        token, n = np.unique(np.concatenate(keys), return_counts=True)
-        often = n > FREQUENT
-        return pd.DataFrame({"token": token[often].astype(np.int64), "n": n[often]})
-
-    sent = docs.select("text").mapInPandas(tidy(send), "piece int, high binary, low binary")
+        high, low, n = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("high", "<u2"), ("low", "<u4"), ("n", "<u2")))
+        keys = high.astype(np.uint64) << np.uint64(32) | low
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(n, first, dtype=np.int64)
+        often = total > FREQUENT
+        return pd.DataFrame({"token": keys[first][often].astype(np.int64), "n": total[often]})
+
+    sent = docs.select("text").mapInPandas(tidy(send), "piece int, high binary, low binary, n binary")
     return sent.groupBy("piece").applyInPandas(count, "token long, n long")
 
 
+def entries_of(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Index entries of a sorted set; tokens: the frequent ones (48 bits, sorted), counts: the texts that hold them."""
+    p = len(s) - need(len(s)) + 1
+    if len(s) < 2:
+        return s[:0]
+    if len(tokens):
+        low = s & _LOW
+        at = np.minimum(np.searchsorted(tokens, low), len(tokens) - 1)
+        often = tokens[at] == low
+        rare = s[~often][:p]
+    else:
+        rare = s[:p]
+    if len(rare) >= p:
+        return rare
+    f = s[often]
+    f = f[np.lexsort((f, counts[at[often]]))][: p + 1 - len(rare)]
+    out = [rare]
+    if 5 * len(s) >= 4 * LONG:
+        out.append(f[: p - len(rare)])
+    if 4 * len(s) <= 5 * LONG:
+        f = np.sort(f)
+        i, j = np.triu_indices(len(f), 1)
+        out.append(mix(f[i] * _A + f[j] * _B))
+    return np.concatenate(out)
+
+
 def _indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, class, entries, counts, odd sketch) for each row. class is null for an empty set."""
+    """(doc_id, h, n, class, entries, counts, odd sketch) for each row. class is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, counts = shared.value
-
-        def entries(s: np.ndarray) -> np.ndarray:
-            p = len(s) - need(len(s)) + 1
-            if len(s) < 2:
-                return s[:0].view(np.int64)
-            if len(tokens):
-                low = s & _LOW
-                at = np.minimum(np.searchsorted(tokens, low), len(tokens) - 1)
-                often = tokens[at] == low
-                rare = s[~often][:p]
-            else:
-                rare = s[:p]
-            if len(rare) >= p:
-                return rare.view(np.int64)
-            f = s[often]
-            f = np.sort(f[np.lexsort((f, counts[at[often]]))][: p + 1 - len(rare)])
-            i, j = np.triu_indices(len(f), 1)
-            return np.concatenate([rare, mix(f[i] * _A + f[j] * _B)]).view(np.int64)
-
         for frame, texts in batches(frames):
             sets = list(shingle_sets(texts))
             with np.errstate(over="ignore"):
                 names = [None if not len(s) else int(mix(np.array([s.sum() * _A + np.bitwise_xor.reduce(s) * _B + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) for s in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "class": pd.array(names, "Int64"), "entries": [entries(s) for s in sets], "counts": [range_counts(s) for s in sets], **dict(zip(ODD, np.array([odd(s) for s in sets]).reshape(-1, SKETCH).T, strict=True))})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "h": frame["h"], "n": [len(s) for s in sets], "class": pd.array(names, "Int64"), "entries": [entries_of(s, tokens, counts).view(np.int64) for s in sets], "counts": [range_counts(s) for s in sets], **dict(zip(ODD, np.array([odd(s) for s in sets]).reshape(-1, SKETCH).T, strict=True))})
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(index), "doc_id long, n long, class long, entries array<long>, counts binary, " + ", ".join(f"{o} long" for o in ODD))
+    return docs.mapInPandas(tidy(index), "doc_id long, h long, n long, class long, entries array<long>, counts binary, " + ", ".join(f"{o} long" for o in ODD))
 
 
 def _possible_pairs(at: DataFrame) -> DataFrame:
@@ -193,37 +214,21 @@ def _possible_pairs(at: DataFrame) -> DataFrame:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """(entry, class, n, low) of the entries that two classes or more hold, each class once; low is the entry's smallest class."""
-    entries = rows.select("class", F.explode("entries").alias("entry"))
+    entries = rows.where("class is not null").select("class", "n", F.explode("entries").alias("entry"))
     met = table(entries.groupBy("entry").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("entry", "low"))
-    if met.count() > MET_ROWS:
-        return table(rows.select("class", "n", F.explode("entries").alias("entry")).join(met, "entry").select("entry", "class", "n", "low").distinct())
-    few = met.toArrow().sort_by("entry")
-    known = rows.sparkSession.sparkContext.broadcast((few["entry"].to_numpy(), few["low"].to_numpy()))
-
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entry, low = known.value
-        for frame in frames:
-            if not len(frame) or not len(entry):
-                continue
-            found = np.concatenate(frame["entries"].to_list() or [np.empty(0, np.int64)]).astype(np.int64)
-            of = np.repeat(np.arange(len(frame)), frame["entries"].str.len())
-            at = np.minimum(np.searchsorted(entry, found), len(entry) - 1)
-            hit = np.flatnonzero(entry[at] == found)
-            yield pd.DataFrame({"entry": found[hit], "class": frame["class"].to_numpy(np.int64)[of[hit]], "n": frame["n"].to_numpy(np.int64)[of[hit]], "low": low[at[hit]]})
-
-    rows = rows.where("class is not null").select("class", "n", "entries")
-    return table(rows.mapInPandas(tidy(keep), "entry long, class long, n long, low long").distinct())
+    return table(entries.join(sized(met), "entry").select("entry", "class", "n", "low").distinct())
 
 
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link. The sets are made again from one text of each class."""
-    ids = table(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(first, "class").select("class", "doc_id"))
+    ids = table(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(first, "class").select("class", F.col("doc_id").alias("of"), F.col("h").alias("text_h")))
 
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, texts in batches(frames):
             yield pd.DataFrame({"class": frame["class"], "tokens": [s.tobytes() for s in shingle_sets(texts)]})
 
-    sets = table(docs.select("doc_id", "text").join(sized(ids), "doc_id").mapInPandas(tidy(again), "class long, tokens binary").dropDuplicates(["class"]))
+    texts = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text_h"))).select("class", "text")
+    sets = table(texts.mapInPandas(tidy(again), "class long, tokens binary").dropDuplicates(["class"]))
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -240,19 +245,51 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     return table(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(tidy(links), "a long, b long"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, h): h is a hash of the text, so that (doc_id, h) tells rows of one doc_id with different texts apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); other columns are not looked at."""
+    return clusters(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (nulls last), then the least hash of its text; of equal rows one.
+
+    Rows that link with nothing stay, as often as they come."""
+    found = table(clusters(docs).where("root is not null").groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("best"))
+    best = table(best.select("best.doc_id", "best.h"))
+    d, h = fresh(docs, "d", "h")
+    keys = lambda df: df.select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h))
+    # doc_id and text tell all but equal rows apart, so those that go and those that come more than once are named by them
+    told = found.alias("f").join(sized(best).alias("b"), F.col("f.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("f.h") == F.col("b.h")), "left")
+    told = table(told.select("f.doc_id", "f.h", "n", F.col("b.h").isNotNull().alias("stays")))
+    gone, twice = keys(told.where("not stays")), table(keys(told.where("stays and n > 1")))
+    out = docs.join(sized(gone), same, "left_anti")
+    if twice.isEmpty():
+        return out
+    rest = out.join(sized(twice), same, "left_anti")
+    return rest.unionByName(out.join(sized(twice), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id, root) for each row of docs (doc_id, text); root is null where the row links with no other one."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    often, limit = table(_counted(docs, pieces)), FREQUENT
+    docs = _keyed(docs)
+    often, limit = table(_counted(docs)), FREQUENT
     while often.where(F.col("n") > limit).count() > CLASS_ROWS:
         limit *= 2
     classes = often.where(F.col("n") > limit).toArrow().sort_by("token")
     rows = table(_indexed(docs, (classes["token"].to_numpy().astype(np.uint64), classes["n"].to_numpy())))
 
-    first = table(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("counts").alias("counts"), *(F.min(o).alias(o) for o in ODD)))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("one")
+    first = rows.where("class is not null").groupBy("class").agg(one, F.min("n").alias("n"), F.count("*").alias("copies"), F.min("counts").alias("counts"), *(F.min(o).alias(o) for o in ODD))
+    first = table(first.select("class", "one.doc_id", "one.h", "n", "copies", "counts", *ODD))
     entries = _shared(rows)
     sides = {k: first.select(*(F.col(c).alias(f"{c}_{k}") for c in ("class", "n", *ODD))) for k in "ab"}
 
@@ -291,6 +328,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     root = components(link).withColumnsRenamed({"node": "class"})
     name = first.join(root, "class", "left").select("class", "doc_id", "copies", F.coalesce("root", "class").alias("root"))
     least = name.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members"))
-    named = table(name.join(least.where("members > 1"), "root").select("class", "component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(sized(named), "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = table(name.join(least.where("members > 1"), "root").select("class", "component_id", "root"))
+    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "class").join(sized(named), "class", "left")
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
+import os
+import re
 import uuid
 from functools import wraps
 
@@ -18,8 +21,10 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; below /tmp only where that setting is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share; below /tmp only where that setting is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = f"{(base or '/tmp/checkpoints').rstrip('/')}/curvemill-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
@@ -42,7 +47,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def tidy(mapper):
-    """mapper for mapInPandas that gives freed memory back to the system at a task's end, so that idle workers stay small."""
+    """mapper for mapInPandas or mapInArrow that gives freed memory back to the system at a task's end, so that idle workers stay small."""
 
     @wraps(mapper)
     def run(frames):
@@ -51,6 +56,7 @@ def tidy(mapper):
         finally:
             import pyarrow
 
+            gc.collect()
             pyarrow.default_memory_pool().release_unused()
             if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
                 trim(0)
@@ -64,6 +70,37 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def save(path: str, data: bytes) -> None:
+    """data as a file of any file system that pyarrow knows by URI."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    system.create_dir(os.path.dirname(place), recursive=True)
+    with system.open_output_stream(place, compression=None) as out:
+        out.write(data)
+
+
+def load(path: str) -> bytes:
+    """The bytes of a file that save() wrote."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    with system.open_input_stream(place, compression=None) as file:
+        return file.read()
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with so many underscores in front that no column of df (in any case) is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def table(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, work_dir(df.sparkSession)

@@ -81,14 +81,39 @@ def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
+def pieces(texts: list[bytes | None], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about size bytes each (or one text); the tables of long texts go at the end."""
+    begin = total = 0
+    for i, t in enumerate(texts):
+        total += len(t or b"") + 1
+        if total >= size or i == len(texts) - 1:
+            yield begin, i + 1
+            begin, total = i + 1, 0
+    _powers.clear()
+
+
+def utf8(values) -> list[bytes | None]:
+    return [None if t is None else t.encode("utf-8", "surrogatepass") for t in values]
+
+
 def batches(frames: Iterator, column: str = "text", size: int = 1_000_000) -> Iterator[tuple]:
-    """Pieces of pandas frames with at most about size characters of column each (or one row), and its values as UTF-8."""
+    """Pieces of pandas frames with at most about size bytes of column each (or one row), and its values as UTF-8."""
     for frame in frames:
-        texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in frame[column]]
-        begin = total = 0
-        for i, t in enumerate(texts):
-            total += len(t or b"") + 1
-            if total >= size or i == len(texts) - 1:
-                yield frame.iloc[begin : i + 1], texts[begin : i + 1]
-                begin, total = i + 1, 0
-    _powers.clear()
+        texts = utf8(frame[column])
+        for a, b in pieces(texts, size):
+            yield frame.iloc[a:b], texts[a:b]
+
+
+def select_rows(docs, wanted, column: str = "text"):
+    """The rows of docs for which wanted(values of column) gives True, all columns as they are: rows are told apart by where they stand, not by any id."""
+    import pyarrow as pa
+
+    from .shared import tidy
+
+    at = docs.columns.index(column)
+
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield part.filter(pa.array(wanted(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -21,8 +21,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import sized, small_batches, table, work_dir
-from .wavelet import save
+from .shared import save, sized, small_batches, table, work_dir
 
 #: Compressed bytes after which an archive ends with the record at hand.
 ARCHIVE = 16_000_000

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import Kept, chunks, plain
-from .shared import sized, small_batches, table, tidy, work_dir
+from .shared import save, sized, small_batches, table, tidy, work_dir
 
 MAGIC = b"WAVM1\n"
 BLOCK = 512
@@ -147,16 +147,6 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return json.loads(parts[0]), np.frombuffer(parts[1], "<i8"), WaveletMatrix(planes, head["zeros"], head["n"])
 
 
-def save(path: str, data: bytes) -> None:
-    """data as a file of any file system that pyarrow knows by URI."""
-    from pyarrow import fs
-
-    system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    system.create_dir(os.path.dirname(place), recursive=True)
-    with system.open_output_stream(place, compression=None) as out:
-        out.write(data)
-
-
 class _Library:
     """The tokenizers library over chunks, with a bounded table of known ones."""
 

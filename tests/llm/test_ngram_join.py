@@ -5,8 +5,8 @@ import re
 
 import pytest
 
-from curvemill.llm import ngram_join
-from curvemill.llm.ngram_join import near_duplicates
+from curvemill.llm import ngram_join, shared
+from curvemill.llm.ngram_join import near_duplicates, one_of_each
 from curvemill.llm.shingles import shingle_sets
 
 
@@ -50,9 +50,10 @@ def corpus(seed):
     return [*rows, (500, None), (501, ""), (502, " \n\t"), (503, "One"), (504, "one"), (505, "é É"), (506, "É é"), (507, "x " * 9000)]
 
 
-@pytest.mark.parametrize("frequent", [1, 4, 100])
-def test_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, long", [(1, 20), (1, 256), (4, 1), (4, 40), (100, 256)])
+def test_brute_force(spark, monkeypatch, frequent, long):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "LONG", long)
     rows = corpus(frequent)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {tuple(r) for r in got.collect()} == brute(rows)
@@ -60,7 +61,9 @@ def test_brute_force(spark, monkeypatch, frequent):
 
 def test_shuffled_entries_and_wide_classes(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
-    monkeypatch.setattr(ngram_join, "MET_ROWS", 0)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared.sized, "__defaults__", (0,))
+    monkeypatch.setattr(ngram_join, "PIECE", 100)
     monkeypatch.setattr(ngram_join, "CLASS_ROWS", 5)
     rows = corpus(9)
     assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
@@ -74,6 +77,20 @@ def test_empty_repeated_and_extra_columns(spark):
     assert sorted(tuple(r) for r in got) == [(7, 2, 7), (7, 2, 7), (9, 2, 7)]
 
 
+def test_null_ids_link_and_rows_of_one_id_stay_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(words[k : k + 50])
+    # 1 and 2 link only through a row without id; 5 names a copy of 1 and a text of its own
+    rows = [(1, text(0)), (None, text(5)), (2, text(10)), (5, text(0)), (5, "quite another text that nothing else holds"), (None, "alone"), (9, "x y z"), (9, "x y z")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id int, text string, h int, root string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (5, 1), (5, 5), (None, None), (9, 9), (9, 9)], key=str)
+    kept = one_of_each(df)
+    assert kept.schema == df.schema
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted([(1, text(0)), (5, rows[4][1]), (None, "alone"), (9, "x y z")], key=str)
+    assert one_of_each(df.limit(0)).collect() == []
+
+
 def test_chain_links_through_a_middle_text(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(3, " ".join(words)), (2, " ".join(words[5:])), (1, " ".join(words[10:])), (0, "z " * 30)]
