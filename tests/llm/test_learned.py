@@ -1,12 +1,15 @@
 """Toxicity, decontamination and co-training: grammar rules, brute force, and held-out accuracy."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from curvemill.llm import cotrain
+from curvemill.llm import decontaminate
 from curvemill.llm.decontaminate import THRESHOLD, Index, decontaminated, leaks
 from curvemill.llm.shared import components
 from curvemill.llm.toxicity import Grammar, Scanner, learn, lexicon, toxicity
@@ -62,7 +65,7 @@ def test_toxicity_held_out(spark):
 def test_wand_is_exhaustive_search():
     r = np.random.default_rng(2)
     texts = [" ".join(f"w{int(w)}" for w in r.zipf(1.4, 30) % 500) for _ in range(80)]
-    index = Index(list(range(80)), texts)
+    index = Index.alone(list(range(80)), texts)
     for _ in range(40):
         q = np.unique(r.choice(len(index.terms), r.integers(1, len(index.terms))))
         score = np.zeros(80)
@@ -92,6 +95,63 @@ def test_leaks(spark):
     assert leaks(df.limit(0), bench).collect() == [] and leaks(df, bench.limit(0)).collect() == []
 
 
+def words_of(text):
+    return re.findall(r"[^\s!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+", (text or "").lower())
+
+
+def brute_leaks(docs, items):
+    """Every item against every passage of its stride, with plain dictionaries."""
+    bags = {}
+    for k, (item, text) in enumerate(items):
+        cut = max(text.rfind("?", 0, len(text.rstrip()) - 1), text.rstrip().rfind("\n")) + 1
+        q, a = words_of(text[:cut]), words_of(text[cut:])
+        if not q or not a:
+            w = q + a
+            q, a = w[: -(-2 * len(w) // 3)], w[-(-2 * len(w) // 3) :]
+        if q:
+            bags[k] = (item, q, a)
+    n, mean = len(bags), np.mean([len(q) + len(a) for _, q, a in bags.values()])
+    df = Counter(w for _, q, a in bags.values() for w in {*q, *a})
+    out = {}
+    for d, text in docs:
+        words = words_of(text)
+        for k, (item, q, a) in bags.items():
+            tf, stride = Counter(q + a), 40
+            while stride < len(q + a):
+                stride *= 2
+            weight = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(q + a) / mean)) for w, c in tf.items()}
+            for begin in range(0, max(1, len(words) - stride), stride):
+                around = words[begin : begin + 2 * stride]
+                score = sum(v for w, v in weight.items() if w in set(around)) / sum(weight.values())
+                runs = lambda x, m: [tuple(x[i : i + m]) for i in range(len(x) - m + 1)]
+                share = [np.mean([r in set(runs(around, len(r))) for r in runs(p, min(4, len(p)))]) if p else 1.0 for p in (q, a)]
+                if score >= 0.6 and min(share) >= 0.5:
+                    out[d, item, k] = max(out.get((d, item, k), (0,)), (round(score, 6), round(share[0], 6), round(share[1], 6)))
+    return sorted((d, item, *v) for (d, item, _), v in out.items())
+
+
+@pytest.mark.parametrize("files", [20_000, 1])
+def test_leaks_are_those_of_brute_force(spark, monkeypatch, files):
+    monkeypatch.setattr(decontaminate, "ITEMS", files)
+    monkeypatch.setattr(decontaminate, "HELD", 2)
+    r = random.Random(7)
+    word = lambda: r.choice("abcdefghij") + r.choice("klmnop")
+    some = lambda n: " ".join(word() for _ in range(n))
+    items = [(i % 12, f"{some(r.randrange(3, 30))}? {some(r.randrange(1, 12))}.") for i in range(14)] + [(50, some(9)), (51, some(900)), (52, "?"), (53, "one")]
+    docs = []
+    for i in range(40):
+        w = items[i % 18][1].split()
+        for _ in range(r.choice([0, 0, 1, 3, 6])):
+            w[r.randrange(len(w))] = word()
+        docs.append((i, f"{some(r.randrange(150))} {' '.join(w)} {some(r.randrange(150))}"))
+    q, a = items[1][1].split("?")
+    docs += [(90, f"{q} {some(600)} {a}"), (91, None), (92, ""), (93, some(6000) + items[0][1])]  # 600 words apart is no leak, however long other items are
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], *(round(x[c], 6) for c in ("score", "question", "answer"))) for x in leaks(df, bench).collect())
+    assert got == brute_leaks(docs, items) and (90, 1) not in {g[:2] for g in got} and (93, 0) in {g[:2] for g in got}
+    assert sorted(x["doc_id"] for x in decontaminated(df, bench).collect()) == sorted({d for d, _ in docs} - {g[0] for g in got})
+
+
 def test_co_training_beats_the_labels_alone():
     n, known, right = 3000, 40, []
     for seed in range(6):
