@@ -1,19 +1,23 @@
 """Line frequency within a host, with DataFrame functions only: line dedup and cross-document quality rules.
 
 A line is a piece of the text between line feeds; its normal form is lower case, trimmed, with runs of white space as one
-space. Blank lines have no normal form and are never counted or removed. Lines count once a document, documents count
-once a row. A null host (or source) is a host of its own. 64-bit hashes stand for lines.
+space. Blank lines have no normal form and are never counted or removed. What is counted, of lines and of a host's pages, is distinct
+documents: rows of one doc_id in one host are one document, whatever their texts, and rows without doc_id are one together. A null host
+(or source) is a host of its own, shared with the empty one. 64-bit hashes stand for lines.
 
 Counts are made of (host, line) pairs after a partial count in each task, so that no hot host or line gathers in one
-place. Lines over the limit are grouped by host; there are few a host (at most lines a document / ratio), and the
+place. Rows are counted first; that is never less than the documents, so where ids repeat only the lines that rows put over the limit are
+counted again by documents. Lines over the limit are grouped by host; there are few a host (at most lines a document / ratio), and the
 table is broadcast only when its counted bytes are small, otherwise joined by shuffle.
+
+Null texts have no lines; texts of any length are taken whole; an empty table gives an empty result; helper columns never clash with the table's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import table
+from .shared import fresh, sized, table
 
 #: White space that separates words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -42,22 +46,31 @@ def _hash(line: Column) -> Column:
     return F.when(has_word(line), F.xxhash64(normal(line)))
 
 
-def frequent_lines(docs: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(host, lines): the hashes of the host's lines that are in more than ratio of its documents and in least of them."""
-    host = F.coalesce(F.col(host), F.lit("")).alias("host")
-    pages = docs.groupBy(host).agg(F.count("*").alias("pages"))
-    each = docs.select(host, F.explode(F.array_distinct(F.transform(_lines(text), _hash))).alias("line")).where("line is not null")
-    count = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    over = count.join(pages, "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
-    return table(over.groupBy("host").agg(F.collect_list("line").alias("lines"), F.count("*").alias("n_lines")))
+def frequent_lines(docs: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = LEAST, doc: str = "doc_id") -> DataFrame:
+    """(host, lines, n_lines): the hashes of the host's lines that are in more than ratio of its documents and in least of them."""
+    docs = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(doc).alias("doc"), F.col(text).alias("text"))
+    pages = docs.groupBy("host", "doc").agg(F.count("*").alias("rows")).groupBy("host").agg(F.sum("rows").alias("rows"), F.count("*").alias("pages"))
+    pages = table(pages)
+    each = docs.select("host", "doc", F.explode(F.array_distinct(F.transform(_lines("text"), _hash))).alias("line")).where("line is not null")
+
+    def over(lines: DataFrame) -> DataFrame:
+        """(host, line) of the lines that enough rows of lines hold."""
+        n = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        return n.join(pages, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "line")
+
+    found = over(each)
+    if not pages.where("rows > pages").isEmpty():
+        found = over(each.join(sized(table(found)), ["host", "line"], "left_semi").distinct())
+    return table(found.groupBy("host").agg(F.collect_list("line").alias("lines"), F.count("*").alias("n_lines")))
 
 
-def with_frequent(docs: DataFrame, over: DataFrame, host: str) -> DataFrame:
-    """docs with the column lines of over, joined by broadcast only within BROADCAST_LINES."""
+def with_frequent(docs: DataFrame, over: DataFrame, host: str, lines: str) -> DataFrame:
+    """docs with the lines of over as a column of that name, joined by broadcast only within BROADCAST_LINES."""
     total = over.agg(F.sum("n_lines")).first()[0] or 0
-    small = over.select(F.col("host").alias("_host"), F.col("lines").alias("_over"))
+    (key,) = fresh(docs, "host")
+    small = over.select(F.col("host").alias(key), F.col("lines").alias(lines))
     small = F.broadcast(small) if total <= BROADCAST_LINES else small
-    return docs.join(small, F.coalesce(docs[host], F.lit("")) == F.col("_host"), "left").drop("_host")
+    return docs.join(small, F.coalesce(docs[host], F.lit("")) == F.col(key), "left").drop(key)
 
 
 def _kept(text: str, over: str) -> Column:
@@ -65,10 +78,15 @@ def _kept(text: str, over: str) -> Column:
     return F.when(F.col(over).isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """docs with the boilerplate lines of each host taken out of text. A text of null stays null; rows are never dropped; other columns stay."""
-    out = with_frequent(docs, frequent_lines(docs, host, text, ratio, least), host)
-    return out.select(*(_kept(text, "_over").alias(c) if c == text else docs[c] for c in docs.columns))
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, doc: str = "doc_id", size: str = "n_chars") -> DataFrame:
+    """docs with the boilerplate lines of each host taken out of text. A text of null stays null; rows are never dropped; size, where there is such a column, is counted again for texts that changed; other columns stay."""
+    lines, left = fresh(docs, "lines", "left")
+    out = with_frequent(docs, frequent_lines(docs, host, text, ratio, least, doc), host, lines).withColumn(left, _kept(text, lines))
+    kind = dict(docs.dtypes).get(size)
+    new = {text: F.col(left)}
+    if kind:
+        new[size] = F.when(F.col(left).eqNullSafe(F.col(text)), F.col(size)).otherwise(F.char_length(left).cast(kind))
+    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def words_of(text: Column) -> Column:
@@ -130,8 +148,8 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", rat
 
     base_failed: fewer than 20 words, or more than 30 % of them in repeated windows. kept: not base_failed, and at
     least `left` of the words remain. Null and empty texts fail. Ties count as equal everywhere."""
-    over = with_frequent(docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text")), frequent_lines(docs, host, text, ratio, least), "host")
-    left_words = F.when(F.col("_over").isNotNull(), count_words(F.coalesce(_kept("text", "_over"), F.lit("")))).cast("long")
+    over = with_frequent(docs.select("doc_id", F.col(host).alias("source"), F.col(text).alias("text")), frequent_lines(docs, host, text, ratio, least), "source", "lines")
+    left_words = F.when(F.col("lines").isNotNull(), count_words(F.coalesce(_kept("text", "lines"), F.lit("")))).cast("long")
     # inline() rather than struct fields: the optimizer would repeat the struct for each field
     m = over.select("doc_id", left_words.alias("w"), F.inline(F.array(measures(F.col("text")))))
     out = m.withColumn("words_left", F.coalesce("w", "n_words"))

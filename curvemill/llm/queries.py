@@ -71,23 +71,24 @@ _BLANK = r"[\x20\x09-\x0D]+"
 _LINES = "string_split(coalesce(text, ''), chr(10))"
 _NORM = f"trim(regexp_replace(lower(x), '{_BLANK}', ' ', 'g'), ' ')"
 _HOST = "coalesce(source, '')"
-# lines of each host that are in more than a tenth of its documents and in five of them
-_OVER = f"""l AS (SELECT DISTINCT doc_id, {_HOST} AS h, {_NORM} AS line FROM (SELECT doc_id, source, unnest({_LINES}) AS x FROM documents) WHERE regexp_matches(x, '{_WORD}')),
-pages AS (SELECT {_HOST} AS h, count(*) AS pages FROM documents GROUP BY 1),
+# lines of each host that are in more than a tenth of its documents and in five of them; rid tells rows apart
+_OVER = f"""d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+l AS (SELECT DISTINCT doc_id, {_HOST} AS h, {_NORM} AS line FROM (SELECT doc_id, source, unnest({_LINES}) AS x FROM documents) WHERE regexp_matches(x, '{_WORD}')),
+pages AS (SELECT h, count(*) AS pages FROM (SELECT DISTINCT {_HOST} AS h, doc_id FROM documents) GROUP BY 1),
 gone AS (SELECT h, list(line) AS lines FROM (SELECT h, line FROM l JOIN pages USING (h) GROUP BY h, line, pages HAVING count(*) >= 5 AND count(*) > 0.1 * pages) GROUP BY h),
-kept AS (SELECT d.*, CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter({_LINES}, lambda x: NOT list_contains(lines, {_NORM}) OR NOT regexp_matches(x, '{_WORD}')), chr(10)) END AS left_text FROM documents d LEFT JOIN gone ON h = {_HOST})"""
+kept AS (SELECT d.*, CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter({_LINES}, lambda x: NOT list_contains(lines, {_NORM}) OR NOT regexp_matches(x, '{_WORD}')), chr(10)) END AS left_text FROM d LEFT JOIN gone ON h = {_HOST})"""
 
-_OP6 = f"WITH {_OVER} SELECT doc_id, left_text AS text, lang, source, n_chars FROM kept"
+_OP6 = f"WITH {_OVER} SELECT doc_id, left_text AS text, lang, source, CASE WHEN left_text IS DISTINCT FROM text THEN length(left_text) ELSE n_chars END AS n_chars FROM kept"
 
-_OP10 = f"""WITH {_OVER}, w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
-win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 7)),
-twice AS (SELECT doc_id, win FROM win GROUP BY 1, 2 HAVING count(*) > 1),
-rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM win JOIN twice USING (doc_id, win), range(8) r(k) GROUP BY 1),
+_OP10 = f"""WITH {_OVER}, w AS (SELECT rid, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM d),
+win AS (SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 7)),
+twice AS (SELECT rid, win FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM win JOIN twice USING (rid, win), range(8) r(k) GROUP BY 1),
 m AS (SELECT k.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
 length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
 len(list_filter({_LINES}, lambda x: regexp_matches(x, '{_WORD}'))) - len(list_distinct(list_filter({_LINES}, lambda x: regexp_matches(x, '{_WORD}')))) AS n_dup_lines,
 coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(coalesce(left_text, ''), '{_WORD}'))::BIGINT AS words_left
-FROM kept k JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id))
+FROM kept k JOIN w USING (rid) LEFT JOIN rep USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
 n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * words_left >= n_words AS kept, words_left FROM m"""
 

@@ -12,23 +12,79 @@ from curvemill.llm import cotrain
 from curvemill.llm import decontaminate
 from curvemill.llm.decontaminate import THRESHOLD, Index, decontaminated, leaks
 from curvemill.llm.shared import components
-from curvemill.llm.toxicity import Grammar, Scanner, learn, lexicon, toxicity
+from curvemill.llm.toxicity import NEGATION, PATTERNS, REPORT, TARGET, Grammar, Scanner, compose, learn, lexicon, negation, reported, target, toxicity, without_toxic
 
 DATA = "/root/testdata/sf0.1"
 
 
+def plain_matches(g, words):
+    """The patterns of a clause by direct rules."""
+    out, aimed = Counter(), any(w in TARGET for w in words)
+    open_verb = None
+    for i, w in enumerate(words):
+        marks = ("-" if any(x in NEGATION for x in words[max(0, i - 3) : i]) else "") + ("'" if any(x in REPORT for x in words[:i]) else "")
+        letter = g.letter(w)[0]
+        if letter == "i":
+            out["i" + marks + ("+" if aimed else "")] += g.insult(w)
+        elif letter == "t":
+            open_verb = marks
+        elif letter == "g" and open_verb is not None:
+            out["T" + open_verb] += 1
+            open_verb = None
+    return {p: pytest.approx(v) for p, v in out.items()}
+
+
+def test_the_composed_machine_is_the_rules(seed=5):
+    g = Grammar({"idiot": 2.0, "scum": 0.5}, {"vequ": 1.5})
+    r = random.Random(seed)
+    for _ in range(3000):
+        words = [r.choice("idiot scum vequai you them kill hurt not never said wrote plain word other the".split()) for _ in range(r.randrange(9))]
+        assert g.clause(words) == plain_matches(g, words), words
+    one = compose(negation(), reported())
+    assert one.read(list("nior")) == [["o", "i-", "o", "o"]] and one.read(list("rnnt")) == [["o", "o", "o", "t-'"]]
+    assert len(target().read(["i", "g"])) == len(target().read(["i", "o"])) == 1
+
+
 def test_clauses_not_isolated_words():
     g = Grammar({"idiot": 2.0}, {"vequ": 1.5})
     clause = lambda s: g.clause(s.split())
-    plain = clause("the idiot of it")
-    assert clause("not an idiot") == plain * 0.5
-    assert clause("some said idiot") == pytest.approx(plain * 0.7)
-    assert clause("you idiot") == plain * 1.25
-    assert clause("vequai") == 1.5 and clause("vequ") == 0 and clause("plain words") == 0
-    assert clause("we will hurt you") > 0 and clause("it will hurt") == 0
+    assert clause("the idiot of it") == {"i": 2.0} and clause("not an idiot") == {"i-": 2.0} and clause("some said idiot") == {"i'": 2.0} and clause("you idiot") == {"i+": 2.0}
+    assert clause("vequai") == {"i": 1.5} and clause("vequ") == clause("plain words") == {}
+    assert clause("we will hurt you") == {"T": 1.0} and clause("it will hurt") == {} and clause("said to hurt you idiot") == {"T'": 1.0, "i'+": 2.0}
+    value = lambda s: g.score(g.evidence([s.split()]))
+    assert value("you idiot") > value("the idiot") > value("said idiot") > value("not an idiot") > value("plain")
     s = Scanner(g)
-    assert s.evidence("The IDIOT. Not relevant. videot idiots") == g.evidence([["the", "idiot"]])
-    assert s.evidence(None) == s.evidence("") == s.evidence("\n..!") == 0
+    assert (s.evidence("The IDIOT. Not relevant. videot idiots") == g.evidence([["the", "idiot"]])).all()
+    assert not s.evidence(None).any() and not s.evidence("").any() and not s.evidence("\n..!").any()
+
+
+def test_context_is_learned(spark):
+    """The same words are toxic or not by the clause they stand in; held-out rows are told apart by it."""
+    r = random.Random(1)
+    word = lambda: r.choice("you they are was were is said never not it he of and there".split()) if r.random() < 0.5 else "".join(r.choice("abcdefgh") for _ in range(4))
+    own = lambda: " ".join(word() for _ in range(12))
+    forms = ["{o}. you are scum and vermin. {o}", "{o}. you scum. they are vermin. {o}", "{o}. it was said of scum and of vermin. {o}", "{o}. he never was scum, not vermin. {o}"]
+    rows = [(i, forms[i % 4].format(o=own())) for i in range(600)] + [(1000 + i, own()) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 600 and i % 4 < 2)) for i, _ in rows], "doc_id long, toxic int")
+    g = learn(docs, labels)
+    assert all(g.letter(w)[0] == "i" for w in ("scum", "vermin"))
+    assert max(g.weights[p] for p in PATTERNS if "-" in p or "'" in p) < min(g.weights["i+"], 2.0)
+    got = toxicity(docs, g).where("held_out").join(labels, "doc_id").toPandas()
+    assert ((got.predicted == 1) == (got.toxic == 1)).mean() > 0.97
+    flat = Grammar(g.words, g.beginnings, g.bias, {p: g.weights["i+"] for p in PATTERNS})
+    assert ((toxicity(docs, flat).where("held_out").join(labels, "doc_id").toPandas().eval("(predicted == 1) == (toxic == 1)")).mean()) < 0.9
+
+
+def test_empty_and_clashing_tables(spark):
+    docs = spark.createDataFrame([(1, None, "a", "b", 1), (None, "you scum", "a", "b", 2)], "doc_id int, text string, held_out string, score string, predicted int")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    g = learn(docs, labels)
+    assert [tuple(r)[1:] for r in toxicity(docs, g).orderBy("doc_id").collect()] == [(False, g.score(np.zeros(len(PATTERNS))), 0)] * 2
+    assert toxicity(docs.limit(0), learn(docs.limit(0), labels)).collect() == []
+    assert without_toxic(docs, g).schema == docs.schema and without_toxic(docs, g).count() == 2
+    bad = Grammar({"scum": 9.0}, {})
+    assert [r["doc_id"] for r in without_toxic(docs, bad).collect()] == [1]
 
 
 def test_lexicon_keeps_the_longest_that_carries_the_label():
