@@ -1,44 +1,38 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
-Stages get (spark, docs, sf_dir). All but the last return the columns of documents; nulls, empty texts and repeated rows follow
-the operators' docstrings. n_chars of a shortened text is counted again.
+Stages get (spark, docs, sf_dir). All but the last return the columns of documents. A row is judged by its own text: rows of one doc_id
+with different texts are different documents and share no verdict; of equal rows (as of any group of near duplicates) one stays; a row without
+doc_id gives way to numbered ones of its group. Null and empty texts, and texts of any length, pass every stage; extra columns, whatever
+their names, are kept. An empty table gives an empty result. n_chars of a shortened text is counted again.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from curvemill.llm.bpe import encode_decode
 from curvemill.llm.decontaminate import decontaminated
 from curvemill.llm.lines import dedup_lines
-from curvemill.llm.ngram_join import near_duplicates
+from curvemill.llm.ngram_join import one_of_each
 from curvemill.llm.queries import TOKENIZER
-from curvemill.llm.shared import sized, table
-from curvemill.llm.toxicity import learn, toxicity
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (a written table)."""
-    return docs.join(sized(ids.select(F.col("doc_id").alias("_gone"))), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+from curvemill.llm.shared import table
+from curvemill.llm.toxicity import learn, without_toxic
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go."""
-    scored = toxicity(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return _without(docs, table(scored.where("predicted = 1").select("doc_id").distinct()))
+    return without_toxic(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a host go; documents stay."""
-    out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+    return dedup_lines(docs)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest doc_id stays."""
-    found = near_duplicates(docs)
-    return _without(docs, table(found.where("doc_id <> component_id").select("doc_id").distinct()))
+    return one_of_each(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
