@@ -1,23 +1,25 @@
-"""Quality classifier by co-training two views of a document.
+"""Quality classifier by co-training two views of a document that share no feature.
 
-View one is the text's content (shares of symbols, digits, capitals, repeated words and lines, stop words, word lengths and the like),
-view two its metadata (language, host, declared length, lines and size). Each view has a logistic regression of its own. Both
+View one is the text's content (shares of symbols, digits, capitals, repeated words and lines, word lengths and the like, all free of the text's
+size), view two its metadata (language, host, declared size, and the layout that it gives with the number and length of lines), which reads no word. Each view has a logistic regression of its own. Both
 start from the labelled rows; in each of ROUNDS rounds each view labels the unlabelled documents that it is surest
-of, and hands them to the other, which is fitted again. Last, each view is calibrated on held-back labelled rows, and the
-score of every document is the mean of the views' log-odds, weighted by how well each does there.
+of, by log-odds calibrated on held-back labelled rows, so that a view that knows little hands over little, and gives them to the other, which is fitted again. Last, each view is calibrated on held-back labelled rows, and the
+score of every document is the logistic of the sum of both views' calibrated log-odds less the prior's, as evidence adds up, with factors
+fitted on the held-back rows and shrunk to one: a weak view moves the score by the little that it knows, a strong one by more.
 
-Features are DataFrame expressions over whole texts and metadata, written once as some forty numbers a row. Fitting takes at most
+Features are DataFrame expressions over whole texts and metadata, written once as some sixty numbers a row; words and lines are split once. Fitting takes at most
 LABELLED labelled rows (chosen by a hash of doc_id) to the driver; all other rows are the unlabelled ones, whichever their number: in each
 round all of them are scored, the surest are marked by thresholds over all rows, and Newton's sums over the marked rows
 are added up in Spark, so that only counts by margin and the sums come to the driver. Scoring is an expression. Repeated rows count
-once each as unlabelled ones. Null texts count as empty; null or unseen languages and hosts are classes of their own; a quality
-label of null is none; contradicting labels of a doc_id count as bad; without labels of both kinds all scores are 0.5.
+once each as unlabelled ones. Null texts count as empty; null or unseen languages and hosts and unknown sizes are classes of their own; a quality
+label of null is none; contradicting labels of a doc_id count as bad; without labels of both kinds all scores are 0.5; texts of any length are
+taken whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +31,27 @@ from .shared import table
 LABELLED = 8_000
 #: Rounds of exchange, and the share of the unlabelled rows that a view hands over of each class and round (by the class's share).
 ROUNDS, HANDED = 4, 0.05
+#: Calibrated log-odds from which on a view is sure.
+SURE = 3.0
 #: Width of the steps in which margins are counted, and the margin that counts as the greatest.
 STEP, MOST = 0.01, 40.0
 #: Every how manieth labelled row is kept back for calibration.
 BACK = 4
 HOST_BUCKETS = 16
 LANGS = ("en", "de", "fr", "es")
-
-
-def content(text: Column) -> dict[str, Column]:
-    """The text view. Every feature is a share or a log, near 0 to 1."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.char_length(t) + 1
-    words = F.split(t, r"\s+")
-    lines = F.split(t, "\n")
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
+#: Limits of the metadata view's classes of size, of mean line and of longest line.
+SIZES = (60, 100, 200, 400, 700, 1000, 2000, 8000)
+#: Strength of the shrinkage of a calibration's slope to none, in rows.
+CALIBRATION = 1.0
+#: Strength of the shrinkage of the joint score's factors to one, in rows.
+JOINT = 4.0
+
+
+def content(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """The text view. Every feature is a share or a mean, near 0 to 1; words, lines: the text split at white space and at line feeds."""
+    n = F.char_length(text) + 1
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
+    twice = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b)  # the last one has no next word
     return {
         "symbols": F.least(F.lit(1.0), 8 * count(r"[#*$%&|<>]")),
         "digits": F.least(F.lit(1.0), 8 * count(r"[0-9]")),
@@ -51,28 +59,21 @@ def content(text: Column) -> dict[str, Column]:
         "ends": F.least(F.lit(1.0), 20 * count(r"[.!?]")),
         "word_length": F.least(F.lit(2.0), n / F.size(words) / 10),
         "distinct": F.size(F.array_distinct(words)) / F.size(words),
-        "repeats": F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"\b(\w+)\s+\1\b")) / F.size(words) * 4),
+        "repeats": F.least(F.lit(1.0), F.size(F.filter(twice, lambda x: x)) / F.size(words) * 4),
         "line_distinct": F.size(F.array_distinct(lines)) / F.size(lines),
-        "pipes": (F.regexp_count(t, F.lit(r" \| ")) / F.size(words)).cast("double"),
-        "log_words": F.log1p(F.size(words)) / 10,
-        "few_words": (F.size(words) < 20).cast("double"),
+        "pipes": (F.regexp_count(text, F.lit(r" \| ")) / F.size(words)).cast("double"),
     }
 
 
-def metadata(lang: Column, host: Column, declared: Column, text: Column) -> dict[str, Column]:
-    """The metadata view; hosts by HOST_BUCKETS hash buckets."""
-    size = F.coalesce(declared, F.char_length(text), F.lit(0)).cast("double")
+def metadata(lang: Column, host: Column, declared: Column, lines: Column) -> dict[str, Column]:
+    """The metadata view; hosts by HOST_BUCKETS hash buckets, sizes as declared, lines by their number and lengths."""
+    size = F.coalesce(declared, F.lit(0)).cast("double")
     out = {f"lang_{x}": F.coalesce((lang == x).cast("double"), F.lit(0.0)) for x in LANGS}
     bucket = F.pmod(F.xxhash64(F.coalesce(host, F.lit(""))), F.lit(HOST_BUCKETS))
     out |= {f"host_{i}": (bucket == i).cast("double") for i in range(HOST_BUCKETS)}
-    bytes_ = F.coalesce(F.octet_length(text), F.lit(0))
-    return out | {
-        "log_size": F.log1p(size) / 10,
-        "tiny": (size < 100).cast("double"),
-        "small": (size < 400).cast("double"),
-        "large": (size > 8000).cast("double"),
-        "bytes_a_char": F.least(F.lit(2.0), bytes_ / (size + 1)),
-    }
+    mean, longest = size / F.size(lines), F.array_max(F.transform(lines, lambda x: F.char_length(x)))
+    out |= {f"{name}_under_{most}": (x < most).cast("double") for name, x in (("size", size), ("line", mean), ("longest", longest)) for most in SIZES}
+    return out | {"log_size": F.log1p(size) / 10, "log_lines": F.log1p(F.size(lines)) / 10, "log_line": F.log1p(mean) / 10, "log_longest": F.log1p(longest) / 10, "unknown": declared.isNull().cast("double")}
 
 
 @dataclass(frozen=True)
@@ -80,18 +81,25 @@ class View:
     names: tuple[str, ...]
     weights: tuple[float, ...]
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.shift + self.slope * (x @ np.array(self.weights) + self.bias)
+        """Calibrated log-odds."""
+        return x @ np.array(self.weights) + self.bias
 
 
 @dataclass(frozen=True)
 class Classifier:
+    """The calibrated views, the joint score's offset and factors, and what co-training saw: log losses of the prior, the views and both on the held-back rows, and rows that each view handed over."""
+
     text: View
     page: View
-    share: float  # of the text view in the joint log-odds
+    joint: tuple[float, float, float]
+    losses: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
+    handed: tuple[int, int] = (0, 0)
+
+    def margin(self, t, p):
+        """Joint log-odds of the views' margins (arrays or columns)."""
+        return self.joint[0] + self.joint[1] * t + self.joint[2] * p
 
 
 def _sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +153,8 @@ def _given(views: tuple[np.ndarray, np.ndarray], u: np.ndarray, history: list[Ro
             to = given[1 - v]
             free = to < 0
             (low, low_share), (high, high_share) = past.low[v], past.high[v]
-            to[free & (m < -1) & ((at < low) | (at == low) & (u < low_share))] = 0.0
-            to[free & (m > 1) & ((at > high) | (at == high) & (u < high_share))] = 1.0
+            to[free & (m < -SURE) & ((at < low) | (at == low) & (u < low_share))] = 0.0
+            to[free & (m > SURE) & ((at > high) | (at == high) & (u < high_share))] = 1.0
     return given
 
 
@@ -155,7 +163,7 @@ def _counted(views: tuple[np.ndarray, np.ndarray], u: np.ndarray, history: list[
     given, out = _given(views, u, history), {}
     for v in (0, 1):
         m, at = _steps(views[v], weights[v])
-        found, n = np.unique(at[(given[1 - v] < 0) & (np.abs(m) > 1)], return_counts=True)
+        found, n = np.unique(at[(given[1 - v] < 0) & (np.abs(m) > SURE)], return_counts=True)
         out |= {(v, int(k)): int(c) for k, c in zip(found, n, strict=True)}
     return out
 
@@ -265,35 +273,67 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
 
     weights = _newton([np.zeros(x.shape[1] + 1) for x in views], own)
     history: list[Round] = []
+    handed = [0, 0]
     wanted = int(HANDED * pool.n * (1 - good)), int(HANDED * pool.n * good)
     for _ in range(rounds if pool.n else 0):
-        counts = pool.counted(history, weights)
+        sure = [_calibrated(views[v][back], y[back], weights[v]) for v in (0, 1)]
+        counts = pool.counted(history, sure)
         side = lambda v, sign: {k: n for (w, k), n in counts.items() if w == v and (k < 0) == (sign > 0)}
-        history.append(Round((weights[0], weights[1]), tuple(_cut(side(v, 1), wanted[0], 1) for v in (0, 1)), tuple(_cut(side(v, -1), wanted[1], -1) for v in (0, 1))))
+        history.append(Round((sure[0], sure[1]), tuple(_cut(side(v, 1), wanted[0], 1) for v in (0, 1)), tuple(_cut(side(v, -1), wanted[1], -1) for v in (0, 1))))
+        for v in (0, 1):
+            handed[v] += sum(min(most, sum(side(v, sign).values())) for most, sign in zip(wanted, (1, -1), strict=True))
         pool.mark(history)
         weights = _newton(weights, both)
-    made, losses = [], []
-    base = _loss(np.full(back.sum(), np.log((y[back].sum() + 1) / ((1 - y[back]).sum() + 1))), y[back]) if back.any() else 1.0
+    made, margins = [], []
+    mixed = back.any() and 0 < y[back].sum() < back.sum()
     for v in (0, 1):
-        raw = views[v][back] @ weights[v][:-1] + weights[v][-1]
-        slope, shift = _fit(raw[:, None], y[back], np.ones(len(raw)), 0.1) if back.any() and 0 < y[back].sum() < back.sum() else (1.0, 0.0)
-        view = View(names[v], tuple(weights[v][:-1].tolist()), float(weights[v][-1]), float(max(slope, 0.0)), float(shift))
-        made.append(view)
-        losses.append(max(0.0, base - _loss(view.margin(views[v][back]), y[back])) if back.any() else 1.0)
-    share = losses[0] / sum(losses) if sum(losses) else 0.5
-    return Classifier(made[0], made[1], share)
+        w = _calibrated(views[v][back], y[back], weights[v])
+        made.append(View(names[v], tuple(w[:-1].tolist()), float(w[-1])))
+        margins.append(made[v].margin(views[v][back]))
+    truth = y[back] if mixed else y
+    prior = float(np.log((truth.sum() + 1) / ((1 - truth).sum() + 1)))
+    joint = _joint(np.stack(margins, 1), y[back], prior) if mixed else (-prior, 1.0, 1.0)
+    model = Classifier(made[0], made[1], joint)
+    losses = [_loss(m, y[back]) for m in (np.full(back.sum(), prior), *margins, model.margin(*margins))] if back.any() else [0.0] * 4
+    return replace(model, losses=tuple(losses), handed=tuple(handed))
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """w scaled and shifted so that margins are log-odds on the rows; as it is where they are of one label."""
+    if not 0 < y.sum() < len(y):
+        return w
+    slope, shift = _fit((x @ w[:-1] + w[-1])[:, None], y, np.ones(len(y)), CALIBRATION)
+    out = max(slope, 0.0) * w
+    out[-1] += shift
+    return out
+
+
+def _joint(m: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float, float]:
+    """Offset and factors of the views' margins, none below zero: a logistic regression shrunk to the plain sum less the prior."""
+    x = np.hstack([np.ones((len(m), 1)), m])
+    start = np.array([-prior, 1.0, 1.0])
+    at = start.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + JOINT * np.eye(3), x.T @ (y - p) - JOINT * (at - start))
+        at = at + step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(at[0]), float(max(at[1], 0.0)), float(max(at[2], 0.0))
 
 
-def _viewed(docs: DataFrame) -> tuple[dict[str, Column], dict[str, Column]]:
-    return content(F.col("text")), metadata(F.col("lang"), F.col("source"), F.col("n_chars"), F.col("text"))
+def _viewed() -> tuple[dict[str, Column], dict[str, Column]]:
+    return content(F.col("text"), F.col("words"), F.col("lines")), metadata(F.col("lang"), F.col("source"), F.col("n_chars"), F.col("lines"))
 
 
 def featured(docs: DataFrame) -> DataFrame:
     """(doc_id, u, a, b) for each row of docs: the features of both views, and a number in [0, 1) by hash."""
-    a, b = (F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in view.values())) for view in _viewed(docs))
+    a, b = (F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in view.values())) for view in _viewed())
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # inline() keeps the optimizer from writing the features out once more for each use
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), u.alias("u"), F.inline(F.array(F.struct(a.alias("a"), b.alias("b")))))
+    text = F.coalesce("text", F.lit(""))
+    # inline() keeps the optimizer from writing an expression out once more for each use
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), u.alias("u"), "lang", "source", "n_chars", text.alias("text"), F.inline(F.array(F.struct(F.split(text, r"\s+").alias("words"), F.split(text, "\n").alias("lines")))))
+    return split.select("doc_id", "u", F.inline(F.array(F.struct(a.alias("a"), b.alias("b")))))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
@@ -304,14 +344,14 @@ def train_on(rows: DataFrame, labels: DataFrame) -> Classifier | None:
     """The classifier of written features."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
     some = table(known.orderBy(F.xxhash64("doc_id")).limit(LABELLED))
-    found = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct("a", "b")).alias("x"))
+    found = rows.select("doc_id", "a", "b").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct("a", "b")).alias("x"))
     labelled = found.orderBy("doc_id").collect()
     y = np.array([r["y"] for r in labelled], float)
     if not 0 < y.sum() < len(y):
         return None
     pool = Table(table(rows.join(F.broadcast(some), "doc_id", "left_anti").select("a", "b", "u")))
     back = np.arange(len(y)) % BACK == 0
-    a, b = (tuple(view) for view in _viewed(rows))
+    a, b = (tuple(view) for view in _viewed())
     return co_train(tuple(np.array([r["x"][c] for r in labelled], float) for c in ("a", "b")), y, pool, back, (a, b))
 
 
@@ -328,9 +368,9 @@ def scored(rows: DataFrame, model: Classifier | None, threshold: float = 0.5) ->
 
     def margin(view: View, features: str) -> Column:
         parts = [F.lit(w) * F.get(features, i) for i, w in enumerate(view.weights)]
-        return F.lit(view.shift) + F.lit(view.slope) * sum(parts, F.lit(view.bias))
+        return sum(parts, F.lit(view.bias))
 
     logistic = lambda m: 1 / (1 + F.exp(-m))
     out = rows.select("doc_id", F.inline(F.array(F.struct(margin(model.text, "a").alias("t"), margin(model.page, "b").alias("p")))))
-    out = out.withColumn("score", logistic(F.lit(model.share) * F.col("t") + F.lit(1 - model.share) * F.col("p")))
+    out = out.withColumn("score", logistic(model.margin(F.col("t"), F.col("p"))))
     return out.select("doc_id", logistic(F.col("t")).alias("text_score"), logistic(F.col("p")).alias("page_score"), "score", (F.col("score") >= threshold).alias("kept"))

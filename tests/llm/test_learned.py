@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curvemill.llm import cotrain
 from curvemill.llm import decontaminate
 from curvemill.llm.decontaminate import THRESHOLD, Index, decontaminated, leaks
-from curvemill.llm.shared import components
+from curvemill.llm.shared import components, table
 from curvemill.llm.toxicity import NEGATION, PATTERNS, REPORT, TARGET, Grammar, Scanner, compose, learn, lexicon, negation, reported, target, toxicity, without_toxic
 
 DATA = "/root/testdata/sf0.1"
@@ -218,7 +218,7 @@ def test_co_training_beats_the_labels_alone():
         row = []
         for rounds in (0, cotrain.ROUNDS):
             m = cotrain.co_train((a[lab], b[lab]), y[lab], (a[~lab], b[~lab]), np.arange(known) % 4 == 0, (("p", "q"), ("p", "q")), rounds)
-            joint = m.share * m.text.margin(a[~lab]) + (1 - m.share) * m.page.margin(b[~lab])
+            joint = m.margin(m.text.margin(a[~lab]), m.page.margin(b[~lab]))
             row.append(((joint > 0) == (y[~lab] > 0)).mean())
         right.append(row)
     alone, together = np.mean(right, 0)
@@ -241,7 +241,7 @@ def test_every_unlabelled_row_takes_part(spark, monkeypatch):
     arrays.u = rows["u"].to_numpy()
     same = whole(*seen[0][:2], arrays, *seen[0][3:])
     for a, b in ((model.text, same.text), (model.page, same.page)):
-        assert np.allclose([*a.weights, a.bias, a.slope, a.shift], [*b.weights, b.bias, b.slope, b.shift], atol=1e-4)
+        assert np.allclose([*a.weights, a.bias], [*b.weights, b.bias], atol=1e-4)
     # each view hands on at most its share of all rows a round, and none that it is unsure of
     handed = [(g >= 0).sum() for g in arrays.given]
     assert 0 < max(handed) <= cotrain.ROUNDS * cotrain.HANDED * pool.n * 1.05
@@ -254,15 +254,59 @@ def test_every_unlabelled_row_takes_part(spark, monkeypatch):
     assert abs((to == 0).sum() - 100) <= max(counts.values()) and x[0][to == 0].max() <= np.sort(x[0][:, 0])[100] + cotrain.STEP
 
 
+def test_views_share_nothing_and_both_count(spark):
+    """On the real table, with a third of the labels held out of everything: the figures of README."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    rows = table(cotrain.featured(docs))
+    m = cotrain.train_on(rows, labels.where(~out))
+    assert not set(m.text.names) & set(m.page.names) and all(c in ("doc_id", "a", "b", "u") for c in rows.columns)
+    prior, text, page, both = m.losses
+    assert text < prior and page < prior and both <= min(text, page) + 0.01 and min(m.handed) > 0 and min(m.joint[1:]) > 0.2
+    got = cotrain.scored(rows, m).join(labels.where(out), "doc_id").toPandas()
+    assert got.kept[got.quality == 1].mean() > 0.98 and got.kept[got.quality == 0].mean() < 0.1
+    loss = lambda p: -np.log(np.clip(np.where(got.quality == 1, p, 1 - p), 1e-9, 1)).mean()
+    print("held out: prior, text, page, both", loss(np.full(len(got), got.quality.mean())), loss(got.text_score), loss(got.page_score), loss(got.score), m)
+    assert loss(got.score) <= loss(got.text_score) + 0.01 and loss(got.page_score) < loss(np.full(len(got), got.quality.mean()))
+
+
+def test_exchange_helps_the_weak_view_on_the_real_table(spark):
+    """With 200 labels: what the text view hands over makes the metadata view rank held-out rows better, and the joint decisions stay right."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = cotrain.featured(docs).join(labels.groupBy("doc_id").agg(F.min("quality").cast("double").alias("y")), "doc_id", "left").toPandas()
+    views, y = (np.stack(rows["a"]), np.stack(rows["b"])), rows["y"].to_numpy()
+
+    def rank(score, good):  # share of (good, bad) pairs in the right order
+        order = np.argsort(np.argsort(score))
+        n = good.sum()
+        return (order[good].sum() - n * (n - 1) / 2) / (n * (len(good) - n))
+
+    got = []
+    for seed in range(4):
+        lab = np.zeros(len(y), bool)
+        lab[np.random.default_rng(seed).choice(np.flatnonzero(~np.isnan(y)), 200, False)] = True
+        rest = ~lab & ~np.isnan(y)
+        for rounds in (0, cotrain.ROUNDS):
+            pool = cotrain.Rows(tuple(v[~lab] for v in views))
+            pool.u = rows["u"].to_numpy()[~lab]
+            m = cotrain.co_train(tuple(v[lab] for v in views), y[lab], pool, np.arange(200) % 4 == 0, tuple(("f",) * v.shape[1] for v in views), rounds)
+            text, page = m.text.margin(views[0][rest]), m.page.margin(views[1][rest])
+            got.append((rank(page, y[rest] == 1), ((m.margin(text, page) > 0) == (y[rest] == 1)).mean()))
+    alone, together = np.mean(got[::2], 0), np.mean(got[1::2], 0)
+    print("metadata view's ranking and joint decisions, without and with the exchange", alone, together)
+    assert together[0] > alone[0] + 0.01 and together[1] > 0.98
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = cotrain.train(docs, labels)
-    got = cotrain.quality(docs, model).join(labels, "doc_id").toPandas()
-    assert (got.kept[got.quality == 1]).mean() > 0.99 and (got.kept[got.quality == 0]).mean() < 0.1
-    odd = spark.createDataFrame([(1, None, None, None, None, "z"), (2, "", "xx", "h", 0, "z"), (2, "a " * 50000, "en", "h", 1, "z")], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    odd = spark.createDataFrame([(1, None, None, None, None, "z", 1.0, 2), (2, "", "xx", "h", 0, "z", 1.0, 2), (2, "a " * 50000, "en", "h", 1, "z", 1.0, 2), (None, "x", None, None, 1, "z", None, None)], "doc_id long, text string, lang string, source string, n_chars long, score string, y double, _id int")
     rows = cotrain.quality(odd, model).collect()
-    assert len(rows) == 3 and all(0 <= r["score"] <= 1 for r in rows)
+    assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
     assert cotrain.train(odd, labels.limit(0)) is None and {r["kept"] for r in cotrain.quality(odd, None).collect()} == {True}
+    few = spark.createDataFrame([(1, 0, 5), (2, 1, 5)], "doc_id long, quality int, y int")
+    assert cotrain.quality(odd, cotrain.train(odd, few)).count() == 4
+    assert cotrain.train(odd.limit(0), few) is None and cotrain.quality(odd.limit(0), model).collect() == []
 
 
 def test_components(spark):
