@@ -6,8 +6,9 @@ blocks stay open; in the second pass they take the label of the nearest decided
 article if it has one, else the page), the article itself counting as good where nothing in it is decided.
 
 Names are loose evidence: a form or a wrapper with a boilerplate word inside a longer name ("with-sidebar") is boilerplate unless it holds the
-page's main element, or the page's only articles; names that are boilerplate as a whole, too, give way where hardly any text
-would be left. Lists of comments and of related pages, and boilerplate elements and hidden ones, never give way to an article of theirs.
+page's main element, or the page's only articles, or, where the name speaks of layout, most of the page's text; names that are boilerplate as a whole, too, give way where hardly any text
+would be left. An article itself is boilerplate only by a name of its own kind ("comment"), not by its topics or states ("tags-news"). Articles of hardly any
+text beside a long text are teasers. Lists of comments and of related pages, and boilerplate elements and hidden ones, never give way to an article of theirs.
 Where a page shows few of the known stop words, its language is taken as unknown and length decides alone.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one space
@@ -52,6 +53,8 @@ _TOKEN = re.compile(
 OWN_NAMES = frozenset("comment comments reply replies disqus related recommended".split())
 #: Tags that a layout wrapper may hold and a boilerplate block hardly ever does.
 LAYOUT_TAGS = frozenset("article main h1 header nav footer aside".split())
+#: Parts of names that speak of layout or of a state.
+LOOSE_NAMES = frozenset("has with no without is wrap wrapper container layout page body content main grid row col column enabled open active two three".split())
 #: Kinds of bad places: by part of a name, by a whole name, for certain.
 PART, WHOLE, SURE = 1, 2, 3
 
@@ -68,6 +71,8 @@ class Block:
     bad: bool
     region: int
     heading: bool = False
+    sure: bool = False
+    inside: tuple[int, ...] = ()
 
     @property
     def stops(self) -> float:
@@ -91,12 +96,20 @@ def _bad_place(tag: str, rest: str, inside_main: bool) -> int:
             return SURE
         if name in ("class", "id", "role"):
             for token in value.lower().split():
-                parts = BAD_NAMES.intersection(_PART.split(token))
-                if parts:
-                    found = max(found, WHOLE if token in BAD_NAMES or parts & OWN_NAMES else PART)
+                names = {x for x in _PART.split(token) if x}
+                if tag == "article":
+                    found = max(found, WHOLE if token in OWN_NAMES else 0)
+                elif parts := BAD_NAMES & names:
+                    found = max(found, WHOLE if parts == names or parts & OWN_NAMES else PART)
     return found
 
 
+def _loose(tag: str, rest: str) -> bool:
+    """Whether a place that is bad by part of a name may be mere layout: a form, or names that speak of layout."""
+    names = [set(_PART.split(token)) for name, value in _attributes(rest) if name in ("class", "id", "role") for token in value.lower().split()]
+    return tag == "form" and not any(n & BAD_NAMES for n in names) or all(n & LOOSE_NAMES for n in names if n & BAD_NAMES) and any(n & BAD_NAMES for n in names)
+
+
 def blocks(page: str, layout: frozenset[int] = frozenset()) -> list[Block]:
     """The blocks of a page with their link characters, whether they stand in a bad place, and their region (the article they are in, 0 if none).
 
@@ -105,13 +118,13 @@ def blocks(page: str, layout: frozenset[int] = frozenset()) -> list[Block]:
     open_tags: list[tuple[str, int, int, int]] = []  # tag, bad, region, where it begins
     pieces: list[tuple[str, bool]] = []
     bad, region, regions, link, heading, at = 0, 0, 0, False, False, 0
-    wrappers: dict[int, tuple[int, set[str]]] = {}  # bad places by name: kind, what they hold
+    wrappers: dict[int, tuple[int, set[str], bool]] = {}  # bad places by name: kind, what they hold, whether they may be layout
 
     def flush() -> None:
         nonlocal pieces
         text = " ".join("".join(p for p, _ in pieces).split())
         if text:
-            out.append(Block(text, sum(len(" ".join(p.split())) for p, linked in pieces if linked), bad > 0, region, heading))
+            out.append(Block(text, sum(len(" ".join(p.split())) for p, linked in pieces if linked), bad > 0, region, heading, bad == SURE, tuple(opened[3] for opened in open_tags if opened[3] in wrappers)))
         pieces = []
 
     def place(tag: str, rest: str, inside_main: bool, where: int) -> int:
@@ -119,7 +132,7 @@ def blocks(page: str, layout: frozenset[int] = frozenset()) -> list[Block]:
         if kind in (PART, WHOLE):
             if where in layout:
                 return 0
-            wrappers[where] = kind, {tag} if tag == "article" else set()
+            wrappers[where] = kind, {tag} if tag == "article" else set(), kind == PART and _loose(tag, rest)
         return kind
 
     for m in _TOKEN.finditer(page):
@@ -175,14 +188,28 @@ def blocks(page: str, layout: frozenset[int] = frozenset()) -> list[Block]:
         pieces.append((html.unescape(piece) if "&" in piece else piece, link))
     flush()
     # wrappers that turn out to be layout: the page is read again without their names
-    freed = {where for where, (_, held) in wrappers.items() if "main" in held}
+    freed = {where for where, (_, held, _) in wrappers.items() if "main" in held}
     if not freed and not any(b.region and not b.bad for b in out):
-        freed = {where for where, (kind, held) in wrappers.items() if kind == PART and "article" in held}
+        freed = {where for where, (kind, held, _) in wrappers.items() if kind == PART and "article" in held}
+    if not freed:
+        texts = [b for b in out if not b.sure and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
+        total = sum(len(b.text) for b in texts)
+        freed = {where for where, (_, _, loose) in wrappers.items() if loose and 2 * sum(len(b.text) for b in texts if where in b.inside) > total}
     if not freed and not any(len(b.text) >= SHORT and not b.bad for b in out):
-        freed = {where for where, (_, held) in wrappers.items() if held}
+        freed = {where for where, (_, held, _) in wrappers.items() if held}
     return blocks(page, layout | freed) if freed else out
 
 
+def _without_teasers(found: list[Block]) -> None:
+    """Articles of hardly any text beside a long text outside are marked as boilerplate."""
+    inside = sum(len(b.text) for b in found if b.region and not b.bad)
+    outside = sum(len(b.text) for b in found if not b.region and not b.bad and len(b.text) >= LONG and b.linked <= LINKS * len(b.text))
+    if inside < 2 * SHORT and outside >= 4 * inside:
+        for b in found:
+            if b.region:
+                b.bad, b.region = True, 0
+
+
 def _known_language(found: list[Block]) -> bool:
     """Whether the texts outside bad places show the known stop words; pages without such texts count as known."""
     words = [w for b in found if not b.bad and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text) for w in _WORD.findall(b.text.lower())]
@@ -212,6 +239,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
+    if any(b.region and not b.bad for b in found):
+        _without_teasers(found)
     has_article = any(b.region and not b.bad for b in found)
     known = has_article or _known_language(found)
     labels = [first_pass(b, has_article, known) for b in found]

@@ -54,6 +54,16 @@ POLISH = "Pogoda na północy kraju była wczoraj bardzo zmienna, wiatr wiał mo
         (f'<div title="the hidden life" data-id="nav"><p>{LONG}</p></div><div hidden>{LONG}</div><div style="display: none">{LONG}</div><p aria-hidden=true>{LONG}', LONG),
         (f'<article><a name="s1"><p>{LONG}</p><p>{LONG}</p></article>', f"{LONG} {LONG}"),
         (f"<article><p><a href=x>{LONG}</a></p><p>{LONG}</p></article>", LONG),
+        (f'<div class="content has-sidebar"><p>{LONG}</p></div>', LONG),
+        (f'<div class="content has-sidebar"><h1>T</h1><p>{LONG}</p><p>{LONG}</p><div class="sidebar"><p>{LONG}</p></div></div><div class="site-footer">{LONG}</div>', f"T {LONG} {LONG}"),
+        (f'<article class="post tags-news comments-open"><p>{LONG}</p></article>', LONG),
+        (f'<form id="aspnetForm"><div><p>{LONG}</p></div></form>', LONG),
+        (f'<form id="aspnetForm"><div class="menu"><a href=x>Home</a></div><div id="content"><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div class="footer">{LONG}</div></form>', f"{LONG} Short one. {LONG}"),
+        (f'<div class="content"><p>{LONG}</p></div><article>teaser</article>', LONG),
+        (f'<div class="content"><p>{LONG}</p></div><form class="newsletter-form"><p>Join our list of readers and get the news of the week by mail, as you like it.</p><input></form>', LONG),
+        (f'<div class="content"><p>{LONG}</p></div><div class="cookie-notice"><p>{LONG}</p><p>{LONG}</p></div>', LONG),
+        (f'<article class="comment"><p>{LONG}</p></article><article class="post"><p>{LONG}!</p></article>', f"{LONG}!"),
+        (f"<article>Short news of one line.</article><div class='widget'>{LONG}</div><div>Imprint</div>", "Short news of one line."),
         (f"<nav>menu</nav><div><p>{POLISH}</p><p>{POLISH[:119]}</p></div><footer>end</footer>", f"{POLISH} {POLISH[:119]}"),
     ],
 )
