@@ -1,12 +1,14 @@
 """Token ids in wavelet-matrix shards: one compressed file a shard, with access, counting and lookup by rank and select.
 
 A shard holds the ids of consecutive documents in ascending doc_id order as bit planes, from the highest bit down: each
-plane lists one bit of every id, stably dealt by the bits above. rank and select on the planes use a
-directory of the ones before each block of 512 bits. Planes are packed with zstandard in the file.
+plane lists one bit of every id, stably dealt by the bits above. A file has the planes in blocks of BLOCK bits, each packed with zstandard on
+its own, the documents' ids and lengths, and a footer with the place of every block and the rank directory: the ones before each block.
+Access, counting and lookup read the footer and then only the blocks that they need.
 
 Tasks write shards through pyarrow's file systems to the shared folder, each under a name of its own attempt; the written
 manifest names those that count, so retried or lost tasks leave no trace in the results. Null texts count as empty and
-have the end id alone; rows with equal doc_id stand next to each other; a null doc_id comes first.
+have the end id alone; rows with equal doc_id stand next to each other; a null doc_id comes first. Texts of any length are encoded whole;
+an empty table gives no files and no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -27,40 +30,50 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .bpe import Kept, chunks, plain
 from .shared import save, sized, small_batches, table, tidy, work_dir
 
-MAGIC = b"WAVM1\n"
-BLOCK = 512
+MAGIC = b"WAVM2\n"
+#: Bits of a block, a multiple of eight.
+BLOCK = 1 << 16
+#: Blocks that an open plane keeps.
+HELD = 4
 #: Ids after which a shard ends with the document at hand.
 SHARD = 1_000_000
 
 
 class Plane:
-    """Bits with rank and select."""
+    """n bits with rank and select. before: the ones before each block, and all of them; block: the packed bits of a block."""
 
-    def __init__(self, packed: np.ndarray, n: int) -> None:
-        self.packed, self.n = packed, n
-        whole = np.zeros(-(-n // BLOCK) * BLOCK // 8, np.uint8)
-        whole[: len(packed)] = packed
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(whole).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64))])
+    def __init__(self, n: int, before: np.ndarray, block: Callable[[int], np.ndarray]) -> None:
+        self.n, self.before, self.block = n, before, block
+
+    @classmethod
+    def of(cls, packed: np.ndarray, n: int) -> Plane:
+        size = BLOCK // 8
+        parts = [packed[k : k + size] for k in range(0, len(packed), size)]
+        return cls(n, np.cumsum([0, *(int(np.bitwise_count(p).sum(dtype=np.int64)) for p in parts)]), parts.__getitem__)
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.packed, count=self.n)
+        return np.unpackbits(np.concatenate([self.block(k) for k in range(len(self.before) - 1)] or [np.empty(0, np.uint8)]), count=self.n)
 
     def bit(self, i: int) -> int:
-        return int(self.packed[i >> 3]) >> (7 - (i & 7)) & 1
+        k, i = divmod(i, BLOCK)
+        return int(self.block(k)[i >> 3]) >> (7 - (i & 7)) & 1
 
     def ones(self, i: int) -> int:
         """Ones before position i."""
-        block = i // BLOCK
-        begin = block * BLOCK
-        return int(self.before[block]) + int(np.unpackbits(self.packed[begin // 8 : (i + 7) // 8], count=i - begin).sum()) if i > begin else int(self.before[block])
+        k, i = divmod(i, BLOCK)
+        out = int(self.before[k])
+        if i:
+            block = self.block(k)
+            out += int(np.bitwise_count(block[: i >> 3]).sum(dtype=np.int64))
+            out += (int(block[i >> 3]) >> (8 - (i & 7))).bit_count() if i & 7 else 0
+        return out
 
     def find(self, bit: int, k: int) -> int:
         """Position of the k-th (from 0) one or zero."""
-        count = self.before if bit else np.arange(len(self.before)) * BLOCK - self.before
+        count = self.before if bit else np.minimum(np.arange(len(self.before)) * BLOCK, self.n) - self.before
         block = int(np.searchsorted(count, k, "right")) - 1
-        begin = block * BLOCK
-        part = np.unpackbits(self.packed[begin // 8 : (begin + BLOCK) // 8], count=min(BLOCK, self.n - begin))
-        return begin + int(np.flatnonzero(part == bit)[k - int(count[block])])
+        bits = np.unpackbits(self.block(block), count=min(BLOCK, self.n - block * BLOCK))
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(count[block])])
 
 
 class WaveletMatrix:
@@ -72,7 +85,7 @@ class WaveletMatrix:
         planes, zeros, x = [], [], ids
         for b in range(bits - 1, -1, -1):
             one = (x >> x.dtype.type(b)) & x.dtype.type(1) != 0
-            planes.append(Plane(np.packbits(one), len(x)))
+            planes.append(Plane.of(np.packbits(one), len(x)))
             down = np.flatnonzero(~one)
             zeros.append(len(down))
             x = x.take(np.concatenate([down, np.flatnonzero(one)]))
@@ -123,28 +136,58 @@ class WaveletMatrix:
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
-    """One shard file: a header, the documents' ids and lengths, then the packed planes."""
+    """One shard file: blocks of planes, the documents' ids and lengths, and the footer."""
     m = WaveletMatrix.of(ids, bits)
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    parts = [squeeze(x) for x in (json.dumps(doc_ids).encode(), np.array(lengths, "<i8").tobytes(), *(p.packed.tobytes() for p in m.planes))]
-    head = json.dumps({"n": m.n, "zeros": m.zeros, "sizes": [len(p) for p in parts]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
+    parts = [[squeeze(p.block(k).tobytes()) for k in range(len(p.before) - 1)] for p in m.planes]
+    documents = [squeeze(json.dumps(doc_ids).encode()), squeeze(np.array(lengths, "<i8").tobytes())]
+    footer = {"n": m.n, "zeros": m.zeros, "before": [p.before.tolist() for p in m.planes], "sizes": [[len(b) for b in blocks] for blocks in parts], "documents": [len(d) for d in documents]}
+    end = squeeze(json.dumps(footer).encode())
+    return b"".join([*(b for blocks in parts for b in blocks), *documents, end, struct.pack("<I", len(end)), MAGIC])
+
+
+class Shard:
+    """A shard file that is read in pieces: read(begin, n) gives n of its size bytes."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int) -> None:
+        self.read = read
+        tail = len(MAGIC) + 4
+        if size < tail or (end := read(size - tail, tail))[4:] != MAGIC:
+            raise ValueError("not a shard file")
+        length = struct.unpack("<I", end[:4])[0]
+        footer = json.loads(self._part(size - tail - length, length))
+        at, planes = 0, []
+        for before, sizes in zip(footer["before"], footer["sizes"], strict=True):
+            begins = np.cumsum([at, *sizes]).tolist()
+            planes.append(Plane(footer["n"], np.array(before), lru_cache(HELD)(partial(self._block, begins))))
+            at = begins[-1]
+        self.matrix, self._documents = WaveletMatrix(planes, footer["zeros"], footer["n"]), (at, *footer["documents"])
+
+    @classmethod
+    def open(cls, path: str) -> Shard:
+        """The shard at a path of any file system that pyarrow knows by URI."""
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        file = system.open_input_file(place)
+        return cls(lambda begin, n: file.read_at(n, begin), file.size())
+
+    def _part(self, begin: int, n: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.read(begin, n))
+
+    def _block(self, begins: list[int], k: int) -> np.ndarray:
+        return np.frombuffer(self._part(begins[k], begins[k + 1] - begins[k]), np.uint8)
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """The documents' ids and lengths in order."""
+        at, a, b = self._documents
+        return json.loads(self._part(at, a)), np.frombuffer(self._part(at + a, b), "<i8")
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     """doc_ids, lengths and matrix of a shard file."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a shard file")
-    at = len(MAGIC) + 4
-    n_head = struct.unpack("<I", data[at - 4 : at])[0]
-    head = json.loads(data[at : at + n_head])
-    at += n_head
-    parts = []
-    for size in head["sizes"]:
-        parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + size]))
-        at += size
-    planes = [Plane(np.frombuffer(p, np.uint8), head["n"]) for p in parts[2:]]
-    return json.loads(parts[0]), np.frombuffer(parts[1], "<i8"), WaveletMatrix(planes, head["zeros"], head["n"])
+    shard = Shard(lambda begin, n: data[begin : begin + n], len(data))
+    return *shard.documents(), shard.matrix
 
 
 class _Library:
@@ -244,6 +287,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
             for file, data in zip(frame["file"], frame["content"], strict=True):
                 doc_ids, lengths, matrix = unpack(data)
                 ids = matrix.all().astype("<u4")
+                if len(ids) and matrix.count(int(ids[-1])) != np.count_nonzero(ids == ids[-1]):
+                    raise ValueError(f"the rank directory of {file} does not fit its planes")
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends, lengths, strict=True)]
                 yield pd.DataFrame({"file": file, "doc_id": pd.array(doc_ids, "Int64"), "at": ends - lengths, "n_tokens": lengths, "ids_crc32": crc})

@@ -80,8 +80,40 @@ def test_letters_with_a_far_lower_case(spark, library):
     assert files == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())) for i, ids in want.items()}
 
 
+def test_the_word_path_of_token_files_is_the_library(library):
+    own = wavelet._Library(open(PATH).read())
+    for t, want in zip(texts(), library.encode_batch([t or "" for t in texts()], add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.ids(t or ""), own.kind).tolist() == want.ids, t
+
+
+def test_queries_read_only_the_blocks_they_need(tmp_path, monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 512)
+    a = np.random.default_rng(0).integers(0, 49_000, 60_000).astype("<u2")
+    wavelet.save(f"{tmp_path}/a.wm", pack([1], [len(a)], a, 16))
+    shard = wavelet.Shard.open(f"{tmp_path}/a.wm")
+    seen, read = [], shard.read
+    shard.read = lambda begin, n: seen.append(n) or read(begin, n)
+    assert shard.matrix.access(31_234) == a[31_234] and len(seen) <= 16
+    assert shard.matrix.count(int(a[7])) == (a == a[7]).sum() and len(seen) <= 16 + 32
+    assert shard.matrix.select(int(a[7]), 0) == np.flatnonzero(a == a[7])[0] and sum(seen) < len(a) / 4
+    broken = bytearray(pack([1], [3], np.array([5, 6, 5], "<u2"), 16))
+    with pytest.raises(ValueError):
+        unpack(bytes(broken[:-1]))
+
+
+def test_rows_without_ids(spark, library):
+    rows = [(None, "no id"), (3, None), (None, "again"), (2, "z " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in encode_decode(df, PATH).select("n_tokens").collect())
+    assert got == sorted((len(library.encode(t or "", add_special_tokens=False).ids),) for _, t in rows)
+    files = sorted(tuple(r) for r in token_files(df, PATH).select("start", "doc_id", "n_tokens").collect())
+    assert [r[1] for r in files] == [None, None, 2, 3] and [r[0] for r in files] == np.cumsum([0, *(r[2] for r in files[:-1])]).tolist()
+
+
+@pytest.mark.parametrize("block", [8, 512, 1 << 16])
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 4000])
-def test_wavelet_matrix(n):
+def test_wavelet_matrix(n, block, monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", block)
     a = np.random.default_rng(n).zipf(1.3, n).clip(0, 49_000).astype("<u2")
     ids, lengths, m = unpack(pack([None, 4], [n, 0], a, 16))
     assert ids == [None, 4] and lengths.tolist() == [n, 0] and (m.all() == a).all()
