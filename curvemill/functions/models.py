@@ -1,6 +1,6 @@
 """Predictors of one shape: (training features, training curves, query features) -> query curves.
 
-They are small dense solves for one fold, called from grouped tasks (operators.folds); all but the tree models need NumPy alone.
+They are small dense solves for one fold, called from grouped tasks (operators.folds); they need NumPy alone.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def kernel_ridge(x, y, q, alpha: float = 1.0, gamma: float | None = None) -> np.
     gamma = 1 / f.x.shape[1] if gamma is None else gamma
     if not (alpha > 0 and gamma > 0):
         raise ValueError("alpha and gamma must be positive")
-    k = lambda a: np.exp(-gamma * ((a[:, None] - f.x[None]) ** 2).sum(2))
+    k = lambda a: np.exp(-gamma * np.maximum((a**2).sum(1)[:, None] + (f.x**2).sum(1) - 2 * a @ f.x.T, 0))
     train, query = k(f.x), k(f.q)
     column = train.mean(0)
     center = lambda m: m - m.mean(1, keepdims=True) - column + column.mean()
@@ -220,53 +220,54 @@ def sqrt_mass_ridge(x, y, q, alpha: float = 10.0) -> np.ndarray:
     return out
 
 
-def _interior(a: np.ndarray, b: np.ndarray, c: np.ndarray, steps: int = 200) -> np.ndarray:
-    """min c.z, a z = b, z >= 0 by a primal-dual interior point method."""
-    m, n = a.shape
-    z, s, v = np.ones(n), np.ones(n), np.zeros(m)
-    best, least = z, np.inf
-    for _ in range(steps):
-        rp, rd, mu = b - a @ z, c - a.T @ v - s, z @ s / n
-        off = max(np.abs(rp).max(), np.abs(rd).max(), mu)
-        if off < least:
-            best, least = z, off
-        if least < 1e-9 or off > 1e3 * least:  # rounding takes over near a vertex
-            break
-        d = z / s
-        normal = (a * d) @ a.T
-        scale = 1 / np.sqrt(np.diag(normal))
-        solve = scale[:, None] * np.linalg.inv(normal * np.outer(scale, scale) + 1e-13 * np.eye(m)) * scale
-
-        def step(rc):
-            dv = solve @ (rp + (a * d) @ rd - a @ (rc / s))
-            ds = rd - a.T @ dv
-            return dv, ds, (rc - z * ds) / s
-
-        most = lambda u, du: min(1.0, float(np.min(np.where(du < 0, -u / np.where(du < 0, du, -1), np.inf), initial=np.inf)))
-        dv, ds, dz = step(-z * s)
-        aim = ((z + most(z, dz) * dz) @ (s + most(s, ds) * ds) / n / mu) ** 3
-        dv, ds, dz = step(-z * s + aim * mu - dz * ds)
-        tz, ts = 0.995 * most(z, dz), 0.995 * most(s, ds)
-        z, v, s = z + tz * dz, v + ts * dv, s + ts * ds
-    if least > 1e-5:
-        raise RuntimeError("no convergence")
-    return best
+def least_deviations(a: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The b that makes sum(w * |t - a b|) least, for a of full column rank: exact descent along edges.
+
+    A vertex is where as many rows as columns have no residual. One of these rows is let go while its multiplier is beyond its
+    weight, and the weighted median along that edge takes its place. Targets are moved apart by tiny amounts, so that no vertex is met twice; the last
+    vertex is solved for the true targets."""
+    m, p = a.shape
+    apart = t + 1e-9 * (1 + np.abs(t).max()) * np.random.default_rng(0).permutation(m) / m
+    # a well-conditioned start: greedy rows by what is left of them after those before
+    left, basis = a.astype(float).copy(), []
+    for _ in range(p):
+        k = int(np.argmax((left**2).sum(1)))
+        basis.append(k)
+        u = left[k] / np.linalg.norm(left[k])
+        left -= np.outer(left @ u, u)
+    basis = np.array(basis)
+    inside = np.zeros(m, bool)
+    for _ in range(100 * (m + p)):
+        inside[:] = False
+        inside[basis] = True
+        inverse = np.linalg.inv(a[basis])
+        r = apart - a @ (inverse @ apart[basis])
+        multiplier = np.where(inside, 0.0, w * np.sign(r)) @ a @ inverse
+        over = np.abs(multiplier) - w[basis]
+        j = int(np.argmax(over))
+        if over[j] <= 1e-12:
+            return np.linalg.solve(a[basis], t[basis])
+        slope = a @ inverse[:, j]  # how residuals of the others fall along the edge
+        slope[inside] = 0.0
+        slope[basis[j]] = 1.0
+        move = np.flatnonzero(np.abs(slope) > 1e-12)
+        steps = r[move] / slope[move]
+        order = np.argsort(steps, kind="stable")
+        weight = np.cumsum((w * np.abs(slope))[move][order])
+        basis[j] = move[order[int(np.searchsorted(weight, weight[-1] / 2))]]
+    raise RuntimeError("no convergence")
 
 
 def median_regression(x, y, q, alpha: float = 0.01) -> np.ndarray:
-    """Conditional median of each point as a share, with an absolute-value penalty on the weights, as a linear program."""
+    """Conditional median of each point as a share, with an absolute-value penalty on the weights: least absolute deviations with a row more for each weight."""
     f = Fold(x, y, q)
     n, p = f.x.shape
-    shift = 10.0  # the offset, between -10 and beyond 1, as a non-negative unknown
-    a = np.hstack([np.ones((n, 1)), f.x, -f.x, np.eye(n), -np.eye(n)])
-    cost = np.concatenate([[0.0], np.full(2 * p, max(alpha, 1e-7)), np.full(2 * n, 0.5 / n)])
+    a = np.vstack([np.hstack([np.ones((n, 1)), f.x]), np.hstack([np.zeros((p, 1)), np.eye(p)])])
+    w = np.concatenate([np.full(n, 0.5 / n), np.full(p, max(alpha, 1e-7))])
     out = []
     for t in f.target.T / 100:
-        if (t == t[0]).all():
-            out.append(np.full(len(f.q), t[0]))
-            continue
-        z = _interior(a, t + shift, cost)
-        out.append(z[0] - shift + f.q @ (z[1 : 1 + p] - z[1 + p : 1 + 2 * p]))
+        b = np.r_[t[0], np.zeros(p)] if (t == t[0]).all() else least_deviations(a, np.concatenate([t, np.zeros(p)]), w)
+        out.append(b[0] + f.q @ b[1:])
     return closed(np.stack(out, 1) * 100)
 
 

@@ -1,17 +1,18 @@
 """k nearest neighbours of curves, with features scaled by the training rows.
 
-Training rows are one per entity; they are broadcast when they number at most TRAIN, otherwise their hash blocks are sent one after the other and
-each query keeps its best k of every block before the next merge, so no query meets more than one block at once."""
+Queries and training rows are dealt to blocks, and each pair of blocks is a task of its own that keeps the best k of every query; the bests of
+all blocks are merged by rank. No row passes through the driver or is broadcast, and a task holds one block of either side."""
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import curves as C
 
-TRAIN = 20_000
+#: Rows of a block of training rows or of queries at most, and distances that a task holds at once.
+TRAIN, CELLS = 10_000, 2_000_000
 #: Neighbour counts to choose from.
 COUNTS = (1, 3, 5, 7)
 
@@ -22,9 +23,8 @@ def scales(train: DataFrame, columns: list[str]) -> DataFrame:
     return train.agg(*(F.when(s(c) < 1e-12, 1.0).otherwise(s(c)).alias(c) for c in columns))
 
 
-def distance(columns: list[str], a: str, b: str, s: str) -> Column:
-    parts = [F.pow((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) / F.col(f"{s}.{c}"), 2) for c in columns]
-    return reduce(lambda x, y: x + y, parts)
+def _array(columns: list[str]) -> Column:
+    return F.array(*(F.col(c).cast("double") for c in columns))
 
 
 def nearest(queries: DataFrame, train: DataFrame, columns: list[str], k: int, key: str = "sample_id", pos: str = "pos", exclude_self: bool = False) -> DataFrame:
@@ -34,27 +34,59 @@ def nearest(queries: DataFrame, train: DataFrame, columns: list[str], k: int, ke
     s = scales(train, columns).first()
     if s is None or s[0] is None:
         raise ValueError("at least one training row is needed")
-    n = train.count()
-    blocks = max(1, -(-n // TRAIN))
-    q = queries.select(F.col(key).alias("_q"), *(F.col(c).alias(f"_q_{c}") for c in columns))
-    t = train.select(F.col(key).alias("neighbor"), F.col(pos).alias("_pos"), *(F.col(c).alias(f"_t_{c}") for c in columns))
-    d = reduce(lambda x, y: x + y, (F.pow((F.col(f"_q_{c}") - F.col(f"_t_{c}")) / F.lit(float(s[c])), 2) for c in columns))
-    on = (F.col("_q") != F.col("neighbor")) if exclude_self else F.lit(True)
-    return _best(q, t, d, k, blocks, on).select(F.col("_q").alias(key), "neighbor", "distance", "rank")
-
-
-def _best(q: DataFrame, t: DataFrame, d: Column, k: int, blocks: int, on: Column) -> DataFrame:
-    """(_q, neighbor, _pos, distance, rank): the k nearest rows of t for each row of q, block by block of t."""
-    w = Window.partitionBy("_q").orderBy("distance", "_pos")
-    best = []
-    for b in range(blocks):
-        part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("neighbor"), F.lit(blocks)) == b)
-        pairs = q.join(F.broadcast(part), on).select("_q", "neighbor", "_pos", d.alias("distance"))
-        best.append(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    found = reduce(DataFrame.unionByName, best)
-    if blocks > 1:
-        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return found
+    q = queries.select(F.col(key).alias("q"), _array(columns).alias("x"), F.array(*(F.lit(float(s[c])) for c in columns)).alias("s"))
+    t = train.select(F.col(key).alias("neighbor"), F.col(pos).alias("pos"), _array(columns).alias("y"))
+    return _best(q, t, k, exclude_self).withColumnRenamed("q", key)
+
+
+def _closest(x: np.ndarray, s: np.ndarray, y: np.ndarray, order: np.ndarray, same: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, training row, distance) of the k least sums of ((x - y) / s) ** 2 of each query, ties by order. same: pairs that don't count.
+
+    Matrix products give the distances but for rounding; what may be among the k best is computed again as it is defined."""
+    w = 1 / (s * s)
+    size = (x * x * w).sum(1)
+    about = size[:, None] - 2 * (x * w) @ y.T + w @ (y * y).T
+    slack = 1e-9 * (size[:, None] + w @ (y * y).T + 1e-300)
+    if same is not None:
+        about[same] = np.inf
+    if about.shape[1] > k:
+        limit = np.partition(about + slack, k - 1, axis=1)[:, k - 1 : k]
+        near = (about - slack <= limit) & np.isfinite(about)
+    else:
+        near = np.isfinite(about)
+    a, b = np.nonzero(near)
+    far = (((x[a] - y[b]) / s[a]) ** 2).sum(1)
+    sort = np.lexsort((order[b], far, a))
+    a, b, far = a[sort], b[sort], far[sort]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[rank < k], b[rank < k], far[rank < k]
+
+
+def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(q, neighbor, distance, rank): the k nearest rows of t (neighbor, pos, y) for each row of q (q, x, s)."""
+    tasks = q.sparkSession.sparkContext.defaultParallelism
+    n_q, n_t = q.count(), t.count()
+    q_blocks, t_blocks = max(1, -(-n_q // TRAIN), min(tasks, n_q // 100)), max(1, -(-n_t // TRAIN))
+    deal = lambda df, name, n, by: df.withColumn(name, F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+    each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = deal(q, "a", q_blocks, "q").select("*", each("b", t_blocks))
+    right = deal(t, "b", t_blocks, "neighbor").select("*", each("a", q_blocks))
+    kinds = dict(t.dtypes)
+
+    def pair(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(queries) and len(rows):
+            y, order = np.stack(rows["y"]), rows["pos"].rank(method="first").to_numpy()
+            for i in range(0, len(queries), max(1, CELLS // len(rows))):
+                some = queries.iloc[i : i + max(1, CELLS // len(rows))]
+                same = some["q"].to_numpy()[:, None] == rows["neighbor"].to_numpy()[None] if exclude_self else None
+                a, b, far = _closest(np.stack(some["x"]), np.stack(some["s"]), y, order, same, k)
+                parts.append((some["q"].to_numpy()[a], rows["neighbor"].to_numpy()[b], rows["pos"].to_numpy()[b], far))
+        return pd.DataFrame({c: np.concatenate(p) if p else [] for c, p in zip(("q", "neighbor", "pos", "distance"), zip(*parts, strict=True) if parts else [()] * 4, strict=True)})
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(pair, f"q {dict(q.dtypes)['q']}, neighbor {kinds['neighbor']}, pos {kinds['pos']}, distance double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "neighbor", "distance", "rank")
 
 
 def mean_of_neighbors(found: DataFrame, curves: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -70,19 +102,14 @@ def knn_curves(queries: DataFrame, train: DataFrame, columns: list[str], k: int
 
 def loo_ranks(df: DataFrame, columns: list[str], k: int, key: str = "sample_id", pos: str = "pos") -> DataFrame:
     """Neighbours of each row among the others, with features scaled by the others alone (variance from sums minus self)."""
-    sums = df.agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in columns), *(F.sum(F.col(c) * F.col(c)).alias(f"_ss_{c}") for c in columns), *(F.min(c).alias(f"_lo_{c}") for c in columns), *(F.max(c).alias(f"_hi_{c}") for c in columns))
-    q = df.select(F.col(key).alias("_q"), *(F.col(c).alias(f"_q_{c}") for c in columns)).crossJoin(F.broadcast(sums))  # one row
-
-    def scale(c: str) -> Column:
-        m = F.col("_n") - 1
-        mean = (F.col(f"_s_{c}") - F.col(f"_q_{c}")) / m
-        var = F.greatest((F.col(f"_ss_{c}") - F.col(f"_q_{c}") * F.col(f"_q_{c}")) / m - mean * mean, F.lit(0.0))
-        return F.when(F.sqrt(var) < 1e-12, 1.0).otherwise(F.sqrt(var))
-
-    q = q.select("_q", *(F.col(f"_q_{c}") for c in columns), *(scale(c).alias(f"_sc_{c}") for c in columns))
-    t = df.select(F.col(key).alias("neighbor"), F.col(pos).alias("_pos"), *(F.col(c).alias(f"_t_{c}") for c in columns))
-    d = reduce(lambda x, y: x + y, (F.pow((F.col(f"_q_{c}") - F.col(f"_t_{c}")) / F.col(f"_sc_{c}"), 2) for c in columns))
-    return _best(q, t, d, k, max(1, -(-df.count() // TRAIN)), F.col("_q") != F.col("neighbor")).select(F.col("_q").alias(key), "neighbor", "distance", "rank")
+    sums = df.agg(F.count("*").alias("n"), F.array(*(F.sum(c).cast("double") for c in columns)).alias("sum"), F.array(*(F.sum(F.col(c) * F.col(c)).cast("double") for c in columns)).alias("square"))
+    own = df.select(F.col(key).alias("q"), _array(columns).alias("x")).crossJoin(F.broadcast(sums))  # one row
+    m = F.col("n") - 1
+    parts = F.arrays_zip("x", "sum", "square")
+    spread = F.transform(parts, lambda p: F.sqrt(F.greatest((p["square"] - p["x"] * p["x"]) / m - ((p["sum"] - p["x"]) / m) * ((p["sum"] - p["x"]) / m), F.lit(0.0))))
+    q = own.select("q", "x", F.transform(spread, lambda v: F.when(v < 1e-12, 1.0).otherwise(v)).alias("s"))
+    t = df.select(F.col(key).alias("neighbor"), F.col(pos).alias("pos"), _array(columns).alias("y"))
+    return _best(q, t, k, exclude_self=True).withColumnRenamed("q", key)
 
 
 def loo_scores(df: DataFrame, columns: list[str], counts: tuple[int, ...] = COUNTS, key: str = "sample_id", pos: str = "pos") -> DataFrame:

@@ -17,7 +17,8 @@ from ..streaming.curves import windowed_curves
 #: Price thresholds of the stand-in curves; the last one is above every price.
 PRICES = (1000.0, 2000.0, 5000.0, 10000.0, 15000.0, 20000.0, 30000.0, 45000.0, 60000.0, 90000.0, 200000.0)
 FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-DIMS = 8
+#: Dimensions of the supplied embeddings; the SQL names each.
+DIMS = 64
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -363,7 +364,7 @@ def set_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.same_multiset(read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")).distinct(), read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")).distinct())
 
 
-# embeddings as entities: the first dimensions are features, the curve is made of the label
+# embeddings as entities: their dimensions are features, the curve is made of the label
 def encoded(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     cdf = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.when(i == 10, 100.0).otherwise(F.least(F.lit(100.0), F.col("label") * 4.0 + i * 6.0)))
@@ -402,25 +403,28 @@ def knn_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.loo_scores(e, A.feature_columns(e)).select(F.col("k").cast("int").alias("k"), r6("emd").alias("emd"))
 
 
-# the same over whole embeddings, with each row as a query against all others; too slow as SQL, so tests hold them against brute force
+# the same with each row as a query against all others, whatever the dimensions
 def encoded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = read(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
     return encoded(spark, sf_dir, size)
 
 
-@query()
+@query(f"""WITH {_E}, s AS (SELECT {_SCALE} FROM e),
+r AS (SELECT q.vec_id AS sample_id, t.vec_id AS neighbor, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, t.vec_id)::INT AS rank FROM e q, e t, s WHERE q.vec_id <> t.vec_id) SELECT * FROM r WHERE rank <= 3""")
 def knn_neighbors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = encoded_whole(spark, sf_dir)
     return N.nearest(e, e, A.feature_columns(e), 3, exclude_self=True).select("sample_id", "neighbor", "rank")
 
 
-@query()
+@query(f"""WITH {_E}, s AS (SELECT {_SCALE} FROM e),
+r AS (SELECT q.vec_id AS sample_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, t.vec_id) AS rank FROM e q, e t, s WHERE q.vec_id <> t.vec_id)
+SELECT sample_id, pos::INT AS pos, round(avg(CASE WHEN pos = 10 THEN 100 ELSE least(100, 4.0 * label + 6.0 * pos) END), 6) AS value FROM r, range(11) p(pos) WHERE rank <= 3 GROUP BY 1, 2""")
 def knn_curves_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = encoded_whole(spark, sf_dir)
     return at_points(N.mean_of_neighbors(N.nearest(e, e, A.feature_columns(e), 3, exclude_self=True), e), ["sample_id"])
 
 
-@query()
+@query(_sql["knn_loo"])
 def knn_loo_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = encoded_whole(spark, sf_dir)
     return N.loo_scores(e, A.feature_columns(e)).select(F.col("k").cast("int").alias("k"), r6("emd").alias("emd"))
@@ -457,6 +461,30 @@ def ridge_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram.loo_ridge(df, "l_suppkey", A.feature_columns(df)).select("l_suppkey", r6("emd").alias("emd"))
 
 
+_TRUTH = f"""t AS (SELECT c.sample_id, pos, value, width FROM curves c JOIN {_W} USING (pos)),
+rows AS (SELECT sample_id, '' AS view FROM curves GROUP BY 1 UNION ALL SELECT sample_id, l_returnflag FROM lines GROUP BY 1, 2)"""
+_MEANS = ", ".join(f"avg({c}) AS x{i}" for i, c in enumerate(FEATURES))
+
+
+def _fold_knn(*groups: tuple[int, ...]) -> str:
+    """SQL of leave-one-out 3-NN, averaged over groups of features."""
+    scale = ", ".join(f"CASE WHEN stddev_pop(b.x{i}) < 1e-12 THEN 1 ELSE stddev_pop(b.x{i}) END AS s{i}" for i in range(4))
+    parts = " UNION ALL ".join(f"SELECT q.sample_id, q.view, {g} AS g, f.sample_id AS near, row_number() OVER (PARTITION BY q.sample_id, q.view ORDER BY {' + '.join(f'power((q.x{i} - f.x{i}) / s{i}, 2)' for i in group)}, f.sample_id) AS rank FROM q JOIN s USING (sample_id) JOIN f ON f.sample_id <> q.sample_id" for g, group in enumerate(groups))
+    return f"""WITH {CURVES}, {_TRUTH}, f AS (SELECT sample_id, {_MEANS} FROM lines GROUP BY 1), q AS (SELECT sample_id, '' AS view, x0, x1, x2, x3 FROM f UNION ALL SELECT sample_id, l_returnflag, {_MEANS} FROM lines GROUP BY 1, 2),
+s AS (SELECT a.sample_id, {scale} FROM f a JOIN f b ON a.sample_id <> b.sample_id GROUP BY 1), r AS ({parts}),
+p AS (SELECT r.sample_id, r.view, c.pos, avg(c.value) AS p FROM r JOIN curves c ON c.sample_id = near WHERE rank <= 3 GROUP BY 1, 2, 3)
+SELECT sample_id, view, 'null' AS setting, round(sum(abs(value - p) * width), 6) AS emd FROM p JOIN t USING (sample_id, pos) WHERE pos < 10 GROUP BY 1, 2"""
+
+
+def _fold_center(how: str) -> str:
+    """SQL of leave-one-out means or medians; every view of a sample gets the same curve."""
+    return f"""WITH {CURVES}, {_TRUTH}, p AS (SELECT a.sample_id, a.pos, {how}(b.value) AS p FROM curves a JOIN curves b ON a.pos = b.pos AND a.sample_id <> b.sample_id GROUP BY 1, 2),
+e AS (SELECT sample_id, round(sum(abs(value - p) * width), 6) AS emd FROM p JOIN t USING (sample_id, pos) WHERE pos < 10 GROUP BY 1) SELECT sample_id, view, 'null' AS setting, emd FROM rows JOIN e USING (sample_id)"""
+
+
+_sql |= {"folds_mean": _fold_center("avg"), "folds_median": _fold_center("median"), "folds_knn": _fold_knn((0, 1, 2, 3)), "folds_crop_ensemble": _fold_knn((0, 1), (2, 3))}
+
+
 def _fold_query(name: str, predictor=None, selector: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = folds.leave_one_out(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view", predictor, selector)
@@ -474,7 +502,7 @@ for _name, _p in {
     "folds_weibull_ridge": models.weibull_ridge, "folds_crop_ensemble": models.ensemble_knn(3, (2, 2)),
 }.items():
     _fold_query(_name, _p)
-for _name in ("ridge", "neighbors", "pls"):
+for _name in ("ridge", "neighbors", "pls", "kernel", "svr"):
     _fold_query(f"nested_{_name}", selector=_name)
 
 
@@ -569,30 +597,59 @@ def windowed_event_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("window_start", "event_type", "n", r6(F.get("cdf", 1)).alias("half"))
 
 
-def _image_query(name: str, extract, size: int, n: int) -> None:
+#: Side of the images that order lines are dealt to; their cells in SQL, and their grid with empty cells as 0.
+SIDE = 256
+_CELLS = f"{LINES}, cells AS (SELECT sample_id, (l_orderkey % {SIDE})::INT AS y, (l_partkey % {SIDE})::INT AS x, avg(l_extendedprice / 200000) AS v FROM lines GROUP BY 1, 2, 3)"
+_GRID = f"""{_CELLS}, grid AS (SELECT sample_id, y, x, coalesce(v, 0) AS v FROM (SELECT DISTINCT sample_id FROM cells) CROSS JOIN (SELECT y::INT AS y FROM range({SIDE}) a(y)) CROSS JOIN (SELECT x::INT AS x FROM range({SIDE}) b(x)) LEFT JOIN cells USING (sample_id, y, x))"""
+
+
+def _changes(lags: tuple[int, ...], power: int) -> str:
+    """SQL of the mean change (to a power) at lags, averaged over both axes, as d0, d1 and so on by sample."""
+    over = lambda k, a, b: f"avg(power(abs(v - lag_{a}{k}), {power}))"
+    lagged = ", ".join(f"lag(v, {k}) OVER (PARTITION BY sample_id, {b} ORDER BY {a}) AS lag_{a}{k}" for k in lags for a, b in (("y", "x"), ("x", "y")))
+    return f"d AS (SELECT sample_id, {', '.join(f'({over(k, chr(121), chr(120))} + {over(k, chr(120), chr(121))}) / 2 AS d{i}' for i, k in enumerate(lags))} FROM (SELECT sample_id, v, {lagged} FROM grid) GROUP BY 1)"
+
+
+def _image_query(name: str, extract, n: int, sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Order lines dealt to square images by supplier nation: pixel means of scaled prices."""
-        pix = lines(spark, sf_dir).select("sample_id", (F.col("l_orderkey") % size).alias("y"), (F.col("l_partkey") % size).alias("x"), (F.col("l_extendedprice") / 200000).alias("v"))
-        cells = pix.groupBy("sample_id", "y", "x").agg(F.avg("v").alias("v"))
-        image = cells.groupBy("sample_id").agg(F.collect_list(F.struct("y", "x", "v")).alias("pixels"))  # size * size numbers at most
+        pix = lines(spark, sf_dir).select("sample_id", (F.col("l_orderkey") % SIDE * SIDE + F.col("l_partkey") % SIDE).cast("int").alias("at"), (F.col("l_extendedprice") / 200000).alias("v"))
+        cells = pix.groupBy("sample_id", "at").agg(F.avg("v").alias("v"))
+        image = cells.groupBy("sample_id").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v"))  # SIDE * SIDE numbers at most
+        image = image.select("sample_id", F.struct("at", "v").alias("pixels"))
 
         def decode(cells):
-            out = [[0.0] * size for _ in range(size)]
-            for c in cells:
-                out[int(c["y"])][int(c["x"])] = float(c["v"])
             import numpy as np
 
-            return np.array(out)
+            out = np.zeros(SIDE * SIDE)
+            out[np.asarray(cells["at"], int)] = np.asarray(cells["v"], float)
+            return out.reshape(SIDE, SIDE)
 
         f = images.feature_table(image, extract, ["sample_id"], decode=decode)
         return images.wide(f, ["sample_id"], n).select("sample_id", *(r6(f"feature_{i}").alias(f"feature_{i}") for i in range(n)))
 
     run.__name__ = name
     _queries[name] = run
+    if sql:
+        _sql[name] = sql
+
+
+def _rgb(a):
+    """A gray image with two channels of its powers, as colour."""
+    import numpy as np
+
+    return np.stack([a, a**2, np.sqrt(a)], 2)
+
 
+_GRAY = f"WITH {_GRID}, {_changes(images.LAGS, 1)}, s AS (SELECT sample_id, quantile_cont(v, 0.1) AS q1, quantile_cont(v, 0.5) AS q5, quantile_cont(v, 0.9) AS q9, stddev_pop(v) AS dev FROM grid GROUP BY 1) SELECT sample_id, round(q1, 6) AS feature_0, round(q5, 6) AS feature_1, round(q9, 6) AS feature_2, round(dev, 6) AS feature_3, round(d0, 6) AS feature_4, round(d1, 6) AS feature_5, round(d2, 6) AS feature_6 FROM s JOIN d USING (sample_id)"
+_TEXTURE = f"WITH {_GRID}, {_changes(tuple(round(o * SIDE / 100) for o in images.OFFSETS_MM), 2)}, s AS (SELECT sample_id, var_pop(v) AS var FROM grid GROUP BY 1) SELECT sample_id, {', '.join(f'round(d{i} / (2 * var), 6) AS feature_{i}' for i in range(4))} FROM s JOIN d USING (sample_id)"
 
-_image_query("features_gray", lambda a: images.color_texture(a, "gray"), 64, 7)
-_image_query("features_texture", lambda a: images.texture(a), 64, 4)
-_image_query("features_spectrum", lambda a: images.spectrum(a), 64, 6)
-_image_query("features_granulometry", lambda a: images.granulometry(a, (3, 5, 11)), 64, 6)
-_image_query("features_local_patterns", lambda a: images.local_patterns(a, (2.0, 4.0)), 64, 20)
+_image_query("features_gray", lambda a: images.color_texture(a, "gray"), 7, _GRAY)
+_image_query("features_texture", lambda a: images.texture(a), 4, _TEXTURE)
+_image_query("features_color", lambda a: images.color_texture(_rgb(a)), 13)
+_image_query("features_native", lambda a: images.native(_rgb(a)), 23)
+_image_query("features_patch_spread", lambda a: images.patch_spread(_rgb(a)), 6)
+_image_query("features_spatial", lambda a: images.spatial([a[:128, :128], a[:128, 128:], a[128:, :128], a[128:, 128:], a[64:192, 64:192]]), 7)
+_image_query("features_spectrum", lambda a: images.spectrum(a), 6)
+_image_query("features_granulometry", lambda a: images.granulometry(a), 12)
+_image_query("features_local_patterns", lambda a: images.local_patterns(a), 40)

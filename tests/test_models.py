@@ -79,6 +79,28 @@ def test_svr_and_median_regression_meet_their_conditions():
     assert got[:4, 0] == pytest.approx([10, 20, 30, 40], abs=1e-3)
 
 
+def test_least_deviations_is_the_best_vertex():
+    import itertools
+
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        m, p = int(r.integers(3, 9)), int(r.integers(1, 3))
+        a, t, w = r.integers(-3, 4, (m, p)).astype(float), r.integers(-4, 5, m).astype(float), r.integers(1, 4, m).astype(float)
+        if np.linalg.matrix_rank(a) < p:
+            continue
+        cost = lambda b: (w * np.abs(t - a @ b)).sum()  # noqa: E731, B023
+        vertices = [np.linalg.solve(a[list(c)], t[list(c)]) for c in itertools.combinations(range(m), p) if abs(np.linalg.det(a[list(c)])) > 1e-9]
+        assert cost(M.least_deviations(a, t, w)) == pytest.approx(min(map(cost, vertices)), abs=1e-7), seed
+
+
+def test_median_regression_known_answers():
+    const = np.full((3, 2), 5.0)
+    assert M.median_regression(const, flat([10, 20, 90]), np.array([[5.0, 5], [100, -100]])) == pytest.approx(flat([20, 20]))
+    assert M.median_regression(np.array([[-2.0], [2]]), flat([20, 80]), np.array([[-1.0], [1]])) == pytest.approx(flat([35, 65]))
+    x, y, q = data(60, 6, 5)
+    assert np.isfinite(M.median_regression(x, np.round(y), q)).all()
+
+
 def test_isotonic():
     assert M.isotonic(np.array([1.0, 3, 2, 2, 5, 4])).tolist() == pytest.approx([1, 7 / 3, 7 / 3, 7 / 3, 4.5, 4.5])
 
@@ -115,6 +137,33 @@ def test_image_features():
     assert images.granulometry(gray, (3, 5)).reshape(2, 2).sum(1) == pytest.approx([1, 1])
     assert images.local_patterns(gray, (2.0,)).sum() == pytest.approx(1) and images.local_patterns(np.zeros((64, 64)), (2.0,))[8] == 1
     assert images.patch_spread(np.full((256, 256, 3), 0.5)).tolist() == [0] * 6
+    # each against its definition
+    windows = np.lib.stride_tricks.sliding_window_view
+    big = lambda g, s, f: f(windows(g, (s, s)), (2, 3))
+    for s in (3, 5):
+        padded = np.pad(gray, s - 1, mode="reflect")
+        assert images._extreme(images._extreme(padded, s, np.minimum), s, np.maximum) == pytest.approx(big(big(padded, s, np.min), s, np.max))
+        assert 1 - images._extreme(images._extreme(1 - padded, s, np.minimum), s, np.maximum) == pytest.approx(big(big(padded, s, np.max), s, np.min))
+    assert images._uniform_patterns()[[0, 0b1, 0b111, 0b101, 255, 0b10000001]].tolist() == [0, 1, 3, 9, 8, 2]
+    turn = np.arange(8) * np.pi / 4
+    counts = np.zeros(10)
+    for yy in range(2, 62):
+        for xx in range(2, 62):
+            up = []
+            for dy, dx in zip(1.28 * np.sin(turn), 1.28 * np.cos(turn), strict=True):
+                y0, x0 = int(np.floor(yy + dy)), int(np.floor(xx + dx))
+                fy, fx = yy + dy - y0, xx + dx - x0
+                up.append(gray[y0, x0] * (1 - fy) * (1 - fx) + gray[y0, x0 + 1] * (1 - fy) * fx + gray[y0 + 1, x0] * fy * (1 - fx) + gray[y0 + 1, x0 + 1] * fy * fx >= gray[yy, xx] - 1e-12)
+            counts[sum(up) if sum(up[k] != up[k - 1] for k in range(8)) <= 2 else 9] += 1
+    assert images.local_patterns(gray, (2.0,)) == pytest.approx(counts / counts.sum(), abs=1e-3)
+    k = np.fft.fftfreq(64, 100 / 64)
+    taper = np.outer(np.hanning(64), np.hanning(64))
+    whole = np.abs(np.fft.fft2((gray - np.average(gray, weights=taper)) * taper)) ** 2
+    far = np.hypot(*np.meshgrid(k, k))
+    want = [whole[(far * b >= 1 - 1e-12) & (far * a < 1 - 1e-12)].sum() for a, b in images.BANDS_MM]
+    assert images.spectrum(gray) == pytest.approx(np.array(want) / sum(want), rel=1e-6)
+    assert images.stretched(np.arange(101.0).reshape(1, 101))[0, [0, 5, 50, 95, 100]].tolist() == pytest.approx([0, 0, 0.5, 1, 1])
+    assert images.native(r.random((460, 460, 3))).shape == (23,)
     assert images.crop_box(2000, 1000, 100, 4.05, (4000, 2000)) == (899, 399, 202)
     with pytest.raises(ValueError):
         images.crop_box(100, 100, 100, 4, (100, 100))
