@@ -82,7 +82,9 @@ def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool) -> DataFrame:
                 same = some["q"].to_numpy()[:, None] == rows["neighbor"].to_numpy()[None] if exclude_self else None
                 a, b, far = _closest(np.stack(some["x"]), np.stack(some["s"]), y, order, same, k)
                 parts.append((some["q"].to_numpy()[a], rows["neighbor"].to_numpy()[b], rows["pos"].to_numpy()[b], far))
-        return pd.DataFrame({c: np.concatenate(p) if p else [] for c, p in zip(("q", "neighbor", "pos", "distance"), zip(*parts, strict=True) if parts else [()] * 4, strict=True)})
+        columns = [np.concatenate(p) for p in zip(*parts, strict=True)] or [np.empty(0)] * 4
+        # text keys stay objects, which cross over as one array
+        return pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in zip(("q", "neighbor", "pos", "distance"), columns, strict=True)})
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(pair, f"q {dict(q.dtypes)['q']}, neighbor {kinds['neighbor']}, pos {kinds['pos']}, distance double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))
