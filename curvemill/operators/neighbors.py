@@ -6,7 +6,7 @@ all blocks are merged by rank. No row passes through the driver or is broadcast,
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import curves as C
@@ -73,20 +73,21 @@ def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     right = deal(t, "b", t_blocks, "neighbor").select("*", each("a", q_blocks))
     kinds = dict(t.dtypes)
 
-    def pair(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+    def pair(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        matrix = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(queries) and len(rows):
-            y, order = np.stack(rows["y"]), rows["pos"].rank(method="first").to_numpy()
-            for i in range(0, len(queries), max(1, CELLS // len(rows))):
-                some = queries.iloc[i : i + max(1, CELLS // len(rows))]
-                same = some["q"].to_numpy()[:, None] == rows["neighbor"].to_numpy()[None] if exclude_self else None
-                a, b, far = _closest(np.stack(some["x"]), np.stack(some["s"]), y, order, same, k)
-                parts.append((some["q"].to_numpy()[a], rows["neighbor"].to_numpy()[b], rows["pos"].to_numpy()[b], far))
-        columns = [np.concatenate(p) for p in zip(*parts, strict=True)] or [np.empty(0)] * 4
-        # text keys stay objects, which cross over as one array
-        return pd.DataFrame({c: pd.Series(v, dtype=v.dtype) for c, v in zip(("q", "neighbor", "pos", "distance"), columns, strict=True)})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(pair, f"q {dict(q.dtypes)['q']}, neighbor {kinds['neighbor']}, pos {kinds['pos']}, distance double")
+            x, s, y = matrix(queries["x"]), matrix(queries["s"]), matrix(rows["y"])
+            q, t, pos = (c.to_numpy() for c in (queries["q"], rows["neighbor"], rows["pos"]))
+            order = np.empty(len(pos), np.int64)
+            order[np.argsort(pos, kind="stable")] = np.arange(len(pos))
+            for i in range(0, len(q), step := max(1, CELLS // len(t))):
+                a, b, far = _closest(x[i : i + step], s[i : i + step], y, order, q[i : i + step, None] == t[None] if exclude_self else None, k)
+                parts.append((a + i, b, far))
+        a, b, far = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return pa.table({"q": queries["q"].take(pa.array(a)), "neighbor": rows["neighbor"].take(pa.array(b)), "pos": rows["pos"].take(pa.array(b)), "distance": pa.array(far)})
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, f"q {dict(q.dtypes)['q']}, neighbor {kinds['neighbor']}, pos {kinds['pos']}, distance double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "neighbor", "distance", "rank")
 
