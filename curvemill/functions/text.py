@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Fixed folding of names.
@@ -30,11 +32,33 @@ def parse_curve(payload: Column) -> Column:
     return F.when(F.coalesce(ok & is_strict_curve(cdf), F.lit(False)), cdf)
 
 
-def line_class(line: Column) -> Column:
-    """Class of a client's log line: known connection noise, warning or unknown, by anchored patterns."""
-    return (
-        F.when(line.rlike(r"^\s*$"), "blank")
-        .when(line.rlike(r"(?i)^.*\b(websocket|reconnecting|connection (?:reset|closed))\b.*$"), "transport")
-        .when(line.rlike(r"(?i)^\s*(?:\S+\s+)?warn(?:ing)?\b"), "warning")
-        .otherwise("unknown")
-    )
+def line_class(line: Column, patterns: dict[str, str]) -> Column:
+    """struct(kind, captures): the first of patterns (name -> regular expression) that matches the whole line, with its groups; a line that none matches raises when the rows are used."""
+    kind = F.raise_error(F.concat(F.lit("unexpected line: "), line)).cast("struct<kind:string,captures:array<string>>")
+    for name, pattern in reversed(patterns.items()):
+        whole = f"^(?:{pattern})$"
+        groups = re.compile(whole).groups
+        captures = F.array(*(F.regexp_extract(line, whole, i + 1) for i in range(groups))).cast("array<string>")
+        kind = F.when(line.rlike(whole), F.struct(F.lit(name).alias("kind"), captures.alias("captures"))).otherwise(kind)
+    return kind
+
+
+def occurrences(text: Column, part: str) -> Column:
+    """How often part stands in text, without overlaps."""
+    return (F.char_length(text) - F.char_length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(len(part))
+
+
+def replace_once(text: Column, part: str, new: str) -> Column:
+    """text with part replaced, which must stand in it exactly once; else it raises when the rows are used."""
+    return F.when(text.isNull(), None).when(occurrences(text, part) == 1, F.replace(text, F.lit(part), F.lit(new))).otherwise(F.raise_error(F.lit(f"{part!r} is not there exactly once")).cast("string"))
+
+
+def replace_lines(text: Column, first: int, last: int, new: list[Column]) -> Column:
+    """text with its lines first to last (from 0, last excluded) replaced by others."""
+    lines = F.split(text, "\n", -1)
+    return F.array_join(F.concat(F.slice(lines, 1, first), F.array(*new).cast("array<string>"), F.slice(lines, last + 1, F.greatest(F.size(lines) - last, F.lit(0)))), "\n")
+
+
+def shown(value: Column, digits: int) -> Column:
+    """A number with fixed digits, n/a for null or NaN."""
+    return F.when(value.isNull() | F.isnan(value), "n/a").otherwise(F.format_string(f"%.{digits}f", value))

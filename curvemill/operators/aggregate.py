@@ -105,6 +105,12 @@ def improvement(errors: DataFrame, reference: str = "reference", error: str = "e
     return out.withColumn("improvement_without_largest", (F.col("_s") - F.col("_m")) / (F.col("samples") - 1)).drop("_s", "_m")
 
 
+def wins(errors: DataFrame, reference: str = "reference", error: str = "error", slack: float = 1e-9) -> DataFrame:
+    """One row: pairs better at all, better by more than slack as a difference, better than the reference less slack, and pairs."""
+    r, e = F.col(reference), F.col(error)
+    return errors.agg(F.count_if(r - e > 0).alias("better"), F.count_if(r - e > slack).alias("clearly_better"), F.count_if(e < r - slack).alias("below_reference"), F.count("*").alias("pairs"))
+
+
 def screened(evidence: DataFrame, disagreement: str, reference_disagreement: str) -> DataFrame:
     """evidence with view_not_worse and eligible: a gain of 1 or more, half the samples better, views not worse, and still better without the largest gain."""
     ok = F.coalesce(F.col(disagreement) <= F.col(reference_disagreement), F.lit(False))

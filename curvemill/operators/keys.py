@@ -77,6 +77,47 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], value: str)
     return out.withColumn(f"{value}_change", F.col(f"{value}_left") - F.col(f"{value}_right"))
 
 
+def merge(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
+    """Inner join on any number of keys; columns that both sides have besides the keys get suffixes, others keep their names."""
+    shared = (set(left.columns) & set(right.columns)) - set(keys)
+    name = lambda df, s: df.select(*(F.col(c).alias(c + s if c in shared else c) for c in df.columns))
+    return name(left, suffixes[0]).join(name(right, suffixes[1]), keys)
+
+
+def complete(joined: DataFrame, what: str = "join") -> DataFrame:
+    """joined, or an error if a full outer join left a null anywhere."""
+    nulls = joined.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in joined.columns)).first().asDict()
+    if bad := {k: v for k, v in nulls.items() if v}:
+        raise ValueError(f"{what}: rows without a partner {bad}")
+    return joined
+
+
+def with_parameters(df: DataFrame, **grids: list) -> DataFrame:
+    """Each row with every combination of the named parameters: one explode a parameter, no join."""
+    for name, values in grids.items():
+        df = df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return df
+
+
+def excluding_hashes(df: DataFrame, content: str, excluded: DataFrame) -> DataFrame:
+    """df without the rows whose content has one of the excluded SHA-256 digests (column sha256)."""
+    digest = excluded.select(F.lower("sha256").alias("_sha256"))
+    return df.join(digest, F.sha2(F.col(content).cast("binary"), 256) == F.col("_sha256"), "left_anti")
+
+
+def numbered_ranges(df: DataFrame, group: list[str], order: list[str], count: str) -> DataFrame:
+    """df with first_number and last_number: the running numbers of each row's count items within its group, from 1."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("first_number", (F.coalesce(F.sum(count).over(w), F.lit(0)) + 1).cast("long"))
+    return out.withColumn("last_number", (F.col("first_number") + F.col(count) - 1).cast("long"))
+
+
+def seeded_order(df: DataFrame, group: list[str], key: str, seed: int, name: str = "place") -> DataFrame:
+    """df with its place in a permutation of each group's keys: by the MD5 of seed and key, the same on every machine."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(mark, key)))
+
+
 def union_experiments(tables: dict[str, DataFrame]) -> DataFrame:
     """All tables stacked under an experiment column, first."""
     parts = [df.select(F.lit(name).alias("experiment"), *df.columns) for name, df in tables.items()]
@@ -102,6 +143,16 @@ def blend_median(tables: list[DataFrame], keys: list[str], least: int | None = N
     return _pointwise(tables, keys, F.median("v"), least)
 
 
+def all_pairs(df: DataFrame, member: str, blocks: int | None = None) -> DataFrame:
+    """Pairs of all rows with member_a < member_b and both curves: rows are dealt to blocks, and each pair of blocks is a group of its own."""
+    blocks = blocks or max(1, int(df.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    block = F.pmod(F.xxhash64(member), F.lit(blocks)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = df.select(block.alias("i"), each.alias("j"), F.col(member).alias("member_a"), F.col("cdf").alias("cdf_a"))
+    b = df.select(each.alias("i"), block.alias("j"), F.col(member).alias("member_b"), F.col("cdf").alias("cdf_b"))
+    return a.join(b, ["i", "j"]).where("member_a < member_b").drop("i", "j")
+
+
 def pairs_within(df: DataFrame, group: list[str], member: str) -> DataFrame:
     """Pairs of a group's rows with member_a < member_b and both curves (views of one sample: few a group)."""
     a = df.select(*group, F.col(member).alias("member_a"), F.col("cdf").alias("cdf_a"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import curves as C, images, models, text
-from ..operators import aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N
+from ..operators import aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N, submission
 from ..streaming.curves import windowed_curves
 
 #: Price thresholds of the stand-in curves; the last one is above every price.
@@ -128,7 +128,7 @@ def curve_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM curves a JOIN curves b ON a.pos = b.pos AND a.sample_id < b.sample_id JOIN {_W} ON w.pos = a.pos GROUP BY 1, 2""")
 def emd_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of samples, as the label audit wants them: samples are few (nations), never observations."""
-    pairs = K.pairs_within(nation_curves(spark, sf_dir).withColumn("all", F.lit(1)), ["all"], "sample_id")
+    pairs = K.all_pairs(nation_curves(spark, sf_dir), "sample_id")
     return pairs.select(F.col("member_a").alias("a"), F.col("member_b").alias("b"), r6(C.emd(F.col("cdf_a"), F.col("cdf_b"))).alias("emd"))
 
 
@@ -653,3 +653,89 @@ _image_query("features_spatial", lambda a: images.spatial([a[:128, :128], a[:128
 _image_query("features_spectrum", lambda a: images.spectrum(a), 6)
 _image_query("features_granulometry", lambda a: images.granulometry(a), 12)
 _image_query("features_local_patterns", lambda a: images.local_patterns(a), 40)
+
+
+# checks of tables against templates and saved tables, and the smaller key, text and ordering operators
+@query(f"""WITH {CURVES}, w AS (SELECT sample_id, max(value) FILTER (pos = 10) AS last FROM curves GROUP BY 1),
+sub AS (SELECT sample_id FROM w WHERE sample_id <> 'NATION_3' UNION ALL SELECT sample_id FROM w WHERE sample_id = 'NATION_5' UNION ALL SELECT 'NOWHERE')
+SELECT (SELECT count(*) FROM sub) AS rows, (SELECT count(*) FROM (SELECT sample_id FROM sub GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys, (SELECT count(*) FROM (SELECT sample_id FROM w EXCEPT SELECT sample_id FROM sub)) AS missing,
+(SELECT count(*) FROM (SELECT sample_id FROM sub EXCEPT SELECT sample_id FROM w)) AS extra, 0::BIGINT AS bad_curves, 1::BIGINT AS open_ends, false AS valid""")
+def submission_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' curves as a submission that lacks one, has one twice, and one with an open end that nobody asked for."""
+    wide = nation_curves(spark, sf_dir).select("sample_id", *(F.get("cdf", i).alias(str(t)) for i, t in enumerate(PRICES)))
+    strange = wide.limit(1).select(F.lit("NOWHERE").alias("sample_id"), *(F.lit(99.0).alias(str(t)) for t in PRICES))
+    sent = wide.where("sample_id <> 'NATION_3'").unionByName(wide.where("sample_id = 'NATION_5'")).unionByName(strange)
+    return submission.submission_report(sent, wide).select("rows", "duplicate_keys", "missing", "extra", "bad_curves", "open_ends", "valid")
+
+
+@query("SELECT n_name, (24 - n_nationkey)::INT AS pos FROM nation")
+def submission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation").select("n_name", "n_nationkey")
+    order = nation.select("n_name", (24 - F.col("n_nationkey")).cast("int").alias("pos"))
+    return submission.in_order(nation, order, ["n_name"], "pos").select("n_name", "pos")
+
+
+@query("SELECT 0::BIGINT AS only_actual, (SELECT count(*) FROM orders WHERE o_orderkey % 101 = 0) AS only_saved, true AS close, false AS same")
+def rebuild_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by four keys, some lacking and all a little off, against the saved ones."""
+    keys = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    saved = read(spark, sf_dir, "orders").select(*keys, "o_totalprice")
+    actual = saved.where("o_orderkey % 101 <> 0").withColumn("o_totalprice", F.col("o_totalprice") * (1 + 1e-16))
+    return submission.rebuild_report(actual, saved, keys, ["o_totalprice"]).select("only_actual", "only_saved", (F.col("difference") <= 1e-10).alias("close"), "same")
+
+
+@query("""WITH a AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2), b AS (SELECT o_custkey, o_orderstatus, max(o_totalprice) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderpriority < '3' GROUP BY 1, 2)
+SELECT o_custkey, o_orderstatus, a.n AS n_all, round(b.n, 2) AS n_urgent, first FROM a JOIN b USING (o_custkey, o_orderstatus)""")
+def merge_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys, orders = ["o_custkey", "o_orderstatus"], read(spark, sf_dir, "orders")
+    a = orders.groupBy(*keys).agg(F.count("*").alias("n"))
+    b = orders.where("o_orderpriority < '3'").groupBy(*keys).agg(F.round(F.max("o_totalprice"), 2).alias("n"), F.min("o_orderkey").alias("first"))
+    return K.merge(a, b, keys, ("_all", "_urgent"))
+
+
+@query(f"WITH {_ERRORS} SELECT count(*) FILTER (em.e - ed.e > 0) AS better, count(*) FILTER (em.e - ed.e > 1e-9) AS clearly_better, count(*) FILTER (ed.e < em.e - 1e-9) AS below_reference, count(*) AS pairs FROM em JOIN ed USING (sample_id)")
+def wins_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean, median = _errors(spark, sf_dir)
+    return A.wins(K.one_to_one(mean, median, ["sample_id"]).select(F.col("emd_left").alias("reference"), F.col("emd_right").alias("error")))
+
+
+@query("SELECT s_suppkey, alpha, scale, round(s_acctbal / alpha * scale, 6) AS value FROM supplier, (VALUES (10.0::DOUBLE), (100.0), (1000.0)) a(alpha), (VALUES (1), (2)) b(scale)")
+def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = K.with_parameters(read(spark, sf_dir, "supplier"), alpha=[10.0, 100.0, 1000.0], scale=[1, 2])
+    return grid.select("s_suppkey", "alpha", "scale", r6(F.col("s_acctbal") / F.col("alpha") * F.col("scale")).alias("value"))
+
+
+@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0)")
+def exclusion_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return K.excluding_hashes(docs, "text", docs.where("doc_id % 5 = 0").select(F.sha2("text", 256).alias("sha256"))).select("doc_id")
+
+
+@query("SELECT conv_id, turn, (coalesce(sum(length(role)) OVER w, 0) + 1)::BIGINT AS first_number, (coalesce(sum(length(role)) OVER w, 0) + length(role))::BIGINT AS last_number FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def running_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("role").alias("n"))
+    return K.numbered_ranges(turns, ["conv_id"], ["turn"], "n").select("conv_id", "turn", "first_number", "last_number")
+
+
+@query("SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY md5('7:' || s_suppkey), s_suppkey)::INT AS place FROM supplier")
+def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.seeded_order(read(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey", 7).select("s_nationkey", "s_suppkey", "place")
+
+
+@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, sha256(array_to_string(l[1:1] || ['new'] || l[3:], chr(10))) AS edited, base64(encode(source)) AS source64, CASE WHEN n_chars % 3 = 0 THEN 'n/a' ELSE printf('%.2f', n_chars / 4.0) END AS size, nullif(lang, 'en') AS other_lang FROM l JOIN documents USING (doc_id)""")
+def text_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    size = text.shown(F.when(F.col("n_chars") % 3 != 0, F.col("n_chars") / 4.0), 2)
+    return docs.select("doc_id", F.sha2(text.replace_lines(F.col("text"), 1, 2, [F.lit("new")]), 256).alias("edited"), F.base64(F.col("source").cast("binary")).alias("source64"), size.alias("size"), F.nullif(F.col("lang"), F.lit("en")).alias("other_lang"))
+
+
+_LOG = {"retry": r"(\d+) (click|view) (\d)/5", "other": r"(\d+) (\w+) (\d)/5"}
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'retry' ELSE 'other' END AS kind, event_type AS word, (event_id % 5)::VARCHAR AS number FROM events")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as log lines, classed by whole-line patterns with captures; any other line raises."""
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", F.concat((F.col("event_id") % 5).cast("string"), F.lit("/5")))
+    seen = read(spark, sf_dir, "events").select("event_id", text.line_class(line, _LOG).alias("c"))
+    return seen.select("event_id", "c.kind", F.get("c.captures", 1).alias("word"), F.get("c.captures", 2).alias("number"))

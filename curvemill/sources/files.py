@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -65,8 +66,12 @@ def require(spark: SparkSession, paths: list[str]) -> None:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """One object a line: a bad line raises, or is dropped."""
-    return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
+    """One object a line: a bad line, or one that is no object, raises, or is dropped, whichever columns are used later."""
+    if strict:
+        return spark.read.schema(schema).json(path, mode="FAILFAST")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*\{"))
+    parsed = lines.select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
+    return parsed.where("row._bad is null").select("row.*").drop("_bad")
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -158,16 +163,53 @@ def save_once(spark: SparkSession, path: str, data: bytes) -> bool:
 
 
 def replace(spark: SparkSession, path: str, data: bytes) -> None:
-    """A file replaced as a whole: written beside it, then renamed."""
-    fs, p = _hadoop(spark, path)
-    part = f"{path}.tmp"
-    if exists(spark, part):
-        fs.delete(_hadoop(spark, part)[1], False)
+    """A file replaced as a whole: written beside it under a name of its own, then renamed over it in one step, so that readers see the old or the new one."""
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
     _write(spark, part, data)
-    if fs.exists(p):
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_hadoop(spark, path)[1].toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(_hadoop(spark, part)[1], _hadoop(spark, path)[1], over)
+
+
+class Run:
+    """A run's folder: held by one process at a time, with a receipt before and a record after each request, each written once, and a stop mark.
+
+    The file system's create-if-absent decides who holds it; the driver writes these few small files."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def __enter__(self) -> Run:
+        _write(self.spark, f"{self.path}/.lock", b"held")  # raises where another run holds it
+        return self
+
+    def __exit__(self, *_) -> None:
+        fs, p = _hadoop(self.spark, f"{self.path}/.lock")
         fs.delete(p, False)
-    if not fs.rename(_hadoop(spark, part)[1], p):
-        raise OSError(f"cannot rename to {path}")
+
+    def receipt(self, name: str, request: dict) -> bool:
+        """Before a request is sent; False where the same one was noted already."""
+        return save_once(self.spark, f"{self.path}/receipts/{name}.json", canonical_json(request))
+
+    def record(self, name: str, outcome: dict) -> bool:
+        """After it ended, complete or failed; a failure is recorded once and never overwritten. Without a receipt it raises."""
+        if not exists(self.spark, f"{self.path}/receipts/{name}.json"):
+            raise ValueError(f"no receipt of {name}")
+        return save_once(self.spark, f"{self.path}/records/{name}.json", canonical_json(outcome))
+
+    def stop(self) -> None:
+        save_once(self.spark, f"{self.path}/stop", b"stop")
+
+    @property
+    def stopped(self) -> bool:
+        return exists(self.spark, f"{self.path}/stop")
+
+
+def write_arrays(df: DataFrame, path: str, name: str, values: list[str]) -> None:
+    """Array columns of a table as Parquet under their names and a row name, at a path that must not exist."""
+    write_new(df.select(F.col(name).alias("name"), *(F.col(c).cast("array<double>") for c in values)), path)
 
 
 def feature_cache(spark: SparkSession, root: str, identity: dict, build) -> DataFrame:

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curvemill.functions import models as M
-from curvemill.operators import aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N
+from curvemill.functions import models as M, text
+from curvemill.operators import submission as S, aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N
 from curvemill.sources import files
 from curvemill.streaming.curves import windowed_curves
 
@@ -215,6 +215,38 @@ def test_ledgers(spark):
     assert {r["key"] for r in ledger.attempts(tries, "key").where("may_retry").collect()} == {"a"}
 
 
+def test_submissions(spark):
+    t = spark.createDataFrame([("b", 0.0, 100.0), ("a", 0.0, 100.0)], "sample_id string, `0.002` double, `200` double")
+    good = spark.createDataFrame([("a", 10.0, 100.0), ("b", 20.0, 100.0)], t.schema)
+    assert S.require_submission(good, t) is good and S.from_curve(t, [7, 9]).collect()[0][1:] == (7.0, 100.0)
+    bad = spark.createDataFrame([("a", -1.0, 100.0), ("a", 20.0, 90.0), ("c", None, 100.0)], t.schema)
+    r = S.submission_report(bad, t).first()
+    assert (r["duplicate_keys"], r["missing"], r["extra"], r["bad_curves"], r["open_ends"], r["valid"]) == (1, 1, 1, 2, 1, False)
+    for wrong in (bad, good.limit(1), good.select("sample_id", "`200`", "`0.002`")):
+        with pytest.raises(ValueError):
+            S.require_submission(wrong, t)
+    order = spark.createDataFrame([("b", 0), ("a", 1)], "sample_id string, pos int")
+    assert [r["sample_id"] for r in S.in_order(good, order, ["sample_id"], "pos").collect()] == ["b", "a"]
+    near = good.withColumn("0.002", F.col("`0.002`") + 1e-11)
+    S.require_rebuild(near.withColumnRenamed("0.002", "v"), good.withColumnRenamed("0.002", "v"), ["sample_id"], ["v"])
+    with pytest.raises(ValueError):
+        S.require_rebuild(near.withColumn("v", F.col("`0.002`") + 1e-9), good.withColumn("v", F.col("`0.002`")), ["sample_id"], ["v"])
+
+
+def test_text_edits(spark):
+    df = spark.createDataFrame([("a 1 b\nc\nd", 1.25)], "t string, v double")
+    assert df.select(text.replace_once(F.col("t"), "1", "2")).first()[0] == "a 2 b\nc\nd"
+    assert df.select(text.replace_lines(F.col("t"), 1, 2, [F.lit("x"), F.lit("y")])).first()[0] == "a 1 b\nx\ny\nd"
+    assert tuple(df.select(text.shown(F.col("v"), 1), text.shown(F.lit(None).cast("double"), 1)).first()) in (("1.3", "n/a"), ("1.2", "n/a"))
+    with pytest.raises(Exception):
+        df.select(text.replace_once(F.col("t"), "z", "2")).collect()
+    kinds = {"retry": r"(\d)/5 WARN retry", "blank": r"\s*"}
+    lines = spark.createDataFrame([("3/5 WARN retry",), ("",)], "line string")
+    assert [tuple(r[0]) for r in lines.select(text.line_class(F.col("line"), kinds)).collect()] == [("retry", ["3"]), ("blank", [])]
+    with pytest.raises(Exception):
+        spark.createDataFrame([("3/5 WARN retry now",)], "line string").select(text.line_class(F.col("line"), kinds)).collect()
+
+
 def test_ordered_duplicates(spark):
     rows = [("a", 1.0, 0.0, [40.0]), ("b", 1.0, 0.0, [40 + 5e-10]), ("c", 1.0, 0.0, [40 + 1e-7]), ("d", 0.5, 0.0, [9.0])]
     got = ledger.queue(spark.createDataFrame(rows, "experiment string, score double, disagreement double, values array<double>"), spark.createDataFrame([("old", [9.0])], "experiment string, values array<double>"))
@@ -238,7 +270,22 @@ def test_files(spark, tmp_path):
     (tmp_path / "t.csv").write_text("k,v\na,NaN\nb,2\n")
     assert [tuple(r) for r in files.csv(spark, f"{root}/t.csv", "k string, v double").collect()] == [("a", None), ("b", 2.0)]
     (tmp_path / "l.json").write_text('{"a": 1}\nbad\n')
-    assert files.json_lines(spark, f"{root}/l.json", "a int", strict=False).count() in (1, 2)
+    (tmp_path / "l2.json").write_text('{"a": 1}\nbad\n[1]\n3\n{"a": "x"\n{"a": 4, "b": 5}\n')
+    for name, n in (("l.json", 1), ("l2.json", 2)):
+        tolerant = files.json_lines(spark, f"{root}/{name}", "a int", strict=False)
+        assert tolerant.count() == len(tolerant.collect()) == n
+    with files.Run(spark, f"{root}/run") as run:
+        with pytest.raises(Exception):
+            files.Run(spark, f"{root}/run").__enter__()
+        with pytest.raises(ValueError):
+            run.record("q1", {"state": "complete"})
+        assert run.receipt("q1", {"k": 1}) and not run.receipt("q1", {"k": 1}) and run.record("q1", {"state": "failed"})
+        with pytest.raises(FileExistsError):
+            run.record("q1", {"state": "complete"})
+        run.stop()
+        assert run.stopped
+    with files.Run(spark, f"{root}/run") as run:
+        assert run.stopped
     with pytest.raises(Exception):
         files.json_lines(spark, f"{root}/l.json", "a int").collect()
     doc = json.dumps({"x": [{"path": "p", "sha256": "h"}, {"path": "p", "sha256": "h"}], "checkpoint_path": "c", "checkpoint_sha256": "d"})
