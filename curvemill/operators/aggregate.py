@@ -34,11 +34,41 @@ def weighted_mean(df: DataFrame, weight: str, columns: list[str], keys: list[str
     return df.groupBy(*(keys or [])).agg(*((F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in columns))
 
 
+#: Pieces that a group's values are cut into by approximate quantiles.
+PIECES = 64
+
+
+def order_statistics(df: DataFrame, value: str, ranks, keys: list[str]) -> DataFrame:
+    """(keys, rank, v): the values at some ranks (from 1) of each group. ranks(n) is an array column of the group's row count n.
+
+    Sketches cut each group's values into pieces, counts tell which piece holds a rank, and only those pieces are ranked, by distinct values with their counts: no
+    group is held or sorted in one task."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null")
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", F.array(*(F.lit(i / PIECES) for i in range(1, PIECES))), 1000)).alias("cuts"), F.count("*").alias("n"))
+    join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # noqa: E731 (without keys b is one row)
+    placed = join(rows, cuts.select(*keys, "cuts")).select(*keys, "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece"))
+    counted = placed.groupBy(*keys, "piece", "v").agg(F.count("*").alias("c"))
+    pieces = counted.groupBy(*keys, "piece").agg(F.sum("c").alias("c"))
+    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # PIECES rows a group
+    pieces = pieces.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    wanted = join(pieces, cuts.select(*keys, "n")).select(*keys, "piece", "before", "c", F.explode(ranks(F.col("n"))).alias("rank")).where("rank > before and rank <= before + c").drop("c")
+    inside = Window.partitionBy(*keys, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = counted.join(wanted.select(*keys, "piece").distinct(), [*keys, "piece"], "left_semi").withColumn("upto", F.sum("c").over(inside))
+    found = chosen.join(wanted, [*keys, "piece"]).where("before + upto >= rank and before + upto - c < rank")
+    return found.select(*keys, "rank", "v")
+
+
 def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one column each (q10 for 0.1)."""
-    q = F.percentile(value, F.array(*map(F.lit, shares)))
-    out = df.groupBy(*(keys or [])).agg(q.alias("_q"))
-    return out.select(*(keys or []), *(F.get("_q", i).alias(f"q{round(100 * s)}") for i, s in enumerate(shares)))
+    keys = keys or []
+    at = lambda n, s: (n - 1) * F.lit(float(s))
+    ranks = lambda n: F.array_distinct(F.flatten(F.array(*(F.array((F.floor(at(n, s)) + 1).cast("long"), (F.ceil(at(n, s)) + 1).cast("long")) for s in shares))))
+    found = order_statistics(df, value, ranks, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))  # a few a group
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    out = found.join(n, keys) if keys else found.crossJoin(F.broadcast(n))
+    take = lambda r: F.element_at("m", (r + 1).cast("long"))
+    between = lambda s: take(F.floor(at(F.col("n"), s))) + (take(F.ceil(at(F.col("n"), s))) - take(F.floor(at(F.col("n"), s)))) * (at(F.col("n"), s) - F.floor(at(F.col("n"), s)))
+    return out.select(*keys, *(between(s).alias(f"q{round(100 * s)}") for s in shares))
 
 
 def standardize(df: DataFrame, columns: list[str], flat: float = 0.0) -> DataFrame:
@@ -82,19 +112,17 @@ def loo_mean(df: DataFrame) -> DataFrame:
 def loo_median(df: DataFrame, key: str) -> DataFrame:
     """Each curve with the coordinatewise median of all others.
 
-    The median without a row depends only on the three middle order statistics of each coordinate, so the
-    coordinates are ranked once and no row meets all others."""
+    The median without a row depends only on the middle order statistics of each coordinate and on which side of them the row's value is: what
+    is at rank m without it is at rank m + 1 with it where its value is not above that at m, else at m. No row is ranked or meets all others."""
     long = points(df, [key])
-    w = Window.partitionBy("pos").orderBy("value", key)
-    ranked = long.withColumn("rank", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("pos")))
-    # without row r of n, the m-th of the rest is the m-th before r and the (m+1)-th from there on
-    middle = ranked.where((F.col("rank") >= F.floor((F.col("n") - 1) / 2)) & (F.col("rank") <= F.floor(F.col("n") / 2) + 2))
-    mids = middle.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("mids"))
-    out = ranked.join(F.broadcast(mids), "pos").where("n > 1")  # eleven rows
-    take = lambda m: F.element_at("mids", (F.when(F.col("rank") > m, m).otherwise(m + 1)).cast("int"))
-    low, high = F.floor(F.col("n") / 2), F.ceil(F.col("n") / 2)
-    out = out.withColumn("v", (take(F.when(F.col("n") % 2 == 1, F.floor((F.col("n") - 1) / 2)).otherwise(low)) + take(F.when(F.col("n") % 2 == 1, F.floor((F.col("n") - 1) / 2) + 1).otherwise(high))) / 2)
-    curves = out.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    middle = lambda n: F.sequence(F.greatest(F.floor((n - 1) / 2), F.lit(1)), F.least(F.floor(n / 2) + 2, n))
+    mids = order_statistics(long, "value", middle, ["pos"]).groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("mids"))
+    n = df.agg(F.count("*").alias("n"))
+    out = long.join(F.broadcast(mids), "pos").crossJoin(F.broadcast(n)).where("n > 1")  # eleven rows, one row
+    at = lambda m: F.element_at("mids", m.cast("long"))
+    take = lambda m: F.when(F.col("value") > at(m), at(m)).otherwise(at(m + 1))
+    low, high = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2) + 1
+    curves = out.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", ((take(low) + take(high)) / 2).alias("v")))).alias("p"))
     return df.join(curves, key).select(*df.columns, C.close(F.transform("p", lambda x: x["v"])).alias("predicted"))
 
 

@@ -1,83 +1,121 @@
-"""Ridge fitted from sums: one aggregation gives the Gram matrix, so training rows may be any number.
+"""Ridge fitted from sums: tasks add up blocks of the Gram matrix of (1, x, y), so training rows may be any number and columns many hundreds.
 
-Leave-one-out folds are the totals minus the row's own products; only (p + 1)(p + 12) numbers reach the driver or a fold."""
+Leave-one-out folds are the totals minus the row's own products; only (p + 11) ** 2 numbers reach the driver or a fold."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import models as M
 from ..functions.curves import POINTS
 
+#: Rows of a task's result that are no sums: least and greatest values of the columns.
+LOW, HIGH = -1, -2
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _rows(df: DataFrame, columns: list[str], weight: Column | None = None) -> DataFrame:
+    return df.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.slice("cdf", 1, POINTS - 1).alias("y"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
+
+
+def _folded(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Rows (i, v) of all tasks folded by i: sums, or least and greatest values. A group has one row a task."""
 
-def _products(columns: list[str]) -> list[Column]:
-    """1, x_i, x_i x_j (i <= j), y_k, x_i y_k as columns."""
-    x = [F.col(c).cast("double") for c in columns]
-    y = [F.element_at("cdf", k + 1) for k in range(POINTS - 1)]
-    return [F.lit(1.0), *x, *(a * b for i, a in enumerate(x) for b in x[i:]), *y, *(a * b for a in x for b in y)]
+    def fold(rows: pa.Table) -> pa.Table:
+        i = rows["i"][0].as_py()
+        v = _matrix(rows["v"].combine_chunks())
+        return pa.table({"i": pa.array([i], pa.int32()), "v": pa.array([v.min(0) if i == LOW else v.max(0) if i == HIGH else v.sum(0)], pa.list_(pa.float64()))})
 
+    out = parts.groupBy("i").applyInArrow(fold, "i int, v array<double>")
+    return {r["i"]: np.array(r["v"]) for r in out.collect()}  # p + 13 rows at most
 
-def sums(df: DataFrame, columns: list[str], weight: Column | None = None) -> DataFrame:
-    """One row: the weighted sums of all products, and each column's least and greatest value."""
-    w = F.lit(1.0) if weight is None else weight
-    parts = [F.sum(w * p) for p in _products(columns)]
-    return df.agg(F.array(*parts).alias("sums"), F.array(*(F.min(c).cast("double") for c in columns)).alias("low"), F.array(*(F.max(c).cast("double") for c in columns)).alias("high"))
+
+def _batch(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"i": pa.array(list(rows), pa.int32()), "v": pa.array([v.astype(float) for v in rows.values()], pa.list_(pa.float64()))})
+
+
+def sums(df: DataFrame, columns: list[str], weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weighted Gram matrix of (1, x, y) and each column's least and greatest value."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, low, high = 0.0, np.inf, -np.inf
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column("x"))
+                z = np.hstack([np.ones((len(x), 1)), x, _matrix(b.column("y"))])
+                total, low, high = total + (z * b.column("w").to_numpy()[:, None]).T @ z, np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
+        if np.ndim(total):
+            yield _batch({**dict(enumerate(total)), LOW: low, HIGH: high})
+
+    found = _folded(_rows(df, columns, weight).mapInArrow(add, "i int, v array<double>"))
+    if not found:
+        raise ValueError("at least one training row is needed")
+    return np.stack([found[i] for i in range(len(found) - 2)]), found[LOW], found[HIGH]
 
 
 def solve(total: np.ndarray, p: int, alpha: float, constant: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Means, deviations, weights and intercept of a standardized ridge from the sums; constant columns get a deviation of 1."""
-    n = total[0]
-    sx, at = total[1 : 1 + p], 1 + p
-    xx = np.zeros((p, p))
-    upper = np.triu_indices(p)
-    xx[upper] = total[at : at + len(upper[0])]
-    xx = np.triu(xx) + np.triu(xx, 1).T
-    at += len(upper[0])
-    sy = total[at : at + POINTS - 1]
-    xy = total[at + POINTS - 1 :].reshape(p, POINTS - 1)
+    """Means, deviations, weights and intercept of a standardized ridge from the Gram matrix; constant columns get a deviation of 1."""
+    n, sx, sy = total[0, 0], total[0, 1 : 1 + p], total[0, 1 + p :]
     mean = sx / n
-    cov = xx - np.outer(sx, sx) / n
+    cov = total[1 : 1 + p, 1 : 1 + p] - np.outer(sx, sx) / n
     spread = np.where(constant, 1.0, np.sqrt(np.maximum(np.diag(cov) / n, 0)))
     spread[spread == 0] = 1.0
     cov[constant], cov[:, constant] = 0, 0
-    cross = xy - np.outer(sx, sy) / n
+    cross = total[1 : 1 + p, 1 + p :] - np.outer(sx, sy) / n
     cross[constant] = 0
     beta = np.linalg.solve(cov / np.outer(spread, spread) + alpha * np.eye(p), cross / spread[:, None])
     return mean, spread, beta, sy / n
 
 
 def ridge(train: DataFrame, queries: DataFrame, columns: list[str], alpha: float = 10.0, weight: Column | None = None) -> DataFrame:
-    """queries with cdf predicted by a ridge on all training rows (columns, cdf), optionally weighted; prediction is an expression."""
+    """queries with cdf predicted by a ridge on all training rows (columns, cdf), optionally weighted; prediction is an expression over one array."""
     from ..functions.curves import repair
 
-    row = sums(train, columns, weight).first()
-    mean, spread, beta, base = solve(np.array(row["sums"]), len(columns), alpha, np.array(row["low"]) == np.array(row["high"]))
-    scaled = [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(columns, mean, spread, strict=True)]
-    raw = [sum((F.lit(float(b)) * x for b, x in zip(beta[:, k], scaled, strict=True)), F.lit(float(base[k]))) for k in range(POINTS - 1)]
+    total, low, high = sums(train, columns, weight)
+    mean, spread, beta, base = solve(total, len(columns), alpha, low == high)
+    slope = beta / spread[:, None]
+    numbers = lambda v: F.array(*(F.lit(float(a)) for a in v))
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+    raw = [F.aggregate(F.zip_with(x, numbers(slope[:, k]), lambda a, b: a * b), F.lit(float(base[k] - mean @ slope[:, k])), lambda a, b: a + b) for k in range(POINTS - 1)]
     return queries.withColumn("cdf", repair(F.array(*raw)))
 
 
 def loo_ridge(df: DataFrame, key: str, columns: list[str], alpha: float = 10.0) -> DataFrame:
-    """(key, cdf, emd) of each row predicted by the ridge on all others, from one pass of sums. Least and greatest values without a row come from the two lowest and highest."""
-    row = sums(df, columns).first()
-    ends = df.agg(*(F.array(F.count_if(F.col(c) == F.lit(v))) for c, v in zip([*columns, *columns], [*row["low"], *row["high"]], strict=True))).first() if columns else []
-    total, low, high, p = np.array(row["sums"]), np.array(row["low"]), np.array(row["high"]), len(columns)
-    at_low, at_high = np.array([e[0] for e in ends[:p]]), np.array([e[0] for e in ends[p:]])
+    """(key, cdf, emd) of each row predicted by the ridge on all others, from the sums. Whether a column is constant without a row is told by how many rows hold its least or greatest value."""
+    total, low, high = sums(df, columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = np.zeros((2, len(low)))
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column("x"))
+                ends += (x == low).sum(0), (x == high).sum(0)
+        yield _batch(dict(enumerate(ends)))
+
+    ends = _folded(_rows(df, columns).mapInArrow(count, "i int, v array<double>"))
+    p, n, at_low, at_high = len(columns), total[0, 0], ends[0], ends[1]
 
-    def predict(frames):
+    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got, errors = [], []
-            for products, cdf, x in zip(frame["products"], frame["cdf"], frame["x"], strict=True):
-                n, x = total[0], np.array(x)
+            for x, cdf in zip(frame["x"], frame["cdf"], strict=True):
+                x, cdf = np.array(x), np.array(cdf)
+                z = np.concatenate([[1.0], x, cdf[:-1]])
                 # constant without this row: all other rows hold one end value
                 constant = ((at_low == n - 1) & (x != low)) | ((at_high == n - 1) & (x != high)) | (low == high)
-                mean, spread, beta, base = solve(total - np.array(products), p, alpha, constant)
+                mean, spread, beta, base = solve(total - np.outer(z, z), p, alpha, constant)
                 c = M.closed((((x - mean) / spread) @ beta + base)[None])[0]
                 got.append(c)
-                errors.append(float(M.emd(np.array(cdf), c)[0]))
+                errors.append(float(M.emd(cdf, c)[0]))
             yield pd.DataFrame({"k": frame["k"], "cdf": got, "emd": errors})
 
-    rows = df.select(F.col(key).cast("string").alias("k"), F.array(*_products(columns)).alias("products"), "cdf", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    rows = df.select(F.col(key).cast("string").alias("k"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), "cdf")
     return rows.mapInPandas(predict, "k string, cdf array<double>, emd double").withColumnRenamed("k", key)
