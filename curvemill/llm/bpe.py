@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -89,6 +90,11 @@ def plain(chunk: str) -> tuple[str, str] | None:
     return lower.translate(_LATIN), chunk[len(head) :]
 
 
+def _assigned(part: str) -> bool:
+    """Whether unicodedata knows all characters of part; regex and the library have other versions, and agree on those only."""
+    return part.isascii() or all(unicodedata.category(c) != "Cn" for c in part)
+
+
 class BytePairs:
     """Vocabulary, merges and automaton of one tokenizer file, made once a worker."""
 
@@ -100,6 +106,9 @@ class BytePairs:
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.pattern = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # the file without its vocabulary, and the library's tokenizer of it, made where needed
+        self.shell = json.dumps(data | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})
+        self.library = None
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.rank = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in enumerate(model["merges"])}
@@ -211,6 +220,21 @@ class BytePairs:
             at, which = end, 0
         return b"".join([self.bytes_of[p[2]] for p in path])
 
+    def pieces(self, part: str) -> list[str]:
+        """The words of a text without special tokens, in the letters of bytes."""
+        part = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", part))
+        part = part.lower() if part.isascii() else "".join(c.lower() for c in part)
+        return ["".join([LETTERS[b] for b in w.encode()]) for w in self.pattern.findall(part)]
+
+    def library_pieces(self, part: str) -> list[str]:
+        """The same by the library's normalizer and pre-tokenizer, for characters newer than unicodedata's version."""
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.shell)
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+
     def chunk(self, chunk: str) -> bytes:
         """Ids (as kind) of a text without spaces or line feeds, or of any text."""
         if simple := plain(chunk):
@@ -221,11 +245,8 @@ class BytePairs:
             if k % 2:
                 out.append(self.bytes_of[self.special[part]])
                 continue
-            part = unicodedata.normalize("NFC", part)
-            part = regex.sub(r"\s+", " ", part)
-            part = "".join(c.lower() for c in part) if not part.isascii() else part.lower()
-            for w in self.pattern.findall(part):
-                out.append(self.words["".join([LETTERS[b] for b in w.encode()])])
+            for w in self.pieces(part) if _assigned(part) else self.library_pieces(part):
+                out.append(self.words[w])
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:

@@ -36,6 +36,13 @@ def test_encoder_is_the_library(library):
         assert pairs.decode(ids).decode() == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_letters_of_newer_unicode_versions(library):
+    pairs = BytePairs(open(PATH).read())
+    for c in map(chr, [0x558, 0x88F, 0x1C89, 0x208F, 0x209D, 0xA7CB, 0xA7DC, 0x10940, 0x10D50, 0x323B0, 0xE000, 0x10FFFF]):
+        for t in (c, f"h{c}e", f"<|endoftext|>{c}x", f"{c}1 {c}!{c}", f"é{c}{c}ß"):
+            assert pairs.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_digests(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(texts()[:60])]
     got = {r[0]: tuple(r)[1:] for r in encode_decode(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PATH).collect()}
