@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, decontaminate
+from . import cotrain, decontaminate, mixture
 from .bpe import encode_decode
 from .html_text import extract
 from .lines import dedup_lines, quality_rules
@@ -62,8 +62,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_warc, op3_toxicity, op4_token_files, op5_bpe, op6_line_dedup, op7_quality, op8_leaks, op9_ngram_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_text, op2_warc, op3_toxicity, op4_token_files, op5_bpe, op6_line_dedup, op7_quality, op8_leaks, op9_ngram_join, op10_quality_rules, op13_mixture)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -101,5 +105,21 @@ reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, roo
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM documents d JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
 
 
+# the level is that of the first source, by the size it is clamped at for each unit of weight, that stays below its clamp; the walk goes row by row
+_OP13 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
+('0x' || substr(md5('2024:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, 2.0::DOUBLE * n AS cap, sum(2.0::DOUBLE * n) OVER r AS caps, sum(w) OVER r AS ws, sum(n) OVER () AS total, sum(w) OVER () AS weight FROM s WINDOW r AS (ORDER BY n / w, source NULLS LAST)),
+e AS (SELECT *, (1.5::DOUBLE * total - (caps - cap)) / (weight - (ws - w)) AS level FROM o),
+level AS (SELECT arg_min(level, ws) AS level FROM e WHERE w * level <= cap),
+t AS (SELECT source, n, CASE WHEN l.level IS NULL OR w * l.level > cap THEN cap ELSE w * l.level END AS target FROM o, level l),
+plan AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END::BIGINT AS whole FROM t),
+walk AS (SELECT rid, source, size, row_number() OVER (PARTITION BY source ORDER BY place) AS i FROM d),
+step(source, i, rid, gap, most, missed, more) AS (SELECT source, 0::BIGINT, NULL::BIGINT, greatest(0, target - whole * n), greatest(0, target - whole * n), 0, false FROM plan
+UNION ALL SELECT s.source, k.i, k.rid, CASE WHEN missed < 4 AND size <= most AND size <= gap THEN gap - size ELSE gap END, CASE WHEN missed < 4 AND size <= most AND size > gap THEN gap ELSE most END,
+missed + (missed < 4 AND size <= most AND size > gap)::INT, missed < 4 AND size <= most AND size <= gap FROM step s JOIN walk k ON k.source IS NOT DISTINCT FROM s.source AND k.i = s.i + 1)
+SELECT doc_id, size, n AS source_size, target, size * (whole + more::INT) AS taken FROM d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source JOIN (SELECT rid, more FROM step WHERE rid IS NOT NULL) USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": _OP6, "op9_ngram_join": _OP9, "op10_quality_rules": _OP10}
+    return {"op6_line_dedup": _OP6, "op9_ngram_join": _OP9, "op10_quality_rules": _OP10, "op13_mixture": _OP13}

@@ -8,9 +8,9 @@ import gc
 import os
 import re
 import uuid
-from functools import wraps
+from functools import reduce, wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows up to which a key table is broadcast (16 bytes a row, so a few MB); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -132,3 +132,32 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots).distinct()
+
+
+def ranked(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """rows (a written table) with their place from 1 in an order of all rows. Rows are dealt to ranges of the order, each range is counted and numbered
+    by itself; no task holds more than its range, and rows that are equal in the whole order get places of their own."""
+    part, before = fresh(rows, "part", "before")
+    dealt = table(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    counts = dealt.groupBy(part).agg(F.count("*").alias(before))  # a row a range
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(part, F.coalesce(F.sum(before).over(upto), F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.join(F.broadcast(counts), part).withColumn(name, (inside + F.col(before)).cast("long")).drop(part, before)
+
+
+#: Pieces that the rows of each key are dealt to where a join by key can't be a broadcast.
+SALTS = 64
+
+
+def by_key(rows: DataFrame, keyed: DataFrame, key: str, spread: Column, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the columns of keyed (a written table, a row a key, null being a key too); rows whose key it lacks go. Broadcast within limit rows of keyed;
+    beyond it keyed is repeated SALTS times and the rows of a key are dealt by spread (an integer column), so that a hot key is met in many tasks."""
+    k, null, salt = fresh(rows, "k", "null", "salt")
+    small = keyed.select(F.coalesce(F.col(key), F.lit("")).alias(k), F.col(key).isNull().alias(null), *(c for c in keyed.columns if c != key))
+    same = [(F.coalesce(rows[key], F.lit("")) == F.col(k)), rows[key].isNull() == F.col(null)]
+    if keyed.count() <= limit:
+        return rows.join(F.broadcast(small), reduce(Column.__and__, same)).drop(k, null)
+    many = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same.append(F.pmod(spread, F.lit(SALTS)).cast("int") == F.col(salt))
+    return rows.join(many, reduce(Column.__and__, same)).drop(k, null, salt)
