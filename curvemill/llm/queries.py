@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import cotrain, decontaminate, mixture
 from .bpe import encode_decode
 from .html_text import extract
+from .importance import importance
 from .lines import dedup_lines, quality_rules
 from .ngram_join import near_duplicates
+from .repair import structure_repair
 from .shared import table
 from .toxicity import learn, toxicity
 from .warc import archived
@@ -62,12 +64,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_warc, op3_toxicity, op4_token_files, op5_bpe, op6_line_dedup, op7_quality, op8_leaks, op9_ngram_join, op10_quality_rules, op13_mixture)}
+    return {f.__name__: f for f in (op1_html_text, op2_warc, op3_toxicity, op4_token_files, op5_bpe, op6_line_dedup, op7_quality, op8_leaks, op9_ngram_join, op10_quality_rules, op11_importance, op12_repair, op13_mixture)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -105,6 +115,26 @@ reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, roo
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM documents d JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
 
 
+# CRC-32 by its table of 256 entries, byte by byte
+_CRC = """crc_table AS (SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8 bytes; crc_table must be in scope."""
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({data}, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_OP11 = f"""WITH {_CRC}, w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+f AS (SELECT rid, f, count(*) AS c FROM (SELECT rid, unnest(w) AS f FROM w) GROUP BY 1, 2),
+b AS (SELECT f, count(*) AS t FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS f FROM benchmark) GROUP BY 1),
+k AS (SELECT f, coalesce(s, 0) AS s, coalesce(t, 0) AS t, {_crc("f")} % 10000 AS bucket FROM (SELECT f, sum(c)::BIGINT AS s FROM f GROUP BY 1) FULL JOIN b USING (f), crc_table),
+g AS (SELECT bucket, floor(1000.0::DOUBLE * ln((sum(t) + 1)::DOUBLE * ((SELECT sum(s) FROM k) + 10000)::DOUBLE / ((sum(s) + 1)::DOUBLE * ((SELECT sum(t) FROM k) + 10000)::DOUBLE)))::BIGINT AS gain FROM k GROUP BY 1),
+v AS (SELECT rid, sum(c * gain)::BIGINT AS weight FROM f JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1),
+z AS (SELECT doc_id, rid, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN v USING (rid)),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (rid)"""
+
 # the level is that of the first source, by the size it is clamped at for each unit of weight, that stays below its clamp; the walk goes row by row
 _OP13 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
 ('0x' || substr(md5('2024:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS place FROM documents),
@@ -122,4 +152,4 @@ SELECT doc_id, size, n AS source_size, target, size * (whole + more::INT) AS tak
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": _OP6, "op9_ngram_join": _OP9, "op10_quality_rules": _OP10, "op13_mixture": _OP13}
+    return {"op6_line_dedup": _OP6, "op9_ngram_join": _OP9, "op10_quality_rules": _OP10, "op11_importance": _OP11, "op13_mixture": _OP13}
