@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import curves as C
+from .working import running
 
 
 def feature_columns(df: DataFrame, prefix: str = "feature_") -> list[str]:
@@ -34,28 +35,19 @@ def weighted_mean(df: DataFrame, weight: str, columns: list[str], keys: list[str
     return df.groupBy(*(keys or [])).agg(*((F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in columns))
 
 
-#: Pieces that a group's values are cut into by approximate quantiles.
-PIECES = 64
+def ranked_values(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, v, c, upto, n): each distinct value of a group that is not null, how often it comes, how many values are not above it, and the group's size.
+
+    Values are counted before anything is sorted, and the counts are summed up over ranges of the sorted values, so a group may be the whole table."""
+    counts = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    return running(counts, keys, ["v"], "c", "upto", "n")
 
 
 def order_statistics(df: DataFrame, value: str, ranks, keys: list[str]) -> DataFrame:
-    """(keys, rank, v): the values at some ranks (from 1) of each group. ranks(n) is an array column of the group's row count n.
-
-    Sketches cut each group's values into pieces, counts tell which piece holds a rank, and only those pieces are ranked, by distinct values with their counts: no
-    group is held or sorted in one task."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null")
-    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", F.array(*(F.lit(i / PIECES) for i in range(1, PIECES))), 1000)).alias("cuts"), F.count("*").alias("n"))
-    join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # noqa: E731 (without keys b is one row)
-    placed = join(rows, cuts.select(*keys, "cuts")).select(*keys, "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece"))
-    counted = placed.groupBy(*keys, "piece", "v").agg(F.count("*").alias("c"))
-    pieces = counted.groupBy(*keys, "piece").agg(F.sum("c").alias("c"))
-    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # PIECES rows a group
-    pieces = pieces.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    wanted = join(pieces, cuts.select(*keys, "n")).select(*keys, "piece", "before", "c", F.explode(ranks(F.col("n"))).alias("rank")).where("rank > before and rank <= before + c").drop("c")
-    inside = Window.partitionBy(*keys, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen = counted.join(wanted.select(*keys, "piece").distinct(), [*keys, "piece"], "left_semi").withColumn("upto", F.sum("c").over(inside))
-    found = chosen.join(wanted, [*keys, "piece"]).where("before + upto >= rank and before + upto - c < rank")
-    return found.select(*keys, "rank", "v")
+    """(keys, rank, v, n): the values at some ranks (from 1) of each group, and its size. ranks(n) is an array column of the group's row count n."""
+    rows = ranked_values(df, value, keys)
+    here = F.filter(ranks(F.col("n")), lambda r: (r > F.col("upto") - F.col("c")) & (r <= F.col("upto")))
+    return rows.select(*keys, F.explode(here).alias("rank"), "v", "n")
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
@@ -63,14 +55,32 @@ def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] |
     keys = keys or []
     at = lambda n, s: (n - 1) * F.lit(float(s))
     ranks = lambda n: F.array_distinct(F.flatten(F.array(*(F.array((F.floor(at(n, s)) + 1).cast("long"), (F.ceil(at(n, s)) + 1).cast("long")) for s in shares))))
-    found = order_statistics(df, value, ranks, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))  # a few a group
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
-    out = found.join(n, keys) if keys else found.crossJoin(F.broadcast(n))
+    found = order_statistics(df, value, ranks, keys)
+    out = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"), F.first("n").alias("n"))  # a few a group
     take = lambda r: F.element_at("m", (r + 1).cast("long"))
     between = lambda s: take(F.floor(at(F.col("n"), s))) + (take(F.ceil(at(F.col("n"), s))) - take(F.floor(at(F.col("n"), s)))) * (at(F.col("n"), s) - F.floor(at(F.col("n"), s)))
     return out.select(*keys, *(between(s).alias(f"q{round(100 * s)}") for s in shares))
 
 
+def medians(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, median) of each group of any size."""
+    return quantiles(df, value, [0.5], keys).withColumnRenamed("q50", "median")
+
+
+def pair_means(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, emd, pairs): the mean EMD over all pairs of a group's curves (null without pairs), without making any pair.
+
+    EMD is a weighted sum of |a - b| over the curve's points, and the sum of |a - b| over all pairs of sorted values is the sum of (2 rank - n - 1) times the value: ranks
+    of each point's values are all it takes. Equal values have the mean of their ranks."""
+    keys = keys or []
+    widths = F.array(*map(F.lit, C.WIDTHS))
+    ranks = ranked_values(points(df, keys).where(F.col("pos") < C.POINTS - 1), "value", [*keys, "pos"])
+    part = F.get(widths, F.col("pos")) * F.col("v") * F.col("c") * (2 * F.col("upto") - F.col("c") - F.col("n"))
+    sums = ranks.groupBy(*keys).agg(F.sum(part).alias("s"), F.max("n").alias("n"))
+    pairs = F.coalesce((F.col("n") * (F.col("n") - 1) / 2).cast("long"), F.lit(0).cast("long"))
+    return sums.select(*keys, F.when(F.col("n") > 1, F.col("s") / pairs).alias("emd"), pairs.alias("pairs"))
+
+
 def standardize(df: DataFrame, columns: list[str], flat: float = 0.0) -> DataFrame:
     """(x - mean) / population deviation; a deviation of flat or less counts as 1 (0 for ridge, 1e-12 for neighbours)."""
     stats = df.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
@@ -98,7 +108,9 @@ def mean_curve(df: DataFrame) -> DataFrame:
 
 
 def median_curve(df: DataFrame) -> DataFrame:
-    return df.agg(C.close(F.array(*(F.median(F.element_at("cdf", i + 1)) for i in range(C.POINTS)))).alias("cdf"))
+    """One row: the coordinatewise exact median, closed with 100."""
+    by_point = medians(points(df, []), "value", ["pos"]).agg(F.array_sort(F.collect_list(F.struct("pos", "median"))).alias("p"))  # eleven rows
+    return by_point.select(C.close(F.transform("p", lambda x: x["median"])).alias("cdf"))
 
 
 def loo_mean(df: DataFrame) -> DataFrame:

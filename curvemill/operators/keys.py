@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import curves as C
+from .working import written
 
 
 def keys_report(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,6 +66,7 @@ def lookup(probe: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
     """Full outer join with both sides' other columns suffixed; keys must be unique on both sides, missing ones show as nulls."""
+    left, right = written(left), written(right)  # read by the checks and by the join
     require_unique(left, keys, "left")
     require_unique(right, keys, "right")
     name = lambda df, s: df.select(*keys, *(F.col(c).alias(c + s) for c in df.columns if c not in keys))
@@ -139,7 +141,7 @@ def blend_mean(tables: list[DataFrame], keys: list[str], least: int | None = Non
 
 
 def blend_median(tables: list[DataFrame], keys: list[str], least: int | None = None) -> DataFrame:
-    """Coordinatewise exact median; the last point stays 100."""
+    """Coordinatewise exact median; the last point stays 100. A group is a point of one key: it has a value a table."""
     return _pointwise(tables, keys, F.median("v"), least)
 
 

@@ -1,50 +1,97 @@
-"""Matching free names (file names, urls) with short lists of values, by containment.
+"""Matching free names (file names, urls) with lists of values, by containment.
 
-The value list is a small dimension: it is broadcast only when it has at most VALUES rows, and otherwise an error, since containment
-has no equi-key to shuffle by."""
+Containment has no key to join by, so names are made to have some: a value of n characters is in a name if it is one of the name's substrings of n characters. The lengths
+that values have are few; each name is cut into its distinct substrings of just these lengths, which meet the values in an equi-join by hash, and what meets
+is verified on the name itself. Values and names may both be any number: neither side is broadcast or collected, only the lengths reach the driver. Substrings that many names
+share (a common prefix that is also a value) are dealt to SALTS tasks.
 
-from __future__ import annotations
+Ties between values of one length go by a position column, or by the values' own order where there is none. Empty values never match; a value whose normalized form is empty
+is in every name. Null names match nothing."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from __future__ import annotations
 
-from ..functions.text import normalize_token
+from functools import reduce
 
-VALUES = 10_000
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import normalize_token
 
-def _values(values: DataFrame, column: str) -> DataFrame:
-    out = values.select(F.col(column).cast("string").alias("_value"), F.monotonically_increasing_id().alias("_pos")).where("_value <> ''")
-    if out.count() > VALUES:
-        raise ValueError(f"more than {VALUES} values to match by containment")
-    return F.broadcast(out)
+#: Tasks that the names holding one substring are dealt to.
+SALTS = 8
+#: Characters of a name that are cut into substrings at once.
+CHUNK = 512
+
+
+def _listed(values: DataFrame, value: str, pos: str | None) -> DataFrame:
+    """(value, pos) without empty values."""
+    text = F.col(value).cast("string")
+    return values.select(text.alias("value"), (F.col(pos) if pos else text).alias("pos")).where("value <> ''")
+
+
+def _substrings(text: Column, lengths: list[int]) -> Column:
+    """Hashes of the distinct substrings of these lengths: long texts are cut into overlapping chunks first."""
+    step, longest = CHUNK, max(lengths)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.char_length(text) - 1, F.lit(0)) / step).cast("int")), lambda i: F.substring(text, i * step + 1, F.lit(step + longest - 1)))
+
+    def of(chunk: Column, n: int) -> Column:
+        last = F.char_length(chunk) - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(chunk, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.concat(*(of(c, n) for n in lengths)))))
+
+
+def containing(names: DataFrame, name: str, key: str, values: DataFrame, value: str, forms: list, pos: str | None = None) -> DataFrame:
+    """(key, name, value, pos): a row for each value that a name contains in one of the forms (functions of a column), and one with nulls for each name."""
+    listed = _listed(values, value, pos)
+    named = names.select(F.col(key).alias("k"), F.col(name).alias("name")).withColumn("h", F.xxhash64("name"))
+    met = []
+    for form in forms:
+        v = listed.select("value", "pos", form(F.col("value")).alias("form"))
+        lengths = sorted(r[0] for r in v.select(F.char_length("form")).distinct().where("`char_length(form)` > 0").collect())  # one number a length
+        if lengths:
+            parts = named.select("k", "h", F.explode(_substrings(form(F.col("name")), lengths)).alias("part"), F.pmod(F.col("h"), F.lit(SALTS)).cast("int").alias("salt"))
+            dealt = v.where("form <> ''").select("value", "pos", F.xxhash64("form").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            met.append(parts.join(dealt, ["part", "salt"]).select("k", "h", "value", "pos"))
+        # what is in every name: only as many as the list has such values
+        blank = v.where("form = ''").select("value", "pos")
+        if not blank.isEmpty():
+            met.append(named.where("name is not null").select("k", "h").crossJoin(blank))
+    kinds = dict(named.dtypes) | dict(listed.dtypes)
+    none = names.sparkSession.createDataFrame([], f"k {kinds['k']}, h bigint, value string, pos {kinds['pos']}")
+    found = reduce(DataFrame.unionByName, met, none).distinct()
+    same = named["k"].eqNullSafe(found["k"]) & (named["h"] == found["h"])
+    is_in = reduce(Column.__or__, (form(F.col("name")).contains(form(F.col("value"))) for form in forms))
+    out = named.join(found, same, "left").select(named["k"].alias(key), "name", named["h"].alias("h"), "value", "pos")
+    return out.withColumn("hit", F.coalesce(is_in, F.lit(False))).select(key, "name", "h", F.when(F.col("hit"), F.col("value")).alias("value"), F.when(F.col("hit"), F.col("pos")).alias("pos"))
+
+
+def match_longest(names: DataFrame, name: str, key: str, values: DataFrame, value: str, pos: str | None = None) -> DataFrame:
+    """(key, name, match): the longest value that name contains, as it is in lower case or normalized; ties by list position; empty if none."""
+    found = containing(names, name, key, values, value, [F.lower, normalize_token], pos)
+    # the least of (-length, position) is the longest value, the first of its length
+    order = F.when(F.col("value").isNotNull(), F.struct((-F.char_length("value")).alias("n"), "pos", "value"))
+    best = found.groupBy(key, "h").agg(F.first("name").alias(name), F.min(order).alias("best"))
+    return best.select(key, name, F.coalesce("best.value", F.lit("")).alias("match"))
 
 
-def match_longest(names: DataFrame, name: str, key: str, values: DataFrame, value: str) -> DataFrame:
-    """(key, name, match): the longest value that name contains, as it is in lower case or normalized; ties by list position; empty if none."""
-    v = _values(values, value)
-    hit = F.lower(F.col(name)).contains(F.lower("_value")) | normalize_token(F.col(name)).contains(normalize_token(F.col("_value")))
-    found = names.select(key, name).join(v, hit, "left")
-    best = found.groupBy(key, name).agg(F.max_by("_value", F.struct(F.char_length("_value"), -F.col("_pos"))).alias("match"))
-    return best.withColumn("match", F.coalesce("match", F.lit("")))
-
-
-def match_all(names: DataFrame, name: str, key: str, values: DataFrame, value: str) -> DataFrame:
-    """(key, name, match, n_matches): the only value whose normalized form name contains; empty if there is none or more than one."""
-    v = _values(values, value)
-    found = names.select(key, name).join(v, normalize_token(F.col(name)).contains(normalize_token(F.col("_value"))), "left")
-    out = found.groupBy(key, name).agg(F.count("_value").alias("n_matches"), F.min("_value").alias("match"))
+def match_all(names: DataFrame, name: str, key: str, values: DataFrame, value: str, pos: str | None = None) -> DataFrame:
+    """(key, name, match, n_matches): the only value whose normalized form name contains; empty if there is none or more than one. A value that the list has twice counts twice if positions tell the two apart."""
+    found = containing(names, name, key, values, value, [normalize_token], pos)
+    out = found.groupBy(key, "h").agg(F.first("name").alias(name), F.count("value").alias("n_matches"), F.min("value").alias("match"))
     return out.select(key, name, F.when(F.col("n_matches") == 1, F.col("match")).otherwise("").alias("match"), "n_matches")
 
 
-def match_unique(names: DataFrame, name: str, key: str, values: DataFrame, value: str) -> DataFrame:
+def match_unique(names: DataFrame, name: str, key: str, values: DataFrame, value: str, pos: str | None = None) -> DataFrame:
     """As match_all, but a name with more than one match raises when the rows are used."""
-    out = match_all(names, name, key, values, value)
+    out = match_all(names, name, key, values, value, pos)
     ambiguous = F.raise_error(F.concat(F.col(name), F.lit(" has ambiguous matches"))).cast("string")
     return out.select(key, name, F.when(F.col("n_matches") > 1, ambiguous).otherwise(F.col("match")).alias("match"))
 
 
-def photo_index(listing: DataFrame, ids: DataFrame, calibration: DataFrame, camera: str = "phone", ppm: str = "ppm") -> DataFrame:
-    """(split, path, filename, sample_id, camera, ppm, is_matched, issue) of a listing (split, path), ids (split, sample_id) and a calibration table."""
+def photo_index(listing: DataFrame, ids: DataFrame, calibration: DataFrame, camera: str = "phone", ppm: str = "ppm", pos: str | None = None) -> DataFrame:
+    """(split, path, filename, sample_id, camera, ppm, is_matched, issue) of a listing (split, path), ids (split, sample_id) and a calibration table, whose rows pos orders.
+
+    A camera that the calibration has twice takes its first scale: by pos, else the least."""
     files = listing.withColumn("filename", F.element_at(F.split("path", "/"), -1))
     parts = []
     for split in ("train", "test"):
@@ -52,10 +99,9 @@ def photo_index(listing: DataFrame, ids: DataFrame, calibration: DataFrame, came
         found = match_unique(part, "filename", "path", ids.where(F.col("split") == split), "sample_id").select("path", F.col("match").alias("sample_id"))
         parts.append(part.join(found, "path"))
     out = parts[0].unionByName(parts[1])
-    cams = match_longest(out, "filename", "path", calibration, camera).select("path", F.col("match").alias("camera"))
-    w = Window.partitionBy("camera").orderBy("_pos")
-    scale = calibration.select(F.col(camera).cast("string").alias("camera"), F.col(ppm).cast("string").try_cast("double").alias("ppm"), F.monotonically_increasing_id().alias("_pos"))
-    scale = scale.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("camera", "ppm")
+    cams = match_longest(out, "filename", "path", calibration, camera, pos).select("path", F.col("match").alias("camera"))
+    scale = calibration.select(F.col(camera).cast("string").alias("camera"), F.col(ppm).cast("string").try_cast("double").alias("ppm"), *([F.col(pos).alias("_pos")] if pos else []))
+    scale = scale.withColumn("_n", F.row_number().over(Window.partitionBy("camera").orderBy("_pos" if pos else "ppm"))).where("_n = 1").select("camera", "ppm")
     out = out.join(cams, "path").join(scale, "camera", "left")
     issue = F.when(F.col("sample_id") == "", "unmatched_sample_id").when(F.col("camera") == "", "unknown_camera").otherwise("")
     return out.select("split", "path", "filename", "sample_id", "camera", "ppm", (F.col("sample_id") != "").alias("is_matched"), issue.alias("issue"))

@@ -1,18 +1,26 @@
 """k nearest neighbours of curves, with features scaled by the training rows.
 
-Queries and training rows are dealt to blocks, and each pair of blocks is a task of its own that keeps the best k of every query; the bests of
-all blocks are merged by rank. No row passes through the driver or is broadcast, and a task holds one block of either side."""
+Training rows are put into cells, each around one of PIVOTS rows at most, and neighbouring cells are packed into blocks. A query first meets the block of its own cell, which bounds the
+distance of its k-th neighbour; then it meets those blocks only that the triangle inequality can't rule out: a cell whose radius falls short of
+the query by more than the bound, or which lies beyond the bound past the plane between the two pivots, holds no neighbour. With few features most blocks are never met; with many
+features that are all alike far, all are, as every exact method must. Each pair of blocks of queries and training rows is a task of its own that keeps the best k of every query; the bests of
+all blocks are merged by rank. Pivots and a few numbers a cell reach the driver, no other row does or is broadcast, and a task holds one block of either side. Queries with scales of their own
+(leave-one-out) meet all blocks."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import curves as C
+from .working import written
 
 #: Rows of a block of training rows or of queries at most, and distances that a task holds at once.
 TRAIN, CELLS = 10_000, 2_000_000
+#: Cells at most, and training rows of a cell if there are not too many cells then.
+PIVOTS, CELL = 512, 500
 #: Neighbour counts to choose from.
 COUNTS = (1, 3, 5, 7)
 
@@ -27,16 +35,174 @@ def _array(columns: list[str]) -> Column:
     return F.array(*(F.col(c).cast("double") for c in columns))
 
 
-def nearest(queries: DataFrame, train: DataFrame, columns: list[str], k: int, key: str = "sample_id", pos: str = "pos", exclude_self: bool = False) -> DataFrame:
-    """(query key, train key as neighbor, distance, rank): k nearest training rows of each query; ties by the training rows' pos."""
+def nearest(queries: DataFrame, train: DataFrame, columns: list[str], k: int, key: str = "sample_id", pos: str = "pos", exclude_self: bool = False, rows: int = TRAIN) -> DataFrame:
+    """(query key, train key as neighbor, distance, rank): k nearest training rows of each query; ties by the training rows' pos. rows: training rows of a block."""
+    return pruned(queries, train, columns, k, key, pos, exclude_self, rows)[0]
+
+
+def pruned(queries: DataFrame, train: DataFrame, columns: list[str], k: int, key: str = "sample_id", pos: str = "pos", exclude_self: bool = False, rows: int = TRAIN) -> tuple[DataFrame, float]:
+    """nearest(), and the share of all pairs of a query and a training row whose blocks met."""
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be a positive integer")
     s = scales(train, columns).first()
     if s is None or s[0] is None:
         raise ValueError("at least one training row is needed")
-    q = queries.select(F.col(key).alias("q"), _array(columns).alias("x"), F.array(*(F.lit(float(s[c])) for c in columns)).alias("s"))
+    scale = np.array([float(s[c]) for c in columns])
+    q = queries.select(F.col(key).alias("q"), _array(columns).alias("x"))
     t = train.select(F.col(key).alias("neighbor"), F.col(pos).alias("pos"), _array(columns).alias("y"))
-    return _best(q, t, k, exclude_self).withColumnRenamed("q", key)
+    if t.count() <= rows:
+        one = q.withColumn("s", F.array(*map(F.lit, map(float, scale))))
+        return _best(one, t, k, exclude_self).withColumnRenamed("q", key), 1.0
+    cells, dealt = _celled(t, scale, rows)
+    near, first = _meet(q, dealt, cells, k, exclude_self, None)
+    heads = near.where("x is not null").select("q", "x", "bound", "home")
+    rest, second = _meet(heads, dealt, cells, k, exclude_self, "bound")
+    found = near.where("neighbor is not null").select("q", "neighbor", "pos", "distance").unionByName(rest.where("neighbor is not null").select("q", "neighbor", "pos", "distance"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "neighbor", "distance", "rank")
+    return found.withColumnRenamed("q", key), (first + second) / max(1, q.count() * int(cells.size.sum()))
+
+
+class _Cells:
+    """Of each cell its pivot, radius and first block, of each block its rows: what tasks are given. A cell above `rows` is cut into several blocks."""
+
+    def __init__(self, pivots: np.ndarray, scale: np.ndarray):
+        self.pivots, self.scale = pivots / scale, scale
+
+    def pack(self, size: np.ndarray, radius: np.ndarray, rows: int) -> None:
+        """Cells are packed along the direction in which pivots differ most."""
+        self.size, self.radius = size, radius
+        axis = np.linalg.svd(self.pivots - self.pivots.mean(0), full_matrices=False)[2][0]
+        self.first, self.parts, block, held = np.zeros(len(size), np.int64), np.ones(len(size), np.int64), -1, rows + 1
+        for c in np.argsort(self.pivots @ axis, kind="stable"):
+            if held + size[c] > rows:
+                block, held = block + 1, 0
+            self.first[c], self.parts[c] = block, -(-max(1, size[c]) // rows)
+            block, held = block + self.parts[c] - 1, held + size[c] if self.parts[c] == 1 else rows + 1
+        self.blocks = block + 1
+
+    def away(self, x: np.ndarray) -> np.ndarray:
+        """Distances of rows from all pivots."""
+        x, p = x / self.scale, self.pivots
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1), 0))
+
+    def routes(self, x: np.ndarray, bound: np.ndarray | None, home: np.ndarray | None, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block): without a bound each query's own block, else all others that may hold a row nearer than the bound."""
+        far = self.away(x)
+        own = far.argmin(1)
+        if bound is None:
+            return np.arange(len(x)), self.first[own] + mark % self.parts[own]
+        between = np.sqrt(np.maximum(((self.pivots[:, None] - self.pivots[None]) ** 2).sum(2), 0)) if len(self.pivots) * len(self.scale) < 1 << 15 else np.stack([np.linalg.norm(self.pivots - p, axis=1) for p in self.pivots])
+        mine = far[np.arange(len(x)), own]
+        plane = (far * far - (mine * mine)[:, None]) / np.maximum(2 * between[own], 1e-12)
+        least = np.maximum(far - self.radius, plane) * (1 - 1e-7) - 1e-7  # a little less, for rounding
+        query, cell = np.nonzero((least <= bound[:, None]) & (self.size > 0))
+        parts = self.parts[cell]
+        inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        query, block = np.repeat(query, parts), np.repeat(self.first[cell], parts) + inside
+        pairs = np.unique(np.stack([query, block]), axis=1)
+        return tuple(pairs[:, pairs[1] != home[pairs[0]]])
+
+
+def _celled(t: DataFrame, scale: np.ndarray, rows: int) -> tuple[_Cells, DataFrame]:
+    """The cells of training rows (neighbor, pos, y), and the rows (written) with their block b."""
+    n = t.count()
+    pivots = t.orderBy(F.xxhash64("neighbor"), "neighbor").limit(min(PIVOTS, max(1, -(-n // CELL)))).collect()
+    cells, kinds = _Cells(np.array([r["y"] for r in pivots]), scale), dict(t.dtypes)
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                far = cells.away(_matrix(batch.column("y")))
+                cell = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "far"])
+
+    placed = written(t.mapInArrow(place, f"neighbor {kinds['neighbor']}, pos {kinds['pos']}, y array<double>, cell int, far double"))
+    size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row a cell
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    cells.pack(size, radius, rows)
+    at = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), F.col("cell"))
+    dealt = placed.select("neighbor", "pos", "y", (at(cells.first) + F.pmod(F.xxhash64("neighbor"), at(cells.parts))).cast("int").alias("b"))
+    cells.block_rows = np.zeros(cells.blocks, np.int64)
+    for r in dealt.groupBy("b").count().collect():  # a row a block
+        cells.block_rows[r["b"]] = r["count"]
+    return cells, dealt
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _meet(q: DataFrame, dealt: DataFrame, cells: _Cells, k: int, exclude_self: bool, bound: str | None) -> tuple[DataFrame, int]:
+    """The k nearest rows in the blocks that queries are sent to, written, and the number of pairs that met. Each query of the first round also gets a row with its x, its
+    k-th distance there (infinite if there are fewer) and its block."""
+    kind, kinds = dict(q.dtypes)["q"], dict(dealt.dtypes)
+    marked = q.withColumn("mark", F.pmod(F.xxhash64("q"), F.lit(1 << 30)))
+
+    def routed(batch):
+        m = batch.column("mark").to_numpy()
+        given = (batch.column(bound).to_numpy(), batch.column("home").to_numpy()) if bound else (None, None)
+        return (*cells.routes(_matrix(batch.column("x")), *given, m), m)
+
+    def count(batches):
+        n = np.zeros(cells.blocks, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n += np.bincount(routed(batch)[1], minlength=cells.blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells.blocks)), pa.array(n)], ["b", "n"])
+
+    many = np.zeros(cells.blocks, np.int64)
+    for r in marked.mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect():  # a row a block
+        many[r["b"]] = r["n"]
+    groups = np.maximum(1, -(-many // TRAIN))
+
+    def send(batches):
+        for batch in batches:
+            if batch.num_rows:
+                query, block, m = routed(batch)
+                for i in range(0, len(query), 20_000):
+                    at, b = pa.array(query[i : i + 20_000]), block[i : i + 20_000]
+                    a = m[query[i : i + 20_000]] % groups[b]
+                    yield pa.RecordBatch.from_arrays([batch.column("q").take(at), batch.column("x").take(at), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["q", "x", "a", "b"])
+
+    sent = marked.mapInArrow(send, f"q {kind}, x array<double>, a int, b int")
+    copies = F.get(F.array(*(F.lit(int(g if n else 0)) for g, n in zip(groups, many, strict=True))), F.col("b"))
+    met = dealt.where(copies > 0).withColumn("a", F.explode(F.sequence(F.lit(0), copies - 1)))
+    scale, first = cells.scale, bound is None
+
+    def pair(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = {n: [] for n in ("q", "neighbor", "pos", "distance", "x", "bound", "home")}
+        if len(queries):
+            x = _matrix(queries["x"].combine_chunks())
+            own, b = queries["q"], queries["b"][0].as_py()
+            reach = np.full(len(x), np.inf)
+            if len(rows):
+                y, t, pos = _matrix(rows["y"].combine_chunks()), rows["neighbor"].to_numpy(), rows["pos"].to_numpy()
+                order = np.empty(len(pos), np.int64)
+                order[np.argsort(pos, kind="stable")] = np.arange(len(pos))
+                s = np.broadcast_to(scale, x.shape)
+                for i in range(0, len(x), step := max(1, CELLS // len(y))):
+                    part = slice(i, i + step)
+                    a, c, far = _closest(x[part], s[part], y, order, own.to_numpy()[part, None] == t[None] if exclude_self else None, k)
+                    n = np.bincount(a, minlength=len(x[part]))
+                    full = np.flatnonzero(n == k)
+                    reach[i + full] = np.sqrt(far[np.searchsorted(a, full) + k - 1])
+                    out["q"].append(own.take(pa.array(a + i)))
+                    out["neighbor"].append(rows["neighbor"].take(pa.array(c)))
+                    out["pos"].append(rows["pos"].take(pa.array(c)))
+                    out["distance"].append(pa.array(far))
+        found = pa.table({n: pa.chunked_array([p for c in out[n] for p in (c.chunks if isinstance(c, pa.ChunkedArray) else [c])], types[n]) for n in ("q", "neighbor", "pos", "distance")})
+        found = pa.table({**{n: found[n] for n in found.column_names}, **{n: pa.nulls(len(found), types[n]) for n in ("x", "bound", "home")}})
+        if not first or not len(queries):
+            return found
+        heads = pa.table({"q": own, "neighbor": pa.nulls(len(x), types["neighbor"]), "pos": pa.nulls(len(x), types["pos"]), "distance": pa.nulls(len(x), types["distance"]), "x": queries["x"], "bound": pa.array(reach), "home": pa.array(np.full(len(x), b, np.int32))})
+        return pa.concat_tables([found, heads.cast(found.schema)])
+
+    arrow = {f.name: f.type for f in to_arrow_schema(q.select("q", "x").schema)} | {f.name: f.type for f in to_arrow_schema(dealt.select("neighbor", "pos").schema)}
+    types = {n: arrow[n] for n in ("q", "neighbor", "pos")} | {"distance": pa.float64(), "x": pa.list_(pa.float64()), "bound": pa.float64(), "home": pa.int32()}
+    out = sent.groupBy("a", "b").cogroup(met.groupBy("a", "b")).applyInArrow(pair, f"q {kind}, neighbor {kinds['neighbor']}, pos {kinds['pos']}, distance double, x array<double>, bound double, home int")
+    return written(out), int((many * cells.block_rows).sum())
 
 
 def _closest(x: np.ndarray, s: np.ndarray, y: np.ndarray, order: np.ndarray, same: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -221,7 +221,10 @@ def agg_std_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM orders GROUP BY 1")
 def agg_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.median("o_totalprice"), 4).alias("median"), F.countDistinct("o_custkey").alias("customers"), F.count("*").alias("n"))
+    orders = read(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", "o_custkey")
+    out = orders.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.countDistinct("o_custkey").alias("customers"), F.count("*").alias("n"))
+    middle = A.medians(orders, "o_totalprice", ["o_orderpriority"]).select("o_orderpriority", F.round("median", 4).alias("median"))
+    return out.join(middle, "o_orderpriority").select("o_orderpriority", "mean", "median", "customers", "n")
 
 
 @query(f"""WITH {LINES}, s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS d FROM lines) SELECT sample_id, round(sum((l_quantity - m) / d), 4) AS z, round(max((l_quantity - m) / d), 6) AS top FROM lines, s GROUP BY 1""")
@@ -336,6 +339,34 @@ def match_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_all(names, "name", "doc_id", values, "value").select("doc_id", "n_matches", "match")
 
 
+_NAMES = "n AS (SELECT doc_id, source || '_' || lang || '-' || doc_id || '_' || md5(text) AS name FROM documents), names AS (SELECT doc_id, lower(name) AS low, regexp_replace(lower(name), '[^\\p{L}\\p{N}]', '', 'g') AS norm FROM n)"
+_VALUES = """v AS (SELECT p_partkey * 50 + i AS pos, CASE i WHEN 0 THEN 'SRC' || (p_partkey % 30) || '_' WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN '-' || (p_partkey % 97) || '_' ELSE substr(md5(p_partkey || ':' || i), 1, (5 + i % 3)::INT) END AS value FROM part, range(50) r(i)),
+vals AS (SELECT pos, value, lower(value) AS low, regexp_replace(lower(value), '[^\\p{L}\\p{N}]', '', 'g') AS norm FROM v)"""
+
+
+def _names_and_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A name a document, of source, language, id and the digest of its text; fifty values a part, in the order of their positions."""
+    names = read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("_"), "lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit("_"), F.md5(F.col("text").cast("binary"))).alias("name"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
+    key, mark = F.col("p_partkey").cast("string"), F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), F.col("i").cast("string")).cast("binary"))
+    value = F.when(F.col("i") == 0, F.concat(F.lit("SRC"), (F.col("p_partkey") % 30).cast("string"), F.lit("_"))).when(F.col("i") == 1, F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)))
+    value = value.when(F.col("i") == 2, F.concat(F.lit("-"), (F.col("p_partkey") % 97).cast("string"), F.lit("_"))).otherwise(F.substring(mark, 1, 5 + F.col("i") % 3))
+    return names, part.select((F.col("p_partkey") * 50 + F.col("i")).alias("pos"), value.alias("value"))
+
+
+@query(f"WITH {_NAMES}, {_VALUES}, h AS (SELECT doc_id, value, pos FROM names JOIN vals ON contains(names.low, vals.low) OR contains(names.norm, vals.norm)) SELECT doc_id, coalesce(arg_max(value, (length(value), -pos)), '') AS match FROM names LEFT JOIN h USING (doc_id) GROUP BY 1")
+def match_index_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest of many values in each name, by the substring index."""
+    names, values = _names_and_values(spark, sf_dir)
+    return match.match_longest(names, "name", "doc_id", values, "value", "pos").select("doc_id", "match")
+
+
+@query(f"WITH {_NAMES}, {_VALUES}, h AS (SELECT doc_id, value FROM names JOIN vals ON contains(names.norm, vals.norm)) SELECT doc_id, count(value) AS n_matches, CASE WHEN count(value) = 1 THEN min(value) ELSE '' END AS match FROM names LEFT JOIN h USING (doc_id) GROUP BY 1")
+def match_index_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, values = _names_and_values(spark, sf_dir)
+    return match.match_all(names, "name", "doc_id", values, "value", "pos").select("doc_id", "n_matches", "match")
+
+
 @query(r"""SELECT page_id, regexp_replace(replace(replace(replace(replace(lower(url), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS token FROM pages""")
 def normalize_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.normalize_token(F.col("url")).alias("token"))
@@ -407,9 +438,16 @@ def knn_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.loo_scores(e, A.feature_columns(e)).select(F.col("k").cast("int").alias("k"), r6("emd").alias("emd"))
 
 
-# the names under which the same queries were added; both stay
-for _name in ("knn_neighbors", "knn_curves", "knn_loo"):
-    _queries[f"{_name}_whole"], _sql[f"{_name}_whole"] = _queries[_name], _sql[_name]
+_PART = "e AS (SELECT l_partkey, avg(l_quantity) AS f0, avg(l_extendedprice) AS f1, avg(l_discount) AS f2 FROM lineitem GROUP BY 1)"
+
+
+@query(f"""WITH {_PART}, s AS (SELECT {', '.join(f'CASE WHEN stddev_pop(f{i}) < 1e-12 THEN 1 ELSE stddev_pop(f{i}) END AS s{i}' for i in range(3))} FROM e),
+r AS (SELECT q.l_partkey, t.l_partkey AS neighbor, row_number() OVER (PARTITION BY q.l_partkey ORDER BY {' + '.join(f'power((q.f{i} - t.f{i}) / s{i}, 2)' for i in range(3))}, t.l_partkey)::INT AS rank FROM e q, e t, s WHERE q.l_partkey <> t.l_partkey)
+SELECT * FROM r WHERE rank <= 3""")
+def knn_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest parts by few features, most blocks of them pruned."""
+    e = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*(F.avg(c).alias(f"feature_{i}") for i, c in enumerate(FEATURES[:3]))).withColumn("pos", F.col("l_partkey"))
+    return N.nearest(e, e, ["feature_0", "feature_1", "feature_2"], 3, "l_partkey", exclude_self=True, rows=500).select("l_partkey", "neighbor", "rank")
 
 
 _SUP = "s AS (SELECT l_suppkey, avg(l_quantity) AS x, count(*) FILTER (l_extendedprice <= threshold) * 100.0::DOUBLE / count(*) AS y, pos FROM lineitem, " + _T + " GROUP BY 1, pos)"
@@ -562,14 +600,41 @@ def quality_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.agg(F.count_if(F.col("l_quantity").isNull()).alias("null_quantity"), F.count_if(F.isnan("l_extendedprice") | (F.abs("l_extendedprice") == float("inf"))).alias("infinite_price"), F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 1)).alias("bad_discount"), F.count("*").alias("rows"))
 
 
-@query()
+_LIST = f"sup AS (SELECT l_suppkey, list(value ORDER BY pos) AS v FROM (SELECT l_suppkey, pos, 100.0::DOUBLE * count(*) FILTER (l_extendedprice <= threshold) / count(*) AS value FROM lineitem, {_T} GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(f"""WITH RECURSIVE {_LIST}, e AS (SELECT l_suppkey, v, round(list_sum(list_transform(range(1, 11), lambda k: abs(v[k] - 100.0 / 11 * k) * ({list(C.WIDTHS)!r})[k])), 4) AS score FROM sup),
+c AS (SELECT 'supplier ' || l_suppkey || ' ' || i AS experiment, score, i, list_transform(v, lambda x: x + d) AS v FROM e, (VALUES (0, 0::DOUBLE), (1, 5e-10), (2, 1.4e-9)) t(i, d)),
+r AS (SELECT *, row_number() OVER (ORDER BY score, i, experiment) AS place FROM c),
+steps(place, experiment, twin, seen) AS (SELECT 0::BIGINT, '', NULL::VARCHAR, (SELECT list({{'name': 'prior ' || l_suppkey, 'v': list_transform(v, lambda x: x - 3e-10)}} ORDER BY 'prior ' || l_suppkey) FROM e WHERE l_suppkey % 10 = 0)
+UNION ALL SELECT place, experiment, twin, CASE WHEN twin IS NULL THEN list_append(seen, {{'name': experiment, 'v': v}}) ELSE seen END FROM
+(SELECT r.place, r.experiment, r.v, s.seen, list_filter(s.seen, lambda o: list_max(list_transform(range(1, 12), lambda k: abs(o.v[k] - r.v[k]))) <= 1e-9)[1].name AS twin FROM steps s JOIN r ON r.place = s.place + 1))
+SELECT experiment, place - 1 AS place, twin AS duplicate_of FROM steps WHERE place > 0""")
 def dedupe_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate curves by nation ranked by error; later ones within 1e-9 of a survivor are marked."""
-    curves = nation_curves(spark, sf_dir)
-    scored = curves.select(F.col("sample_id").alias("experiment"), C.emd(F.col("cdf"), C.equal_bins()).alias("score"), F.lit(0.0).alias("disagreement"), F.col("cdf").alias("values"))
-    copies = scored.select(F.concat("experiment", F.lit("_copy")).alias("experiment"), "score", "disagreement", F.transform("values", lambda v: v + 5e-10).alias("values"))
-    prior = scored.limit(0).select("experiment", "values")
-    return ledger.queue(scored.unionByName(copies), prior)
+    """Suppliers' curves three times, each a little off, ranked by error; later ones within 1e-9 of a survivor or of a prior curve are marked."""
+    curves = suppliers(spark, sf_dir).select("l_suppkey", "cdf")
+    moved = lambda d: F.transform("cdf", lambda v: v + F.lit(d))
+    copies = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), moved(d).alias("values")) for i, d in enumerate((0.0, 5e-10, 1.4e-9)))))
+    each = curves.select("l_suppkey", F.round(C.emd(F.col("cdf"), C.equal_bins()), 4).alias("score"), copies.alias("c"))
+    scored = each.select(F.concat_ws(" ", F.lit("supplier"), "l_suppkey", "c.i").alias("experiment"), "score", F.col("c.i").cast("double").alias("disagreement"), "c.values")
+    prior = curves.where("l_suppkey % 10 = 0").select(F.concat_ws(" ", F.lit("prior"), "l_suppkey").alias("experiment"), moved(-3e-10).alias("values"))
+    return ledger.queue(scored, prior)
+
+
+# pairs without pairs
+@query(f"""WITH {_LIST}, p AS (SELECT list_sum(list_transform(range(1, 11), lambda k: abs(a.v[k] - b.v[k]) * ({list(C.WIDTHS)!r})[k])) AS e FROM sup a JOIN sup b ON a.l_suppkey < b.l_suppkey) SELECT round(avg(e), 6) AS emd, count(*) AS pairs FROM p""")
+def emd_pair_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean EMD over all pairs of suppliers, from ranks."""
+    return A.pair_means(suppliers(spark, sf_dir).select("cdf")).select(r6("emd").alias("emd"), "pairs")
+
+
+@query(f"""WITH {_LIST}, n AS (SELECT s_nationkey, l_suppkey, v FROM sup JOIN supplier ON s_suppkey = l_suppkey), p AS (SELECT a.s_nationkey, list_sum(list_transform(range(1, 11), lambda k: abs(a.v[k] - b.v[k]) * ({list(C.WIDTHS)!r})[k])) AS e FROM n a JOIN n b ON a.s_nationkey = b.s_nationkey AND a.l_suppkey < b.l_suppkey)
+SELECT s_nationkey, round(avg(e), 6) AS emd, count(e) AS pairs FROM (SELECT DISTINCT s_nationkey FROM n) LEFT JOIN p USING (s_nationkey) GROUP BY 1""")
+def emd_pair_mean_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within each nation; a nation of one supplier has no pair."""
+    nation = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    curves = suppliers(spark, sf_dir).select("l_suppkey", "cdf").join(nation, "l_suppkey")
+    return A.pair_means(curves, ["s_nationkey"]).select("s_nationkey", r6("emd").alias("emd"), "pairs")
 
 
 @query("""SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (value <= 50) / count(*), 6) AS half FROM events GROUP BY 1, 2""")

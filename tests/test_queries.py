@@ -40,7 +40,7 @@ def test_neighbors_of_whole_embeddings(spark, db):
     np.fill_diagonal(far, np.inf)
     ids = e["vec_id"].to_numpy()
     want = sorted((int(q), int(ids[j]), i + 1) for q, row in zip(ids, far, strict=True) for i, j in enumerate(np.argsort(row, kind="stable")[:3]))
-    got = sorted(tuple(r) for r in Q.queries()["knn_neighbors_whole"](spark, DATA).collect())
+    got = sorted(tuple(r) for r in Q.queries()["knn_neighbors"](spark, DATA).collect())
     assert x.shape[1] == Q.DIMS and got == want
 
 
