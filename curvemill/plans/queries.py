@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import curves as C, images, models, text
-from ..operators import aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N, submission
+from ..operators import aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N, particles, submission
+from ..operators.working import written
 from ..streaming.curves import windowed_curves
 
 #: Price thresholds of the stand-in curves; the last one is above every price.
@@ -481,6 +482,18 @@ def ridge_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram.loo_ridge(df, "l_suppkey", A.feature_columns(df)).select("l_suppkey", r6("emd").alias("emd"))
 
 
+@query(f"""WITH e AS (SELECT l_suppkey, avg(l_quantity) AS m, avg(l_quantity * l_quantity) AS g FROM lineitem GROUP BY 1), c AS (SELECT l_suppkey, pos, 100.0::DOUBLE * count(*) FILTER (l_extendedprice <= threshold) / count(*) AS y FROM lineitem, {_T} GROUP BY 1, 2),
+t AS (SELECT l_suppkey, pos, y, m, count(*) OVER w - 1 AS n, sum(m) OVER w - m AS sm, sum(m * m) OVER w - m * m AS sq, sum(g) OVER w - g AS sg, sum(m * y) OVER w - m * y AS sc, sum(y) OVER w - y AS sy FROM c JOIN e USING (l_suppkey) WHERE pos < 10 WINDOW w AS (PARTITION BY pos)),
+d AS (SELECT *, sqrt(sq / n - power(sm / n, 2)) AS s FROM t), q AS (SELECT l_suppkey, '' AS view, avg(l_quantity) AS q FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, l_returnflag, avg(l_quantity) FROM lineitem GROUP BY 1, 2),
+p AS (SELECT l_suppkey, view, pos, y, greatest(0, least(100, sy / n + (q - sm / n) / s * ((sc - sm * sy / n) / s) / ((sg - sm * sm / n) / (s * s) + 10))) AS v FROM d JOIN q USING (l_suppkey)),
+r AS (SELECT l_suppkey, view, pos, y, max(v) OVER (PARTITION BY l_suppkey, view ORDER BY pos) AS v FROM p) SELECT l_suppkey, view, round(sum(abs(y - v) * width), 4) AS emd FROM r JOIN {_W} USING (pos) GROUP BY 1, 2""")
+def ridge_entities_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, and their views by return flag, predicted by a ridge on the order lines of all other suppliers, every supplier weighing one."""
+    line = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    out = gram.loo_entity_ridge(line, A.build_curves(line, "l_extendedprice", ["l_suppkey"], PRICES), "l_suppkey", ["l_quantity"], view="l_returnflag")
+    return out.select(F.col("l_suppkey").cast("long").alias("l_suppkey"), F.coalesce("l_returnflag", F.lit("")).alias("view"), F.round("emd", 4).alias("emd"))
+
+
 _TRUTH = f"""t AS (SELECT c.sample_id, pos, value, width FROM curves c JOIN {_W} USING (pos)),
 rows AS (SELECT sample_id, '' AS view FROM curves GROUP BY 1 UNION ALL SELECT sample_id, l_returnflag FROM lines GROUP BY 1, 2)"""
 _MEANS = ", ".join(f"avg({c}) AS x{i}" for i, c in enumerate(FEATURES))
@@ -547,6 +560,56 @@ def region_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.regions(pixels, 2.0).select("region_id", "area_pixels", r6("area_mm2").alias("area_mm2"), r6("diameter_mm").alias("diameter_mm"), "touches_border")
 
 
+#: Sides of the images that order lines are dealt to for flooding, one an order status.
+TALL, WIDE = 15, 19
+_PIX = f"""cells AS (SELECT o_orderstatus AS image, (l_orderkey % {TALL})::INT AS y, (l_partkey % {WIDE})::INT AS x, (sum(l_extendedprice)::DECIMAL(38, 2) / 100)::BIGINT % 1000 AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+p AS (SELECT image, y, x, coalesce(v, 0) AS v FROM (SELECT DISTINCT image FROM cells) CROSS JOIN (SELECT y::INT AS y FROM range({TALL}) a(y)) CROSS JOIN (SELECT x::INT AS x FROM range({WIDE}) b(x)) LEFT JOIN cells USING (image, y, x)),
+lim AS (SELECT image, quantile_cont(v, 0.4) AS lim FROM p GROUP BY 1), inn AS (SELECT p.*, v <= lim AS inner_ FROM p JOIN lim USING (image)),
+disk(dy, dx) AS (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)),
+ero AS (SELECT a.image, a.y, a.x, count(b.v) = 5 AS stays FROM inn a, disk LEFT JOIN inn b ON b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx AND b.inner_ GROUP BY 1, 2, 3),
+op AS (SELECT a.image, a.y, a.x, count(b.image) > 0 AS inner_ FROM ero a, disk LEFT JOIN ero b ON b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx AND b.stays GROUP BY 1, 2, 3)"""
+
+
+def _opened_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y, x, value, inner): order lines dealt to pixels by status; inner is the opened lower part of the values."""
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    line = line.join(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("image")), F.col("l_orderkey") == F.col("o_orderkey"))
+    at = line.groupBy("image", (F.col("l_orderkey") % TALL).cast("int").alias("y"), (F.col("l_partkey") % WIDE).cast("int").alias("x")).agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(38,2)") / 100).alias("s"))
+    cells = written(at.select("image", "y", "x", (F.round("s", 0).cast("long") % 1000).alias("value")))
+    sides = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c) for c, n in (("y", TALL), ("x", WIDE))]
+    grid = cells.select("image").distinct().select("image", sides[0]).select("image", "y", sides[1])
+    pixels = written(grid.join(cells, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("value", F.lit(0)).alias("value")))
+    calm = particles.calm(pixels.withColumnRenamed("value", "gradient"), 0.4).withColumnRenamed("gradient", "value")
+    return written(pixels.join(particles.opened(calm, 1.0), ["image", "y", "x"]))
+
+
+@query(f"""WITH RECURSIVE {_PIX}, n AS (SELECT image, y * {WIDE} + x AS id, y, x FROM op WHERE inner_),
+reach(image, id, root) AS (SELECT image, id, id FROM n UNION SELECT r.image, b.id, r.root FROM reach r JOIN n a ON a.image = r.image AND a.id = r.id JOIN n b ON b.image = a.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+roots AS (SELECT image, id, min(root) AS root FROM reach GROUP BY 1, 2)
+SELECT op.image, op.y, op.x, coalesce(dense_rank, 0) AS seed FROM op LEFT JOIN (SELECT image, id, dense_rank() OVER (PARTITION BY image ORDER BY root) AS dense_rank FROM roots) s ON s.image = op.image AND s.id = op.y * {WIDE} + op.x""")
+def region_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opened calm areas of images, connected and numbered."""
+    return particles.seeds(_opened_pixels(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_PIX}, n AS (SELECT image, y * {WIDE} + x AS id, y, x FROM op WHERE inner_),
+reach(image, id, root) AS (SELECT image, id, id FROM n UNION SELECT r.image, b.id, r.root FROM reach r JOIN n a ON a.image = r.image AND a.id = r.id JOIN n b ON b.image = a.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+seeds AS (SELECT image, id, dense_rank() OVER (PARTITION BY image ORDER BY root) AS seed FROM (SELECT image, id, min(root) AS root FROM reach GROUP BY 1, 2)),
+arcs AS (SELECT image, a, b, row_number() OVER (PARTITION BY image ORDER BY rise, a, b) AS i FROM (SELECT p.image, p.y * {WIDE} + p.x AS a, q.y * {WIDE} + q.x AS b, abs(p.v - q.v) AS rise FROM p JOIN p q ON q.image = p.image AND (q.y = p.y AND q.x = p.x + 1 OR q.y = p.y + 1 AND abs(q.x - p.x) <= 1))),
+first AS (SELECT p.image, list(coalesce(seed, -1 - (p.y * {WIDE} + p.x)) ORDER BY p.y * {WIDE} + p.x) AS part FROM p LEFT JOIN seeds s ON s.image = p.image AND s.id = p.y * {WIDE} + p.x GROUP BY 1),
+steps(image, i, part) AS (SELECT image, 0::BIGINT, part FROM first UNION ALL SELECT s.image, arcs.i, CASE WHEN part[a + 1] = part[b + 1] OR (part[a + 1] > 0 AND part[b + 1] > 0) THEN part
+ELSE list_transform(part, lambda c: CASE WHEN c = least(part[a + 1], part[b + 1]) THEN greatest(part[a + 1], part[b + 1]) ELSE c END) END FROM steps s JOIN arcs ON arcs.image = s.image AND arcs.i = s.i + 1),
+last AS (SELECT image, arg_max(part, i) AS part FROM steps GROUP BY 1), lab AS (SELECT image, unnest(range(len(part))) AS id, greatest(unnest(part), 0) AS label FROM last),
+f AS (SELECT image, id // {WIDE} AS y, id % {WIDE} AS x, label FROM lab)
+SELECT image, label AS region_id, count(*) AS area_pixels, round(count(*) / 4.0, 6) AS area_mm2, round(2 * sqrt(count(*) / 4.0 / pi()), 6) AS diameter_mm, bool_or(y = 0 OR y = {TALL - 1} OR x = 0 OR x = {WIDE - 1}) AS touches_border FROM f WHERE label > 0 GROUP BY 1, 2""")
+def region_flooding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of images without labels: seeds flooded over the least rises, and measured."""
+    pixels = _opened_pixels(spark, sf_dir)
+    marked = particles.seeds(pixels)
+    labels = particles.flooded(pixels.select("image", "y", "x", F.col("value").alias("elevation")).join(marked, ["image", "y", "x"]))
+    return A.regions(labels, 2.0, ["image"]).select("image", "region_id", "area_pixels", r6("area_mm2").alias("area_mm2"), r6("diameter_mm").alias("diameter_mm"), "touches_border")
+
+
 @query("SELECT b.bin, count(e.event_id) AS n FROM range(40) b(bin) LEFT JOIN events e ON floor(e.value / 10)::BIGINT = b.bin GROUP BY 1")
 def histogram_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = read(spark, sf_dir, "events").select(F.floor(F.col("value") / 10).alias("bin"))

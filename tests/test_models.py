@@ -167,3 +167,48 @@ def test_image_features():
     assert images.crop_box(2000, 1000, 100, 4.05, (4000, 2000)) == (899, 399, 202)
     with pytest.raises(ValueError):
         images.crop_box(100, 100, 100, 4, (100, 100))
+
+
+def photo_ridge(x, own, curves, query, alpha=10.0):
+    """Ridge on observations as it is defined: scaled by the entities' means, each entity's observations weighing one together."""
+    means = np.stack([x[own == k].mean(0) for k in range(len(curves))])
+    scale = means.std(0)
+    scale[scale == 0] = 1
+    z, w = (x - means.mean(0)) / scale, 1 / np.bincount(own)[own]
+    y = curves[own, :10] - curves[:, :10].mean(0)
+    beta = np.linalg.solve(z.T @ (w[:, None] * z) + alpha * np.eye(x.shape[1]), z.T @ (w[:, None] * y))
+    out = ((query - means.mean(0)) / scale) @ beta + curves[:, :10].mean(0)
+    return np.column_stack([np.maximum.accumulate(np.clip(out, 0, 100), 1), np.full(len(out), 100.0)])
+
+
+def test_ridge_on_observations(spark, monkeypatch):
+    from curvemill.operators import gram as G
+
+    monkeypatch.setattr(G, "HELD", 3)
+    r = np.random.default_rng(11)
+    own = np.concatenate([np.repeat(np.arange(8), r.integers(1, 9, 8)), np.zeros(60, int)])  # one entity holds most rows
+    x = np.column_stack([r.normal(size=(len(own), 3)) + own[:, None] / 3, np.full(len(own), 2.0), (own == 5).astype(float)])
+    curves = np.column_stack([np.sort(r.random((8, 10)) * 100, 1), np.full(8, 100.0)])
+    columns = [f"f{i}" for i in range(5)]
+    seen = spark.createDataFrame([(f"e{k}", *map(float, v)) for k, v in zip(own, x)], "k string, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    known = spark.createDataFrame([(f"e{k}", list(map(float, c))) for k, c in enumerate(curves)], "k string, cdf array<double>")
+    queries = r.normal(size=(4, 5))
+    got = G.entity_ridge(seen, known, spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(queries)], "id int, " + ", ".join(f"{c} double" for c in columns)), "k", columns)
+    assert np.allclose([r["cdf"] for r in got.orderBy("id").collect()], photo_ridge(x, own, curves, queries))
+    means = np.stack([x[own == k].mean(0) for k in range(8)])
+    for row in G.loo_entity_ridge(seen, known, "k", columns).collect():
+        k = int(row["k"][1:])
+        rest = own != k
+        want = photo_ridge(x[rest], own[rest] - (own[rest] > k), np.delete(curves, k, 0), means[k : k + 1])[0]
+        assert np.allclose(row["cdf"], want, atol=1e-7)
+    flagged = seen.selectExpr("*", "case when f0 > 1 then 'high' when f0 > -0.5 then 'low' end as view")
+    views = {(row["k"], row["view"]): row["cdf"] for row in G.loo_entity_ridge(flagged, known, "k", columns, view="view").collect()}
+    flags = np.where(x[:, 0] > 1, "high", np.where(x[:, 0] > -0.5, "low", ""))
+    assert len(views) == 8 + len({(k, f) for k, f in zip(own, flags) if f})
+    for (k, flag), cdf in views.items():
+        k = int(k[1:])
+        mine = x[(own == k) & ((flags == flag) if flag else True)].mean(0, keepdims=True)
+        rest = own != k
+        assert np.allclose(cdf, photo_ridge(x[rest], own[rest] - (own[rest] > k), np.delete(curves, k, 0), mine)[0], atol=1e-7)
+    with pytest.raises(ValueError):
+        G.loo_entity_ridge(seen.where("k = 'e1'"), known, "k", columns)
