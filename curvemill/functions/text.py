@@ -32,6 +32,13 @@ def parse_curve(payload: Column) -> Column:
     return F.when(F.coalesce(ok & is_strict_curve(cdf), F.lit(False)), cdf)
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text with the keys of every object sorted, at every level, and without blanks: equal values have equal texts. Null for text that is no JSON.
+
+    A Variant keeps an object's fields in the order of their keys, and numbers without needless zeros. A key that an object has twice counts as no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def line_class(line: Column, patterns: dict[str, str]) -> Column:
     """struct(kind, captures): the first of patterns (name -> regular expression) that matches the whole line, with its groups; a line that none matches raises when the rows are used."""
     kind = F.raise_error(F.concat(F.lit("unexpected line: "), line)).cast("struct<kind:string,captures:array<string>>")

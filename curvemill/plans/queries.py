@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import curves as C, images, models, text
 from ..operators import aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N, particles, submission
-from ..operators.working import written
+from ..operators.working import folder, written
+from ..sources import tables
+from ..streaming import ledger as stream_ledger
 from ..streaming.curves import windowed_curves
 
 #: Price thresholds of the stand-in curves; the last one is above every price.
@@ -623,6 +625,20 @@ def ledger_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.budgeted(turns, ["conv_id"], ["turn"], "tokens", 400).select("conv_id", "turn", "spent_before", "allowed")
 
 
+@query("""WITH w AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM conversations)
+SELECT conv_id, turn, spent_before, spent_before < 400 AS allowed FROM w""")
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ledger_budget from a stream that is cut off after its first turns and goes on from its checkpoint, with some turns sent again."""
+    work = folder(spark)
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").cast("long").alias("number"), F.lit("").alias("key"), F.char_length("text").alias("tokens"), F.lit("complete").alias("state"))
+    for part in ("number < 2", "number between 1 and 3", "number > 3"):
+        turns.where(part).write.mode("append").parquet(f"{work}/in")
+        requests = spark.readStream.schema(turns.schema).parquet(f"{work}/in")
+        stream_ledger.settle(requests, 400, f"{work}/out", f"{work}/checkpoint")
+    done = spark.read.parquet(f"{work}/out").where(F.col("outcome") != stream_ledger.REPEATED)
+    return done.select(F.col("run").alias("conv_id"), F.col("number").alias("turn"), "spent_before", (F.col("outcome") == stream_ledger.ALLOWED).alias("allowed"))
+
+
 @query("""WITH w AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM conversations)
 SELECT conv_id, min(turn) AS turn, arg_min(s, turn) AS spent_before FROM w WHERE s >= 400 GROUP BY 1""")
 def ledger_first_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -657,6 +673,51 @@ def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(recorded, actual).select(F.col("path").cast("long").alias("doc_id"), "sha256", "state")
 
 
+@query("""SELECT event_id, sha256('{"id":' || event_id || ',"props":{"k":' || json_extract_string(props, '$.k') || '},"z":[{"a":"' || event_type || '","b":1.5}]}') AS sha256 FROM events""")
+def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of events as canonical JSON, from texts with other orders of keys and blanks."""
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    written_out = F.concat(F.lit('{ "z": [{"b": 1.50, "a": "'), "event_type", F.lit('"}], "props": '), "props", F.lit(', "id": '), F.col("event_id").cast("string"), F.lit("}"))
+    return e.select("event_id", F.sha2(text.canonical_json(written_out), 256).alias("sha256"))
+
+
+@query("""SELECT v AS version, s_nationkey, count(*) AS suppliers, round(sum(s_acctbal * v), 2) AS balance FROM supplier, (VALUES (1), (2)) t(v) WHERE v = 1 OR s_suppkey % 3 > 0 GROUP BY 1, 2
+UNION ALL SELECT 3, s_nationkey, count(*), round(sum(s_acctbal * 2), 2) FROM supplier WHERE s_suppkey % 3 > 0 GROUP BY 2""")
+def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a table of two versions, read by number; a write whose tasks fail leaves the second one current (3 here)."""
+    path, suppliers_ = f"{folder(spark)}/suppliers", read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    tables.write_version(suppliers_, path)
+    tables.write_version(suppliers_.where("s_suppkey % 3 > 0").withColumn("s_acctbal", F.col("s_acctbal") * 2), path)
+    broken = suppliers_.withColumn("s_acctbal", F.when(F.col("s_suppkey") < 0, 0.0).otherwise(F.raise_error(F.lit("refused")).cast("double")))
+    try:
+        tables.write_version(broken, path)
+    except Exception as error:  # the writer's own or Spark's
+        if "refused" not in str(error):
+            raise
+    versions = [tables.read_version(spark, path, suppliers_.schema, v).withColumn("version", F.lit(i)) for i, v in ((1, 1), (2, 2), (3, None))]
+    return versions[0].unionByName(versions[1]).unionByName(versions[2]).groupBy("version", "s_nationkey").agg(F.count("*").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT page_id, octet_length(encode(html)) AS length, sha256(html) AS sha256 FROM pages")
+def files_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, listed and hashed in pieces."""
+    root = f"{folder(spark)}/pages"
+
+    def save(batches):
+        system, place = tables.store(root)
+        for batch in batches:
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                system.create_dir(f"{place}/{page % 100}", recursive=True)
+                with system.open_output_stream(f"{place}/{page % 100}/{page}.html", compression=None) as out:
+                    out.write(html.as_py())
+            yield batch.select(["page_id"])
+
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("html"))
+    pages.mapInArrow(save, "page_id bigint").write.format("noop").mode("overwrite").save()
+    found = tables.hashed_files(spark, root, (".html",), piece=1000)
+    return found.select(F.regexp_extract("path", r"(\d+)\.html$", 1).cast("long").alias("page_id"), "length", "sha256")
+
+
 @query("SELECT count(*) FILTER (l_quantity IS NULL) AS null_quantity, count(*) FILTER (NOT isfinite(l_extendedprice)) AS infinite_price, count(*) FILTER (l_discount < 0 OR l_discount > 1) AS bad_discount, count(*) AS rows FROM lineitem")
 def quality_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem")
