@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import fresh, sized, table
+from .shared import by_position, fresh, sized, table
 
 #: White space that separates words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -79,14 +79,14 @@ def _kept(text: str, over: str) -> Column:
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, doc: str = "doc_id", size: str = "n_chars") -> DataFrame:
-    """docs with the boilerplate lines of each host taken out of text. A text of null stays null; rows are never dropped; size, where there is such a column, is counted again for texts that changed; other columns stay."""
-    lines, left = fresh(docs, "lines", "left")
-    out = with_frequent(docs, frequent_lines(docs, host, text, ratio, least, doc), host, lines).withColumn(left, _kept(text, lines))
-    kind = dict(docs.dtypes).get(size)
-    new = {text: F.col(left)}
-    if kind:
-        new[size] = F.when(F.col(left).eqNullSafe(F.col(text)), F.col(size)).otherwise(F.char_length(left).cast(kind))
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    """docs with the boilerplate lines of each host taken out of text. A text of null stays null; rows are never dropped; size, where there is such a column, is counted again for texts that changed; other columns stay, whatever their names."""
+    plain, names = by_position(docs)
+    host, text, doc, size = names[host], names[text], names[doc], names.get(size)
+    out = with_frequent(plain, frequent_lines(plain, host, text, ratio, least, doc), host, "lines").withColumn("left", _kept(text, "lines"))
+    new = {text: F.col("left")}
+    if size:
+        new[size] = F.when(F.col("left").eqNullSafe(F.col(text)), F.col(size)).otherwise(F.char_length("left").cast(dict(plain.dtypes)[size]))
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in plain.columns)).toDF(*docs.columns)
 
 
 def words_of(text: Column) -> Column:

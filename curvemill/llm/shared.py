@@ -101,6 +101,12 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with plain names (c0, c1, ...), and what each column is called there: names with dots, blanks or quotes need no care then. toDF(*df.columns) gives the names back."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), names
+
+
 def table(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, work_dir(df.sparkSession)

@@ -108,12 +108,12 @@ def select_rows(docs, wanted, column: str = "text"):
     """The rows of docs for which wanted(values of column) gives True, all columns as they are: rows are told apart by where they stand, not by any id."""
     import pyarrow as pa
 
-    from .shared import tidy
+    from .shared import by_position, tidy
 
-    at = docs.columns.index(column)
+    at, (plain, _) = docs.columns.index(column), by_position(docs)
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield part.filter(pa.array(wanted(part.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(tidy(keep), docs.schema)
+    return plain.mapInArrow(tidy(keep), plain.schema).toDF(*docs.columns)

@@ -119,4 +119,24 @@ def test_rows_keep_their_identity(spark, tmp_path):
 
 def test_every_operator_has_one_query(spark):
     names = [n.split("_")[0] for n in queries()]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and set(oracle_sql()) <= set(queries())
+
+
+def test_odd_column_names(spark, tmp_path):
+    """Dots, quotes, blanks and names that differ in case or clash with helpers: every stage keeps them."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = {"a.b": "1", "back`tick": "2", "a blank ": "3", "c0": "4", "lines": "5", "host": "6", "Größe": "7", "": "8"}
+    extra = docs.toDF(*docs.columns)
+    for i, value in enumerate(odd.values()):
+        extra = extra.selectExpr("*", f"'{value}' as x{i}")
+    extra = extra.toDF(*docs.columns, *odd)
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    plain, wide = docs, extra
+    for name, stage in P.STAGES[:-1]:
+        plain, wide = stage(spark, plain, DATA), stage(spark, wide, str(tmp_path))
+        assert wide.columns == [*docs.columns, *odd], name
+        plain, wide = (spark.createDataFrame(x.collect(), x.schema) for x in (plain, wide))
+        assert sorted(map(tuple, wide.collect())) == sorted((*r, *odd.values()) for r in map(tuple, plain.collect())), name
+    last = P.STAGES[-1][1]
+    assert sorted(map(tuple, last(spark, wide, str(tmp_path)).collect())) == sorted(map(tuple, last(spark, plain, DATA).collect()))
