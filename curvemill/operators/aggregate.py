@@ -138,10 +138,10 @@ def loo_median(df: DataFrame, key: str) -> DataFrame:
     return df.join(curves, key).select(*df.columns, C.close(F.transform("p", lambda x: x["v"])).alias("predicted"))
 
 
-def improvement(errors: DataFrame, reference: str = "reference", error: str = "error") -> DataFrame:
-    """One row of evidence over paired errors: mean gain, wins by more than 1e-9, and the gain without the largest one."""
+def improvement(errors: DataFrame, reference: str = "reference", error: str = "error", keys: list[str] | None = None) -> DataFrame:
+    """A row of evidence over paired errors (of each group): mean gain, wins by more than 1e-9, and the gain without the largest one."""
     d = F.col(reference) - F.col(error)
-    out = errors.select(d.alias("d")).agg(F.avg("d").alias("mean_improvement"), F.count_if(F.col("d") > 1e-9).alias("improved"), F.count("*").alias("samples"), F.sum("d").alias("_s"), F.max("d").alias("_m"))
+    out = errors.select(*(keys or []), d.alias("d")).groupBy(*(keys or [])).agg(F.avg("d").alias("mean_improvement"), F.count_if(F.col("d") > 1e-9).alias("improved"), F.count("*").alias("samples"), F.sum("d").alias("_s"), F.max("d").alias("_m"))
     return out.withColumn("improvement_without_largest", (F.col("_s") - F.col("_m")) / (F.col("samples") - 1)).drop("_s", "_m")
 
 

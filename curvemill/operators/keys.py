@@ -86,6 +86,35 @@ def merge(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[st
     return name(left, suffixes[0]).join(name(right, suffixes[1]), keys)
 
 
+def merge_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
+    """merge() of tables that have each key once at most; a key that either has twice, or a null one, is an error."""
+    left, right = written(left), written(right)  # read by the checks and by the join
+    require_unique(left, keys, "left")
+    require_unique(right, keys, "right")
+    return merge(left, right, keys, suffixes)
+
+
+def positions(df: DataFrame, key: str, index: DataFrame, name: str = "pos") -> DataFrame:
+    """df with the position of each row's key in an index (key, pos), -1 for keys that it lacks: a join, whatever the index's size."""
+    at = index.select(F.col(key).alias("_k"), F.col("pos").alias("_p"))
+    return df.join(at, df[key] == F.col("_k"), "left").withColumn(name, F.coalesce("_p", F.lit(-1))).drop("_k", "_p")
+
+
+def reindexed(df: DataFrame, key: str, index: DataFrame, missing: str = "null") -> DataFrame:
+    """A row for each key of an index (key, pos), with its position; keys that df lacks have nulls, or raise when the rows are used (missing="raise"). Keys of df must be unique."""
+    out = index.select(key, "pos").join(require_unique(df, [key]).withColumn("_hit", F.lit(True)), key, "left")
+    if missing == "raise":
+        guard = F.when(F.col("_hit").isNull(), F.raise_error(F.concat(F.lit("missing key: "), F.col(key).cast("string"))).cast("boolean"))
+        out = out.where(F.coalesce(guard, F.lit(True)))
+    return out.drop("_hit")
+
+
+def shifted_features(df: DataFrame, by: int, prefix: str = "feature_") -> DataFrame:
+    """df with its numbered features counted from `by` on, so that another table's can stand before them."""
+    new = {c: f"{prefix}{int(c[len(prefix):]) + by}" for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()}
+    return df.select(*(F.col(c).alias(new.get(c, c)) for c in df.columns))
+
+
 def complete(joined: DataFrame, what: str = "join") -> DataFrame:
     """joined, or an error if a full outer join left a null anywhere."""
     nulls = joined.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in joined.columns)).first().asDict()

@@ -34,11 +34,16 @@ def first_breach(ledger: DataFrame, run: list[str], order: list[str], tokens: st
 def resume_report(ledger: DataFrame, planned: DataFrame) -> DataFrame:
     """One row: whether the ledger is a verified prefix of the plan (number, key): numbers without gaps from 0, the planned keys, all complete."""
     both = ledger.select("number", F.col("key").alias("_k"), "state").join(planned.select("number", "key"), "number", "left")
+    return resume_counts(both, "number", "_k", "key", "state")
+
+
+def resume_counts(both: DataFrame, number: str, key: str, planned: str, state: str) -> DataFrame:
+    """resume_report() of entries that have their planned keys beside them."""
     return both.agg(
         F.count("*").alias("done"),
-        F.coalesce(F.count_if(F.col("state") != "complete"), F.lit(0)).alias("unfinished"),
-        F.coalesce(F.count_if(~F.col("key").eqNullSafe(F.col("_k"))), F.lit(0)).alias("misplaced"),
-        F.coalesce(F.max("number") + 1 - F.countDistinct("number"), F.lit(0)).cast("long").alias("gaps"),
+        F.coalesce(F.count_if(F.col(state) != "complete"), F.lit(0)).alias("unfinished"),
+        F.coalesce(F.count_if(~F.col(planned).eqNullSafe(F.col(key))), F.lit(0)).alias("misplaced"),
+        F.coalesce(F.max(number) + 1 - F.countDistinct(number), F.lit(0)).cast("long").alias("gaps"),
     ).withColumn("resumable", (F.col("unfinished") == 0) & (F.col("misplaced") == 0) & (F.col("gaps") == 0))
 
 

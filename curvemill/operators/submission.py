@@ -59,14 +59,22 @@ def in_order(df: DataFrame, order: DataFrame, keys: list[str], pos: str) -> Data
     return lookup(order.select(*keys, pos), df, keys).orderBy(pos)
 
 
-def rebuild_report(actual: DataFrame, saved: DataFrame, keys: list[str], values: list[str], tolerance: float = TOLERANCE) -> DataFrame:
-    """One row: whether actual gives saved again by keys (any number): rows, null and repeated keys of either side, keys of one side alone, the greatest difference, and same."""
-    side = lambda df, s: df.select(*keys, *(F.col(c).cast("double").alias(f"{c}{s}") for c in values), F.lit(1).alias(f"n{s}"))
-    both = side(actual, "_a").join(side(saved, "_b"), keys, "full_outer")
-    gap = F.greatest(*(F.coalesce(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")), F.lit(float("inf"))) for c in values), F.lit(0.0))
-    met = both.agg(F.count_if(F.col("n_b").isNull()).alias("only_actual"), F.count_if(F.col("n_a").isNull()).alias("only_saved"), F.coalesce(F.max(F.when(F.col("n_a").isNotNull() & F.col("n_b").isNotNull(), gap)), F.lit(0.0)).alias("difference"))
-    name = lambda df, s: keys_report(df, keys).select(F.col("null_keys").alias(f"null_{s}"), F.col("duplicate_keys").alias(f"repeated_{s}"))
-    out = met.crossJoin(F.broadcast(name(actual, "actual"))).crossJoin(F.broadcast(name(saved, "saved")))  # one row each
+def rebuild_report(actual: DataFrame, saved: DataFrame, keys: list[str], values: list[str], tolerance: float = TOLERANCE, by: list[str] | None = None) -> DataFrame:
+    """Whether actual gives saved again by keys (any number), in one row, or one for each value of the keys `by`: null and repeated keys of either side, keys of one side alone, the greatest difference, and same.
+
+    Both sides are put on top of each other and grouped by key once: a key's rows of either side are counted, and its values compared where both have them."""
+    by = by or []
+    side = lambda df, i: df.select(*keys, *(F.when(F.lit(i == s), F.col(c).cast("double")).alias(f"{c}{s}") for c in values for s in (0, 1)), F.lit(1 - i).alias("n0"), F.lit(i).alias("n1"))
+    rows = side(actual, 0).unionByName(side(saved, 1))
+    met = rows.groupBy(*keys).agg(*(F.max(f"{c}{s}").alias(f"{c}{s}") for c in values for s in (0, 1)), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    gap = F.greatest(*(F.coalesce(F.abs(F.col(f"{c}0") - F.col(f"{c}1")), F.lit(float("inf"))) for c in values), F.lit(0.0))
+    null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    count = lambda test: F.coalesce(F.count_if(test), F.lit(0))
+    a, b = F.col("n0"), F.col("n1")
+    out = met.groupBy(*by).agg(
+        count(~null & (b == 0)).alias("only_actual"), count(~null & (a == 0)).alias("only_saved"), F.coalesce(F.max(F.when(~null & (a > 0) & (b > 0), gap)), F.lit(0.0)).alias("difference"),
+        F.coalesce(F.sum(F.when(null, a)), F.lit(0)).alias("null_actual"), count(~null & (a > 1)).alias("repeated_actual"), F.coalesce(F.sum(F.when(null, b)), F.lit(0)).alias("null_saved"), count(~null & (b > 1)).alias("repeated_saved"),
+    )
     faults = reduce(lambda a, b: a + b, (F.col(c) for c in ("only_actual", "only_saved", "null_actual", "repeated_actual", "null_saved", "repeated_saved")))
     return out.withColumn("same", (faults == 0) & (F.col("difference") <= tolerance))
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .leases import Lease
+
 IMAGE_SUFFIXES = ("bmp", "heic", "jpeg", "jpg", "png", "tif", "tiff", "webp")
 
 
@@ -176,30 +178,35 @@ def replace(spark: SparkSession, path: str, data: bytes) -> None:
 class Run:
     """A run's folder: held by one process at a time, with a receipt before and a record after each request, each written once, and a stop mark.
 
-    The file system's create-if-absent decides who holds it; the driver writes these few small files."""
+    It is held by a lease (see leases.py): a holder that dies is followed by another one after `seconds`, and what it writes later is refused. Long runs renew() in time."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 600.0) -> None:
+        self.spark, self.path, self.seconds = spark, path, seconds
 
     def __enter__(self) -> Run:
-        _write(self.spark, f"{self.path}/.lock", b"held")  # raises where another run holds it
+        self.lease = Lease.take(f"{self.path}/lease", self.seconds)  # raises where another run holds it
         return self
 
     def __exit__(self, *_) -> None:
-        fs, p = _hadoop(self.spark, f"{self.path}/.lock")
-        fs.delete(p, False)
+        self.lease.release()
+
+    def renew(self) -> None:
+        self.lease.renew()
 
     def receipt(self, name: str, request: dict) -> bool:
         """Before a request is sent; False where the same one was noted already."""
+        self.lease.check()
         return save_once(self.spark, f"{self.path}/receipts/{name}.json", canonical_json(request))
 
     def record(self, name: str, outcome: dict) -> bool:
         """After it ended, complete or failed; a failure is recorded once and never overwritten. Without a receipt it raises."""
+        self.lease.check()
         if not exists(self.spark, f"{self.path}/receipts/{name}.json"):
             raise ValueError(f"no receipt of {name}")
         return save_once(self.spark, f"{self.path}/records/{name}.json", canonical_json(outcome))
 
     def stop(self) -> None:
+        self.lease.check()
         save_once(self.spark, f"{self.path}/stop", b"stop")
 
     @property

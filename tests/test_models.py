@@ -212,3 +212,33 @@ def test_ridge_on_observations(spark, monkeypatch):
         assert np.allclose(cdf, photo_ridge(x[rest], own[rest] - (own[rest] > k), np.delete(curves, k, 0), mine)[0], atol=1e-7)
     with pytest.raises(ValueError):
         G.loo_entity_ridge(seen.where("k = 'e1'"), known, "k", columns)
+
+
+@pytest.mark.parametrize("name", ["ridge", "pca", "pls", "quantiles", "roots", "weibull", "groups"])
+def test_leave_one_out_from_sums(spark, name):
+    """Predictors from sums of products against the same ones fitted on each fold's rows."""
+    from curvemill.operators import linear as L
+
+    r = np.random.default_rng(12)
+    n, p = 9, 4
+    owners = np.concatenate([np.repeat(np.arange(n), 3), [2] * 20])
+    x = r.normal(size=(len(owners), p)) * [1, 50, 0.01, 1] + owners[:, None] * [0.3, 4, 0.001, -0.2] + [0, 1000, 0, 5]
+    x[:, 3] = np.where(owners == 4, 1.0, 2.0)  # constant without one entity
+    curves = np.column_stack([np.sort(r.random((n, 10)) * 100, 1), np.full(n, 100.0)])
+    flags = np.where(np.arange(len(owners)) % 2 == 0, "a", "b")
+    seen = spark.createDataFrame([(f"e{k}", f, *map(float, v)) for k, f, v in zip(owners, flags, x)], "k string, view string, " + ", ".join(f"feature_{i} double" for i in range(p))).repartition(4)
+    known = spark.createDataFrame([(f"e{k}", list(map(float, c))) for k, c in enumerate(curves)], "k string, cdf array<double>")
+    forms = {"ridge": (L.ridge(),), "pca": (L.ridge(3.0, 2),), "pls": (L.partial_least_squares(2),), "quantiles": (L.ridge(), L.QUANTILE_FORM), "roots": (L.ridge(), L.ROOT_FORM), "weibull": (L.ridge(), L.WEIBULL_FORM)}
+    out = L.two_groups(seen, known, "k", "view", 2) if name == "groups" else L.leave_one_out(seen, known, "k", "view", *forms[name])
+    plain = {"ridge": M.ridge, "pca": lambda x, y, q: M.ridge(x, y, q, 3.0, 2), "pls": lambda x, y, q: M.pls(x, y, q, 2), "quantiles": M.transport_ridge, "roots": M.sqrt_mass_ridge, "weibull": M.weibull_ridge, "groups": lambda x, y, q: M.two_group_ridge(x, y, q, 2)}[name]
+    means = np.stack([x[owners == k].mean(0) for k in range(n)])
+    got = {(row["k"], row["view"]): (row["cdf"], row["emd"]) for row in out.collect()}
+    assert len(got) == 3 * n
+    for (k, view), (cdf, emd) in got.items():
+        k, keep = int(k[1:]), np.arange(n) != int(k[1:])
+        query = x[(owners == k) & ((flags == view) if view else True)].mean(0, keepdims=True)
+        want = plain(means[keep], curves[keep], query)[0]
+        assert np.allclose(cdf, want, atol=1e-6) or name == "quantiles" and np.abs(np.array(cdf) - want).max() <= 0.1 + 1e-9
+        assert abs(emd - M.emd(curves[k], np.array(cdf))[0]) < 1e-9
+    with pytest.raises(ValueError):
+        L.leave_one_out(seen.where("k = 'e1'"), known.where("k = 'e1'"), "k", "view", L.ridge())
