@@ -135,6 +135,36 @@ z AS (SELECT doc_id, rid, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS w
 r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (rid)"""
 
+def _then(state: str, cost: str | int, edit: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 's': {state}.s || '{edit}'}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+# edits as a walk over the rows: the best (cost, audit) of each state (0 nothing yet, 1 after the system row, 2 after a user's, 3 after an assistant's), with two inserted rows at most before each row
+_INSERTED = lambda x: f"{x}0 AS i0, {x}1 AS i1, {_least(x + '2', _then(x + '0', 5, 'I'), _then(x + '1', 5, 'I'), _then(x + '3', 5, 'I'))} AS i2, {_least(x + '3', _then(x + '2', 5, 'I'))} AS i3"
+_FAR = "{'c': 1000000000, 's': ''}"
+_KEEP = lambda state, initial: f"CASE WHEN lower(code) = '{initial}' THEN {_then(state, 'pen', 'K')} ELSE {_FAR} END"
+_ROLE = lambda state: f"CASE WHEN code <> 'x' THEN {_then(state, '1 + pen', 'R')} ELSE {_FAR} END"
+_STEP = f"""{_then('j0', 2, 'D')} AS e0, {_least(_then('j1', 2, 'D'), _KEEP('j0', 's'))} AS e1,
+{_least(_then('j2', 2, 'D'), *(f(x) for x in ('j0', 'j1', 'j3') for f in (_ROLE, lambda x: _KEEP(x, 'u'))))} AS e2, {_least(_then('j3', 2, 'D'), _ROLE('j2'), _KEEP('j2', 'a'))} AS e3"""
+_OP12 = f"""WITH RECURSIVE {_CRC}, r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, again FROM r, range(2) g(again) WHERE k <> 0 AND (again = 0 OR k = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS seen, coalesce(regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1), '') AS last FROM d),
+f AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
+g AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS code, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS pen FROM f),
+steps(conv_id, i, e0, e1, e2, e3) AS (SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 's': ''}}, {_FAR}, {_FAR}, {_FAR} FROM conversations
+UNION ALL SELECT conv_id, i, {_STEP} FROM (SELECT conv_id, i, code, pen, {_INSERTED('i').replace(' AS i', ' AS j')} FROM (SELECT g.conv_id, g.i, g.code, g.pen, {_INSERTED('e')} FROM steps s JOIN g ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.i + 1))),
+best AS (SELECT conv_id, {_least('e0', 'e3', _then('e2', 5, 'I'), _then('e1', 10, 'II'))} AS b FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+chars AS (SELECT conv_id, j, b.s[j] AS e, count(CASE WHEN b.s[j] <> 'I' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS i FROM (SELECT conv_id, b, unnest(range(1, length(b.s) + 1)) AS j FROM best)),
+outs AS (SELECT c.conv_id, c.j, c.e, g.role, g.text, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.j) - 1 AS m, first_value(c.e = 'K' AND g.role[1] = 's') OVER (PARTITION BY c.conv_id ORDER BY c.j) AS s FROM chars c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id AND g.i = c.i WHERE c.e <> 'D'),
+said AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - s::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY m) AS said FROM outs GROUP BY 1),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.b.c::BIGINT AS cost, b.b.s AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM best b LEFT JOIN stats t ON t.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
 # the level is that of the first source, by the size it is clamped at for each unit of weight, that stays below its clamp; the walk goes row by row
 _OP13 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
 ('0x' || substr(md5('2024:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS place FROM documents),
@@ -152,4 +182,4 @@ SELECT doc_id, size, n AS source_size, target, size * (whole + more::INT) AS tak
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": _OP6, "op9_ngram_join": _OP9, "op10_quality_rules": _OP10, "op11_importance": _OP11, "op13_mixture": _OP13}
+    return {"op6_line_dedup": _OP6, "op9_ngram_join": _OP9, "op10_quality_rules": _OP10, "op11_importance": _OP11, "op12_repair": _OP12, "op13_mixture": _OP13}
