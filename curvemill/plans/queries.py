@@ -545,18 +545,35 @@ e AS (SELECT sample_id, round(sum(abs(value - p) * width), 6) AS emd FROM p JOIN
 _sql |= {"folds_mean": _fold_center("avg"), "folds_median": _fold_center("median"), "folds_knn": _fold_knn((0, 1, 2, 3)), "folds_crop_ensemble": _fold_knn((0, 1), (2, 3))}
 
 
-def _loo_weights(name: str, source: str, of: tuple[int, ...]) -> str:
-    """SQL of the leave-one-out ridges of features `of` in a table (sample_id, pos, y, x0 ...): the weights b of each fold, with its means and deviations, after centring by all rows (c, h)."""
+def _centred(name: str, source: str, of: tuple[int, ...]) -> str:
     over = "OVER (PARTITION BY pos)"
+    return f"{name}c AS (SELECT sample_id, pos, y - avg(y) {over} AS y, avg(y) {over} AS h, {', '.join(f'x{i} - avg(x{i}) {over} AS x{i}, avg(x{i}) {over} AS h{i}' for i in of)} FROM {source})"
+
+
+def _layers(name: str, source: str, of: tuple[int, ...], alpha: str = "10") -> str:
+    """SQL of ridges of features `of` from sums (n, ty, t, u, q): means m, deviations s and weights b of each row's fold."""
     pairs = [(i, j) for i in of for j in of if i <= j]
     at = {k: i for i, k in enumerate(of)}
     matrix = [[f"a{min(i, j)}{max(i, j)}" for j in of] for i in of]
     weights = ", ".join(f"{_determinant([[f'c{i}' if k == at[j] else v for k, v in enumerate(row)] for i, row in zip(of, matrix)])} / {_determinant(matrix)} AS b{j}" for j in of)
-    return f"""{name}c AS (SELECT sample_id, pos, y - avg(y) {over} AS y, avg(y) {over} AS h, {', '.join(f'x{i} - avg(x{i}) {over} AS x{i}, avg(x{i}) {over} AS h{i}' for i in of)} FROM {source}),
-{name}t AS (SELECT *, count(*) {over} - 1 AS n, sum(y) {over} - y AS ty, {', '.join(f'sum(x{i}) {over} - x{i} AS t{i}, sum(x{i} * y) {over} - x{i} * y AS u{i}' for i in of)}, {', '.join(f'sum(x{i} * x{j}) {over} - x{i} * x{j} AS q{i}{j}' for i, j in pairs)} FROM {name}c),
-{name}m AS (SELECT *, ty / n AS my, {', '.join(f't{i} / n AS m{i}, sqrt(q{i}{i} / n - power(t{i} / n, 2)) AS s{i}, u{i} / n - t{i} * ty / n / n AS w{i}' for i in of)}, {', '.join(f'q{i}{j} / n - t{i} * t{j} / n / n AS v{i}{j}' for i, j in pairs)} FROM {name}t),
-{name}a AS (SELECT *, {', '.join(f'n * v{i}{j} / (s{i} * s{j}) + {10 if i == j else 0} AS a{i}{j}' for i, j in pairs)}, {', '.join(f'n * w{i} / s{i} AS c{i}' for i in of)} FROM {name}m),
-{name}b AS (SELECT *, {weights} FROM {name}a), {name}g AS (SELECT sample_id, view, pos, my + h + {' + '.join(f'(z{i} - h{i} - m{i}) / s{i} * b{i}' for i in of)} AS v FROM {name}b JOIN asked USING (sample_id))"""
+    return f"""{name}m AS (SELECT *, ty / n AS my, {', '.join(f't{i} / n AS m{i}, sqrt(q{i}{i} / n - power(t{i} / n, 2)) AS s{i}, u{i} / n - t{i} * ty / n / n AS w{i}' for i in of)}, {', '.join(f'q{i}{j} / n - t{i} * t{j} / n / n AS v{i}{j}' for i, j in pairs)} FROM {source}),
+{name}a AS (SELECT *, {', '.join(f'n * v{i}{j} / (s{i} * s{j}) + {alpha if i == j else 0} AS a{i}{j}' for i, j in pairs)}, {', '.join(f'n * w{i} / s{i} AS c{i}' for i in of)} FROM {name}m),
+{name}b AS (SELECT *, {weights} FROM {name}a)"""
+
+
+def _loo_sums(name: str, of: tuple[int, ...]) -> str:
+    over = "OVER (PARTITION BY pos)"
+    pairs = [(i, j) for i in of for j in of if i <= j]
+    return f"{name}t AS (SELECT *, count(*) {over} - 1 AS n, sum(y) {over} - y AS ty, {', '.join(f'sum(x{i}) {over} - x{i} AS t{i}, sum(x{i} * y) {over} - x{i} * y AS u{i}' for i in of)}, {', '.join(f'sum(x{i} * x{j}) {over} - x{i} * x{j} AS q{i}{j}' for i, j in pairs)} FROM {name}c)"
+
+
+def _asked_guess(of: tuple[int, ...]) -> str:
+    return "my + h + " + " + ".join(f"(z{i} - h{i} - m{i}) / s{i} * b{i}" for i in of)
+
+
+def _loo_weights(name: str, source: str, of: tuple[int, ...]) -> str:
+    """SQL of the leave-one-out ridges of features `of` in a table (sample_id, pos, y, x0 ...), and of what they say to `asked`."""
+    return f"{_centred(name, source, of)}, {_loo_sums(name, of)}, {_layers(name, f'{name}t', of)}, {name}g AS (SELECT sample_id, view, pos, {_asked_guess(of)} AS v FROM {name}b JOIN asked USING (sample_id))"
 
 
 _ASKED = f"""f AS (SELECT sample_id, {_MEANS} FROM lines GROUP BY 1), asked AS (SELECT sample_id, '' AS view, x0 AS z0, x1 AS z1, x2 AS z2, x3 AS z3 FROM f UNION ALL SELECT sample_id, l_returnflag, {', '.join(f'avg({c})' for c in FEATURES)} FROM lines GROUP BY 1, 2),
@@ -572,10 +589,23 @@ _sql |= {
 }
 
 
+_ALL = (0, 1, 2, 3)
+_BOTH = [(i, j) for i in _ALL for j in _ALL if i <= j]
+_sql["nested_ridge"] = f"""WITH {CURVES}, {_TARGETS}, {_ASKED}, alphas(alpha) AS (VALUES (10.0::DOUBLE), (100.0), (1000.0)), {_centred('k', 'j', _ALL)}, {_loo_sums('k', _ALL)},
+total AS (SELECT pos, count(*) AS n, sum(y) AS ty, {', '.join(f'sum(x{i}) AS t{i}, sum(x{i} * y) AS u{i}' for i in _ALL)}, {', '.join(f'sum(x{i} * x{j}) AS q{i}{j}' for i, j in _BOTH)} FROM kc GROUP BY 1),
+two AS (SELECT a.sample_id AS outer_id, b.sample_id, a.pos, alpha, b.y AS truth, b.h, {', '.join(f'b.x{i} AS x{i}' for i in _ALL)}, n - 2 AS n, ty - a.y - b.y AS ty, {', '.join(f't{i} - a.x{i} - b.x{i} AS t{i}, u{i} - a.x{i} * a.y - b.x{i} * b.y AS u{i}' for i in _ALL)}, {', '.join(f'q{i}{j} - a.x{i} * a.x{j} - b.x{i} * b.x{j} AS q{i}{j}' for i, j in _BOTH)}
+FROM kc a JOIN kc b ON a.pos = b.pos AND a.sample_id <> b.sample_id JOIN total ON total.pos = a.pos, alphas), {_layers('p', 'two', _ALL, 'alpha')},
+inner_v AS (SELECT outer_id, sample_id, alpha, pos, truth + h AS truth, max(greatest(0, least(100, my + h + {' + '.join(f'(x{i} - m{i}) / s{i} * b{i}' for i in _ALL)}))) OVER (PARTITION BY outer_id, sample_id, alpha ORDER BY pos) AS v FROM pb),
+inner_e AS (SELECT outer_id, sample_id, alpha, sum(abs(truth - v) * width) AS e FROM inner_v JOIN {_W} USING (pos) GROUP BY 1, 2, 3), chosen AS (SELECT outer_id AS sample_id, arg_min(alpha, (e, -alpha)) AS alpha FROM (SELECT outer_id, alpha, avg(e) AS e FROM inner_e GROUP BY 1, 2) GROUP BY 1),
+o AS (SELECT kt.*, alpha FROM kt JOIN chosen USING (sample_id)), {_layers('o', 'o', _ALL, 'alpha')}, g AS (SELECT sample_id, alpha, view, pos, {_asked_guess(_ALL)} AS v FROM ob JOIN asked USING (sample_id)), r AS (SELECT sample_id, alpha, view, pos, {_CLOSED} AS v FROM g)
+SELECT sample_id, view, alpha::VARCHAR AS setting, round(sum(abs(value - v) * width), 6) AS emd FROM r JOIN t USING (sample_id, pos) WHERE pos < 10 GROUP BY 1, 2, 3"""
+
+
 def _linear_query(name: str, predict) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = predict(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view")
-        return out.select("sample_id", F.coalesce("view", F.lit("")).alias("view"), F.lit("null").alias("setting"), r6("emd").alias("emd"))
+        setting = F.col("setting") if "setting" in out.columns else F.lit("null")
+        return out.select("sample_id", F.coalesce("view", F.lit("")).alias("view"), setting.alias("setting"), r6("emd").alias("emd"))
 
     run.__name__ = name
     _queries[name] = run
@@ -586,6 +616,8 @@ for _name, _args in {
     "folds_sqrt_mass_ridge": (linear.ridge(), linear.ROOT_FORM), "folds_weibull_ridge": (linear.ridge(), linear.WEIBULL_FORM),
 }.items():
     _linear_query(_name, lambda o, c, k, v, args=_args: linear.leave_one_out(o, c, k, v, *args))
+_linear_query("nested_ridge", lambda o, c, k, v: linear.nested(o, c, k, v, [(repr(a), linear.ridge(a)) for a in sorted(models.RIDGE_ALPHAS, reverse=True)]))
+_linear_query("nested_pls", lambda o, c, k, v: linear.nested(o, c, k, v, [(str(n), linear.partial_least_squares(n)) for n in sorted(models.PLS_PARTS)], least=6))
 _linear_query("folds_two_group", lambda o, c, k, v: linear.two_groups(o, c, k, v, 2))
 
 
@@ -603,10 +635,25 @@ for _name, _p in {
     "folds_kernel_ridge": models.kernel_ridge, "folds_svr": models.svr, "folds_median_regression": models.median_regression, "folds_crop_ensemble": models.ensemble_knn(3, (2, 2)),
 }.items():
     _fold_query(_name, _p)
-for _name in ("ridge", "neighbors", "pls", "kernel", "svr"):
+for _name in ("neighbors", "kernel", "svr"):
     _fold_query(f"nested_{_name}", selector=_name)
 
 
+_SIDES = ", ".join(f"f{v} AS (SELECT sample_id, {_MEANS} FROM lines JOIN paired USING (sample_id) WHERE l_returnflag = '{v}' GROUP BY 1), j{v} AS (SELECT sample_id, pos, value AS y, x0, x1, x2, x3 FROM curves JOIN f{v} USING (sample_id) WHERE pos < 10)" for v in "AR")
+
+
+@query(f"""WITH {CURVES}, {_TARGETS}, paired AS (SELECT sample_id FROM lines WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2), {_SIDES},
+asked AS (SELECT sample_id, 'A' AS view, x0 AS z0, x1 AS z1, x2 AS z2, x3 AS z3 FROM fA UNION ALL SELECT sample_id, 'R', x0, x1, x2, x3 FROM fR), {_loo_weights('ka', 'jA', (0, 1, 2, 3))}, {_loo_weights('kr', 'jR', (0, 1, 2, 3))},
+p AS (SELECT 'A' AS train_view, sample_id, view, pos, {_CLOSED} AS v FROM kag UNION ALL SELECT 'R', sample_id, view, pos, {_CLOSED} FROM krg),
+e AS (SELECT train_view, view AS query_view, sample_id, sum(abs(value - v) * width) AS emd, sum(abs(value - v) * width) FILTER (pos < 4) AS fine FROM p JOIN t USING (sample_id, pos) GROUP BY 1, 2, 3)
+SELECT a.sample_id, a.train_view || ' -> ' || a.query_view AS direction, round(a.emd, 6) AS transfer_emd, round(b.emd, 6) AS control_emd, round(a.emd - b.emd, 6) AS transfer_minus_control_emd, round(a.fine - b.fine, 6) AS transfer_minus_control_fine_emd
+FROM e a JOIN e b ON a.sample_id = b.sample_id AND a.train_view = b.train_view WHERE a.query_view <> a.train_view AND b.query_view = b.train_view""")
+def camera_transfer_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge trained on one view of the other samples, asked for both views of the one held out."""
+    out = linear.view_transfer(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view", ("A", "R"), linear.ridge())
+    return linear.transfer_pairs(out, "sample_id").select("sample_id", "direction", *(r6(c).alias(c) for c in ("transfer_emd", "control_emd", "transfer_minus_control_emd", "transfer_minus_control_fine_emd")))
+
+
 @query()
 def camera_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folds.view_transfer(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view", ("A", "R"), models.knn)

@@ -242,3 +242,46 @@ def test_leave_one_out_from_sums(spark, name):
         assert abs(emd - M.emd(curves[k], np.array(cdf))[0]) < 1e-9
     with pytest.raises(ValueError):
         L.leave_one_out(seen.where("k = 'e1'"), known.where("k = 'e1'"), "k", "view", L.ridge())
+
+
+def test_view_transfer_from_sums(spark):
+    """Against the transfer that fits each fold's rows."""
+    from curvemill.operators import folds, linear as L
+
+    r = np.random.default_rng(13)
+    rows = [(f"e{k}", v, *map(float, r.normal(size=3) + k / 2)) for k in range(7) for v in ("A", "B", "C") for _ in range(r.integers(1, 4)) if (k, v) != (6, "B")]
+    seen = spark.createDataFrame(rows, "k string, view string, feature_0 double, feature_1 double, feature_2 double")
+    known = spark.createDataFrame([(f"e{k}", sorted(map(float, r.random(10) * 100)) + [100.0]) for k in range(7)], "k string, cdf array<double>")
+    got = L.view_transfer(seen, known, "k", "view", ("A", "B"), L.ridge())
+    want = folds.view_transfer(seen, known, "k", "view", ("A", "B"), M.ridge)
+    show = lambda df: sorted((x["k"], x["direction"], x["query_rows"], round(x["emd"], 6), round(x["fine_emd"], 6)) for x in df.collect())
+    assert show(got) == show(want) and len(show(got)) == 6 * 4 and {x["training_entities"] for x in got.collect()} == {5}
+    pairs = lambda module, df: sorted((x["k"], x["direction"], round(x["transfer_minus_control_emd"], 6)) for x in module.transfer_pairs(df, "k").collect())
+    assert pairs(L, got) == pairs(folds, want)
+    with pytest.raises(ValueError):
+        L.view_transfer(seen.where("k < 'e2'"), known, "k", "view", ("A", "B"), L.ridge())
+
+
+@pytest.mark.parametrize("name", ["ridge", "pls"])
+def test_nested_selection_from_sums(spark, monkeypatch, name):
+    """The setting and prediction of each fold against a selection on the fold's own rows, in several blocks."""
+    from curvemill.operators import linear as L
+
+    monkeypatch.setattr(L, "BLOCK", 3)
+    r = np.random.default_rng(14)
+    n, p = 8, 4
+    x = r.normal(size=(n, p)) + np.arange(n)[:, None] / 4
+    curves = np.column_stack([np.sort(np.clip(30 + 9 * x[:, :1] + r.normal(0, 12, (n, 10)), 0, 100), 1), np.full(n, 100.0)])
+    seen = spark.createDataFrame([(f"e{k}", *map(float, v)) for k, v in enumerate(x)], "k string, " + ", ".join(f"feature_{i} double" for i in range(p)))
+    known = spark.createDataFrame([(f"e{k}", list(map(float, c))) for k, c in enumerate(curves)], "k string, cdf array<double>")
+    settings = [(repr(a), L.ridge(a)) for a in (1000.0, 100.0, 10.0)] if name == "ridge" else [(str(m), L.partial_least_squares(m)) for m in (1, 2, 4)]
+    out = L.nested(seen, known, "k", None, settings, 2 if name == "ridge" else 6).collect()
+    assert len(out) == n
+    for row in out:
+        k = int(row["k"][1:])
+        keep = np.arange(n) != k
+        best, scores = M.select(name, x[keep], curves[keep])
+        assert row["setting"] == (repr(best) if name == "ridge" else str(best)) and abs(row["inner_emd"] - scores[best]) < 1e-8
+        assert np.allclose(row["cdf"], M.SELECTORS[name][1](best)(x[keep], curves[keep], x[k : k + 1])[0], atol=1e-7)
+    with pytest.raises(ValueError):
+        L.nested(seen, known, "k", None, settings, 9)
