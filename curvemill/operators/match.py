@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalize_token
+from .working import written
 
 #: Tasks that the names holding one substring are dealt to.
 SALTS = 8
@@ -23,9 +24,10 @@ CHUNK = 512
 
 
 def _listed(values: DataFrame, value: str, pos: str | None) -> DataFrame:
-    """(value, pos) without empty values."""
+    """(value, pos, times): each value that is not empty once, with its first position and how often the list has it."""
     text = F.col(value).cast("string")
-    return values.select(text.alias("value"), (F.col(pos) if pos else text).alias("pos")).where("value <> ''")
+    rows = values.select(text.alias("value"), (F.col(pos) if pos else text).alias("pos")).where("value <> ''")
+    return written(rows.groupBy("value").agg(F.min("pos").alias("pos"), F.count("*").alias("times")))
 
 
 def _substrings(text: Column, lengths: list[int]) -> Column:
@@ -41,28 +43,28 @@ def _substrings(text: Column, lengths: list[int]) -> Column:
 
 
 def containing(names: DataFrame, name: str, key: str, values: DataFrame, value: str, forms: list, pos: str | None = None) -> DataFrame:
-    """(key, name, value, pos): a row for each value that a name contains in one of the forms (functions of a column), and one with nulls for each name."""
+    """(key, name, value, pos, times): a row for each value that a name contains in one of the forms (functions of a column), and one with nulls for each name."""
     listed = _listed(values, value, pos)
     named = names.select(F.col(key).alias("k"), F.col(name).alias("name")).withColumn("h", F.xxhash64("name"))
     met = []
     for form in forms:
-        v = listed.select("value", "pos", form(F.col("value")).alias("form"))
+        v = listed.select("value", "pos", "times", form(F.col("value")).alias("form"))
         lengths = sorted(r[0] for r in v.select(F.char_length("form")).distinct().where("`char_length(form)` > 0").collect())  # one number a length
         if lengths:
             parts = named.select("k", "h", F.explode(_substrings(form(F.col("name")), lengths)).alias("part"), F.pmod(F.col("h"), F.lit(SALTS)).cast("int").alias("salt"))
-            dealt = v.where("form <> ''").select("value", "pos", F.xxhash64("form").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            met.append(parts.join(dealt, ["part", "salt"]).select("k", "h", "value", "pos"))
+            dealt = v.where("form <> ''").select("value", "pos", "times", F.xxhash64("form").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            met.append(parts.join(dealt, ["part", "salt"]).select("k", "h", "value", "pos", "times"))
         # what is in every name: only as many as the list has such values
-        blank = v.where("form = ''").select("value", "pos")
+        blank = v.where("form = ''").select("value", "pos", "times")
         if not blank.isEmpty():
             met.append(named.where("name is not null").select("k", "h").crossJoin(blank))
     kinds = dict(named.dtypes) | dict(listed.dtypes)
-    none = names.sparkSession.createDataFrame([], f"k {kinds['k']}, h bigint, value string, pos {kinds['pos']}")
+    none = names.sparkSession.createDataFrame([], f"k {kinds['k']}, h bigint, value string, pos {kinds['pos']}, times bigint")
     found = reduce(DataFrame.unionByName, met, none).distinct()
     same = named["k"].eqNullSafe(found["k"]) & (named["h"] == found["h"])
     is_in = reduce(Column.__or__, (form(F.col("name")).contains(form(F.col("value"))) for form in forms))
-    out = named.join(found, same, "left").select(named["k"].alias(key), "name", named["h"].alias("h"), "value", "pos")
-    return out.withColumn("hit", F.coalesce(is_in, F.lit(False))).select(key, "name", "h", F.when(F.col("hit"), F.col("value")).alias("value"), F.when(F.col("hit"), F.col("pos")).alias("pos"))
+    out = named.join(found, same, "left").select(named["k"].alias(key), "name", named["h"].alias("h"), "value", "pos", "times")
+    return out.withColumn("hit", F.coalesce(is_in, F.lit(False))).select(key, "name", "h", *(F.when(F.col("hit"), F.col(c)).alias(c) for c in ("value", "pos", "times")))
 
 
 def match_longest(names: DataFrame, name: str, key: str, values: DataFrame, value: str, pos: str | None = None) -> DataFrame:
@@ -75,9 +77,9 @@ def match_longest(names: DataFrame, name: str, key: str, values: DataFrame, valu
 
 
 def match_all(names: DataFrame, name: str, key: str, values: DataFrame, value: str, pos: str | None = None) -> DataFrame:
-    """(key, name, match, n_matches): the only value whose normalized form name contains; empty if there is none or more than one. A value that the list has twice counts twice if positions tell the two apart."""
+    """(key, name, match, n_matches): the only value whose normalized form name contains; empty if there is none or more than one. A value that the list has twice counts twice."""
     found = containing(names, name, key, values, value, [normalize_token], pos)
-    out = found.groupBy(key, "h").agg(F.first("name").alias(name), F.count("value").alias("n_matches"), F.min("value").alias("match"))
+    out = found.groupBy(key, "h").agg(F.first("name").alias(name), F.coalesce(F.sum("times"), F.lit(0)).alias("n_matches"), F.min("value").alias("match"))
     return out.select(key, name, F.when(F.col("n_matches") == 1, F.col("match")).otherwise("").alias("match"), "n_matches")
 
 
