@@ -639,27 +639,47 @@ for _name in ("neighbors", "kernel", "svr"):
     _fold_query(f"nested_{_name}", selector=_name)
 
 
+def _scales(alias: str) -> str:
+    return ", ".join(f"CASE WHEN stddev_pop({alias}.x{i}) < 1e-12 THEN 1 ELSE stddev_pop({alias}.x{i}) END AS s{i}" for i in _ALL)
+
+
+_NEAR = " + ".join(f"power((q.x{i} - n.x{i}) / s{i}, 2)" for i in _ALL)
+_sql["nested_neighbors"] = f"""WITH {CURVES}, {_TARGETS}, f AS (SELECT sample_id, {_MEANS} FROM lines GROUP BY 1), asked AS (SELECT sample_id, '' AS view, x0, x1, x2, x3 FROM f UNION ALL SELECT sample_id, l_returnflag, {_MEANS} FROM lines GROUP BY 1, 2), counts(k) AS (VALUES (1), (3), (5), (7)),
+two AS (SELECT a.sample_id AS i, b.sample_id AS j, {_scales('n')} FROM f a JOIN f b ON a.sample_id <> b.sample_id JOIN f n ON n.sample_id <> a.sample_id AND n.sample_id <> b.sample_id GROUP BY 1, 2),
+met AS (SELECT i, j, n.sample_id AS near, row_number() OVER (PARTITION BY i, j ORDER BY {_NEAR}, n.sample_id) AS rank FROM two JOIN f q ON q.sample_id = j JOIN f n ON n.sample_id <> i AND n.sample_id <> j),
+inner_v AS (SELECT i, j, k, c.pos, avg(c.value) AS v FROM met JOIN counts ON rank <= k JOIN curves c ON c.sample_id = near GROUP BY 1, 2, 3, 4), inner_e AS (SELECT i, j, k, sum(abs(t.value - v) * width) AS e FROM inner_v JOIN t ON t.sample_id = j AND t.pos = inner_v.pos WHERE t.pos < 10 GROUP BY 1, 2, 3),
+chosen AS (SELECT i, arg_min(k, (e, -k)) AS k FROM (SELECT i, k, avg(e) AS e FROM inner_e GROUP BY 1, 2) GROUP BY 1), one AS (SELECT a.sample_id AS i, {_scales('n')} FROM f a JOIN f n ON n.sample_id <> a.sample_id GROUP BY 1),
+last AS (SELECT i, q.view, n.sample_id AS near, row_number() OVER (PARTITION BY i, q.view ORDER BY {_NEAR}, n.sample_id) AS rank FROM one JOIN asked q ON q.sample_id = i JOIN f n ON n.sample_id <> i),
+v AS (SELECT i AS sample_id, view, k, c.pos, avg(c.value) AS v FROM last JOIN chosen USING (i) JOIN curves c ON c.sample_id = near WHERE rank <= k GROUP BY 1, 2, 3, 4)
+SELECT sample_id, view, k::VARCHAR AS setting, round(sum(abs(value - v) * width), 6) AS emd FROM v JOIN t USING (sample_id, pos) WHERE pos < 10 GROUP BY 1, 2, 3"""
+_TRANSFER = """SELECT a.sample_id, a.train_view || ' -> ' || a.query_view AS direction, round(a.emd, 6) AS transfer_emd, round(b.emd, 6) AS control_emd, round(a.emd - b.emd, 6) AS transfer_minus_control_emd, round(a.fine - b.fine, 6) AS transfer_minus_control_fine_emd
+FROM e a JOIN e b ON a.sample_id = b.sample_id AND a.train_view = b.train_view WHERE a.query_view <> a.train_view AND b.query_view = b.train_view"""
+_sql["camera_transfer"] = f"""WITH {CURVES}, {_TARGETS}, paired AS (SELECT sample_id FROM lines WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2), f AS (SELECT sample_id, l_returnflag AS view, {_MEANS} FROM lines JOIN paired USING (sample_id) WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2),
+one AS (SELECT a.sample_id AS i, n.view AS train_view, {_scales('n')} FROM paired a JOIN f n ON n.sample_id <> a.sample_id GROUP BY 1, 2),
+met AS (SELECT i, train_view, q.view AS query_view, n.sample_id AS near, row_number() OVER (PARTITION BY i, train_view, q.view ORDER BY {_NEAR}, n.sample_id) AS rank FROM one JOIN f q ON q.sample_id = i JOIN f n ON n.view = train_view AND n.sample_id <> i),
+v AS (SELECT i AS sample_id, train_view, query_view, c.pos, avg(c.value) AS v FROM met JOIN curves c ON c.sample_id = near WHERE rank <= 3 GROUP BY 1, 2, 3, 4),
+e AS (SELECT train_view, query_view, sample_id, sum(abs(value - v) * width) AS emd, sum(abs(value - v) * width) FILTER (pos < 4) AS fine FROM v JOIN t USING (sample_id, pos) WHERE pos < 10 GROUP BY 1, 2, 3) {_TRANSFER}"""
 _SIDES = ", ".join(f"f{v} AS (SELECT sample_id, {_MEANS} FROM lines JOIN paired USING (sample_id) WHERE l_returnflag = '{v}' GROUP BY 1), j{v} AS (SELECT sample_id, pos, value AS y, x0, x1, x2, x3 FROM curves JOIN f{v} USING (sample_id) WHERE pos < 10)" for v in "AR")
 
 
 @query(f"""WITH {CURVES}, {_TARGETS}, paired AS (SELECT sample_id FROM lines WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2), {_SIDES},
 asked AS (SELECT sample_id, 'A' AS view, x0 AS z0, x1 AS z1, x2 AS z2, x3 AS z3 FROM fA UNION ALL SELECT sample_id, 'R', x0, x1, x2, x3 FROM fR), {_loo_weights('ka', 'jA', (0, 1, 2, 3))}, {_loo_weights('kr', 'jR', (0, 1, 2, 3))},
 p AS (SELECT 'A' AS train_view, sample_id, view, pos, {_CLOSED} AS v FROM kag UNION ALL SELECT 'R', sample_id, view, pos, {_CLOSED} FROM krg),
-e AS (SELECT train_view, view AS query_view, sample_id, sum(abs(value - v) * width) AS emd, sum(abs(value - v) * width) FILTER (pos < 4) AS fine FROM p JOIN t USING (sample_id, pos) GROUP BY 1, 2, 3)
-SELECT a.sample_id, a.train_view || ' -> ' || a.query_view AS direction, round(a.emd, 6) AS transfer_emd, round(b.emd, 6) AS control_emd, round(a.emd - b.emd, 6) AS transfer_minus_control_emd, round(a.fine - b.fine, 6) AS transfer_minus_control_fine_emd
-FROM e a JOIN e b ON a.sample_id = b.sample_id AND a.train_view = b.train_view WHERE a.query_view <> a.train_view AND b.query_view = b.train_view""")
+e AS (SELECT train_view, view AS query_view, sample_id, sum(abs(value - v) * width) AS emd, sum(abs(value - v) * width) FILTER (pos < 4) AS fine FROM p JOIN t USING (sample_id, pos) GROUP BY 1, 2, 3) {_TRANSFER}""")
 def camera_transfer_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ridge trained on one view of the other samples, asked for both views of the one held out."""
     out = linear.view_transfer(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view", ("A", "R"), linear.ridge())
     return linear.transfer_pairs(out, "sample_id").select("sample_id", "direction", *(r6(c).alias(c) for c in ("transfer_emd", "control_emd", "transfer_minus_control_emd", "transfer_minus_control_fine_emd")))
 
 
-@query()
 def camera_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folds.view_transfer(observations(spark, sf_dir), nation_curves(spark, sf_dir), "sample_id", "view", ("A", "R"), models.knn)
     return folds.transfer_pairs(out, "sample_id").select("sample_id", "direction", *(r6(c).alias(c) for c in ("transfer_emd", "control_emd", "transfer_minus_control_emd", "transfer_minus_control_fine_emd")))
 
 
+_queries["camera_transfer"] = camera_transfer
+
+
 @query(f"""WITH {LINES}, c AS (SELECT sample_id, l_returnflag, count(*) AS n FROM lines WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2), p AS (SELECT sample_id FROM c GROUP BY 1 HAVING count(*) = 2)
 SELECT a.sample_id, a.l_returnflag AS train_view, b.l_returnflag AS query_view, b.n AS query_rows FROM c a JOIN c b USING (sample_id) WHERE sample_id IN (SELECT sample_id FROM p)""")
 def camera_transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
