@@ -8,7 +8,8 @@ left once at most. Decoding reads a table of offsets into the joined token strin
 
 Texts are cut into chunks at spaces and line feeds (no token spans them), and a bounded table of frequent chunks is kept
 in each worker. Null and empty texts have no ids; the file's special tokens are recognised inside texts as the
-tokenizers library does; lone surrogates cannot occur in UTF-8 columns.
+tokenizers library does; lone surrogates cannot occur in UTF-8 columns. Texts of any length are encoded whole; repeated rows are encoded each; an empty table gives no rows; other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

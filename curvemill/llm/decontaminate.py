@@ -12,7 +12,7 @@ The question of an item ends at its last question mark or line feed, else after
 Spark; the index is made in tasks, in files of at most ITEMS items of one stride in the shared folder. Documents are read once,
 whatever the number of files: tasks hold up to HELD files and take more one after the other. How items are dealt to files changes no result.
 Null, empty and wordless documents or items match nothing; equal items are all reported; rows of equal doc_id are reported each; texts of any length
-are searched whole; of the passages that hold an item the highest score is given. Other columns are not looked at.
+are searched whole; of the passages that hold an item the highest score is given. An empty table of documents or of items gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ in the executors; the driver sees the frequent tokens alone, at most CLASS_ROWS
 
 Null, empty and blank texts have an empty set and link with nothing; equal texts link; texts of any length are taken whole. A null doc_id
 links like any other but never names a component with a numbered document in it; rows of one doc_id with different texts are different
-documents that share a name; repeated rows are returned as often as they come. Other columns, whatever their names, are not looked at.
+documents that share a name; repeated rows are returned as often as they come; an empty table gives no rows. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

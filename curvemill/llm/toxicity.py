@@ -14,7 +14,7 @@ their words are made in Spark and every word that bears evidence enters the lexi
 
 Null, empty and wordless texts have no match and score the base rate's floor (0.0 to 4 digits); repeated rows score alike; labels of null
 count as absent; a doc_id labelled both ways counts as toxic; of a labelled doc_id's different texts the least is learned from. Without
-toxic labels only the threat grammar is left. Other columns are not looked at.
+toxic labels only the threat grammar is left. Texts of any length are scored whole; an empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ its Content-Length, and checks block and payload digests; a record that is cut o
 
 Records with equal payloads of at least `least` bytes are revisits of that with the smallest page_id. Null html is an
 empty payload, a null url leaves the target out, a null page_id is never referred to while others exist; repeated rows of
-the smallest page_id are all responses.
+the smallest page_id are all responses. A page of any length is one record, held whole by one task while it is written and inflated in steps while it is read; an empty table gives no
+archives and no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
