@@ -3,7 +3,8 @@
 View one is the text's content (shares of symbols, digits, capitals, repeated words and lines, word lengths and the like, all free of the text's
 size), view two its metadata (language, host, declared size, and the layout that it gives with the number and length of lines), which reads no word. Each view has a logistic regression of its own. Both
 start from the labelled rows; in each of ROUNDS rounds each view labels the unlabelled documents that it is surest
-of, by log-odds calibrated on held-back labelled rows, so that a view that knows little hands over little, and gives them to the other, which is fitted again. Last, each view is calibrated on held-back labelled rows, and the
+of, by log-odds calibrated on held-back labelled rows, so that a view that knows little hands over little, and gives them to the other, which is fitted again. A round is taken only if both views' log loss on
+the held-back rows falls; the first one that doesn't help ends the exchange. Last, each view is calibrated on held-back labelled rows, and the
 score of every document is the logistic of the sum of both views' calibrated log-odds less the prior's, as evidence adds up, with factors
 fitted on the held-back rows and shrunk to one: a weak view moves the score by the little that it knows, a strong one by more.
 
@@ -89,13 +90,14 @@ class View:
 
 @dataclass(frozen=True)
 class Classifier:
-    """The calibrated views, the joint score's offset and factors, and what co-training saw: log losses of the prior, the views and both on the held-back rows, and rows that each view handed over."""
+    """The calibrated views, the joint score's offset and factors, and what co-training saw: log losses of the prior, the views and both on the held-back rows, rows that each view handed over in the rounds that were taken, and their number."""
 
     text: View
     page: View
     joint: tuple[float, float, float]
     losses: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
     handed: tuple[int, int] = (0, 0)
+    taken: int = 0
 
     def margin(self, t, p):
         """Joint log-odds of the views' margins (arrays or columns)."""
@@ -271,21 +273,29 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     def both(ws: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(g + h, m + n) for (g, m), (h, n) in zip(own(ws), pool.sums(ws), strict=True)]
 
+    mixed = back.any() and 0 < y[back].sum() < back.sum()
+
+    def missed(ws: list[np.ndarray]) -> float:
+        """Log loss of both views on the rows kept back."""
+        return sum(_loss(views[v][back] @ (w := _calibrated(views[v][back], y[back], ws[v]))[:-1] + w[-1], y[back]) for v in (0, 1)) if mixed else np.inf
+
     weights = _newton([np.zeros(x.shape[1] + 1) for x in views], own)
     history: list[Round] = []
-    handed = [0, 0]
+    handed, taken, least = [0, 0], 0, missed(weights)
     wanted = int(HANDED * pool.n * (1 - good)), int(HANDED * pool.n * good)
     for _ in range(rounds if pool.n else 0):
         sure = [_calibrated(views[v][back], y[back], weights[v]) for v in (0, 1)]
         counts = pool.counted(history, sure)
         side = lambda v, sign: {k: n for (w, k), n in counts.items() if w == v and (k < 0) == (sign > 0)}
         history.append(Round((sure[0], sure[1]), tuple(_cut(side(v, 1), wanted[0], 1) for v in (0, 1)), tuple(_cut(side(v, -1), wanted[1], -1) for v in (0, 1))))
-        for v in (0, 1):
-            handed[v] += sum(min(most, sum(side(v, sign).values())) for most, sign in zip(wanted, (1, -1), strict=True))
+        offered = [sum(min(most, sum(side(v, sign).values())) for most, sign in zip(wanted, (1, -1), strict=True)) for v in (0, 1)]
         pool.mark(history)
-        weights = _newton(weights, both)
+        tried = _newton(weights, both)
+        if mixed and (loss := missed(tried)) >= least:
+            break
+        weights, taken, least = tried, taken + 1, loss if mixed else least
+        handed = [a + b for a, b in zip(handed, offered, strict=True)]
     made, margins = [], []
-    mixed = back.any() and 0 < y[back].sum() < back.sum()
     for v in (0, 1):
         w = _calibrated(views[v][back], y[back], weights[v])
         made.append(View(names[v], tuple(w[:-1].tolist()), float(w[-1])))
@@ -295,7 +305,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     joint = _joint(np.stack(margins, 1), y[back], prior) if mixed else (-prior, 1.0, 1.0)
     model = Classifier(made[0], made[1], joint)
     losses = [_loss(m, y[back]) for m in (np.full(back.sum(), prior), *margins, model.margin(*margins))] if back.any() else [0.0] * 4
-    return replace(model, losses=tuple(losses), handed=tuple(handed))
+    return replace(model, losses=tuple(losses), handed=tuple(handed), taken=taken)
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
