@@ -85,7 +85,7 @@ def predict(observations: DataFrame, curves: DataFrame, queries: DataFrame, key:
 def view_transfer(observations: DataFrame, curves: DataFrame, key: str, view: str, views: tuple[str, str], predictor: M.Predictor) -> DataFrame:
     """Train on one view of all other paired entities, query both views of the one held out.
 
-    (key, train_view, query_view, direction, training_keys, query_rows, cdf, emd, fine_emd, contributions). Entities without both views are left out; three paired ones are needed."""
+    (key, train_view, query_view, direction, training_entities, query_rows, cdf, emd, fine_emd, contributions). Entities without both views are left out; three paired ones are needed."""
     columns = feature_columns(observations)
     both = observations.where(F.col(view).isin(*views))
     means = both.groupBy(key, view).agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("n"))
@@ -109,21 +109,13 @@ def view_transfer(observations: DataFrame, curves: DataFrame, key: str, view: st
             for a in (0, 1):
                 for b, got in enumerate(predictor(x[a][keep], y[keep], query)):
                     parts = np.abs(y[i, :-1] - got[:-1]) * np.array(WIDTHS)
-                    out.append((k, views[a], views[b], f"{views[a]} -> {views[b]}", json.dumps([v for v in keys if v != k]), int(table[f"n{b}"][i]), got, parts.sum(), parts[:4].sum(), parts))
-        return pd.DataFrame(out, columns=["k", "train_view", "query_view", "direction", "training_keys", "query_rows", "cdf", "emd", "fine_emd", "contributions"])
+                    out.append((k, views[a], views[b], f"{views[a]} -> {views[b]}", len(keys) - 1, int(table[f"n{b}"][i]), got, parts.sum(), parts[:4].sum(), parts))
+        return pd.DataFrame(out, columns=["k", "train_view", "query_view", "direction", "training_entities", "query_rows", "cdf", "emd", "fine_emd", "contributions"])
 
-    out = paired.select(F.col(key).cast("string").alias("k")).groupBy("k").applyInPandas(fold, "k string, train_view string, query_view string, direction string, training_keys string, query_rows long, cdf array<double>, emd double, fine_emd double, contributions array<double>")
+    out = paired.select(F.col(key).cast("string").alias("k")).groupBy("k").applyInPandas(fold, "k string, train_view string, query_view string, direction string, training_entities int, query_rows long, cdf array<double>, emd double, fine_emd double, contributions array<double>")
     return out.withColumnRenamed("k", key)
 
 
-def transfer_pairs(transfer: DataFrame, key: str) -> DataFrame:
-    """Each transfer with the control of its training view, and their differences; nulls show missing controls."""
-    keys = [key, "train_view", "training_keys"]
-    pick = lambda cond, s: transfer.where(cond).select(*keys, *([F.col("direction")] if s == "transfer" else []), F.col("emd").alias(f"{s}_emd"), F.col("fine_emd").alias(f"{s}_fine_emd"))
-    out = pick("train_view <> query_view", "transfer").join(pick("train_view = query_view", "control"), keys, "full_outer")
-    return out.withColumn("transfer_minus_control_emd", F.col("transfer_emd") - F.col("control_emd")).withColumn("transfer_minus_control_fine_emd", F.col("transfer_fine_emd") - F.col("control_fine_emd"))
-
-
 def transfer_summary(transfer: DataFrame, key: str) -> DataFrame:
     """Macro means by direction: EMD, fine EMD, entities, and each point's contribution."""
     parts = [F.avg(F.get("contributions", i)).alias(f"contribution_{label}") for i, label in enumerate(LABELS[:-1])]

@@ -256,8 +256,8 @@ def test_view_transfer_from_sums(spark):
     want = folds.view_transfer(seen, known, "k", "view", ("A", "B"), M.ridge)
     show = lambda df: sorted((x["k"], x["direction"], x["query_rows"], round(x["emd"], 6), round(x["fine_emd"], 6)) for x in df.collect())
     assert show(got) == show(want) and len(show(got)) == 6 * 4 and {x["training_entities"] for x in got.collect()} == {5}
-    pairs = lambda module, df: sorted((x["k"], x["direction"], round(x["transfer_minus_control_emd"], 6)) for x in module.transfer_pairs(df, "k").collect())
-    assert pairs(L, got) == pairs(folds, want)
+    pairs = lambda df: sorted((x["k"], x["direction"], round(x["transfer_minus_control_emd"], 6)) for x in L.transfer_pairs(df, "k").collect())
+    assert pairs(got) == pairs(want)
     with pytest.raises(ValueError):
         L.view_transfer(seen.where("k < 'e2'"), known, "k", "view", ("A", "B"), L.ridge())
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvemill.functions import models as M, text
-from curvemill.operators import submission as S, aggregate as A, folds, gram, keys as K, ledger, match, neighbors as N
+from curvemill.operators import submission as S, aggregate as A, folds, gram, keys as K, ledger, linear, match, neighbors as N
 from curvemill.sources import files
 from curvemill.streaming.curves import windowed_curves
 
@@ -192,10 +192,10 @@ def test_transfer(spark):
     obs = obs.where("not (sample_id = 'k005' and view = 'A')")
     got = folds.view_transfer(obs, curves, "sample_id", "view", ("A", "B"), M.knn)
     rows = {(r["sample_id"], r["train_view"], r["query_view"]): r for r in got.collect()}
-    assert len(rows) == 20 and all(len(json.loads(r["training_keys"])) == 4 for r in rows.values())
+    assert len(rows) == 20 and all(r["training_entities"] == 4 for r in rows.values())
     keep = [0, 1, 3, 4]
     assert rows["k002", "A", "B"]["cdf"] == pytest.approx(M.knn(x[keep] + 0.1, y[keep], x[2:3] - 0.2)[0])
-    pairs = folds.transfer_pairs(got, "sample_id").collect()
+    pairs = linear.transfer_pairs(got, "sample_id").collect()
     assert len(pairs) == 10 and all(r["transfer_minus_control_emd"] == pytest.approx(r["transfer_emd"] - r["control_emd"]) for r in pairs)
     assert {r["entities"] for r in folds.transfer_summary(got, "sample_id").collect()} == {5}
     with pytest.raises(ValueError):
