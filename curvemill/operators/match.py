@@ -94,19 +94,19 @@ def photo_index(listing: DataFrame, ids: DataFrame, calibration: DataFrame, came
     """(split, path, filename, sample_id, camera, ppm, is_matched, issue) of a listing (split, path), ids (split, sample_id) and a calibration table, whose rows pos orders.
 
     A camera that the calibration has twice takes its first scale: by pos, else the least."""
-    files = listing.withColumn("filename", F.element_at(F.split("path", "/"), -1))
+    files = written(listing.withColumn("filename", F.element_at(F.split("path", "/"), -1)))  # listed once: files may be many, and each use would list them again
     parts = []
     for split in ("train", "test"):
         part = files.where(F.col("split") == split)
         found = match_unique(part, "filename", "path", ids.where(F.col("split") == split), "sample_id").select("path", F.col("match").alias("sample_id"))
         parts.append(part.join(found, "path"))
-    out = parts[0].unionByName(parts[1])
+    out = written(parts[0].unionByName(parts[1]))
     cams = match_longest(out, "filename", "path", calibration, camera, pos).select("path", F.col("match").alias("camera"))
     scale = calibration.select(F.col(camera).cast("string").alias("camera"), F.col(ppm).cast("string").try_cast("double").alias("ppm"), *([F.col(pos).alias("_pos")] if pos else []))
     scale = scale.withColumn("_n", F.row_number().over(Window.partitionBy("camera").orderBy("_pos" if pos else "ppm"))).where("_n = 1").select("camera", "ppm")
     out = out.join(cams, "path").join(scale, "camera", "left")
     issue = F.when(F.col("sample_id") == "", "unmatched_sample_id").when(F.col("camera") == "", "unknown_camera").otherwise("")
-    return out.select("split", "path", "filename", "sample_id", "camera", "ppm", (F.col("sample_id") != "").alias("is_matched"), issue.alias("issue"))
+    return written(out.select("split", "path", "filename", "sample_id", "camera", "ppm", (F.col("sample_id") != "").alias("is_matched"), issue.alias("issue")))
 
 
 def coverage(index: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from ..operators.working import folder
 from ..sources import files, tables
 from .queries import _ERRORS, _T, _W, CURVES, FEATURES, VIEWS, nation_curves, query, r6, read, suppliers, view_curves
 
+#: Photos of a folder, about, and folders at least.
+PHOTOS, SHARDS = 2_000, 8
+
 _SUPPORT = "(VALUES " + ", ".join(f"({i}, {d!r}::DOUBLE, '{s}')" for i, (d, s) in enumerate(zip(C.SUPPORT, C.LABELS))) + ") d(pos, x, label)"
 
 
@@ -40,23 +43,28 @@ def _photo_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """The index of photos that are listed from folders, the ids, and the folders' root."""
     root = f"{folder(spark)}/photos"
     supplier, part = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    n_supplier, n_part = supplier.count(), part.count()
-    page = F.col("page_id")
-    named = read(spark, sf_dir, "pages").select("page_id").join(supplier, F.col("s_suppkey") == page % n_supplier).join(part, F.col("p_partkey") == page % n_part)
+    pages, page = read(spark, sf_dir, "pages").select("page_id"), F.col("page_id")
+    n_supplier, n_part, shards = supplier.count(), part.count(), max(SHARDS, -(-pages.count() // PHOTOS))
+    named = pages.join(supplier, F.col("s_suppkey") == page % n_supplier).join(part, F.col("p_partkey") == page % n_part)
     name = F.concat(F.lit("IMG "), F.when(page % 7 == 0, "none").otherwise(F.upper("s_name")), F.lit("_"), F.when(page % 5 == 0, "cam").otherwise(F.col("p_brand")), F.lit("-p"), page.cast("string"), F.when(page % 3 == 0, ".JPG").otherwise(".png"))
     split = lambda key: F.when(key % 2 == 0, "train").otherwise("test")
 
     def touch(batches):
-        system, place = tables.store(root)
+        (system, place), made = tables.store(root), set()
         for batch in batches:
             for where, filename in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                system.create_dir(f"{place}/{where}", recursive=True)
+                if where not in made:
+                    system.create_dir(f"{place}/{where}", recursive=True)
+                    made.add(where)
                 with system.open_output_stream(f"{place}/{where}/{filename}", compression=None) as out:
                     out.write(b"x")
             yield batch
 
-    named.select(split(page).alias("split"), name.alias("filename")).mapInArrow(touch, "split string, filename string").write.format("noop").mode("overwrite").save()
-    listing = tables.hashed_files(spark, root, tuple(f".{s}" for s in files.IMAGE_SUFFIXES)).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("split"), "path")
+    # folders of about PHOTOS photos, each written and listed by a task
+    photos = named.select(F.pmod(F.xxhash64(page), F.lit(shards)).alias("shard"), split(page).alias("split"), name.alias("filename")).repartition(shards, "shard")
+    photos.select(F.concat_ws("/", F.col("shard").cast("string"), "split").alias("folder"), "filename").mapInArrow(touch, "folder string, filename string").write.format("noop").mode("overwrite").save()
+    below = F.substring_index("path", "/", -2)
+    listing = tables.listed_files(spark, root, tuple(f".{s}" for s in files.IMAGE_SUFFIXES)).select(F.split_part(below, F.lit("/"), F.lit(1)).alias("split"), below.alias("path"))
     ids = supplier.select(split(F.col("s_suppkey")).alias("split"), F.col("s_name").alias("sample_id"))
     calibration = part.groupBy("p_brand").agg(F.min("p_retailprice").cast("string").alias("ppm")).withColumn("pos", F.lit(0))
     return match.photo_index(listing, ids, calibration, "p_brand"), ids, root

@@ -5,9 +5,10 @@ when all tasks have ended well the driver checks that the files are there in the
 written is taken away and the pointer stays; sweep() takes what tasks wrote after that. The content hash is a sum over the rows' hashes, so it doesn't depend on how rows were dealt to tasks (columns of maps have no hash and are refused). A table that is `once` takes its content one time: writing the
 same content again changes nothing, other content is refused. Writers with a lease (see leases.py) are refused if it has passed on.
 
-`pieces` lists and hashes files below a root: each partition takes some of them and reads PIECE bytes at a time, so files may be larger than a row can be. A missing root is empty.
+`names` lists files below a root: the driver names the folders in it, a task a folder lists what is below. The names are rows, which are dealt to tasks that read and hash
+the files PIECE bytes at a time, so files may be larger than a row can be. A missing root is empty.
 
-Paths are any that pyarrow's file systems read by URI; the driver handles names and numbers only, never rows."""
+Paths are any that pyarrow's file systems read by URI; the driver handles names of folders and of written files and numbers only, never rows."""
 
 from __future__ import annotations
 
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: Rows of a file at most, bytes read at once, and files of a partition.
-FILE_ROWS, PIECE, FILES = 1_000_000, 8 << 20, 64
+#: Rows of a file at most, bytes read at once, and tasks a core that files are dealt to.
+FILE_ROWS, PIECE, TASKS = 1_000_000, 8 << 20, 4
 #: Each half of a content hash is a sum of 64-bit row hashes modulo this.
 HALF = 1 << 64
 
@@ -188,48 +189,64 @@ def sweep(path: str, seconds: float = 86_400.0) -> int:
 
 
 @dataclass
-class _Files(InputPartition):
-    paths: list[str]
+class _Folder(InputPartition):
+    name: str
+    deep: bool
 
 
-class _PiecesReader(DataSourceReader):
+class _NamesReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.piece, self.suffixes = options["path"], int(options.get("piece", PIECE)), tuple(x for x in options.get("suffixes", "").split(",") if x)
+        self.path, self.suffixes = options["path"], tuple(x for x in options.get("suffixes", "").split(",") if x)
 
     def partitions(self) -> list[InputPartition]:
-        """Names only, FILES a partition; those of a folder stay together."""
+        """The root itself, and each folder in it with all below."""
         from pyarrow import fs
 
         system, root = store(self.path)
-        if system.get_file_info(root).type == fs.FileType.NotFound:
-            return [_Files([])]
-        found = sorted(i.path for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and (not self.suffixes or i.path.lower().endswith(self.suffixes)))
-        return [_Files(found[i : i + FILES]) for i in range(0, len(found), FILES)] or [_Files([])]
+        there = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        return [_Folder("", False), *(_Folder(i.base_name, True) for i in sorted(there, key=lambda i: i.path) if i.type == fs.FileType.Directory)]
+
+    def read(self, partition: _Folder) -> Iterator[tuple]:
+        from pyarrow import fs
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
         system, root = store(self.path)
-        for path in partition.paths:
-            sha, size = hashlib.sha256(), 0
-            with system.open_input_stream(path, compression=None) as file:
-                while data := file.read(self.piece):
-                    sha.update(data)
-                    size += len(data)
-            yield posixpath.relpath(path, root), size, sha.hexdigest()
+        for i in system.get_file_info(fs.FileSelector(posixpath.join(root, partition.name), allow_not_found=True, recursive=partition.deep)):
+            if i.is_file and (not self.suffixes or i.path.lower().endswith(self.suffixes)):
+                yield posixpath.relpath(i.path, root), i.size
 
 
-class Pieces(DataSource):
+class Names(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "pieces"
+        return "names"
 
     def schema(self) -> str:
-        return "path string, length bigint, sha256 string"
+        return "path string, length bigint"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _PiecesReader(dict(self.options))
+        return _NamesReader(dict(self.options))
+
+
+def listed_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """(path below root, length) of the files below root with one of the suffixes (lower case)."""
+    spark.dataSource.register(Names)
+    return spark.read.format("names").options(path=root, suffixes=",".join(suffixes)).load()
 
 
 def hashed_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), piece: int = PIECE) -> DataFrame:
     """(path below root, length, sha256) of the files below root with one of the suffixes (lower case), of any size."""
-    spark.dataSource.register(Pieces)
-    return spark.read.format("pieces").options(path=root, suffixes=",".join(suffixes), piece=str(piece)).load()
+    import pyarrow as pa
+
+    def read(batches: Iterator) -> Iterator:
+        system, place = store(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                sha, size = hashlib.sha256(), 0
+                with system.open_input_stream(f"{place}/{path}", compression=None) as file:
+                    while data := file.read(piece):
+                        sha.update(data)
+                        size += len(data)
+                yield pa.RecordBatch.from_pydict({"path": [path], "length": pa.array([size], pa.int64()), "sha256": [sha.hexdigest()]})
+
+    names = listed_files(spark, root, suffixes).select("path").repartition(TASKS * spark.sparkContext.defaultParallelism, "path")
+    return names.mapInArrow(read, "path string, length bigint, sha256 string")

@@ -1,6 +1,7 @@
 """Alignment, aggregation, matching, neighbours, folds, ledgers and sources."""
 
 import json
+import uuid
 
 import numpy as np
 import pytest
@@ -105,6 +106,17 @@ def test_photo_index(spark):
     assert {r["split"]: r["without_photo"] for r in match.coverage(index, ids).collect()} == {"train": ["s9"], "test": ["s8"]}
 
 
+def test_photos_are_listed_once(spark, tmp_path):
+    def mark(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    listing = spark.createDataFrame([("train", "d/cam1_s1.jpg"), ("test", "e/s2.jpg")], "split string, path string").coalesce(1).mapInArrow(mark, "split string, path string")
+    ids = spark.createDataFrame([("train", "s1"), ("test", "s2")], "split string, sample_id string")
+    index = match.photo_index(listing, ids, spark.createDataFrame([("cam1", "2.5")], "phone string, ppm string"))
+    assert index.count() == match.coverage(index, ids).count() == 2 and len(list(tmp_path.iterdir())) == 1
+
+
 def entities(n=12, p=2, seed=0):
     r = np.random.default_rng(seed)
     x, y = r.normal(size=(n, p)), np.sort(r.uniform(0, 100, (n, 11)), 1)

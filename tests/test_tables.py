@@ -114,6 +114,16 @@ def test_files_in_pieces(spark, tmp_path):
     assert [r[0] for r in rows(tables.hashed_files(spark, f"{root}", (".bin",)))] == ["a.bin", "b/c.BIN", "ü 1.bin"]
 
 
+def test_names_of_files_stay_off_the_driver(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"d{i % 2}" / "e").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 2}" / "e" / f"{i}.png").write_bytes(b"x")
+    (tmp_path / "top.PNG").write_bytes(b"")
+    parts = tables._NamesReader({"path": f"{tmp_path}", "suffixes": ".png"}).partitions()
+    assert sorted((p.name, p.deep) for p in parts) == [("", False), ("d0", True), ("d1", True)]
+    assert rows(tables.listed_files(spark, f"{tmp_path}", (".png",))) == sorted([(f"d{i % 2}/e/{i}.png", 1) for i in range(200)] + [("top.PNG", 0)])
+
+
 def test_a_file_larger_than_a_batch(spark, tmp_path):
     big = tmp_path / "big" / "zeros"
     big.parent.mkdir()
