@@ -2,8 +2,9 @@
 
 Containment has no key to join by, so names are made to have some: a value of n characters is in a name if it is one of the name's substrings of n characters. The lengths
 that values have are few; each name is cut into its distinct substrings of just these lengths, which meet the values in an equi-join by hash, and what meets
-is verified on the name itself. Values and names may both be any number: neither side is broadcast or collected, only the lengths reach the driver. Substrings that many names
-share (a common prefix that is also a value) are dealt to SALTS tasks.
+is verified on the name itself. Values and names may both be any number: neither side is broadcast or collected, only the lengths and the number of values reach the driver. Values first meet each
+substring once, in as many tasks as there are values for, so that a task holds about ROWS of them; those that stand in any name then meet the names.
+Substrings that many names share (a common prefix that is also a value) are dealt to SALTS tasks.
 
 Ties between values of one length go by a position column, or by the values' own order where there is none. Empty values never match; a value whose normalized form is empty
 is in every name. Null names match nothing."""
@@ -21,13 +22,21 @@ from .working import written
 SALTS = 8
 #: Characters of a name that are cut into substrings at once.
 CHUNK = 512
+#: Values of a task, about.
+ROWS = 500_000
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks that so many rows are dealt to."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
 
 
 def _listed(values: DataFrame, value: str, pos: str | None) -> DataFrame:
     """(value, pos, times): each value that is not empty once, with its first position and how often the list has it."""
     text = F.col(value).cast("string")
     rows = values.select(text.alias("value"), (F.col(pos) if pos else text).alias("pos")).where("value <> ''")
-    return written(rows.groupBy("value").agg(F.min("pos").alias("pos"), F.count("*").alias("times")))
+    # dealt before they are counted: sums up front would hold all values of a task's input, which may be most of them
+    return written(rows.repartition(_tasks(values), "value").groupBy("value").agg(F.min("pos").alias("pos"), F.count("*").alias("times")))
 
 
 def _substrings(text: Column, lengths: list[int]) -> Column:
@@ -45,14 +54,19 @@ def _substrings(text: Column, lengths: list[int]) -> Column:
 def containing(names: DataFrame, name: str, key: str, values: DataFrame, value: str, forms: list, pos: str | None = None) -> DataFrame:
     """(key, name, value, pos, times): a row for each value that a name contains in one of the forms (functions of a column), and one with nulls for each name."""
     listed = _listed(values, value, pos)
-    named = names.select(F.col(key).alias("k"), F.col(name).alias("name")).withColumn("h", F.xxhash64("name"))
-    met = []
+    named = written(names.select(F.col(key).alias("k"), F.col(name).alias("name")).withColumn("h", F.xxhash64("name")))
+    tasks, met = _tasks(listed), []
+    letters = named.agg(F.sum(F.char_length("name"))).first()[0] or 0
     for form in forms:
         v = listed.select("value", "pos", "times", form(F.col("value")).alias("form"))
         lengths = sorted(r[0] for r in v.select(F.char_length("form")).distinct().where("`char_length(form)` > 0").collect())  # one number a length
         if lengths:
             parts = named.select("k", "h", F.explode(_substrings(form(F.col("name")), lengths)).alias("part"), F.pmod(F.col("h"), F.lit(SALTS)).cast("int").alias("salt"))
-            dealt = v.where("form <> ''").select("value", "pos", "times", F.xxhash64("form").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            known = v.where("form <> ''").select("value", "pos", "times", F.xxhash64("form").alias("part")).repartition(tasks, "part")
+            known = written(known.hint("merge").join(parts.select("part").distinct().repartition(tasks, "part").hint("merge"), "part"))
+            dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            cuts = max(tasks, -(-letters * len(lengths) // (4 * ROWS)))
+            parts, dealt = (df.repartition(cuts, "part", "salt").hint("merge") for df in (parts, dealt))
             met.append(parts.join(dealt, ["part", "salt"]).select("k", "h", "value", "pos", "times"))
         # what is in every name: only as many as the list has such values
         blank = v.where("form = ''").select("value", "pos", "times")

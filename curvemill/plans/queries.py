@@ -350,7 +350,8 @@ vals AS (SELECT pos, value, lower(value) AS low, regexp_replace(lower(value), '[
 def _names_and_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A name a document, of source, language, id and the digest of its text; fifty values a part, in the order of their positions."""
     names = read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("_"), "lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit("_"), F.md5(F.col("text").cast("binary"))).alias("name"))
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # a small file, of many values
+    part = part.select("p_partkey", "p_name", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
     key, mark = F.col("p_partkey").cast("string"), F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), F.col("i").cast("string")).cast("binary"))
     value = F.when(F.col("i") == 0, F.concat(F.lit("SRC"), (F.col("p_partkey") % 30).cast("string"), F.lit("_"))).when(F.col("i") == 1, F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)))
     value = value.when(F.col("i") == 2, F.concat(F.lit("-"), (F.col("p_partkey") % 97).cast("string"), F.lit("_"))).otherwise(F.substring(mark, 1, 5 + F.col("i") % 3))

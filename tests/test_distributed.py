@@ -85,6 +85,17 @@ def test_containment_against_loops(spark):
         assert x["n_matches"] == len(hits) and x["match"] == (hits[0] if len(hits) == 1 else "")
 
 
+def test_values_are_dealt_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(match, "ROWS", 50)
+    dealt, was = [], match.written
+    monkeypatch.setattr(match, "written", lambda df: dealt.append((df.columns, df.rdd.getNumPartitions())) or was(df))
+    v = spark.range(2000).selectExpr("cast(id % 1000 as string) as v").coalesce(1)
+    n = spark.createDataFrame([(1, "x7_8"), (2, "x"), (3, "a993b")], "id int, name string")
+    assert sorted((r["id"], r["n_matches"]) for r in match.match_all(n, "name", "id", v, "v").collect()) == [(1, 6), (2, 0), (3, 10)]
+    assert [k for c, k in dealt if c == ["value", "pos", "times"]] == [40]
+    assert [k for c, k in dealt if "part" in c] == [20]
+
+
 def test_containment_without_values_or_names(spark):
     n, v = spark.createDataFrame([(1, "a")], "id int, name string"), spark.createDataFrame([("x",)], "v string")
     assert [tuple(r) for r in match.match_all(n, "name", "id", v.limit(0), "v").collect()] == [(1, "a", "", 0)]
