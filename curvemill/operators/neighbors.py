@@ -9,6 +9,8 @@ all blocks are merged by rank. Pivots and a few numbers a cell reach the driver,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,7 +20,9 @@ from ..functions import curves as C
 from .working import written
 
 #: Rows of a block of training rows or of queries at most, and distances that a task holds at once.
-TRAIN, CELLS = 10_000, 2_000_000
+TRAIN, CELLS = 10_000, 1_000_000
+#: Parts of a block, a neighbour, whose minima bound the k-th least distance.
+PARTS = 32
 #: Cells at most, and training rows of a cell if there are not too many cells then.
 PIVOTS, CELL = 512, 500
 #: Neighbour counts to choose from.
@@ -86,22 +90,33 @@ class _Cells:
         x, p = x / self.scale, self.pivots
         return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1), 0))
 
-    def routes(self, x: np.ndarray, bound: np.ndarray | None, home: np.ndarray | None, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, block): without a bound each query's own block, else all others that may hold a row nearer than the bound."""
-        far = self.away(x)
-        own = far.argmin(1)
-        if bound is None:
-            return np.arange(len(x)), self.first[own] + mark % self.parts[own]
-        between = np.sqrt(np.maximum(((self.pivots[:, None] - self.pivots[None]) ** 2).sum(2), 0)) if len(self.pivots) * len(self.scale) < 1 << 15 else np.stack([np.linalg.norm(self.pivots - p, axis=1) for p in self.pivots])
-        mine = far[np.arange(len(x)), own]
-        plane = (far * far - (mine * mine)[:, None]) / np.maximum(2 * between[own], 1e-12)
-        least = np.maximum(far - self.radius, plane) * (1 - 1e-7) - 1e-7  # a little less, for rounding
-        query, cell = np.nonzero((least <= bound[:, None]) & (self.size > 0))
-        parts = self.parts[cell]
-        inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        query, block = np.repeat(query, parts), np.repeat(self.first[cell], parts) + inside
-        pairs = np.unique(np.stack([query, block]), axis=1)
-        return tuple(pairs[:, pairs[1] != home[pairs[0]]])
+    def slices(self, n: int) -> Iterator[slice]:
+        """n rows in slices that meet CELLS cells or blocks at most."""
+        step = max(1, CELLS // max(len(self.pivots), self.blocks))
+        return (slice(i, i + step) for i in range(0, n, step))
+
+    def routes(self, x: np.ndarray, bound: np.ndarray | None, home: np.ndarray | None, mark: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, block), a slice of queries at a time: without a bound each query's own block, else all others that may hold a row nearer than the bound."""
+        if bound is not None:
+            between = np.stack([np.linalg.norm(self.pivots - p, axis=1) for p in self.pivots])
+            cells = np.repeat(np.arange(len(self.parts)), self.parts)  # of each block its cells
+            blocks = self.first[cells] + np.arange(len(cells)) - np.repeat(np.cumsum(self.parts) - self.parts, self.parts)
+            order = np.argsort(blocks, kind="stable")
+            cells, begins = cells[order], np.searchsorted(blocks[order], np.arange(self.blocks))
+        for at in self.slices(len(x)):
+            far = self.away(x[at])
+            own = far.argmin(1)
+            if bound is None:
+                yield np.arange(at.start, at.start + len(far)), self.first[own] + mark[at] % self.parts[own]
+                continue
+            mine = far[np.arange(len(far)), own]
+            plane = (far * far - (mine * mine)[:, None]) / np.maximum(2 * between[own], 1e-12)
+            least = np.maximum(far - self.radius, plane) * (1 - 1e-7) - 1e-7  # a little less, for rounding
+            near = (least <= bound[at, None]) & (self.size > 0)
+            hit = np.logical_or.reduceat(near[:, cells], begins, axis=1)
+            hit[np.arange(len(far)), home[at]] = False
+            query, block = np.nonzero(hit)
+            yield query + at.start, block
 
 
 def _celled(t: DataFrame, scale: np.ndarray, rows: int) -> tuple[_Cells, DataFrame]:
@@ -113,9 +128,12 @@ def _celled(t: DataFrame, scale: np.ndarray, rows: int) -> tuple[_Cells, DataFra
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                far = cells.away(_matrix(batch.column("y")))
-                cell = far.argmin(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "far"])
+                y, cell, least = _matrix(batch.column("y")), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+                step = max(1, CELLS // len(pivots))
+                for i in range(0, len(y), step):
+                    far = cells.away(y[i : i + step])
+                    cell[i : i + step], least[i : i + step] = far.argmin(1), far.min(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(least)], [*batch.schema.names, "cell", "far"])
 
     placed = written(t.mapInArrow(place, f"neighbor {kinds['neighbor']}, pos {kinds['pos']}, y array<double>, cell int, far double"))
     size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
@@ -140,16 +158,16 @@ def _meet(q: DataFrame, dealt: DataFrame, cells: _Cells, k: int, exclude_self: b
     kind, kinds = dict(q.dtypes)["q"], dict(dealt.dtypes)
     marked = q.withColumn("mark", F.pmod(F.xxhash64("q"), F.lit(1 << 30)))
 
-    def routed(batch):
-        m = batch.column("mark").to_numpy()
+    def routed(batch, m):
         given = (batch.column(bound).to_numpy(), batch.column("home").to_numpy()) if bound else (None, None)
-        return (*cells.routes(_matrix(batch.column("x")), *given, m), m)
+        return cells.routes(_matrix(batch.column("x")), *given, m)
 
     def count(batches):
         n = np.zeros(cells.blocks, np.int64)
         for batch in batches:
             if batch.num_rows:
-                n += np.bincount(routed(batch)[1], minlength=cells.blocks)
+                for _, block in routed(batch, batch.column("mark").to_numpy()):
+                    n += np.bincount(block, minlength=cells.blocks)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells.blocks)), pa.array(n)], ["b", "n"])
 
     many = np.zeros(cells.blocks, np.int64)
@@ -160,8 +178,8 @@ def _meet(q: DataFrame, dealt: DataFrame, cells: _Cells, k: int, exclude_self: b
     def send(batches):
         for batch in batches:
             if batch.num_rows:
-                query, block, m = routed(batch)
-                for i in range(0, len(query), 20_000):
+                m = batch.column("mark").to_numpy()
+                for query, block, i in ((q, b, i) for q, b in routed(batch, m) for i in range(0, len(q), 20_000)):
                     at, b = pa.array(query[i : i + 20_000]), block[i : i + 20_000]
                     a = m[query[i : i + 20_000]] % groups[b]
                     yield pa.RecordBatch.from_arrays([batch.column("q").take(at), batch.column("x").take(at), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["q", "x", "a", "b"])
@@ -178,7 +196,7 @@ def _meet(q: DataFrame, dealt: DataFrame, cells: _Cells, k: int, exclude_self: b
             own, b = queries["q"], queries["b"][0].as_py()
             reach = np.full(len(x), np.inf)
             if len(rows):
-                y, t, pos = _matrix(rows["y"].combine_chunks()), rows["neighbor"].to_numpy(), rows["pos"].to_numpy()
+                y, t, pos = np.asfortranarray(_matrix(rows["y"].combine_chunks())), rows["neighbor"].to_numpy(), rows["pos"].to_numpy()
                 order = np.empty(len(pos), np.int64)
                 order[np.argsort(pos, kind="stable")] = np.arange(len(pos))
                 s = np.broadcast_to(scale, x.shape)
@@ -210,14 +228,27 @@ def _closest(x: np.ndarray, s: np.ndarray, y: np.ndarray, order: np.ndarray, sam
 
     Matrix products give the distances but for rounding; what may be among the k best is computed again as it is defined."""
     w = 1 / (s * s)
-    size = (x * x * w).sum(1)
-    about = size[:, None] - 2 * (x * w) @ y.T + w @ (y * y).T
-    slack = 1e-9 * (size[:, None] + w @ (y * y).T + 1e-300)
+    size, one = (x * x * w).sum(1)[:, None], len(w) and not (w != w[0]).any()
+    square = np.repeat(w[:1] @ (y * y).T, len(w), 0) if one else w @ (y * y).T
+    about = (x * (-2 * w)) @ y.T
+    about += square
+    about += size
+    square += size + 1e-300
+    square *= 1e-9  # slack for rounding
     if same is not None:
         about[same] = np.inf
+    if not np.isfinite(y).all():
+        about[:, ~np.isfinite(y).all(1)] = np.inf
     if about.shape[1] > k:
-        limit = np.partition(about + slack, k - 1, axis=1)[:, k - 1 : k]
-        near = (about - slack <= limit) & np.isfinite(about)
+        most, wide = about + square, PARTS * k
+        if most.shape[1] >= 2 * wide:  # the k-th least of minima of some columns each is no less than the k-th least of all
+            all_of, most = most, most[:, :wide].copy()
+            for i in range(wide, all_of.shape[1] - wide + 1, wide):
+                np.minimum(most, all_of[:, i : i + wide], out=most)
+        limit = np.partition(most, k - 1, axis=1)[:, k - 1 : k]
+        near = np.subtract(about, square, out=square) <= limit
+        if not np.isfinite(limit).all():
+            near &= np.isfinite(about)
     else:
         near = np.isfinite(about)
     a, b = np.nonzero(near)
@@ -243,7 +274,7 @@ def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool) -> DataFrame:
         matrix = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
         parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(queries) and len(rows):
-            x, s, y = matrix(queries["x"]), matrix(queries["s"]), matrix(rows["y"])
+            x, s, y = matrix(queries["x"]), matrix(queries["s"]), np.asfortranarray(matrix(rows["y"]))
             q, t, pos = (c.to_numpy() for c in (queries["q"], rows["neighbor"], rows["pos"]))
             order = np.empty(len(pos), np.int64)
             order[np.argsort(pos, kind="stable")] = np.arange(len(pos))

@@ -189,3 +189,23 @@ def test_exact_rank_sums():
     values = sorted(Fraction(random.Random(9).randrange(50)) for _ in range(40))
     n = len(values)
     assert sum(abs(a - b) for a, b in itertools.combinations(values, 2)) == sum((2 * (k + 1) - n - 1) * v for k, v in enumerate(values))
+
+
+def test_routes_in_slices(monkeypatch):
+    r = np.random.default_rng(3)
+    cells = N._Cells(r.normal(size=(40, 5)), np.ones(5))
+    cells.pack(r.integers(1, 90, 40), r.uniform(0.1, 1, 40), 50)
+    x, mark = r.normal(size=(300, 5)), r.integers(0, 1000, 300)
+    home = np.concatenate([b for _, b in cells.routes(x, None, None, mark)])
+    found = {}
+    for most in (100_000, 200):  # a slice of queries holds no more cells than that, whatever the number of queries
+        monkeypatch.setattr(N, "CELLS", most)
+        parts = list(cells.routes(x, np.full(300, 1.5), home, mark))
+        assert len(parts) >= 300 * 40 // most and max(len(q) for q, _ in parts) <= max(most // 40, 1) * cells.blocks
+        found[most] = [tuple(np.concatenate(c).tolist()) for c in zip(*parts, strict=True)]
+    far = cells.away(x)
+    own = far.argmin(1)
+    between = np.linalg.norm(cells.pivots[:, None] - cells.pivots[None], axis=2)
+    least = np.maximum(far - cells.radius, (far**2 - far.min(1)[:, None] ** 2) / np.maximum(2 * between[own], 1e-12))
+    want = {(i, cells.first[c] + j) for i in range(300) for c in range(40) if least[i, c] <= 1.5 for j in range(cells.parts[c])}
+    assert found[200] == found[100_000] and set(zip(*found[200], strict=True)) == {(i, b) for i, b in want if b != home[i]}
