@@ -163,3 +163,28 @@ def test_ledger_stream_goes_on_after_a_restart(spark, tmp_path):
         [("a", 0, 0, "allowed"), ("a", 1, 20, "allowed"), ("a", 1, 90, "repeated"), ("a", 2, 90, "allowed"), ("a", 3, 120, "over_budget")]
         + [("b", 0, 0, "allowed"), ("b", 1, 5, "allowed"), ("b", 2, 10, "allowed"), ("b", 3, 15, "stopped"), ("c", 3, 0, "allowed")]
     )
+
+
+def test_a_run_reads_its_state_once(monkeypatch):
+    import pandas as pd
+
+    class State:
+        value, reads = None, 0
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def exists(self):
+            self.reads += 1
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+    ledger = L._Ledger(50, 2)
+    ledger.run = State()
+    part = lambda *numbers: pd.DataFrame({"number": numbers, "key": "", "tokens": 30, "state": "complete"})
+    got = [ledger.handleInputRows(("a",), iter(frames), None) for frames in ([part(2, 0), part(1)], [part(2, 3)])]
+    assert [tuple(r) for frames in got for f in frames for r in f.to_numpy()] == [("a", 0, 0, "allowed"), ("a", 1, 30, "allowed"), ("a", 2, 60, "over_budget"), ("a", 2, 90, "repeated"), ("a", 3, 90, "over_budget")]
+    assert ledger.run.reads == 2
