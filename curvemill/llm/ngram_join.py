@@ -8,7 +8,8 @@ two texts that link share a token in the prefixes and two in the extended ones,
 pair of frequent ones meets. Pairs grow with the square of a prefix, so sets of more than LONG tokens index the frequent tokens of their
 prefix singly; sets near that size, which may link with both kinds, index both ways. Texts with equal sets are one class from the start.
 Within an index entry each class is first verified against the entry's smallest class, which links large groups of copies without all their pairs;
-then, in entries whose classes are still apart, against one told by chance, and last all pairs in different components.
+then, in entries whose classes are still apart, against one told by chance, and last all pairs in different components. Of entries with more than BLOCK
+classes those go first that have too many tokens of their own to link there, and entries around the same component are taken together where that is less work.
 Bounds that every link fulfils (sizes, odd sketches inside the join, counts by hash range) come before a pair's sets are
 read. All links between components are found, so the components are exact (64-bit hashes stand for words). Entries meet by equi-joins
 in the executors; the driver sees the frequent tokens alone, at most CLASS_ROWS of them.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import components, fresh, sized, small_batches, table, tidy
 from .shingles import batches, mix, shingle_sets
@@ -163,15 +164,87 @@ def _indexed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
     return docs.mapInPandas(tidy(index), "doc_id long, h long, n long, class long, entries array<long>, counts binary, " + ", ".join(f"{o} long" for o in ODD))
 
 
+def _sets(docs: DataFrame, first: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, tokens) of the classes, made again from one text of each."""
+    ids = table(classes.join(first, "class").select("class", F.col("doc_id").alias("of"), F.col("h").alias("text_h")))
+
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, texts in batches(frames):
+            yield pd.DataFrame({"class": frame["class"], "tokens": [s.tobytes() for s in shingle_sets(texts)]})
+
+    texts = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text_h"))).select("class", "text")
+    return table(texts.mapInPandas(tidy(again), "class long, tokens binary").dropDuplicates(["class"]))
+
+
+def _own(sets: DataFrame) -> DataFrame:
+    """(class, own): the tokens that no other class of sets holds, for classes with any. Tasks send a token once, with a class and whether others hold it too."""
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, names, size = [], [], 0
+
+        def out() -> pd.DataFrame:
+            tokens, at, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+            name = np.repeat(np.array(names, np.int64), [len(s) for s in held])[at]
+            return pd.DataFrame({"token": tokens.view(np.int64), "class": name, "n": n})
+
+        for frame in frames:
+            for name, tokens in zip(frame["class"], frame["tokens"], strict=True):
+                held.append(np.frombuffer(tokens, np.uint64))
+                names.append(name)
+                size += len(held[-1])
+                if size >= 1_000_000:
+                    yield out()
+                    held, names, size = [], [], 0
+        if size:
+            yield out()
+
+    tokens = sets.mapInPandas(tidy(send), "token long, class long, n long").groupBy("token").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+    return table(tokens.where("n = 1").groupBy("class").agg(F.count("*").alias("own")))
+
+
+def _cost() -> Column:
+    """Rows that dealing an entry makes with l classes of its largest component and r others."""
+    left, right = F.ceil(F.col("l") / BLOCK), F.ceil(F.col("r") / BLOCK)
+    return F.col("l") * right + F.col("r") * (left + right)
+
+
+def _spots(at: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(entry, class, n, root, v, main, l, r): what _possible_pairs deals, of at: (entry, class, n, root, c), a written table.
+
+    v: the tokens that the class can share with others at the entry. Of two sets that link, v_a and v_b are at least 4 / 9 (n_a + n_b), so a class whose v is too small for
+    the entry's smallest set has no link there. main tells the classes of the entry's largest component, l of them, which meet the r others only; entries of BLOCK classes at
+    most are one block, all of it others. Large entries with the same largest component, which mostly have the same classes, become one where that makes fewer rows."""
+    light = at.where(F.col("c") <= BLOCK).select("entry", "class", "n", "root", F.col("n").alias("v"), F.lit(False).alias("main"), F.lit(0).cast("long").alias("l"), F.col("c").alias("r"))
+    heavy = table(at.where(F.col("c") > BLOCK).select("entry", "class", "n", "root"))
+    if heavy.isEmpty():
+        return light
+    own = _own(_sets(docs, first, heavy.select("class").distinct()))
+    heavy = table(heavy.join(sized(own), "class", "left").select("entry", "class", "n", "root", (F.col("n") - F.coalesce("own", F.lit(0))).alias("v")))
+    least = table(heavy.groupBy("entry").agg(F.min("n").alias("least")))
+    heavy = table(heavy.join(sized(least), "entry").where("9 * v >= 4 * (n + least)").drop("least"))
+    top = heavy.groupBy("entry", "root").agg(F.count("*").alias("k")).groupBy("entry").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("c"))
+    top = table(top.select("entry", F.col("top.root").alias("spot"), F.col("top.k").alias("l"), (F.col("c") - F.col("top.k")).alias("r")).where("r > 0"))
+    merged = table(heavy.join(sized(top.select("entry", "spot")), "entry").drop("entry").distinct())
+    both = merged.groupBy("spot").agg(F.count_if(F.col("root") == F.col("spot")).alias("l"), F.count_if(F.col("root") != F.col("spot")).alias("r"))
+    apart = top.groupBy("spot").agg(F.sum(_cost()).alias("apart"))
+    better = table(both.join(apart, "spot").where(_cost() < F.col("apart")).select("spot", "l", "r"))
+    single = table(top.join(sized(better.select("spot")), "spot", "left_anti"))
+    marked = lambda rows: rows.select("entry", "class", "n", "root", "v", (F.col("root") == F.col("spot")).alias("main"), "l", "r")
+    together = marked(merged.join(sized(better), "spot").withColumn("entry", F.col("spot")))
+    return table(light.union(together).union(marked(heavy.join(sized(single), "entry"))))
+
+
 def _possible_pairs(at: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that share an entry and that no bound rules out.
 
-    at: (entry, class, n, root, c, counts, sketch), c classes an entry. Large entries are cut into blocks of
-    classes, and each pair of blocks is one small group; tasks read their groups one after the other and name a pair once."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    at = at.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = at.select("*", F.inline(meets)).drop("c").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    at: (entry, class, n, root, v, main, l, r, counts, sketch) as of _spots. Large entries are cut into blocks of
+    classes, and each pair of blocks, but for two of the largest component, is one small group; tasks read their groups one after the other and name a pair once."""
+    left, right = (F.ceil(F.col(k) / BLOCK).cast("int") for k in "lr")
+    number = F.xxhash64("class")
+    at = at.withColumn("block", F.when(F.col("main"), F.pmod(number, left)).otherwise(left + F.pmod(number, right)).cast("int"))
+    others = F.sequence(F.when(F.col("main"), left).otherwise(0), left + right - 1)
+    meets = F.transform(others, lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = at.select("*", F.inline(meets)).drop("main", "l", "r").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[tuple[int, int]] = set()
@@ -187,7 +260,7 @@ def _possible_pairs(at: DataFrame) -> DataFrame:
             yield found(rest, [], known)
 
     def found(frame: pd.DataFrame, cut, known: set[tuple[int, int]]) -> pd.DataFrame:
-        name, n, root, block, i, j = (frame[c].to_numpy() for c in ("class", "n", "root", "block", "i", "j"))
+        name, n, shared, root, block, i, j = (frame[c].to_numpy() for c in ("class", "n", "v", "root", "block", "i", "j"))
         sketch = frame[ODD].to_numpy(np.int64).view(np.uint64)
         counts, out = frame["counts"].to_numpy(), []
         for a, b in zip([0, *cut], [*cut, len(frame)], strict=True):
@@ -196,7 +269,7 @@ def _possible_pairs(at: DataFrame) -> DataFrame:
             left, right = np.flatnonzero(block[a:b] == i[a]) + a, np.flatnonzero(block[a:b] == j[a]) + a
             x, y = np.repeat(left, len(right)), np.tile(right, len(left))
             both = n[x] + n[y]
-            fits = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y]))
+            fits = (root[x] != root[y]) & (9 * np.minimum(shared[x], shared[y]) >= 4 * both)
             if i[a] == j[a]:
                 fits &= name[x] < name[y]
             x, y, both = x[fits], y[fits], both[fits]
@@ -221,14 +294,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link. The sets are made again from one text of each class."""
-    ids = table(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(first, "class").select("class", F.col("doc_id").alias("of"), F.col("h").alias("text_h")))
-
-    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, texts in batches(frames):
-            yield pd.DataFrame({"class": frame["class"], "tokens": [s.tobytes() for s in shingle_sets(texts)]})
-
-    texts = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text_h"))).select("class", "text")
-    sets = table(texts.mapInPandas(tidy(again), "class long, tokens binary").dropDuplicates(["class"]))
+    sets = _sets(docs, first, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -321,7 +387,7 @@ def clusters(docs: DataFrame) -> DataFrame:
             pairs = table(x).join(y, "entry").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b) and root_a <> root_b")
             pairs = alike(pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct())
         else:
-            pairs = _possible_pairs(at.join(first.select(*marks), "class"))
+            pairs = _possible_pairs(_spots(at, docs, first).join(first.select(*marks), "class"))
         if not pairs.isEmpty():
             link = table(link.union(_verified(docs, first, pairs)))
 

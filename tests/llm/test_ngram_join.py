@@ -102,3 +102,42 @@ def test_sets_do_not_depend_on_the_batch():
     together = [s.tolist() for s in shingle_sets(texts)]
     assert together == [next(shingle_sets([t])).tolist() for t in texts]
     assert together[1] == together[2] == [] and len(together[0]) == 3
+
+
+def crowd():
+    """Copies of one text that share most of their tokens: with an end of their own, which link; with three words of their own, which don't; with one of seven shared
+    words and two of their own, which link with the copy that has the shared word alone, where there is one."""
+    r, base = random.Random(4), [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(220):
+        words = list(base)
+        if i % 3 == 0:
+            words[0] = f"e{i}"
+        else:
+            words[r.randrange(40, 60)], words[r.randrange(70, 90)] = f"x{i}", f"y{i}"
+            words[100 if i % 3 == 1 else 6 * (i % 7) + 1] = f"z{i if i % 3 == 1 else i % 7}"
+        rows.append((i, " ".join(words)))
+    for k in range(4):
+        rows.append((300 + k, " ".join([*base[: 6 * k + 1], f"z{k}", *base[6 * k + 2 :]])))
+    return rows
+
+
+def test_a_crowd_is_dealt_once(spark, monkeypatch):
+    for name, value in (("FREQUENT", 8), ("BLOCK", 16), ("TURNS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    dealt, written = [], ngram_join.table
+
+    def table(df):
+        out = written(df)
+        if "root" in out.columns and out.columns[:2] == ["entry", "class"] and "c" in out.columns:
+            dealt.append(out.selectExpr("sum(ceil(c / 16)) AS rows").first()["rows"])
+        elif "main" in out.columns:
+            dealt.append(out.selectExpr("sum(if(main, ceil(r / 16), ceil(l / 16) + ceil(r / 16))) AS rows").first()["rows"])
+        return out
+
+    monkeypatch.setattr(ngram_join, "table", table)
+    want = brute(crowd())
+    assert 60 < len({c for _, _, c in want}) < 150
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(crowd(), "doc_id long, text string")).collect()} == want
+    # by entries and by what is dealt in their place: without that, each entry deals all its classes to all its blocks
+    assert len(dealt) == 2 and 0 < 8 * dealt[1] < dealt[0]
