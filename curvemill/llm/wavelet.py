@@ -27,7 +27,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import Kept, chunks, plain
+from .bpe import MARKS, Kept, chunks, plain
 from .shared import save, sized, small_batches, table, tidy, work_dir
 
 MAGIC = b"WAVM2\n"
@@ -84,11 +84,11 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, x = [], [], ids
         for b in range(bits - 1, -1, -1):
-            one = (x >> x.dtype.type(b)) & x.dtype.type(1) != 0
+            one = (x & x.dtype.type(1 << b)).astype(bool)
             planes.append(Plane.of(np.packbits(one), len(x)))
-            down = np.flatnonzero(~one)
+            down = x[~one]
             zeros.append(len(down))
-            x = x.take(np.concatenate([down, np.flatnonzero(one)]))
+            x = np.concatenate([down, x[one]])
         return cls(planes, zeros, len(ids))
 
     def all(self) -> np.ndarray:
@@ -98,7 +98,7 @@ class WaveletMatrix:
             one = plane.bits().view(bool)
             x[zeros:] |= x.dtype.type(1 << k)
             up = np.empty_like(x)
-            up[~one], up[one] = x[:zeros], x[zeros:]
+            up[np.flatnonzero(~one)], up[np.flatnonzero(one)] = x[:zeros], x[zeros:]
             x = up
         return x
 
@@ -190,6 +190,18 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return *shard.documents(), shard.matrix
 
 
+def lowered(text: str) -> str:
+    """text in lower case, as the library writes it anyway, where that changes no id: below U+0100 nothing composes, and special tokens begin with <. Other texts stay as they are."""
+    if "<" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class _Library:
     """The tokenizers library over chunks, with a bounded table of known ones."""
 
@@ -208,9 +220,10 @@ class _Library:
 
     def encoded(self, chunk: str) -> bytes:
         """Ids of a chunk; plain words are pre-tokens already and go straight to the library's model."""
-        of = self.bytes_of
-        if chunk.isascii() and chunk.isalpha():
-            return b"".join([of[t.id] for t in self.tokenize(chunk.lower())])
+        of, head = self.bytes_of, chunk.rstrip(MARKS)
+        if head.isascii() and head.isalpha():
+            ids = b"".join([of[t.id] for t in self.tokenize(head.lower())])
+            return ids if len(head) == len(chunk) else ids + self.marks[chunk[len(head) :]]
         if simple := plain(chunk):
             word, marks = simple
             ids = b"".join([of[t.id] for t in self.tokenize(word)]) if word else b""
@@ -222,7 +235,7 @@ class _Library:
         return b"".join([self.bytes_of[t.id] for t in self.tokenize(marks)])
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, chunks(text)))
+        return b"".join(map(self.known.__getitem__, chunks(lowered(text))))
 
 
 _libraries: dict[int, _Library] = {}

@@ -137,3 +137,12 @@ def test_wavelet_matrix(n, block, monkeypatch):
 def test_wide_ids_take_more_planes():
     a = np.array([70_000, 3, 70_000], "<u4")
     assert WaveletMatrix.of(a, 17).all().tolist() == a.tolist()
+
+
+def test_words_in_any_case_are_known_once(library):
+    own = wavelet._Library(open(PATH).read())
+    own.ids("The the THE Été été")
+    assert sorted(own.known) == ["the", "été"]
+    # a letter beyond U+00FF or a special token's sign anywhere, and the text stays: h and U+0331 compose, H and U+0331 don't
+    for t in ["H̱ The", "ẖ The", "<|endoftext|> The", "<|ENDOFTEXT|> The", "İ THE", "Á á", "ÀÞß µ×Ø ÿ \xaaZ\xba ¼É", *LATIN]:
+        assert np.frombuffer(own.ids(t), own.kind).tolist() == library.encode(t, add_special_tokens=False).ids, t
