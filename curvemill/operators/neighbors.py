@@ -5,11 +5,13 @@ distance of its k-th neighbour; then it meets those blocks only that the triangl
 the query by more than the bound, or which lies beyond the bound past the plane between the two pivots, holds no neighbour. With few features most blocks are never met; with many
 features that are all alike far, all are, as every exact method must. Each pair of blocks of queries and training rows is a task of its own that keeps the best k of every query; the bests of
 all blocks are merged by rank. Pivots and a few numbers a cell reach the driver, no other row does or is broadcast, and a task holds one block of either side. Queries with scales of their own
-(leave-one-out) meet all blocks."""
+(leave-one-out) meet all rows, in rounds: in each, every block of queries meets the same SPAN * TRAIN rows, and what it finds is merged with what was found before. Shuffle files and tables of
+a round are deleted when it ends, so that, whatever the number of pairs, the disk holds a few times the rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import curves as C
-from .working import written
+from .working import cleaned, dropped, written
 
 #: Rows of a block of training rows or of queries at most, and distances that a task holds at once.
 TRAIN, CELLS = 10_000, 1_000_000
+#: Times TRAIN rows that all queries meet in a round.
+SPAN = 4
 #: Parts of a block, a neighbour, whose minima bound the k-th least distance.
 PARTS = 32
 #: Cells at most, and training rows of a cell if there are not too many cells then.
@@ -55,8 +59,7 @@ def pruned(queries: DataFrame, train: DataFrame, columns: list[str], k: int, key
     q = queries.select(F.col(key).alias("q"), _array(columns).alias("x"))
     t = train.select(F.col(key).alias("neighbor"), F.col(pos).alias("pos"), _array(columns).alias("y"))
     if t.count() <= rows:
-        one = q.withColumn("s", F.array(*map(F.lit, map(float, scale))))
-        return _best(one, t, k, exclude_self).withColumnRenamed("q", key), 1.0
+        return _best(q, t, k, exclude_self, lambda x: np.broadcast_to(scale, x.shape)).withColumnRenamed("q", key), 1.0
     cells, dealt = _celled(t, scale, rows)
     near, first = _meet(q, dealt, cells, k, exclude_self, None)
     heads = near.where("x is not null").select("q", "x", "bound", "home")
@@ -253,40 +256,57 @@ def _closest(x: np.ndarray, s: np.ndarray, y: np.ndarray, order: np.ndarray, sam
         near = np.isfinite(about)
     a, b = np.nonzero(near)
     far = (((x[a] - y[b]) / s[a]) ** 2).sum(1)
+    return _least(a, b, far, order, k)
+
+
+def _least(a: np.ndarray, b: np.ndarray, far: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (query, training row, distance) the k least of each query, ties by the training rows' order."""
     sort = np.lexsort((order[b], far, a))
     a, b, far = a[sort], b[sort], far[sort]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
     return a[rank < k], b[rank < k], far[rank < k]
 
 
-def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """(q, neighbor, distance, rank): the k nearest rows of t (neighbor, pos, y) for each row of q (q, x, s)."""
+def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool, scale: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(q, neighbor, distance, rank): the k nearest rows of t (neighbor, pos, y) for each row of q (q, x), with the scales that `scale` gives for a matrix of queries."""
     tasks = q.sparkSession.sparkContext.defaultParallelism
     n_q, n_t = q.count(), t.count()
-    q_blocks, t_blocks = max(1, -(-n_q // TRAIN), min(tasks, n_q // 100)), max(1, -(-n_t // TRAIN))
-    deal = lambda df, name, n, by: df.withColumn(name, F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
-    each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = deal(q, "a", q_blocks, "q").select("*", each("b", t_blocks))
-    right = deal(t, "b", t_blocks, "neighbor").select("*", each("a", q_blocks))
+    q_blocks, rounds = max(1, -(-n_q // TRAIN), min(tasks, n_q // 100)), max(1, -(-n_t // (SPAN * TRAIN)))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    left = q.withColumn("a", deal("q", q_blocks))
     kinds = dict(t.dtypes)
 
     def pair(queries: pa.Table, rows: pa.Table) -> pa.Table:
         matrix = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
         parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(queries) and len(rows):
-            x, s, y = matrix(queries["x"]), matrix(queries["s"]), np.asfortranarray(matrix(rows["y"]))
+            x, y = matrix(queries["x"]), matrix(rows["y"])
+            s, blocks = scale(x), [(j, np.asfortranarray(y[j : j + TRAIN])) for j in range(0, len(y), TRAIN)]
             q, t, pos = (c.to_numpy() for c in (queries["q"], rows["neighbor"], rows["pos"]))
             order = np.empty(len(pos), np.int64)
             order[np.argsort(pos, kind="stable")] = np.arange(len(pos))
-            for i in range(0, len(q), step := max(1, CELLS // len(t))):
-                a, b, far = _closest(x[i : i + step], s[i : i + step], y, order, q[i : i + step, None] == t[None] if exclude_self else None, k)
+            for i in range(0, len(q), step := max(1, CELLS // min(TRAIN, len(t)))):
+                own, found = slice(i, i + step), []
+                for j, block in blocks:
+                    at = slice(j, j + len(block))
+                    a, b, far = _closest(x[own], s[own], block, order[at], q[own, None] == t[None, at] if exclude_self else None, k)
+                    found.append((a, b + j, far))
+                a, b, far = _least(*(np.concatenate(p) for p in zip(*found, strict=True)), order, k)
                 parts.append((a + i, b, far))
         a, b, far = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pa.table({"q": queries["q"].take(pa.array(a)), "neighbor": rows["neighbor"].take(pa.array(b)), "pos": rows["pos"].take(pa.array(b)), "distance": pa.array(far)})
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, f"q {dict(q.dtypes)['q']}, neighbor {kinds['neighbor']}, pos {kinds['pos']}, distance double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "neighbor", "distance", "rank")
+    best, rank = None, F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))
+    with cleaned(q.sparkSession) if rounds > 1 else nullcontext():
+        for r in range(rounds):
+            right = t.where(deal("neighbor", rounds) == r).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+            found = left.groupBy("a").cogroup(right.groupBy("a")).applyInArrow(pair, f"q {dict(q.dtypes)['q']}, neighbor {kinds['neighbor']}, pos {kinds['pos']}, distance double")
+            both = found if best is None else best.drop("rank").unionByName(found)
+            both, was = both.withColumn("rank", rank).where(F.col("rank") <= k), best
+            best = both if rounds == 1 else written(both)
+            if was is not None:
+                dropped(was)
+    return best.select("q", "neighbor", "distance", "rank")
 
 
 def mean_of_neighbors(found: DataFrame, curves: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -302,14 +322,18 @@ def knn_curves(queries: DataFrame, train: DataFrame, columns: list[str], k: int
 
 def loo_ranks(df: DataFrame, columns: list[str], k: int, key: str = "sample_id", pos: str = "pos") -> DataFrame:
     """Neighbours of each row among the others, with features scaled by the others alone (variance from sums minus self)."""
-    sums = df.agg(F.count("*").alias("n"), F.array(*(F.sum(c).cast("double") for c in columns)).alias("sum"), F.array(*(F.sum(F.col(c) * F.col(c)).cast("double") for c in columns)).alias("square"))
-    own = df.select(F.col(key).alias("q"), _array(columns).alias("x")).crossJoin(F.broadcast(sums))  # one row
-    m = F.col("n") - 1
-    parts = F.arrays_zip("x", "sum", "square")
-    spread = F.transform(parts, lambda p: F.sqrt(F.greatest((p["square"] - p["x"] * p["x"]) / m - ((p["sum"] - p["x"]) / m) * ((p["sum"] - p["x"]) / m), F.lit(0.0))))
-    q = own.select("q", "x", F.transform(spread, lambda v: F.when(v < 1e-12, 1.0).otherwise(v)).alias("s"))
-    t = df.select(F.col(key).alias("neighbor"), F.col(pos).alias("pos"), _array(columns).alias("y"))
-    return _best(q, t, k, exclude_self=True).withColumnRenamed("q", key)
+    sums = df.agg(F.count("*").alias("n"), F.array(*(F.sum(c).cast("double") for c in columns)).alias("sum"), F.array(*(F.sum(F.col(c) * F.col(c)).cast("double") for c in columns)).alias("square")).first()
+    m, total, square = sums["n"] - 1, np.array(sums["sum"], float), np.array(sums["square"], float)
+
+    def others(x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = (total - x) / m
+            spread = np.sqrt(np.maximum((square - x * x) / m - mean * mean, 0))
+        return np.where(spread < 1e-12, 1.0, spread)
+
+    rows = written(df.select(F.col(key).alias("q"), F.col(pos).alias("pos"), _array(columns).alias("x")))  # each round reads them
+    t = rows.select(F.col("q").alias("neighbor"), "pos", F.col("x").alias("y"))
+    return _best(rows.select("q", "x"), t, k, True, others).withColumnRenamed("q", key)
 
 
 def loo_scores(df: DataFrame, columns: list[str], counts: tuple[int, ...] = COUNTS, key: str = "sample_id", pos: str = "pos") -> DataFrame:

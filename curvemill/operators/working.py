@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -21,12 +23,16 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended
             return
 
@@ -38,6 +44,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that written() made and that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search(r"/curvemill-[0-9a-f]{32}$", path):
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is run inside deletes its shuffle files as soon as it ends, so that steps one after the other hold those of one step only."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str, total: str = "total") -> DataFrame:
     """df, written, with the running sum of amount within keys, up to and with each row, in an order that no two rows of a group share, and the group's whole sum.
 

@@ -2,6 +2,7 @@
 
 import json
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -156,6 +157,33 @@ def test_leave_one_out_in_blocks(spark, monkeypatch):
     assert ranks() == whole and len(whole) == 3 * len(x)
 
 
+def shuffled(spark):
+    """Bytes of shuffle files."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*"))
+
+
+def test_leave_one_out_holds_one_round_on_disk(spark, monkeypatch):
+    df = table(spark, *entities(60))
+    cols = A.feature_columns(df)
+    ranks = lambda: sorted((r["sample_id"], r["rank"], r["neighbor"]) for r in N.loo_ranks(df, cols, 3).collect())
+    whole = ranks()
+    monkeypatch.setattr(N, "TRAIN", 5)
+    made, was = [], N.written
+    monkeypatch.setattr(N, "written", lambda d: made.append(was(d)) or made[-1])
+    held = shuffled(spark)
+    assert ranks() == whole and len(whole) == 180
+    assert shuffled(spark) - held < 5_000  # 12 x 12 blocks leave some 50,000
+    there = [Path(d.inputFiles()[0].removeprefix("file://")).exists() for d in made]
+    assert len(there) == 4 and there == [True, False, False, True]  # the rows, and the best of the last of three rounds
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_leave_one_out_of_one_row(spark):
+    df = table(spark, *entities(1))
+    assert N.loo_ranks(df, A.feature_columns(df), 3).collect() == []
+
+
 def test_gram_ridge(spark):
     x, y = entities(15, 3)
     x[:, 2] = 4.0
