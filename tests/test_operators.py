@@ -118,6 +118,37 @@ def test_photos_are_listed_once(spark, tmp_path):
     assert index.count() == match.coverage(index, ids).count() == 2 and len(list(tmp_path.iterdir())) == 1
 
 
+def shuffled(spark):
+    """Bytes of shuffle files."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*"))
+
+
+@pytest.mark.parametrize("at_once", [1, match.__dict__.get("AT_ONCE", 0)])
+def test_longest_matches_are_settled_from_the_longest_down(spark, monkeypatch, at_once):
+    r = np.random.default_rng(5)
+    word = lambda n: "".join(r.choice(list("abcd-"), n))
+    names = [(i, "img_" + word(30)) for i in range(600)] + [(600, None), (601, ""), (602, "img_"), (603, "--")]
+    values = [(i, word(n)) for i, n in enumerate(r.integers(3, 9, 400))] + [(900, "IMG"), (901, "_"), (902, "xyz")]
+    norm = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    longest = lambda x: next((v for p, v in sorted(values, key=lambda y: (-len(y[1]), y[0])) if x is not None and norm(v) in norm(x)), "")
+    n, v = spark.createDataFrame(names, "id int, name string"), spark.createDataFrame(values, "pos int, v string")
+    steps, made, met, was = [], [], match.__dict__.get("_met"), match.written
+    if met:
+        monkeypatch.setattr(match, "AT_ONCE", at_once)
+        monkeypatch.setattr(match, "HOT", 50)
+        monkeypatch.setattr(match, "_met", lambda named, dealt, lengths, tasks: steps.append((named.count(), max(lengths))) or met(named, dealt, lengths, tasks))
+    monkeypatch.setattr(match, "written", lambda df: made.append(was(df)) or made[-1])
+    held = shuffled(spark)
+    got = sorted((x["id"], x["match"]) for x in match.match_longest(n, "name", "id", v, "v", "pos").collect())
+    assert got == [(i, longest(x)) for i, x in names]
+    assert shuffled(spark) - held < 40_000  # all substrings at once leave some 3,000,000
+    if at_once == 1:
+        assert len(steps) > 3 and steps == sorted(steps, reverse=True) and steps[-1][0] < steps[0][0] / 2
+        there = [Path(d.inputFiles()[0].removeprefix("file://")).exists() for d in made]
+        assert sum(there) <= 2 + len([d for d in made if d.columns == ["i", "best"]])  # the names, those left, and what was found
+
+
 def entities(n=12, p=2, seed=0):
     r = np.random.default_rng(seed)
     x, y = r.normal(size=(n, p)), np.sort(r.uniform(0, 100, (n, 11)), 1)
@@ -157,12 +188,6 @@ def test_leave_one_out_in_blocks(spark, monkeypatch):
     assert ranks() == whole and len(whole) == 3 * len(x)
 
 
-def shuffled(spark):
-    """Bytes of shuffle files."""
-    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
-    return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*"))
-
-
 def test_leave_one_out_holds_one_round_on_disk(spark, monkeypatch):
     df = table(spark, *entities(60))
     cols = A.feature_columns(df)
