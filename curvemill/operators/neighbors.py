@@ -15,7 +15,7 @@ from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import curves as C
@@ -199,13 +199,13 @@ def _meet(q: DataFrame, dealt: DataFrame, cells: _Cells, k: int, exclude_self: b
             own, b = queries["q"], queries["b"][0].as_py()
             reach = np.full(len(x), np.inf)
             if len(rows):
-                y, t, pos = np.asfortranarray(_matrix(rows["y"].combine_chunks())), rows["neighbor"].to_numpy(), rows["pos"].to_numpy()
+                y, t, pos = _matrix(rows["y"].combine_chunks()), rows["neighbor"].to_numpy(), rows["pos"].to_numpy()
                 order = np.empty(len(pos), np.int64)
                 order[np.argsort(pos, kind="stable")] = np.arange(len(pos))
-                s = np.broadcast_to(scale, x.shape)
+                s, block = np.broadcast_to(scale, x.shape), _Rows(y, order, scale)
                 for i in range(0, len(x), step := max(1, CELLS // len(y))):
                     part = slice(i, i + step)
-                    a, c, far = _closest(x[part], s[part], y, order, own.to_numpy()[part, None] == t[None] if exclude_self else None, k)
+                    a, c, far = _closest(x[part], s[part], block, own.to_numpy()[part, None] == t[None] if exclude_self else None, k)
                     n = np.bincount(a, minlength=len(x[part]))
                     full = np.flatnonzero(n == k)
                     reach[i + full] = np.sqrt(far[np.searchsorted(a, full) + k - 1])
@@ -226,37 +226,62 @@ def _meet(q: DataFrame, dealt: DataFrame, cells: _Cells, k: int, exclude_self: b
     return written(out), int((many * cells.block_rows).sum())
 
 
-def _closest(x: np.ndarray, s: np.ndarray, y: np.ndarray, order: np.ndarray, same: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _Rows:
+    """Training rows of a task (y, and their order in ties), and their scaled form by which queries of scales near r are sent through one matrix product."""
+
+    def __init__(self, y: np.ndarray, order: np.ndarray, r: np.ndarray):
+        self.y, self.order, self.r = np.asfortranarray(y), order, r
+        fine = np.isfinite(y).all(1)
+        z = np.where(fine[:, None], y / r, 0.0)
+        size = np.where(fine, (z * z).sum(1), np.inf)
+        self.low, self.slack = np.vstack([z.T, size * (1 - 1e-9)]), 2e-9 * size  # slack for rounding
+
+
+def _closest(x: np.ndarray, s: np.ndarray, rows: _Rows, same: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, training row, distance) of the k least sums of ((x - y) / s) ** 2 of each query, ties by order. same: pairs that don't count.
 
-    Matrix products give the distances but for rounding; what may be among the k best is computed again as it is defined."""
-    w = 1 / (s * s)
-    size, one = (x * x * w).sum(1)[:, None], len(w) and not (w != w[0]).any()
-    square = np.repeat(w[:1] @ (y * y).T, len(w), 0) if one else w @ (y * y).T
-    about = (x * (-2 * w)) @ y.T
-    about += square
-    about += size
-    square += size + 1e-300
-    square *= 1e-9  # slack for rounding
-    if same is not None:
-        about[same] = np.inf
-    if not np.isfinite(y).all():
-        about[:, ~np.isfinite(y).all(1)] = np.inf
-    if about.shape[1] > k:
-        most, wide = about + square, PARTS * k
-        if most.shape[1] >= 2 * wide:  # the k-th least of minima of some columns each is no less than the k-th least of all
-            all_of, most = most, most[:, :wide].copy()
-            for i in range(wide, all_of.shape[1] - wide + 1, wide):
-                np.minimum(most, all_of[:, i : i + wide], out=most)
-        limit = np.partition(most, k - 1, axis=1)[:, k - 1 : k]
-        near = np.subtract(about, square, out=square) <= limit
-        if not np.isfinite(limit).all():
-            near &= np.isfinite(about)
-    else:
-        near = np.isfinite(about)
+    Matrix products give the distances but for rounding; what may be among the k best is computed again as it is defined. Scales of a query that differ from r by factors between a and b
+    change squares by factors between their squares, so one product with scales r serves all queries whose factors lie close together."""
+    with np.errstate(all="ignore"):
+        factor = rows.r / s
+        wide = (factor.max(1) / factor.min(1)) ** 2
+        if (factor > 0).all() and (wide <= 1.1).all():
+            z = x / rows.r
+            size = (z * z).sum(1)[:, None]
+            low = np.hstack([-2 * z, np.ones((len(z), 1))]) @ rows.low  # squares, less those of the queries and slack
+            least, slack, wide = size * (1 - 1e-9), rows.slack, wide[:, None] * (1 + 1e-12)
+            size = size * (1 + 1e-9)
+        else:
+            w = 1 / (s * s)
+            size, square = (x * x * w).sum(1)[:, None], w @ (rows.y * rows.y).T
+            slack = 1e-9 * (square + size + 1e-300)
+            low = (x * (-2 * w)) @ rows.y.T + square + size - slack
+            low[:, ~np.isfinite(rows.y).all(1)] = np.inf
+            least, slack, wide, size = 0.0, 2 * slack, 1.0, np.where(np.isfinite(size), 0.0, np.nan)
+        if same is not None:
+            low[same] = np.inf
+        near = _near(low, slack, size, least, wide, k)
     a, b = np.nonzero(near)
-    far = (((x[a] - y[b]) / s[a]) ** 2).sum(1)
-    return _least(a, b, far, order, k)
+    far = (((x[a] - rows.y[b]) / s[a]) ** 2).sum(1)
+    return _least(a, b, far, rows.order, k)
+
+
+def _near(low: np.ndarray, slack: np.ndarray, size: np.ndarray, least: np.ndarray | float, wide: np.ndarray | float, k: int) -> np.ndarray:
+    """Pairs that may be among the k nearest of each query: a square is no less than low + least, and no more than low + slack + size; wide: the factor by which the queries' own squares may differ."""
+    if low.shape[1] <= k:
+        return np.isfinite(low) & np.isfinite(size)
+    step = PARTS * k
+    if low.shape[1] >= 2 * step:  # the k-th least of minima of some columns each is no less than the k-th least of all
+        most = low[:, :step] + slack[..., :step]
+        for i in range(step, low.shape[1] - step + 1, step):
+            np.minimum(most, low[:, i : i + step] + slack[..., i : i + step], out=most)
+    else:
+        most = low + slack
+    limit = (np.partition(most, k - 1, axis=1)[:, k - 1 : k] + size) * wide - least
+    near = low <= limit
+    if not np.isfinite(limit).all():
+        near &= np.isfinite(low)
+    return near
 
 
 def _least(a: np.ndarray, b: np.ndarray, far: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,13 +292,22 @@ def _least(a: np.ndarray, b: np.ndarray, far: np.ndarray, order: np.ndarray, k:
     return a[rank < k], b[rank < k], far[rank < k]
 
 
+def _marks(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that a repartition by their hash deals to a task each."""
+    found = spark.range(32 * n).select(F.col("id").cast("int").alias("mark")).groupBy(F.pmod(F.hash("mark"), F.lit(n)).alias("task")).agg(F.min("mark").alias("mark")).collect()
+    marks = [r["mark"] for r in found]
+    return marks + list(range(-1, len(marks) - n - 1, -1))  # a task that none of them meets is not likely
+
+
 def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool, scale: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(q, neighbor, distance, rank): the k nearest rows of t (neighbor, pos, y) for each row of q (q, x), with the scales that `scale` gives for a matrix of queries."""
     tasks = q.sparkSession.sparkContext.defaultParallelism
     n_q, n_t = q.count(), t.count()
-    q_blocks, rounds = max(1, -(-n_q // TRAIN), min(tasks, n_q // 100)), max(1, -(-n_t // (SPAN * TRAIN)))
+    q_blocks, rounds = max(1, -(-n_q // TRAIN)), max(1, -(-n_t // (SPAN * TRAIN)))
+    q_blocks = max(q_blocks, min(-(-q_blocks // tasks) * tasks, n_q // 100))  # as many for each core
     deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    left = q.withColumn("a", deal("q", q_blocks))
+    marks = _marks(q.sparkSession, q_blocks)
+    left = q.withColumn("a", F.get(F.array(*map(F.lit, marks)), deal("q", q_blocks))).repartition(q_blocks, "a")
     kinds = dict(t.dtypes)
 
     def pair(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -281,16 +315,18 @@ def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool, scale: Callabl
         parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(queries) and len(rows):
             x, y = matrix(queries["x"]), matrix(rows["y"])
-            s, blocks = scale(x), [(j, np.asfortranarray(y[j : j + TRAIN])) for j in range(0, len(y), TRAIN)]
+            s = scale(x)
             q, t, pos = (c.to_numpy() for c in (queries["q"], rows["neighbor"], rows["pos"]))
             order = np.empty(len(pos), np.int64)
             order[np.argsort(pos, kind="stable")] = np.arange(len(pos))
+            fine = np.flatnonzero(np.isfinite(s).all(1))
+            r = s[fine[len(fine) // 2]] if len(fine) else np.ones(s.shape[1])
+            blocks = [(slice(j, j + TRAIN), _Rows(y[j : j + TRAIN], order[j : j + TRAIN], r)) for j in range(0, len(y), TRAIN)]
             for i in range(0, len(q), step := max(1, CELLS // min(TRAIN, len(t)))):
                 own, found = slice(i, i + step), []
-                for j, block in blocks:
-                    at = slice(j, j + len(block))
-                    a, b, far = _closest(x[own], s[own], block, order[at], q[own, None] == t[None, at] if exclude_self else None, k)
-                    found.append((a, b + j, far))
+                for at, block in blocks:
+                    a, b, far = _closest(x[own], s[own], block, q[own, None] == t[None, at] if exclude_self else None, k)
+                    found.append((a, b + at.start, far))
                 a, b, far = _least(*(np.concatenate(p) for p in zip(*found, strict=True)), order, k)
                 parts.append((a + i, b, far))
         a, b, far = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -299,7 +335,7 @@ def _best(q: DataFrame, t: DataFrame, k: int, exclude_self: bool, scale: Callabl
     best, rank = None, F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))
     with cleaned(q.sparkSession) if rounds > 1 else nullcontext():
         for r in range(rounds):
-            right = t.where(deal("neighbor", rounds) == r).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+            right = t.where(deal("neighbor", rounds) == r).withColumn("a", F.explode(F.array(*map(F.lit, marks)))).repartition(q_blocks, "a")
             found = left.groupBy("a").cogroup(right.groupBy("a")).applyInArrow(pair, f"q {dict(q.dtypes)['q']}, neighbor {kinds['neighbor']}, pos {kinds['pos']}, distance double")
             both = found if best is None else best.drop("rank").unionByName(found)
             both, was = both.withColumn("rank", rank).where(F.col("rank") <= k), best

@@ -204,6 +204,26 @@ def test_leave_one_out_holds_one_round_on_disk(spark, monkeypatch):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def brute(x, s, y, order, same, k):
+    far = (((x[:, None] - y[None]) / s[:, None]) ** 2).sum(2)
+    far[same | ~np.isfinite(far)] = np.inf
+    best = [[j for j in np.lexsort((order, row)) if np.isfinite(row[j])][:k] for row in far]
+    return [(i, j, far[i, j]) for i, row in enumerate(best) for j in row]
+
+
+@pytest.mark.parametrize("spread", [0, 1e-4, 0.01, 0.5])
+def test_closest_rows_for_scales_alike_and_apart(spread):
+    r = np.random.default_rng(6)
+    for rows, k in ((5, 7), (7, 7), (90, 3), (700, 3)):
+        y = np.round(r.normal(size=(rows, 4)) * 5)
+        y[0], y[-1, 2], y[1] = 1e9, np.nan, y[2]
+        x = np.vstack([y[1:4], r.normal(size=(6, 4)) * 5])
+        s = np.array([1, 0.1, 3, 20]) * (1 + spread * r.uniform(size=x.shape))
+        order, same = r.permutation(rows), r.random((len(x), rows)) < 0.02
+        got = list(zip(*N._closest(x, s, N._Rows(y, order, s[0]), same, k), strict=True))
+        assert got == brute(x, s, y, order, same, k)
+
+
 def test_leave_one_out_of_one_row(spark):
     df = table(spark, *entities(1))
     assert N.loo_ranks(df, A.feature_columns(df), 3).collect() == []
